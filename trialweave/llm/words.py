@@ -17,6 +17,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes outside words of letters and digits: ASCII that is neither (bytes of other characters belong to words).
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,9 +63,9 @@ def blocks(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.n
         lo = hi
 
 
-def spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each row (and one beyond) the index of its first word."""
-    word = ~_SPACE[buf]
+    word = ~space[buf]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     inner = offs[1:-1]
