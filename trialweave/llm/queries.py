@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import bpe, decontamination, jaccard_join, line_dedup, quality_rules, suffix_dedup
+from trialweave.llm import bpe, decontamination, html_text, jaccard_join, line_dedup, quality_rules, suffix_dedup
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(docs))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     return quality_rules.digest(quality_rules.quality_rules(docs, carry_text=False))
@@ -42,6 +46,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_jaccard_join, op3_byte_bpe, op6_line_dedup, op7_suffix_dedup, op9_quality_rules, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_jaccard_join, op3_byte_bpe, op6_line_dedup, op7_suffix_dedup, op8_html_text, op9_quality_rules, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
