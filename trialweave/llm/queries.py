@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import bpe, decontamination, html_text, jaccard_join, line_dedup, quality_rules, suffix_dedup
+from trialweave.llm import bpe, decontamination, factorisation, html_text, jaccard_join, line_dedup, quality_rules, suffix_dedup
+
+
+def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
+    return factorisation.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +51,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_jaccard_join, op3_byte_bpe, op6_line_dedup, op7_suffix_dedup, op8_html_text, op9_quality_rules, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorisation_machine, op2_jaccard_join, op3_byte_bpe, op6_line_dedup, op7_suffix_dedup, op8_html_text, op9_quality_rules, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
