@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import bpe, decontamination, factorisation, html_text, jaccard_join, line_dedup, quality_rules, suffix_dedup
+from trialweave.llm import bpe, decontamination, factorisation, html_text, jaccard_join, line_dedup, quality_rules, suffix_dedup, token_counts
 
 
 def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(docs, vocab))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocab = {v: bpe.vocabulary(public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN) for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    return token_counts.replayed(docs, vocab)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return line_dedup.digest(line_dedup.line_dedup(docs))
@@ -51,6 +59,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorisation_machine, op2_jaccard_join, op3_byte_bpe, op6_line_dedup, op7_suffix_dedup, op8_html_text, op9_quality_rules, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorisation_machine, op2_jaccard_join, op3_byte_bpe, op4_token_counts, op6_line_dedup, op7_suffix_dedup, op8_html_text, op9_quality_rules, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}

@@ -28,3 +28,8 @@ def strip(s: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(x)`` with x bound to ``value``, which is evaluated once a row and not once a use."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def words_counted(text: Column) -> Column:
+    """How many runs of other characters than white space a text has."""
+    return F.size(F.filter(F.split(whole(text), SPACE_CLASS + "+"), lambda w: w != "")).cast("long")
