@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import bpe, decontamination, factorisation, html_text, jaccard_join, line_dedup, quality_rules, suffix_dedup, token_counts
+from trialweave.llm import bpe, decontamination, factorisation, html_text, jaccard_join, language_id, line_dedup, quality_rules, suffix_dedup, token_counts
 
 
 def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.replayed(docs, vocab)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return language_id.identify(docs, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return line_dedup.digest(line_dedup.line_dedup(docs))
@@ -59,6 +64,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorisation_machine, op2_jaccard_join, op3_byte_bpe, op4_token_counts, op6_line_dedup, op7_suffix_dedup, op8_html_text, op9_quality_rules, op10_decontamination)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorisation_machine, op2_jaccard_join, op3_byte_bpe, op4_token_counts, op5_language_id, op6_line_dedup, op7_suffix_dedup, op8_html_text, op9_quality_rules, op10_decontamination, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
