@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from trialweave.plans import trial_queries
 
-def queries():
-    return {}
 
+def entry(spark: SparkSession) -> DataFrame:
+    """Window summaries of the smallest trial table."""
+    return trial_queries.QUERIES["AGG04"](spark, "/root/testdata/sf0.001")
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(trial_queries.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(trial_queries.SQL)
