@@ -445,16 +445,16 @@ def grouped_pls(df: DataFrame, left: list[str], right: list[str], group: str, fo
     return out.agg(F.count("*").alias("n"), (1 - safe_div(F.sum("e"), F.sum("t"))).alias("r2"))
 
 
-def factor_analysis(x: np.ndarray, k: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Loadings and noise variances of a maximum-likelihood factor model of centred rows."""
-    n, d = x.shape
-    noise = np.maximum(x.var(axis=0), 1e-12)
-    load = np.zeros((d, k))
+def factor_analysis(x: np.ndarray, k: int, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Loadings and noise variances of a maximum-likelihood factor model of centred rows, by expectation-maximisation."""
+    cov = x.T @ x / len(x)
+    value, vector = np.linalg.eigh(cov)
+    load = vector[:, ::-1][:, :k] * np.sqrt(np.maximum(value[::-1][:k], 1e-12) / 2)
+    noise = np.maximum(np.diag(cov) / 2, 1e-12)
     for _ in range(rounds):
-        s = np.sqrt(noise)
-        _, value, vt = np.linalg.svd(x / s / math.sqrt(n), full_matrices=False)
-        load = (vt[:k].T * np.sqrt(np.maximum(value[:k] ** 2 - 1, 0))) * s[:, None]
-        new = np.maximum(x.var(axis=0) - (load**2).sum(axis=1), 1e-12)
+        beta = np.linalg.solve(load @ load.T + np.diag(noise), load).T
+        load = cov @ beta.T @ np.linalg.inv(np.eye(k) - beta @ load + beta @ cov @ beta.T)
+        new = np.maximum(np.diag(cov - load @ beta @ cov), 1e-12)
         if np.abs(new - noise).max() < 1e-8:
             break
         noise = new

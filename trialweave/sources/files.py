@@ -91,7 +91,7 @@ def read_excel(spark: SparkSession, path: str, cache: str, sheet: str | int = 0,
 
 def read_rr_files(spark: SparkSession, path: str) -> DataFrame:
     """Interval text files, one number a line: participant_id (file stem), pos, rr_ms (NULL where a line isn't a number), blank."""
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)(?:\.[^.]*)?$", 1).alias("participant_id"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)(?:\.[^.]*)?$", 1).alias("participant_id"), "value")
     lines = files.select("participant_id", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "line"))
     return lines.select("participant_id", F.col("pos").cast("long").alias("pos"), F.trim("line").try_cast("double").alias("rr_ms"), (F.trim("line") == "").alias("blank"))
 
