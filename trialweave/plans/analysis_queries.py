@@ -15,14 +15,14 @@ from trialweave.sources.tables import BOUNDARY, table
 # --- joins -----------------------------------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("JOIN01", f"""SELECT r_name, o_orderstatus, count(*) AS n, {r6('sum(l_extendedprice) AS price')} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+@query("JOIN01", f"""SELECT r_name, o_orderstatus, count(*) AS n, {r6('sum(l_extendedprice::DECIMAL(18, 2)) AS price')} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 def join01(spark, sf):
     """Fact to dimensions, a chain of inner joins."""
     t = lambda n: table(spark, sf, n)
     rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy("r_name", "o_orderstatus").agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("price"))
+    return rows.groupBy("r_name", "o_orderstatus").agg(F.count("*").alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("price"))
 
 
 @query("JOIN02", upto("trials", "SELECT t.observation_id, w.label FROM trials t LEFT JOIN (SELECT DISTINCT dataset_id, block_raw, dataset_id || '/' || block_raw AS label FROM trials WHERE block_raw >= 0) w ON t.dataset_id = w.dataset_id AND t.block_raw = w.block_raw"))

@@ -400,12 +400,12 @@ def gte03(spark, sf):
     return gates.preflight(summaries(spark, sf), "control_cost_rt_ms")
 
 
-@query("GTE04", over("SELECT CASE WHEN sum((verdict = 'supported')::INT) >= 2 AND count(*) >= 3 THEN 'open' ELSE 'blocked' END AS novel_models FROM (SELECT unnest(['speed', 'accuracy', 'n_orders']) AS f, CASE WHEN unnest([a, b, c]) > 0 THEN 'supported' ELSE 'not_supported' END AS verdict FROM (SELECT median(x) AS a, median(y) AS b, median(z) AS c FROM (SELECT regr_slope(speed, session_year) AS x, regr_slope(accuracy, session_year) AS y, regr_slope(n_orders, session_year) AS z FROM sessions GROUP BY participant_id HAVING count(*) >= 3)))", SESSIONS))
+@query("GTE04", over("SELECT CASE WHEN sum((verdict = 'supported')::INT) >= 2 AND count(*) >= 3 THEN 'open' ELSE 'blocked' END AS novel_models FROM (SELECT unnest(['speed', 'accuracy', 'n_orders']) AS f, CASE WHEN round(unnest([a, b, c]), 9) > 0 THEN 'supported' ELSE 'not_supported' END AS verdict FROM (SELECT median(x) AS a, median(y) AS b, median(z) AS c FROM (SELECT regr_slope(speed, session_year) AS x, regr_slope(accuracy, session_year) AS y, regr_slope(n_orders, session_year) AS z FROM sessions GROUP BY participant_id HAVING count(*) >= 3)))", SESSIONS))
 def gte04(spark, sf):
     """Models beyond the published effects are open only if enough of those are found."""
     s = tables.sessions(spark, sf)
     medians = [st.group_slopes(s, "participant_id", c, "session_year", 1).first()["median_slope"] for c in ("speed", "accuracy", "n_orders")]
-    found = sum((m or 0) > 0 for m in medians)
+    found = sum(round(m or 0, 9) > 0 for m in medians)
     return spark.createDataFrame([("open" if found >= 2 and len(medians) >= 3 else "blocked",)], "novel_models string")
 
 
