@@ -73,4 +73,7 @@ def test_odd_rows(spark):
     assert {(r[0], r[1]) for r in dc.contaminated(docs, items).collect()} == {(3, 1), (None, 1)}
     assert dc.decontaminate(docs, items).count() == 3
     assert dc.contaminated(docs.limit(0), items).count() == 0
+    around = spark.createDataFrame([(1, " "), (2, item), (3, ""), (4, "a b"), (5, None), (6, "...")], docs.schema).coalesce(1)
+    assert {(r[0], r[1]) for r in dc.contaminated(around, items).collect()} == {(2, 1)}
+    assert sorted(r[0] for r in dc.decontaminate(around, items).collect()) == [1, 3, 4, 5, 6]
     assert dc.contaminated(docs, items.limit(0)).count() == 0

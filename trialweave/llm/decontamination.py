@@ -156,11 +156,9 @@ class Index:
         width = max(64, 2 * self.longest)
         step = width // 2
         place = self.lookup(words)
-        begin = np.concatenate([np.arange(a, max(b - step, a + 1), step) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]) if len(first) > 1 else np.zeros(0, int)
-        row = np.searchsorted(first, begin, side="right") - 1
+        starts = [np.arange(a, max(b - step, a + 1), step) if b > a else np.zeros(0, np.int64) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        begin, row = np.concatenate(starts), np.repeat(np.arange(len(starts)), [len(x) for x in starts])
         end = np.minimum(begin + width, first[row + 1])
-        real = begin < end
-        begin, end, row = begin[real], end[real], row[real]
         term = np.flatnonzero(place < len(self.terms))
         if not len(begin) or not len(term):
             return
