@@ -7,8 +7,8 @@ joined again by position.
 
 Plan: lines (id, position, hash), no text, are shuffled by hash for the count (the distinct count is
 pre-aggregated by (hash, id), so a line that a third of all documents hold leaves each task as one row
-a document and is then summed by task) and again to meet the frequent hashes, a join of two exchanges
-whose skewed partitions Spark splits.  Positions to drop go back to their document; texts move once.
+a document and is then summed by task) and again to meet the frequent hashes, which are staged: Spark broadcasts
+a small table of them, else it splits skewed partitions of the join.  Positions to drop go back to their document; texts move once.
 
 Defined cases: null or empty text is one empty line; rows of the same id count as one document, each row
 is edited by its own text; null ids count together as one document, below every other; an empty table
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.text import ascii_lower, let, strip, whole
+from trialweave.plans.staging import staged
 
 
 def _lines(text: Column) -> Column:
@@ -42,11 +43,13 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """``docs`` with its edited text, ``n_lines`` (before dropping) and ``n_dropped``."""
     lines = line_hashes(docs, id_col, text_col, min_chars)
     one = F.struct("__id")  # a null id counts too
-    frequent = (
+    # Written first: a small table is broadcast, and a large one is an exchange of its own, so that Spark can split a hot line's rows.
+    frequent = staged(
         lines.groupBy("__h1", "__h2")
         .agg(F.count_distinct(one).alias("__docs"), F.max(one).alias("__keep"))
         .filter(F.col("__docs") >= min_docs)
-        .select(F.col("__h1").alias("__f1"), F.col("__h2").alias("__f2"), F.col("__keep.__id").alias("__keep"))
+        .select(F.col("__h1").alias("__f1"), F.col("__h2").alias("__f2"), F.col("__keep.__id").alias("__keep")),
+        "lines",
     )
     drops = (
         lines.join(frequent, (F.col("__h1") == F.col("__f1")) & (F.col("__h2") == F.col("__f2")))
