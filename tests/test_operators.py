@@ -183,3 +183,50 @@ def test_stream_of_trials(spark, tmp_path):
     q.stop()
     got = sorted(tuple(r) for r in spark.table("counted").collect())
     assert got == [(0, 0, 5, 4.0), (0, 1, 5, 14.0), (1, 0, 5, 5.0), (1, 1, 5, 15.0)]
+
+
+def test_density(spark):
+    from trialweave.operators import density
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 0.3, (60, 2)), rng.normal(5, 0.3, (60, 2)), rng.uniform(-20, 20, (12, 2))])
+    h = density.fit(x, 20)
+    assert set(h.labels[:60]) - {-1} == {0} and set(h.labels[60:120]) - {-1} == {1} and (h.labels[:120] >= 0).mean() > 0.8
+    assert (h.labels[120:] < 0).mean() > 0.8
+    assert h.label(x).tolist() == h.labels.tolist()
+    assert h.label(np.array([[0.0, 0.0], [5.0, 5.0], [100.0, 0.0]])).tolist() == [0, 1, -1]
+    assert density.fit(x[:5], 20).label(x[:3]).tolist() == [-1, -1, -1]
+    # the spanning tree is as light as one by Kruskal
+    core = np.zeros(len(x))
+    d = density._distances(x, x)
+    root = list(range(len(x)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    total = 0.0
+    for i, j in sorted(((i, j) for i in range(len(x)) for j in range(i)), key=lambda e: d[e]):
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            total += d[i, j]
+    assert abs(sum(w for w, _, _ in density.spanning_tree(x, core)) - total) < 1e-9
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(999, None, 1.0)], "k long, a double, b double").repartition(3)
+    got = {r["k"]: r["cluster"] for r in density.density_clusters(df, ["a", "b"], "k").collect()}
+    assert got[999] == -1 and len({got[i] for i in range(120)} - {-1}) == 2 and len(got) == len(x) + 1
+    part = density.density_clusters(df, ["a", "b"], "k", most=100)
+    assert part.filter("k < 120 and cluster >= 0").count() > 90
+    assert density.density_clusters(df.limit(0), ["a", "b"], "k").collect() == []
+
+
+def test_stores(spark, tmp_path):
+    where = f"file://{tmp_path}"
+    assert json.loads(files.get(files.write_json({"a": 1}, f"{where}/x/y.json"))) == {"a": 1} and files.exists(f"{tmp_path}/x/y.json")
+    with pytest.raises(ValueError):
+        files.require_schema({}, {"t": ["a"]}, f"{where}/report.txt")
+    assert (tmp_path / "report.txt").read_text() == "Missing table: t\n"
+    with pytest.raises(Exception, match="no such participant"):
+        spark.createDataFrame([(30,)], "n int").select(files.participant_file("n")).collect()
+    scaled = models.standard_scale(spark.createDataFrame([(1.0, 2.0), (3.0, 2.0)], "a double, b double"), ["a", "b"])
+    assert sorted(map(tuple, scaled.collect())) == [(-1.0, 0.0), (1.0, 0.0)]
+    assert models.enough_rows(np.array([30, 400])) and not models.enough_rows(np.array([30, 4000])) and not models.enough_rows(np.array([5, 9]))
+    assert models.well_conditioned(np.eye(2)[None], "full") and not models.well_conditioned(np.diag([1.0, 1e-12])[None], "full")

@@ -57,7 +57,10 @@ def robust_scale(df: DataFrame, features: list[str]) -> DataFrame:
 
 def standard_scale(df: DataFrame, features: list[str], keys: list[str] | None = None) -> DataFrame:
     """(x - mean) / population sd; a spread of 0 counts as 1."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
+    if not keys:  # one row of figures; a window without keys would bring all rows to one task
+        s = df.agg(*[f(c).alias(f"{c}_{k}") for c in features for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        return df.withColumns({c: (F.col(c) - F.lit(s[f"{c}_m"])) / F.lit(s[f"{c}_s"] or 1.0) for c in features})
+    w = Window.partitionBy(*keys)
     sd = lambda c: F.stddev_pop(c).over(w)
     return df.withColumns({c: (F.col(c) - F.avg(c).over(w)) / F.when(sd(c) > 0, sd(c)).otherwise(1.0) for c in features})
 
@@ -163,6 +166,19 @@ def parameter_count(k: int, d: int, kind: str) -> int:
     return k * d + k * (d if kind == "diag" else d * (d + 1) // 2) + k - 1
 
 
+def enough_rows(sizes: np.ndarray, least: int = 20, share: float = 0.05) -> bool:
+    """Whether every component holds ``least`` rows and that share of all."""
+    return bool(len(sizes)) and bool((sizes >= np.maximum(least, share * sizes.sum())).all())
+
+
+def well_conditioned(covariances: np.ndarray, kind: str, most: float = 1e8) -> bool:
+    """Whether full covariances can be inverted safely; diagonal ones always count as such."""
+    if kind == "diag":
+        return True
+    found = np.linalg.cond(covariances)
+    return bool(len(found)) and bool((np.isfinite(found) & (found < most)).all())
+
+
 def mixture_sweep(df: DataFrame, features: list[str], *, ks: tuple[int, ...] = (1, 2, 3, 4), kinds: tuple[str, ...] = ("diag", "full"), starts: int = 3, rounds: int = 30, ridge: float = 1e-6, seed: int = 42) -> list[dict]:
     """Gaussian mixtures for each k and covariance kind, best of several starts; sorted by BIC.
 

@@ -26,10 +26,10 @@ def src05(spark, sf):
     return trials(spark, sf).select("observation_id", issue.alias("mapping_issue"))
 
 
-@query("SRC10", over(f"SELECT participant_id::VARCHAR AS participant_id, pos, {r6('rr_ms')} FROM rr WHERE participant_id < 3", RR))
+@query("SRC10", over(f"SELECT participant_id::VARCHAR AS participant_id, pos, {r6('rr_ms')} FROM rr", RR))
 def src10(spark, sf):
     """Recordings written as text, one file each, and read in order."""
-    rr = tables.rr_intervals(spark, sf).filter("participant_id < 3").groupBy("participant_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "rr_ms"))), lambda x: x["rr_ms"].cast("string")), "\n").alias("value"))
+    rr = tables.rr_intervals(spark, sf).groupBy("participant_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "rr_ms"))), lambda x: x["rr_ms"].cast("string")), "\n").alias("value"))
     path = scratch(spark, "")
     rr.repartition("participant_id").select("value", F.concat(F.lit("p"), F.col("participant_id").cast("string")).alias("name")).write.partitionBy("name").text(path)
     lines = spark.read.text(f"{path}/*/*.txt", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"name=p(\d+)", 1).alias("participant_id"), F.posexplode(F.split(F.btrim("value", F.lit(" \n")), r"\s+")).alias("pos", "line"))

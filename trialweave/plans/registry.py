@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.plans import analysis_queries, extra_queries, model_queries, trial_queries  # noqa: F401  importing registers the queries
+from trialweave.plans import analysis_queries, extra_queries, model_queries, storage_queries, trial_queries  # noqa: F401  importing registers the queries
 
 
 def entry(spark: SparkSession) -> DataFrame:

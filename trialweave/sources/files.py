@@ -2,23 +2,66 @@
 
 from __future__ import annotations
 
+import io
 import json
 import math
 import os
 import subprocess
+import zipfile
+from collections.abc import Callable, Iterator
 from dataclasses import fields
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# --- small files: plain paths are the driver's own, those with a scheme are in a store that Spark reads ----------------------------------------------------------------
+
+
+def _hadoop(path: str):
+    spark = SparkSession.active()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(path: str) -> bool:
+    if "://" not in path:
+        return os.path.exists(path)
+    p, fs = _hadoop(path)
+    return fs.exists(p)
+
+
+def get(path: str) -> str:
+    """A small file's text."""
+    if "://" in path:
+        return SparkSession.active().read.text(path, wholetext=True).first()[0]
+    with open(path) as f:
+        return f.read()
+
+
+def put(text: str, path: str) -> str:
+    """Write a small file."""
+    if "://" in path:
+        p, fs = _hadoop(path)
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return path
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
 # --- contracts -------------------------------------------------------------------------------------------------------------------------------------------------------
 
 
 def load_contract(path: str) -> dict[str, list[str]]:
     """Table names with their required columns."""
-    with open(path) as f:
-        data = json.load(f)
+    data = json.loads(get(path))
     return data.get("tables", data)
 
 
@@ -33,17 +76,18 @@ def validate_schema(tables: dict[str, DataFrame], contract: dict[str, list[str]]
     return out
 
 
-def require_schema(tables: dict[str, DataFrame], contract: dict[str, list[str]]) -> dict[str, DataFrame]:
-    """The same tables; an error that lists every discrepancy."""
+def require_schema(tables: dict[str, DataFrame], contract: dict[str, list[str]], report: str | None = None) -> dict[str, DataFrame]:
+    """The same tables; an error that lists every discrepancy, which ``report`` keeps as text."""
     if issues := validate_schema(tables, contract):
+        if report:
+            write_text("\n".join(issues), report)
         raise ValueError("; ".join(issues))
     return tables
 
 
 def load_config(path: str, kind: type):
     """A dataclass from JSON: lists become tuples, unknown names are errors."""
-    with open(path) as f:
-        data = json.load(f)
+    data = json.loads(get(path))
     if unknown := sorted(set(data) - {x.name for x in fields(kind)}):
         raise TypeError(f"unknown settings: {unknown}")
     return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in data.items()})
@@ -51,8 +95,7 @@ def load_config(path: str, kind: type):
 
 def run_sql(spark: SparkSession, path: str) -> DataFrame:
     """The query of an SQL file over the session's views."""
-    with open(path) as f:
-        return spark.sql(f.read().strip().rstrip(";"))
+    return spark.sql(get(path).strip().rstrip(";"))
 
 
 # --- readers ---------------------------------------------------------------------------------------------------------------------------------------------------------
@@ -72,17 +115,15 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
 
 def first_readable(spark: SparkSession, stem: str, columns: list[str] | None = None) -> DataFrame:
     """stem.parquet, else stem.csv, else stem.csv.gz."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for suffix in (".parquet", ".csv", ".csv.gz"):
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stem + suffix)
-        if p.getFileSystem(conf).exists(p):
+        if exists(stem + suffix):
             return read_table(spark, stem + suffix, columns)
     raise FileNotFoundError(stem)
 
 
 def read_excel(spark: SparkSession, path: str, cache: str, sheet: str | int = 0, columns: list[str] | None = None) -> DataFrame:
     """A worksheet, kept as Parquet after the first reading; needs an Excel engine only then."""
-    if not os.path.exists(cache):
+    if not exists(cache):
         import pandas as pd
 
         spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, usecols=columns)).write.parquet(cache)
@@ -141,19 +182,12 @@ def _plain(x):
 
 def write_json(payload, path: str) -> str:
     """JSON without NaN: what isn't finite is null."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        json.dump(_plain(payload), f, indent=2, sort_keys=True, allow_nan=False, default=str)
-        f.write("\n")
-    return path
+    return put(json.dumps(_plain(payload), indent=2, sort_keys=True, allow_nan=False, default=str) + "\n", path)
 
 
 def write_text(text: str, path: str) -> str:
     """Text with one newline at its end."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        f.write(text.rstrip("\n") + "\n")
-    return path
+    return put(text.rstrip("\n") + "\n", path)
 
 
 def update_manifest(path: str, stage: str, parameters: dict, root: str = ".") -> dict:
@@ -162,10 +196,7 @@ def update_manifest(path: str, stage: str, parameters: dict, root: str = ".") ->
     import pandas
     import pyspark
 
-    data = {}
-    if os.path.exists(path):
-        with open(path) as f:
-            data = json.load(f)
+    data = json.loads(get(path)) if exists(path) else {}
     commit = subprocess.run(["git", "-C", root, "rev-parse", "HEAD"], capture_output=True, text=True).stdout.strip() or None
     data.setdefault("stages", {})[stage] = {**parameters, "at": datetime.now(timezone.utc).isoformat(timespec="seconds")}
     data |= {"git_commit": commit, "versions": {m.__name__: m.__version__ for m in (numpy, pandas, pyspark)}}
@@ -182,9 +213,7 @@ def upsert(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
 
 def missing_parts(spark: SparkSession, wanted: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """The wanted keys that a partitioned table doesn't hold yet, for resuming."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(conf).exists(p):
+    if not exists(path):
         return wanted
     return wanted.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
 
@@ -198,3 +227,50 @@ def source_hashes(spark: SparkSession, path: str) -> DataFrame:
     """file, bytes, sha256, md5 of each file."""
     rows = spark.read.format("binaryFile").load(path)
     return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+
+
+def verify_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """A row for each file of the manifest (file, bytes, md5): whether it is there, and whole."""
+    f = found.select("file", F.col("bytes").alias("__bytes"), F.col("md5").alias("__md5"))
+    status = F.when(F.col("__bytes").isNull(), "missing").when(F.col("__bytes") != F.col("bytes"), "size_differs").when(F.col("__md5") != F.col("md5"), "digest_differs").otherwise("verified")
+    return manifest.join(f, "file", "left").select("file", status.alias("status"))
+
+
+def archive_members(archives: DataFrame) -> DataFrame:
+    """path, archive_member, uncompressed_bytes, compressed_bytes of the files in zip archives (path, content), by the task that reads them."""
+    schema = "path string, archive_member string, uncompressed_bytes long, compressed_bytes long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    held = [m for m in z.infolist() if not m.is_dir()]
+                sizes = [pa.array([getattr(m, k) for m in held], pa.int64()) for k in ("file_size", "compress_size")]
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(held), pa.string()), pa.array([m.filename for m in held], pa.string()), *sizes], names=[c.split()[0] for c in schema.split(", ")])
+
+    return archives.select("path", "content").mapInArrow(run, schema)
+
+
+def participant_file(number, most: int = 29):
+    """The archive's name of a participant number; an error outside 1 to ``most``."""
+    n = F.col(number).cast("int")
+    return F.when(n.between(1, most), F.format_string("sub-%02d.zip", n)).otherwise(F.raise_error(F.concat(F.lit("no such participant: "), F.coalesce(n.cast("string"), F.lit("null")))).cast("string"))
+
+
+def recording_issues(recordings: DataFrame, rate: float = 500.0, channel: str = "ECG1") -> DataFrame:
+    """What keeps a recording (sampling_rate, channels) from being read; NULL if nothing does."""
+    return recordings.withColumn("issue", F.when(F.col("sampling_rate").isNull() | (F.col("sampling_rate") != rate), "sampling_rate").when(~F.coalesce(F.array_contains("channels", channel), F.lit(False)), "missing_channel"))
+
+
+def append_csv(batches: Iterator[DataFrame], path: str) -> str:
+    """Batches one after the other into a gzipped CSV table."""
+    for k, df in enumerate(batches):
+        df.write.mode("append" if k else "overwrite").option("header", True).option("compression", "gzip").csv(path)
+    return path
+
+
+def reused(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that a former run has written whole; built and written if there is none."""
+    if not exists(f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
