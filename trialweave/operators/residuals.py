@@ -15,17 +15,24 @@ CONDITIONS = ("congruent", "incongruent", "neutral", "unknown")
 def design(trials: DataFrame, source: str = "dataset_id") -> tuple[DataFrame, list[str]]:
     """Adds the regressors x0..: condition and block dummies without the first of each, and a standardised trend over trials.
 
-    Blocks enter as their rank in the source up to three, later ones share the last dummy.
+    Blocks enter as their rank in the source up to three, later ones share the last dummy.  A source may hold a third of all trials, so its figures
+    are aggregates that are joined back (a row for each source and each of its blocks), not windows over it.
     """
-    w = Window.partitionBy(source)
-    trend = F.coalesce(F.col("trial_raw").cast("double"), F.median("trial_raw").over(w))
-    sd = F.stddev_pop(trend).over(w)
-    block = F.dense_rank().over(Window.partitionBy(source).orderBy(F.asc_nulls_first("block_raw")))
+    block = trials.select(F.col(source).alias("__b_source"), F.col("block_raw").alias("__block")).distinct()
+    block = block.withColumn("__rank", F.dense_rank().over(Window.partitionBy("__b_source").orderBy(F.asc_nulls_first("__block"))))
+    t = F.col("trial_raw").cast("double")
+    figures = trials.groupBy(F.col(source).alias("__f_source")).agg(F.count("*").alias("__n"), F.count(t).alias("__n1"), F.avg(t).alias("__avg"), F.var_pop(t).alias("__var"), F.median(t).alias("__middle"))
+    # Of the trend, in which the median stands for missing trials.
+    n, n1, avg, middle = (F.col(c) for c in ("__n", "__n1", "__avg", "__middle"))
+    mean = (n1 * avg + (n - n1) * middle) / n
+    figures = figures.withColumn("__mean", mean).withColumn("__sd", F.sqrt((n1 * (F.col("__var") + F.pow(avg - F.col("__mean"), 2)) + (n - n1) * F.pow(middle - F.col("__mean"), 2)) / n))
+    rows = trials.join(block, F.col(source).eqNullSafe(F.col("__b_source")) & F.col("block_raw").eqNullSafe(F.col("__block")), "left")
+    rows = rows.join(figures, F.col(source).eqNullSafe(F.col("__f_source")), "left").withColumn("__trend", F.coalesce(t, "__middle"))
     terms = {f"x{i}": (F.coalesce("congruency", F.lit("unknown")) == c).cast("double") for i, c in enumerate(CONDITIONS[1:])}
     k = len(terms)
-    terms |= {f"x{k + i}": (F.least(block, F.lit(3)) == i + 2).cast("double") for i in range(2)}
-    terms[f"x{k + 2}"] = F.when(F.coalesce(sd, F.lit(0.0)) > 0, (trend - F.avg(trend).over(w)) / sd).otherwise(0.0)
-    return trials.withColumns(terms), list(terms)
+    terms |= {f"x{k + i}": (F.least("__rank", F.lit(3)) == i + 2).cast("double") for i in range(2)}
+    terms[f"x{k + 2}"] = F.when(F.coalesce("__sd", F.lit(0.0)) > 0, (F.col("__trend") - F.col("__mean")) / F.col("__sd")).otherwise(0.0)
+    return rows.withColumns(terms).select(*trials.columns, *terms), list(terms)
 
 
 def residuals(trials: DataFrame, *, y: str, source: str = "dataset_id", person: str = "participant_id", fit_on: str = "valid_correct_rt", apply_to: str = "valid_rt", name: str = "residual") -> DataFrame:

@@ -425,12 +425,23 @@ def dyn14(spark, sf):
     return members(spark, sf).select("window_id", z.alias("z")).groupBy("window_id").agg(F.when(n < 12, "insufficient_observations").alias("reason"), F.when(n >= 12, F.avg((F.abs("z") >= 2).cast("int"))).alias("upper_tail_rate"))
 
 
-@query("DYN01")
+_DFA = """c AS (SELECT *, sum(rr_ms - mean) OVER (PARTITION BY participant_id ORDER BY pos) AS y FROM (SELECT *, avg(rr_ms) OVER p AS mean, stddev_pop(rr_ms) OVER p AS sd, count(*) OVER p AS n FROM rr WINDOW p AS (PARTITION BY participant_id))),
+g AS (SELECT participant_id, s, pos // s AS part, regr_syy(y, pos) - regr_sxy(y, pos) * regr_sxy(y, pos) / regr_sxx(y, pos) AS sse FROM c, generate_series(4, 16) AS k(s) WHERE n >= 40 AND sd > 0 AND n // s >= 4 AND pos < n // s * s GROUP BY ALL),
+f AS (SELECT participant_id, s, sqrt(sum(sse) / (count(*) * s)) AS f FROM g GROUP BY participant_id, s),
+a AS (SELECT participant_id, CASE WHEN count(*) >= 4 THEN regr_slope(ln(f), ln(s)) END AS alpha FROM f WHERE f > 0 GROUP BY 1)"""
+
+
+@query("DYN01", over(f"SELECT participant_id, {r6('alpha AS dfa_alpha')} FROM (SELECT DISTINCT participant_id FROM rr) LEFT JOIN a USING (participant_id)", RR, _DFA))
 def dyn01(spark, sf):
     return dynamics.sequence_features(tables.rr_intervals(spark, sf), "participant_id", "pos", "rr_ms").select("participant_id", "dfa_alpha")
 
 
-@query("DYN09")
+_SAMPEN = """w AS (SELECT participant_id || ':' || (pos // 80) AS window_id, pos AS i, rr_ms AS x FROM rr), s AS (SELECT window_id, count(*) AS n, 0.2 * stddev_samp(x) AS r FROM w GROUP BY 1),
+t AS (SELECT *, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM w JOIN s USING (window_id) WINDOW o AS (PARTITION BY window_id ORDER BY i)),
+p AS (SELECT a.window_id, count(*) AS b, count(*) FILTER (abs(a.z - b.z) <= a.r) AS a FROM t a JOIN t b ON a.window_id = b.window_id AND a.i < b.i AND abs(a.x - b.x) <= a.r AND abs(a.y - b.y) <= a.r WHERE a.n >= 20 AND a.r > 0 GROUP BY 1)"""
+
+
+@query("DYN09", over(f"SELECT window_id, {r6('CASE WHEN p.a > 0 THEN -ln(p.a / p.b) END AS sample_entropy')} FROM s LEFT JOIN p USING (window_id)", RR, _SAMPEN))
 def dyn09(spark, sf):
     w = tables.rr_intervals(spark, sf).withColumn("window_id", F.concat_ws(":", "participant_id", F.floor(F.col("pos") / 80)))
     return dynamics.sequence_features(w, "window_id", "pos", "rr_ms").select("window_id", "sample_entropy")

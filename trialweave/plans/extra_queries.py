@@ -157,7 +157,7 @@ def hrv05(spark, sf):
     return rr.groupBy("participant_id").agg(F.count("rr").alias("n_intervals"), F.avg("rr").alias("mean_nn"), (60000 / F.avg("rr")).alias("heart_rate"), F.stddev_samp("rr").alias("sdnn"))
 
 
-@query("HRV09")
+@query("HRV09", over(f"SELECT participant_id, {r6('CASE WHEN short <= 0.2 THEN mean END AS mean_nn')}, CASE WHEN short > 0.2 THEN 'too many short intervals' END AS error FROM (SELECT participant_id, avg(rr_ms) AS mean, avg((rr_ms < 300)::INT) AS short FROM rr GROUP BY 1)", RR))
 def hrv09(spark, sf):
     """Recordings processed one by one; a recording that fails is a row with its error."""
 
@@ -221,7 +221,11 @@ def sta14(spark, sf):
     return spark.createDataFrame(out, "profile string, prototype string, similarity double, lower double, strong boolean")
 
 
-@query("DYN16")
+#: The first eight bytes of the digest, the last one first, as a number.
+_DIGITS = " || ".join(f"substr(h, {i}, 2)" for i in range(15, 0, -2))
+
+
+@query("DYN16", upto("trials", f"SELECT participant_id, CAST(('0x' || {_DIGITS})::UBIGINT % 4294967295 AS BIGINT) AS seed FROM (SELECT DISTINCT participant_id, sha256('42|' || participant_id) AS h FROM trials)"))
 def dyn16(spark, sf):
     """A seed for each participant that depends on its name only."""
 

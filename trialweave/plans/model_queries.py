@@ -31,7 +31,11 @@ def log_residuals(spark, sf) -> DataFrame:
     return residuals.residuals(rows, y="log_rt", name="log_rt_residual")
 
 
-@query("RSD01")
+_DUMMY = {"x0": "incongruent", "x1": "neutral", "x2": "unknown"}
+
+
+@query("RSD01", upto("flags", f"""SELECT observation_id, {r6(*(f"coalesce(congruency, 'unknown') = '{c}' AS {x}" for x, c in _DUMMY.items()), "least(k, 3) = 2 AS x3", "least(k, 3) = 3 AS x4", "CASE WHEN coalesce(stddev_pop(t) OVER s, 0) > 0 THEN (t - avg(t) OVER s) / stddev_pop(t) OVER s ELSE 0 END AS x5")}
+  FROM (SELECT *, coalesce(trial_raw, median(trial_raw) OVER (PARTITION BY dataset_id)) AS t, dense_rank() OVER (PARTITION BY dataset_id ORDER BY block_raw NULLS FIRST) AS k FROM flags) WINDOW s AS (PARTITION BY dataset_id)"""))
 def rsd01(spark, sf):
     rows, xs = residuals.design(flagged(spark, sf))
     return rows.select("observation_id", *xs)
