@@ -45,3 +45,19 @@ def test_replay_equals_plain_counting(spark, sf):
             n[1] += len(x.encode(r["text"] or ""))
     got = {(r[0], r[1], r[2]): [r[3], r[4]] for r in tc.replayed(docs, vocab).collect()}
     assert got == want
+
+
+def test_query_counts_every_row(spark, sf):
+    from trialweave.llm import queries
+
+    vocab = {v: bpe.vocabulary(public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN) for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len({r["text"] for r in rows}) < len(rows)
+    want = {}
+    for r in rows:
+        for v, x in vocab.items():
+            n = want.setdefault((r["source"], r["lang"], v), [0, 0])
+            n[0] += 1
+            n[1] += len(x.encode(r["text"] or ""))
+    got = {(r[0], r[1], r[2]): [r[3], r[4]] for r in queries.op4_token_counts(spark, sf).collect()}
+    assert got == want

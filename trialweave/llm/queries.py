@@ -32,7 +32,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocab = {v: bpe.vocabulary(public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN) for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    return token_counts.replayed(docs, vocab)
+    return token_counts.replayed(docs, vocab, restore=True)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,9 +134,10 @@ def counted(docs: DataFrame, vocabularies: dict[str, Vocabulary], text_col: str
     return out.withColumnsRenamed({f"n{i}": v for i, v in enumerate(vocabularies)})
 
 
-def replayed(docs: DataFrame, vocabularies: dict[str, Vocabulary], path: str | None = None) -> DataFrame:
+def replayed(docs: DataFrame, vocabularies: dict[str, Vocabulary], path: str | None = None, *, restore: bool = False) -> DataFrame:
     """The life of a corpus as batches: all texts are inserted with a count of words as a first estimate, the estimate is revised by the tokenizer's count (twice:
-    the second commit is a repetition), later versions are inserted, copies of a text are deleted.  Returns the totals."""
+    the second commit is a repetition), later versions are inserted, copies of a text are deleted; with ``restore`` they are inserted again, so the totals
+    are of all rows.  Returns the totals."""
     spark = docs.sparkSession
     import uuid
 
@@ -155,6 +156,9 @@ def replayed(docs: DataFrame, vocabularies: dict[str, Vocabulary], path: str | N
     keep = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("kept"))
     copies = rows.join(keep, ["h1", "h2"]).filter(F.col("doc_id") > F.col("kept"))
     gone = copies.select("source", "lang", F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(v).alias("n_tokens")) for v in vocabularies])).alias("x"))
-    rollup.commit("copies", gone.select(F.lit("delete").alias("op"), "source", "lang", "x.tokenizer", "x.n_tokens", F.lit(None).cast("long").alias("old_tokens")))
+    again = lambda op: gone.select(F.lit(op).alias("op"), "source", "lang", "x.tokenizer", "x.n_tokens", F.lit(None).cast("long").alias("old_tokens"))
+    rollup.commit("copies", again("delete"))
+    if restore:
+        rollup.commit("copies restored", again("insert"))
     rollup.commit("load", change("insert", first, "estimate"))
     return rollup.totals()
