@@ -38,3 +38,18 @@ def test_pages_equal_plain_reading(spark, sf):
         inner = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]
         want = " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", " ", inner))).split())
         assert r["text"] == want
+
+
+def test_templates_of_layouts_and_sections(spark):
+    """Three layouts, and three sections of one layout, each on a third of the pages of its host."""
+    rows, want = [], []
+    for i in range(30):
+        k = i % 3
+        rows.append((i, f"http://a.org/{i}", f"<body><div class='l{'abc'[k]}'><div><p>Notice {k}</p></div><div><p>own text {i}</p></div></div></body>"))
+        rows.append((100 + i, f"http://b.org/s{k}/{i}", f"<article><div><p>Menu {k}</p></div><p>own text {i}</p></article>"))
+        want += [(i, f"own text {i}"), (100 + i, f"own text {i}")]
+    # text that recurs on a third of the pages of one layout and section is the article's
+    rows += [(200 + i, f"http://c.org/{i}", f"<article><p>{'a common line' if i % 3 == 0 else f'line {i}'}</p><p>own text {i}</p></article>") for i in range(30)]
+    want += [(200 + i, f"{'a common line' if i % 3 == 0 else f'line {i}'} own text {i}") for i in range(30)]
+    got = [(r["page_id"], r["text"]) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == sorted(want)

@@ -2,11 +2,12 @@
 
 A page is walked once as a stream of tags, with a stack of open elements.  Text of the article counts (of the whole body where a page has
 neither ``article`` nor ``main``), without elements that aren't content by their tag or by a word of their class, id or role.  Every block's
-subtree has a hash of its source; a subtree that recurs on at least ``share`` of a host's pages, and on ``least`` pages, is part of
-the site's template and goes.  Pages of a host with the same main text count once, so copies of an article don't make it a template.
+subtree has a hash of its source; a subtree that recurs on at least ``share`` of the pages of a host, of a layout of the host or of a section of it, and on ``least``
+of these pages, is part of that part's template and goes from its pages.  A layout is the set of a page's containers (tag and class, digits aside), a section the first folder
+of the address.  Pages of a part with the same main text count once, so copies of an article don't make it a template.
 
-Spark counts (host, subtree) pre-aggregated; the templates of a host are fewer than its blocks per page / ``share``, so they fit in a row.  They are staged and joined by
-host: broadcast when their file is small, else a sort-merge join whose skewed hosts Spark splits.
+Spark counts (host, part, subtree) pre-aggregated; the templates of a part are fewer than its blocks per page / ``share``, so they fit in a row.  They are staged and joined by
+host and part: broadcast when their file is small, else a sort-merge join whose skewed hosts Spark splits.
 
 Defined cases: null or empty html, or a page without text, gives an empty text; a null or odd url has the host ''; an unclosed element ends
 with its parent or the page; repeated rows count as one page; an empty table gives an empty result.
@@ -37,11 +38,14 @@ _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rt",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
 }
+#: Elements of running text, which don't tell layouts apart.
+_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", *_INLINE}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _NOT_CONTENT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|nav\w*|menu\w*|breadcrumbs?|pagination|pager|cookies?|consent|gdpr|notice|notices|popup|modal|overlay|"
     r"comments?|commentlist|discussion|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|toolbar|masthead|site-?header|site-?footer|footer|copyright|widget)(?:$|[\s_-])"
 )
+_CLASS = re.compile(r"""(?<![\w-])class\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Elements whose opening ends an open one of the set.
@@ -65,15 +69,21 @@ def _not_content(tag: str, attributes: str) -> bool:
     return False
 
 
+def _container(tag: str, attributes: str) -> str:
+    found = _CLASS.search(attributes) if attributes else None
+    return " ".join([tag, *sorted({re.sub(r"\d+", "", c) for c in found[1].strip("\"'").split()})]) if found else tag
+
+
 class Page:
     """One walk over a page; ``templates`` are hashes of subtrees to leave out."""
 
-    __slots__ = ("main", "other", "subtrees")
+    __slots__ = ("containers", "main", "other", "subtrees")
 
     def __init__(self, source: str, templates: frozenset[int] | set[int] = frozenset()) -> None:
         self.main: list[str] = []  # pieces inside article or main
         self.other: list[str] = []
         self.subtrees: set[int] = set()
+        self.containers: set[str] = set()
         # An open element: tag, where it begins, pieces so far in main and other, whether it isn't content.
         stack: list[tuple[str, int, int, int, bool]] = []
         dropped = inside = headers = 0
@@ -151,6 +161,8 @@ class Page:
                     shut(first, found.start())
             if tag in _VOID or attributes.endswith("/") and tag not in ("p", "div", "span", "a"):
                 continue
+            if tag not in _PROSE:
+                self.containers.add(_container(tag, attributes))
             stack.append((tag, found.start(), len(self.main), len(self.other), bad))
             dropped += bad
             inside += tag in ("article", "main")
@@ -164,6 +176,10 @@ class Page:
         main = " ".join("".join(self.main).split())
         return main or " ".join("".join(self.other).split())
 
+    @property
+    def layout(self) -> int:
+        return xxhash.xxh64_intdigest("\n".join(sorted(self.containers)).encode("utf-8", "surrogatepass")) - (1 << 63)
+
 
 def page_text(source: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
     return Page(source, templates).text if source else ""
@@ -171,17 +187,24 @@ def page_text(source: str | None, templates: frozenset[int] | set[int] = frozens
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        content, subtrees = [], []
-        for source in b.column(1):
+        content, layouts, subtrees = [], [], []
+        for source in b.column(2):
             page = Page(source.as_py() or "")
             content.append(xxhash.xxh64_intdigest(page.text.encode("utf-8", "surrogatepass")) - (1 << 63))
+            layouts.append(page.layout)
             subtrees.append(list(page.subtrees))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], names=["host", "content", "subtrees"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(layouts, pa.int64()), pa.array(content, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], names=["host", "section", "layout", "content", "subtrees"])
+
+
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        layouts = pa.array([str(Page(source.as_py() or "").layout) for source in b.column(2)], pa.string())
+        yield pa.RecordBatch.from_arrays([*b.columns, layouts], names=[*b.schema.names, "layout"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [page_text(source.as_py(), set(t.as_py() or ())) for source, t in zip(b.column(2), b.column(3), strict=True)]
+        out = [page_text(source.as_py(), {t for part in found for t in part.as_py() or ()}) for source, *found in zip(*b.columns[2:], strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
 
 
@@ -189,22 +212,40 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def section(url):
+    """The first folder of an address; '' for pages at the root."""
+    return F.coalesce(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*/([^/?#]+)/", 1), F.lit(""))
+
+
+#: The parts of a host whose templates are counted: all of it, its sections, its layouts.
+_PARTS = ("host", "section", "layout")
+
+
 def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """host, html -> host, templates: hashes of the subtrees that recur on its pages."""
-    walked = pages.mapInArrow(_subtrees, "host string, content long, subtrees array<long>")
+    """host, section, html -> host, part, value, templates: hashes of the subtrees that recur on the pages of a part."""
+    walked = pages.mapInArrow(_subtrees, "host string, section string, layout long, content long, subtrees array<long>")
     rows = staged(walked, "subtrees")
-    totals = rows.groupBy("host").agg(F.count_distinct("content").alias("pages"))
-    counts = rows.select("host", "content", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count_distinct("content").alias("n")).filter(F.col("n") >= least)
-    often = counts.join(totals, "host").filter(F.col("n") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.lit("").alias("value") if p == "host" else F.col(p).cast("string").alias("value")) for p in _PARTS])
+    dealt = rows.select("host", "content", "subtrees", F.explode(parts).alias("p")).select("host", "p.part", "p.value", "content", "subtrees")
+    by = ["host", "part", "value"]
+    totals = dealt.groupBy(*by).agg(F.count_distinct("content").alias("pages"))
+    counts = dealt.select(*by, "content", F.explode("subtrees").alias("subtree")).groupBy(*by, "subtree").agg(F.count_distinct("content").alias("n")).filter(F.col("n") >= least)
+    often = counts.join(totals, by).filter(F.col("n") >= share * F.col("pages"))
+    return often.groupBy(*by).agg(F.collect_list("subtree").alias("templates"))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = LEAST) -> DataFrame:
     """For each page the id, the url and ``text``."""
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host(F.col(url_col).cast("string")).alias("host"))
-    templates = staged(site_templates(rows.select("host", "html"), share, least), "templates")
-    joined = rows.join(templates, "host", "left").select("id", "url", "html", "templates")
-    out = joined.mapInArrow(_texts, f"id {pages.schema[id_col].dataType.simpleString()}, url string, text string")
+    url = F.col(url_col).cast("string")
+    rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host(url).alias("host"), section(url).alias("section"))
+    found = staged(site_templates(rows.select("host", "section", "html"), share, least), "templates")
+    kind = pages.schema[id_col].dataType.simpleString()
+    joined = rows.mapInArrow(_layouts, f"id {kind}, url string, html string, host string, section string, layout string")
+    for part in _PARTS:
+        by = ["host"] if part == "host" else ["host", part]
+        mine = found.filter(F.col("part") == part).select("host", *[F.col("value").alias(c) for c in by[1:]], F.col("templates").alias(f"of_{part}"))
+        joined = joined.join(mine, by, "left")
+    out = joined.select("id", "url", "html", *[f"of_{part}" for part in _PARTS]).mapInArrow(_texts, f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
 
