@@ -230,3 +230,21 @@ def test_stores(spark, tmp_path):
     assert sorted(map(tuple, scaled.collect())) == [(-1.0, 0.0), (1.0, 0.0)]
     assert models.enough_rows(np.array([30, 400])) and not models.enough_rows(np.array([30, 4000])) and not models.enough_rows(np.array([5, 9]))
     assert models.well_conditioned(np.eye(2)[None], "full") and not models.well_conditioned(np.diag([1.0, 1e-12])[None], "full")
+
+
+def test_density_fits_all_rows(spark, monkeypatch):
+    from trialweave.operators import density
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (1500, 2)), rng.normal(9, 1, (1500, 2)), rng.uniform(-20, 30, (1300, 2))])
+    want = density.fit(x, 215)
+    core, tree = density.shared_tree(spark, x, 215)
+    assert np.allclose(core, want.core)
+    assert np.allclose([d for d, _, _ in tree], [d for d, _, _ in density.spanning_tree(x, want.core)])
+    fitted = []
+    monkeypatch.setattr(density, "fit", lambda x, *more, fit=density.fit: fitted.append(len(x)) or fit(x, *more))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, a double, b double").repartition(3)
+    got = {r["k"]: r["cluster"] for r in density.density_clusters(df, ["a", "b"], "k").collect()}
+    assert fitted == [len(x)]
+    pairs = {(int(want.labels[i]), got[i]) for i in range(len(x))}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})  # the same clusters, however numbered

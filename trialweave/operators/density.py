@@ -1,7 +1,7 @@
 """Density clustering with noise: a hierarchy of mutual reachability, condensed, with the clusters of most excess mass.
 
-The hierarchy is of a sample of at most ``most`` rows (those of smallest hash, a documented bound, as its spanning tree takes the square of its
-rows); every row is then labelled by the tasks that hold it, from its nearest sampled row.  Up to ``most`` rows the sample is all of them.
+The hierarchy is of all rows.  Its core distances and its spanning tree (Boruvka's rounds) take the square of the rows, in blocks dealt to tasks; the driver and each
+task hold the features of all rows.  With ``most`` it is of a sample of so many rows (those of smallest hash), and other rows take the label of the nearest sampled one.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST = 4000
+CELLS = 4_000_000
 TINY = 1e-12
 
 
@@ -67,12 +67,75 @@ def spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int
     return sorted(edges)
 
 
-def fit(x: np.ndarray, least: int) -> Hierarchy:
-    """The hierarchy of clusters of ``least`` rows or more."""
+def shared_tree(spark: SparkSession, x: np.ndarray, least: int) -> tuple[np.ndarray, list[tuple[float, int, int]]]:
+    """Core distances, and the edges of :func:`spanning_tree`, by blocks of rows in tasks: in a round each component gets its shortest edge to another one."""
+    n = len(x)
+    step = max(1, min(512, CELLS // n))
+    blocks = spark.range(0, n, step, numPartitions=max(1, min(-(-n // step), 4 * spark.sparkContext.defaultParallelism)))
+    points = spark.sparkContext.broadcast(x)
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lows = b.column(0).to_pylist()
+            found = [np.partition(_distances(points.value[lo : lo + step], points.value), least, axis=1)[:, least].tolist() for lo in lows]
+            yield pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["lo", "core"])
+
+    core = np.zeros(n)
+    for r in blocks.mapInArrow(cores, "lo long, core array<double>").collect():
+        core[r["lo"] : r["lo"] + step] = r["core"]
+    component, edges = np.arange(n), []
+    while len(edges) < n - 1:
+        state = spark.sparkContext.broadcast((core, component))
+
+        def shortest(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            core, component = state.value
+            best: dict[int, tuple[float, int, int]] = {}
+            for b in batches:
+                for lo in b.column(0).to_pylist():
+                    d = np.maximum(np.maximum(_distances(points.value[lo : lo + step], points.value), core), core[lo : lo + step, None])
+                    d[component[lo : lo + step, None] == component] = np.inf
+                    near = d.argmin(axis=1)
+                    for k, j in enumerate(near.tolist()):
+                        c, edge = int(component[lo + k]), (float(d[k, j]), lo + k, j)
+                        if c not in best or edge < best[c]:
+                            best[c] = edge
+            columns = [pa.array(list(best), pa.int64()), *[pa.array([e[k] for e in best.values()], t) for k, t in ((0, pa.float64()), (1, pa.int64()), (2, pa.int64()))]]
+            yield pa.RecordBatch.from_arrays(columns, names=["c", "d", "i", "j"])
+
+        best: dict[int, tuple[float, int, int]] = {}
+        for r in blocks.mapInArrow(shortest, "c long, d double, i long, j long").collect():
+            edge = (r["d"], r["i"], r["j"])
+            if r["c"] not in best or edge < best[r["c"]]:
+                best[r["c"]] = edge
+        root = {c: c for c in best}
+
+        def find(c: int, root=root) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        for d, i, j in sorted(best.values()):
+            a, b = find(int(component[i])), find(int(component[j]))
+            if a != b:
+                root[b] = a
+                edges.append((d, i, j))
+        names, place = np.unique(component, return_inverse=True)
+        component = np.array([find(c) for c in names.tolist()])[place]
+        state.destroy()
+    return core, sorted(edges)
+
+
+def fit(x: np.ndarray, least: int, spark: SparkSession | None = None) -> Hierarchy:
+    """The hierarchy of clusters of ``least`` rows or more; with ``spark`` its distances are worked on by tasks."""
     n = len(x)
     if n <= least:
         return Hierarchy(x, np.zeros(n), np.full(n, -1), np.zeros(0))
-    core = np.concatenate([np.partition(_distances(x[lo : lo + 512], x), least, axis=1)[:, least] for lo in range(0, n, 512)])
+    if spark is None:
+        core = np.concatenate([np.partition(_distances(x[lo : lo + 512], x), least, axis=1)[:, least] for lo in range(0, n, 512)])
+        tree = spanning_tree(x, core)
+    else:
+        core, tree = shared_tree(spark, x, least)
     # The dendrogram: node n + k joins two nodes at the k-th edge.
     root, size = list(range(n)), [1] * n
     joined: list[tuple[int, int, float]] = []
@@ -84,7 +147,7 @@ def fit(x: np.ndarray, least: int) -> Hierarchy:
             i = root[i]
         return i
 
-    for d, a, b in spanning_tree(x, core):
+    for d, a, b in tree:
         a, b = find(a), find(b)
         joined.append((top[a], top[b], d))
         size.append(size[top[a]] + size[top[b]])
@@ -137,22 +200,28 @@ def fit(x: np.ndarray, least: int) -> Hierarchy:
     return Hierarchy(x, core, np.array([number.get(c, -1) for c in found.tolist()]), np.array([begins[c] for c in order.tolist()]))
 
 
-def density_clusters(df: DataFrame, features: list[str], key: str, *, least: int = 20, share: float = 0.05, most: int = MOST, name: str = "cluster") -> DataFrame:
+def density_clusters(df: DataFrame, features: list[str], key: str, *, least: int = 20, share: float = 0.05, most: int | None = None, name: str = "cluster") -> DataFrame:
     """``df`` with the cluster of each row, -1 for noise and for rows that miss a feature.
 
-    A cluster has ``least`` rows of the sample and ``share`` of it at least.
+    A cluster has ``least`` rows and ``share`` of all at least (of the sample, with ``most``).
     """
-    sample = df.select(key, *features).dropna().orderBy(F.xxhash64(key), key).limit(most).drop(key).toPandas().to_numpy(float)
-    model = df.sparkSession.sparkContext.broadcast(fit(sample, max(least, int(np.ceil(share * len(sample))))))
+    sample = df.select(key, *features).dropna().orderBy(F.xxhash64(key), key)
+    sample = (sample if most is None else sample.limit(most)).drop(key).toPandas().to_numpy(float) + 0.0
+    model = df.sparkSession.sparkContext.broadcast(fit(sample, max(least, int(np.ceil(share * len(sample)))), df.sparkSession))
     columns = df.columns
     places = [columns.index(c) for c in features]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {p.tobytes(): int(c) for p, c in zip(model.value.points[::-1], model.value.labels[::-1], strict=True)}
         for b in batches:
-            x = np.column_stack([b.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in places])
+            x = 0.0 + np.column_stack([b.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in places])
             whole = ~np.isnan(x).any(axis=1)
             out = np.full(len(x), -1)
-            out[whole] = model.value.label(x[whole])
+            own = np.array([known.get(p.tobytes(), -2) for p in x], dtype=np.int64)
+            out[whole] = own[whole]
+            rest = whole & (own == -2)  # rows outside a sample
+            if rest.any():
+                out[rest] = model.value.label(x[rest])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*columns, name])
 
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` int"]))
