@@ -248,3 +248,15 @@ def test_density_fits_all_rows(spark, monkeypatch):
     assert fitted == [len(x)]
     pairs = {(int(want.labels[i]), got[i]) for i in range(len(x))}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})  # the same clusters, however numbered
+
+
+def test_permuted_covariances(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_t(2.2, (6000, 1)) * np.array([1.0, 1.0]) + rng.normal(0, 0.01, (6000, 2))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(-1, None, 1.0)], "k long, a double, b double")
+    n, mean, real = models.moments(df, ["a", "b"])
+    null = models.permuted_covariances(df, "k", ["a", "b"], mean, real, 3)
+    turn = lambda c, r: df.filter("a is not null").orderBy(F.xxhash64("k", F.lit(c), F.lit(r))).toPandas()["ab"[c]].to_numpy()
+    for r, cov in enumerate(null):
+        assert np.allclose(cov, np.cov(turn(0, r), turn(1, r), ddof=0)) and abs(cov[0, 1]) < 0.2 * real[0, 1]
+    assert n == 6000 and len({c[0, 1] for c in null}) == 3

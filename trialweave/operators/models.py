@@ -127,6 +127,31 @@ def parallel_count(covariance_of, n_features: int, real: np.ndarray, repetitions
     return min(max(count, 1), most)
 
 
+def permuted_covariances(df: DataFrame, key: str, features: list[str], mean: np.ndarray, covariance: np.ndarray, repetitions: int = 100) -> list[np.ndarray]:
+    """Covariances of all complete rows with each column permuted by itself: in a repetition a column is in the order of a hash of ``key``, its number and the repetition's.
+
+    Permuting leaves means and variances alone, so only products of the reordered, centred columns are summed.
+    """
+    p = len(features)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & ~F.col(c).isin(float("inf"), float("-inf"))
+    rows = df.filter(" and ".join(f"`{c}` is not null" for c in features))
+    for c in features:
+        rows = rows.filter(finite(c))
+    columns = F.array(*[F.struct(F.lit(i).alias("c"), (F.col(c).cast("double") - float(mean[i])).alias("v")) for i, c in enumerate(features)])
+    long = rows.select(F.col(key).alias("k"), F.explode(columns).alias("x")).select("k", "x.c", "x.v").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    turn = Window.partitionBy("r", "c").orderBy(F.xxhash64("k", "c", "r"), "k", "v")
+    at = long.withColumn("at", F.row_number().over(turn)).groupBy("r", "at").agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(f"v{i}") for i in range(p)])
+    pairs = [(i, j) for i in range(p) for j in range(i)]
+    sums = at.groupBy("r").agg(F.count("*").alias("n"), *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+    out = []
+    for r in sums.orderBy("r").collect():
+        cov = np.diag(np.diag(covariance)).astype(float)
+        for i, j in pairs:
+            cov[i, j] = cov[j, i] = r[f"s{i}_{j}"] / r["n"]
+        out.append(cov)
+    return out
+
+
 def person_scatter(df: DataFrame, person: str, features: list[str]) -> pd.DataFrame:
     """Each person's rows and scatter matrix of centred features: additive, so resampled covariances are sums of these."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]

@@ -146,14 +146,10 @@ def ml06(spark, sf):
 def res07(spark, sf):
     """How many components beat permuted columns."""
     rows = scaled(spark, sf)
-    n, _, real = models.moments(rows, FEATURES)
-    sd = np.sqrt(np.diag(real))
-
-    def null(seed: int) -> np.ndarray:  # the covariance of independent columns of n rows with these spreads
-        z = np.random.default_rng(seed).normal(size=(min(n, 5000), len(sd)))
-        return np.cov(z.T * np.sqrt(1.0), ddof=0) * np.outer(sd, sd)
-
-    return spark.createDataFrame([(models.parallel_count(null, len(FEATURES), real),)], "components int")
+    _, mean, real = models.moments(rows, FEATURES)
+    null = models.permuted_covariances(rows, "window_id", FEATURES, mean, real)
+    count = models.parallel_count(null.__getitem__, len(FEATURES), real, len(null)) if null else 1
+    return spark.createDataFrame([(count,)], "components int")
 
 
 @query("RES06")
