@@ -4,7 +4,7 @@ A page is walked once as a stream of tags, with a stack of open elements.  Text
 neither ``article`` nor ``main``), without elements that aren't content by their tag or by a word of their class, id or role.  Every block's
 subtree has a hash of its source; a subtree that recurs on at least ``share`` of the pages of a host, of a layout of the host or of a section of it, and on ``least``
 of these pages, is part of that part's template and goes from its pages.  A layout is the set of a page's containers (tag and class, digits aside), a section the first folder
-of the address.  Pages of a part with the same main text count once, so copies of an article don't make it a template.
+of the address; paragraphs and headings by themselves count for the whole host only, as a common line of articles may be on half of the pages of a small part.  Pages of a part with the same main text count once, so copies of an article don't make it a template.
 
 Spark counts (host, part, subtree) pre-aggregated; the templates of a part are fewer than its blocks per page / ``share``, so they fit in a row.  They are staged and joined by
 host and part: broadcast when their file is small, else a sort-merge join whose skewed hosts Spark splits.
@@ -77,12 +77,13 @@ def _container(tag: str, attributes: str) -> str:
 class Page:
     """One walk over a page; ``templates`` are hashes of subtrees to leave out."""
 
-    __slots__ = ("containers", "main", "other", "subtrees")
+    __slots__ = ("blocks", "containers", "main", "other", "subtrees")
 
     def __init__(self, source: str, templates: frozenset[int] | set[int] = frozenset()) -> None:
         self.main: list[str] = []  # pieces inside article or main
         self.other: list[str] = []
         self.subtrees: set[int] = set()
+        self.blocks: set[int] = set()  # those that aren't a paragraph or heading
         self.containers: set[str] = set()
         # An open element: tag, where it begins, pieces so far in main and other, whether it isn't content.
         stack: list[tuple[str, int, int, int, bool]] = []
@@ -105,6 +106,8 @@ class Page:
                     if tag not in ("html", "body", "article", "main") and (len(self.main) > m + 1 or len(self.other) > o + 1):
                         h = xxhash.xxh64_intdigest(source[begin:end].encode("utf-8", "surrogatepass")) - (1 << 63)
                         self.subtrees.add(h)
+                        if tag != "p" and tag not in _HEADINGS:
+                            self.blocks.add(h)
                         if h in templates:
                             self.main[m:] = [" "]
                             self.other[o:] = [" "]
@@ -187,13 +190,15 @@ def page_text(source: str | None, templates: frozenset[int] | set[int] = frozens
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        content, layouts, subtrees = [], [], []
+        content, layouts, subtrees, blocks = [], [], [], []
         for source in b.column(2):
             page = Page(source.as_py() or "")
             content.append(xxhash.xxh64_intdigest(page.text.encode("utf-8", "surrogatepass")) - (1 << 63))
             layouts.append(page.layout)
             subtrees.append(list(page.subtrees))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(layouts, pa.int64()), pa.array(content, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], names=["host", "section", "layout", "content", "subtrees"])
+            blocks.append(list(page.blocks))
+        columns = [pa.array(layouts, pa.int64()), pa.array(content, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (subtrees, blocks)]]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["host", "section", "layout", "content", "subtrees", "blocks"])
 
 
 def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,10 +228,10 @@ _PARTS = ("host", "section", "layout")
 
 def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """host, section, html -> host, part, value, templates: hashes of the subtrees that recur on the pages of a part."""
-    walked = pages.mapInArrow(_subtrees, "host string, section string, layout long, content long, subtrees array<long>")
+    walked = pages.mapInArrow(_subtrees, "host string, section string, layout long, content long, subtrees array<long>, blocks array<long>")
     rows = staged(walked, "subtrees")
-    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.lit("").alias("value") if p == "host" else F.col(p).cast("string").alias("value")) for p in _PARTS])
-    dealt = rows.select("host", "content", "subtrees", F.explode(parts).alias("p")).select("host", "p.part", "p.value", "content", "subtrees")
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.lit("").alias("value") if p == "host" else F.col(p).cast("string").alias("value"), F.col("subtrees" if p == "host" else "blocks").alias("subtrees")) for p in _PARTS])
+    dealt = rows.select("host", "content", F.explode(parts).alias("p")).select("host", "p.*", "content")
     by = ["host", "part", "value"]
     totals = dealt.groupBy(*by).agg(F.count_distinct("content").alias("pages"))
     counts = dealt.select(*by, "content", F.explode("subtrees").alias("subtree")).groupBy(*by, "subtree").agg(F.count_distinct("content").alias("n")).filter(F.col("n") >= least)
