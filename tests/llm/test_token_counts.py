@@ -42,7 +42,7 @@ def test_replay_equals_plain_counting(spark, sf):
         for v, x in vocab.items():
             n = want.setdefault((r["source"], r["lang"], v), [0, 0])
             n[0] += 1
-            n[1] += len(x.encode(r["text"] or ""))
+            n[1] += len(x.library.encode_ordinary(r["text"] or ""))
     got = {(r[0], r[1], r[2]): [r[3], r[4]] for r in tc.replayed(docs, vocab).collect()}
     assert got == want
 
@@ -58,6 +58,39 @@ def test_query_counts_every_row(spark, sf):
         for v, x in vocab.items():
             n = want.setdefault((r["source"], r["lang"], v), [0, 0])
             n[0] += 1
-            n[1] += len(x.encode(r["text"] or ""))
+            n[1] += len(x.library.encode_ordinary(r["text"] or ""))
     got = {(r[0], r[1], r[2]): [r[3], r[4]] for r in queries.op4_token_counts(spark, sf).collect()}
     assert got == want
+
+
+def test_a_commit_during_compaction_stays(spark, tmp_path):
+    r = tc.Rollup(spark, f"file://{tmp_path}/r")
+    insert = lambda n: changes(spark, ("insert", "s", "en", "v1", n, None))
+    r.commit("a", insert(10))
+    listed = r._sum
+
+    def meanwhile(live):
+        r.commit("b", insert(5))
+        return listed(live)
+
+    r._sum = meanwhile
+    r.compact()
+    r._sum = listed
+    assert [x["n_tokens"] for x in r.totals().collect()] == [15]
+    assert not r.commit("b", insert(5)) and not r.commit("a", insert(10))
+    r.compact()
+    assert [x["n_tokens"] for x in r.totals().collect()] == [15] and not r.commit("b", insert(5))
+
+
+def test_long_runs_clashing_names_and_no_rows(spark):
+    vocab = {v: bpe.vocabulary(public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN) for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    rows = [(1, " " * 2_000_000 + "x", 1), (2, "a" * 2_000_000, 2), (3, None, 3), (3, "#" * 150_000, 3)]
+    docs = spark.createDataFrame(rows, "t long, text string, Byte_BPE_50k long")
+    got = tc.counted(docs, vocab)
+    assert got.columns == ["t", *vocab]
+    for r, (_, text, _) in zip(sorted(got.collect(), key=lambda r: (r["t"], r["byte_bpe_50k"])), rows, strict=True):
+        for name, v in vocab.items():
+            want = len(v.library.encode_ordinary(text or "")) if len(text or "") < 200_000 else sum(len(v.encode(w.encode())) for p in bpe._pieces(v, text) for w in p)
+            assert r[name] == want
+    none = spark.createDataFrame([], "doc_id long, source string, lang string, text string")
+    assert tc.replayed(none, vocab).count() == 0

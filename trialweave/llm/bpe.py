@@ -9,7 +9,8 @@ by bucket and number, and reassembles every text by position.  Decoding joins th
 A word that a third of all texts hold is one entry a chunk.  A bucket holds one entry for each chunk and distinct word; the number of
 buckets follows the shuffle partitions.  Chunks hold ``chunk_chars`` characters or one longer text.
 
-Defined cases: null and empty texts have no tokens; repeated rows and null ids are rows as any other; an empty table gives an empty result.
+Defined cases: null and empty texts have no tokens; a text of any length is one row of one chunk, and a run of any length one pre-token; ids may be of any type;
+repeated rows and null ids are rows as any other (ties don't arise); an empty table gives an empty result; columns beside id and text aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 8_000_000
+#: From so many characters on a text is split piece by piece; the ids are the same.
+LONG_TEXT = 100_000
 _PACKED = "part long, chunk long, bucket int, words binary, rows binary, counts binary"
 
 
@@ -60,11 +63,20 @@ class Vocabulary:
         return self._once("regex", lambda: regex.compile(self.pattern))
 
     @property
-    def encode(self):
-        """Ids of one pre-token."""
+    def library(self):
         import tiktoken
 
-        return self._once("encode", lambda: tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary)
+        return self._once("library", lambda: tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={}))
+
+    def encode(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token; the pattern isn't run again, so a piece may be of any length."""
+        return self.library._encode_single_piece(piece) if piece else []
+
+    def count(self, text: str) -> int:
+        """How many tokens a text has.  The library's own pattern takes stack for every character of a run, so long texts are split here."""
+        if len(text) < LONG_TEXT:
+            return len(self.library.encode_ordinary(text))
+        return sum(len(self.encode(w.encode("utf-8", "surrogatepass"))) for part in _pieces(self, text) for w in part)
 
     @property
     def table(self) -> pa.Array:
@@ -190,7 +202,7 @@ def _encode(vocab):
                     w = bytes(data[lo:hi])
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = encode(w.decode("utf-8", "surrogatepass"))
+                        ids = known[w] = encode(w)
                     found.append(ids)
                     lo = hi
                 chunks.append(chunk)

@@ -8,13 +8,16 @@ A commit is one rename of a written folder to ``batch=<name>``.  A batch whose f
 or restarted commit changes nothing; what a lost job left behind isn't under such a name and is never read.  :meth:`Rollup.compact` folds batches into
 one, which keeps their names.
 
-Defined cases: null keys are keys of their own; null counts are 0; an unknown op is an error; empty batches commit as empty;
-a total whose documents and tokens are both 0 isn't shown.
+Defined cases: null keys are keys of their own; null counts are 0; an unknown op is an error; empty batches commit as empty, an empty table has no totals;
+a total whose documents and tokens are both 0 isn't shown; a null or empty text is a document of no tokens; texts of any length are counted whole.
+In the replay the copy with the smallest id stays; a null id is no copy of anything and rows of one id (ties) aren't copies of each other, so neither is deleted.
+:func:`counted` keeps other columns and replaces those named as a tokenizer, in any case of letters.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,20 +58,19 @@ class Rollup:
     def _name(batch: str) -> str:
         return "batch=" + base64.urlsafe_b64encode(batch.encode()).decode().rstrip("=")
 
+    def _names(self, base: str) -> set[str]:
+        """The batches in a base."""
+        return {r["name"] for r in self.spark.read.parquet(f"{self.path}/{base}/names").collect()}
+
     def _folders(self) -> list[str]:
         if not self._fs.exists(self._at("")):
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at("")) if s.getPath().getName().startswith(("batch=", "base=")))
 
-    def committed(self) -> set[str]:
+    def committed(self, live: list[str] | None = None) -> set[str]:
         """Names of all batches, those in a base too."""
-        out: set[str] = set()
-        for f in self._live():
-            if f.startswith("batch="):
-                out.add(f)
-            else:
-                out |= {r["name"] for r in self.spark.read.parquet(f"{self.path}/{f}/names").collect()}
-        return out
+        live = self._live() if live is None else live
+        return {f for f in live if f.startswith("batch=")}.union(*[self._names(f) for f in live if f.startswith("base=")])
 
     def _live(self) -> list[str]:
         """The newest base, and the batches that aren't in it."""
@@ -77,7 +79,7 @@ class Rollup:
         batches = [f for f in folders if f.startswith("batch=")]
         if not bases:
             return batches
-        names = {r["name"] for r in self.spark.read.parquet(f"{self.path}/{bases[-1]}/names").collect()}
+        names = self._names(bases[-1])
         return [bases[-1], *[b for b in batches if b not in names]]
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
@@ -85,41 +87,47 @@ class Rollup:
         name = self._name(batch)
         if name in self.committed():
             return False
-        draft = f"_draft-{name}"
+        draft = f"_draft-{name}-{uuid.uuid4().hex}"  # two writers of one batch don't share it
         deltas(changes).write.mode("overwrite").parquet(f"{self.path}/{draft}")
-        if not self._fs.rename(self._at(draft), self._at(name)):
+        if self._fs.exists(self._at(name)) or not self._fs.rename(self._at(draft), self._at(name)):
+            self._fs.delete(self._at(draft), True)
+            if name in self.committed():
+                return False  # another writer was first
             raise OSError(f"batch {batch} couldn't be committed")
         return True
 
     def compact(self) -> None:
-        """One folder for all that is committed."""
-        live = self._live()
-        number = 1 + max((int(f[5:]) for f in self._folders() if f.startswith("base=")), default=0)
-        draft = f"_draft-base-{number}"
-        self.totals(keep_zero=True).write.mode("overwrite").parquet(f"{self.path}/{draft}/totals")
-        names = sorted(self.committed())
+        """One folder for all that is committed: totals and names are of one listing, so a batch that comes in meanwhile stays a batch."""
+        live, folders = self._live(), self._folders()
+        number = 1 + max((int(f[5:]) for f in folders if f.startswith("base=")), default=0)
+        draft = f"_draft-base-{number}-{uuid.uuid4().hex}"
+        self._sum(live).write.mode("overwrite").parquet(f"{self.path}/{draft}/totals")
+        names = sorted(self.committed(live))
         self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{draft}/names")
-        if not self._fs.rename(self._at(draft), self._at(f"base={number}")):
+        if self._fs.exists(self._at(f"base={number}")) or not self._fs.rename(self._at(draft), self._at(f"base={number}")):
+            self._fs.delete(self._at(draft), True)
             raise OSError("the base couldn't be committed")
         for f in live:
             self._fs.delete(self._at(f), True)
 
-    def totals(self, keep_zero: bool = False) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens."""
-        paths = [f"{self.path}/{f}" + "/totals" * f.startswith("base=") for f in self._live()]
+    def _sum(self, live: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{f}" + "/totals" * f.startswith("base=") for f in live]
         if not paths:
             return self.spark.createDataFrame([], _TOTALS)
         rows = self.spark.read.schema(_TOTALS).parquet(*paths)
-        out = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return out if keep_zero else out.filter("n_docs <> 0 or n_tokens <> 0")
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens."""
+        return self._sum(self._live()).filter("n_docs <> 0 or n_tokens <> 0")
 
 
 def _counter(vocabularies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = [v.encode for v in vocabularies.value]
+        counters = [v.count for v in vocabularies.value]
         for b in batches:
             texts = [t.as_py() or "" for t in b.column(b.num_columns - 1)]
-            counts = [pa.array([len(encode(t)) for t in texts], pa.int64()) for encode in encoders]
+            counts = [pa.array([count(t) for t in texts], pa.int64()) for count in counters]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *counts], names=[*b.schema.names[:-1], *[f"n{i}" for i in range(len(counts))]])
 
     return run
@@ -127,11 +135,13 @@ def _counter(vocabularies):
 
 def counted(docs: DataFrame, vocabularies: dict[str, Vocabulary], text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with a count of tokens in a column for each tokenizer version."""
-    rest = [c for c in docs.columns if c not in (text_col, *vocabularies)]
+    taken = {c.lower() for c in (text_col, *vocabularies)}
+    rest = [c for c in docs.columns if c.lower() not in taken]
     shared = docs.sparkSession.sparkContext.broadcast(list(vocabularies.values()))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    out = docs.select(*rest, F.col(text_col).cast("string").alias("__text")).mapInArrow(_counter(shared), fields + "".join(f", n{i} long" for i in range(len(vocabularies))))
-    return out.withColumnsRenamed({f"n{i}": v for i, v in enumerate(vocabularies)})
+    fields = "".join(f"c{k} {docs.schema[c].dataType.simpleString()}, " for k, c in enumerate(rest))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.col(text_col).cast("string").alias("t"))
+    out = rows.mapInArrow(_counter(shared), fields + ", ".join(f"n{i} long" for i in range(len(vocabularies))))
+    return out.toDF(*rest, *vocabularies)
 
 
 def replayed(docs: DataFrame, vocabularies: dict[str, Vocabulary], path: str | None = None, *, restore: bool = False) -> DataFrame:
@@ -139,8 +149,6 @@ def replayed(docs: DataFrame, vocabularies: dict[str, Vocabulary], path: str | N
     the second commit is a repetition), later versions are inserted, copies of a text are deleted; with ``restore`` they are inserted again, so the totals
     are of all rows.  Returns the totals."""
     spark = docs.sparkSession
-    import uuid
-
     rollup = Rollup(spark, path or f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     text = F.col("text")
     slim = docs.select("doc_id", "source", "lang", words_counted(text).alias("estimate"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("copy"), text).alias("h2"), "text")
