@@ -60,3 +60,33 @@ def test_sketches_merge_to_the_same_quantiles(spark):
     for q, at in ((25, "q25"), (75, "q75")):
         true = exact[-(-5000 * q // 100) - 1]
         assert true * (1 - 1 / 32) <= whole[at] <= true
+
+
+def test_names_that_clash(spark):
+    """Columns of a caller named as results, in another case of letters, or as working columns."""
+    line = "a line that is certainly long enough to count here"
+    columns = ["doc_id", "text", "lang", "source", "N_Words", "KEPT", "__row", "__l", "__w", "c0", "c1", "a b.c", "__keep", "n_Lines"]
+    schema = ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in columns)
+    rows = [(i, line, "en", "s", *[f"mine {c} {i}" for c in columns[4:]]) for i in range(6)]
+    df = spark.createDataFrame(rows, schema)
+    out = line_dedup.line_dedup(df)
+    assert set(out.columns) == {c for c in columns if c != "n_Lines"} | {"n_lines", "n_dropped"}
+    for r in out.collect():
+        assert all(r[c] == f"mine {c} {r['doc_id']}" for c in columns[4:-1])
+        assert r["text"] == (line if r["doc_id"] == 5 else "")
+    out = quality_rules.quality_rules(df)
+    assert {c for c in columns if c.lower() not in ("n_words", "kept", "n_lines")} < set(out.columns)
+    for r in out.collect():
+        assert all(r[c] == f"mine {c} {r['doc_id']}" for c in ("__row", "__l", "__w", "c0", "c1", "a b.c"))
+        assert r["n_words"] == 10 and r["base_failed"] and not r["kept"]
+
+
+def test_ids_of_any_type_and_a_very_long_text(spark):
+    line = "a line that is certainly long enough to count here"
+    long = "\n".join(f"{line} {i}" for i in range(100_000))
+    rows = [(f"d{i}", line) for i in range(4)] + [("e", long + "\n" + line)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(df).collect()}
+    assert out["e"]["n_lines"] == 100_001 and out["e"]["n_dropped"] == 0 and out["d3"]["text"] == ""
+    measured = {r["doc_id"]: r for r in quality_rules.quality_rules(df.selectExpr("*", "'en' lang", "null source")).collect()}
+    assert measured["e"]["n_words"] == 1_100_010 and measured["e"]["n_dup_lines"] == 0

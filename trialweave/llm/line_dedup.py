@@ -10,9 +10,9 @@ pre-aggregated by (hash, id), so a line that a third of all documents hold leave
 a document and is then summed by task) and again to meet the frequent hashes, which are staged: Spark broadcasts
 a small table of them, else it splits skewed partitions of the join.  Positions to drop go back to their document; texts move once.
 
-Defined cases: null or empty text is one empty line; rows of the same id count as one document, each row
-is edited by its own text; null ids count together as one document, below every other; an empty table
-gives an empty result; input columns of the result's names are replaced.
+Defined cases: null or empty text is one empty line; rows of the same id count as one document (ties of the largest id keep all its lines), each row
+is edited by its own text; null ids count together as one document, below every other; ids may be of any type with an order; a text of any length is one
+row, split where it is; an empty table gives an empty result; input columns of the result's names, in any case of letters, are replaced, all others stay as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.text import ascii_lower, let, strip, whole
+from trialweave.llm.text import ascii_lower, let, numbered, strip, whole
 from trialweave.plans.staging import staged
 
 
@@ -41,9 +41,10 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with its edited text, ``n_lines`` (before dropping) and ``n_dropped``."""
-    lines = line_hashes(docs, id_col, text_col, min_chars)
+    rows, (doc, text), names = numbered(docs, ("n_lines", "n_dropped"), id_col, text_col)
+    # Lines are split and hashed once.  The frequent ones are written too: a small table is broadcast, and a large one is an exchange of its own, so that Spark can split a hot line's rows.
+    lines = staged(line_hashes(rows, doc, text, min_chars), "line-hashes")
     one = F.struct("__id")  # a null id counts too
-    # Written first: a small table is broadcast, and a large one is an exchange of its own, so that Spark can split a hot line's rows.
     frequent = staged(
         lines.groupBy("__h1", "__h2")
         .agg(F.count_distinct(one).alias("__docs"), F.max(one).alias("__keep"))
@@ -57,22 +58,20 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .groupBy(F.col("__id").alias("__did"), F.col("__row").alias("__drow"))
         .agg(F.collect_set("__pos").alias("__drops"))
     )
-    text = F.col(text_col)
     rest = let(
-        _lines(text),
+        _lines(F.col(text)),
         lambda lines: F.array_join(
             F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drops")), lambda i: F.get(lines, i)), "\n"
         ),
     )
-    joined = docs.withColumn("__row", F.xxhash64(text_col)).join(
-        drops, F.col(id_col).eqNullSafe(F.col("__did")) & (F.col("__row") == F.col("__drow")), "left"
-    )
+    joined = rows.withColumn("__row", F.xxhash64(text)).join(drops, F.col(doc).eqNullSafe(F.col("__did")) & (F.col("__row") == F.col("__drow")), "left")
+    full = whole(F.col(text))
     return joined.select(
-        *[F.col(c) for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")],
-        F.when(F.col("__drops").isNull(), whole(text)).otherwise(rest).alias(text_col),
-        (F.char_length(whole(text)) - F.char_length(F.replace(whole(text), F.lit("\n"))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+        *[F.col(c) for c in names if c != text],
+        F.when(F.col("__drops").isNull(), full).otherwise(rest),
+        (F.char_length(full) - F.char_length(F.replace(full, F.lit("\n"))) + 1).cast("long"),
+        F.coalesce(F.size("__drops"), F.lit(0)).cast("long"),
+    ).toDF(*[n for c, n in names.items() if c != text], text_col, "n_lines", "n_dropped")
 
 
 def digest(edited: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ those that fail the base rules (fewer than ``min_words`` words, or over half of
 Everything runs in DataFrame functions.  The measures are computed once and staged; sketches hold at most a few
 hundred buckets for each group and measure, pre-aggregated before the shuffle, so a hot source is a few hundred rows a task.
 
-Defined cases: a null or empty text has no words and fails; null languages and sources are groups of their own;
-repeated rows each count; an empty table gives an empty result; input columns named as results are replaced.
+Defined cases: a null or empty text has no words and fails; null languages and sources are groups of their own; a text of any length is measured whole, in its row;
+repeated rows each count; a value at a fence (a tie) is inside; an empty table gives an empty result; ids aren't looked at; input columns named as results, in any case of letters,
+are replaced, all others stay as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.llm.text import SPACE_CLASS, let, whole
+from trialweave.llm.text import SPACE_CLASS, let, numbered, whole
 from trialweave.plans.staging import staged
 
 #: Measure, its whole-number value, the least spread of its fences, whether it has a lower fence.
@@ -36,6 +37,10 @@ FENCE = 3
 MIN_GROUP = 100
 
 
+#: Columns of :func:`measured`.
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
 
@@ -65,14 +70,13 @@ def _repeat_words(ws: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (those with a word)."""
+    """``docs``, whose columns bear none of these names, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (those with a word)."""
     text = whole(F.col(text_col))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     counted = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r")))
     ls = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
     first = docs.select(
-        *[c for c in docs.columns if c not in made],
+        *docs.columns,
         counted.alias("__w"),
         ls.alias("__l"),
         F.char_length(F.regexp_replace(text, SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
@@ -135,10 +139,10 @@ def quality_rules(
     min_words: int = 50, fence: int = FENCE, min_group: int = MIN_GROUP,
 ) -> DataFrame:
     """``docs`` with its measures, ``base_failed`` and ``kept``; without its text if ``carry_text`` is false."""
-    keys = list(keys)
-    made = {*MEASURES, "base_failed", "kept"}
-    rows = measured(docs.select(*[c for c in docs.columns if c not in made]), text_col)
-    rows = staged(rows if carry_text else rows.drop(text_col), "quality")
+    made = (*MEASURED, "base_failed", "kept")
+    numbers, (text, *keys), names = numbered(docs, made, text_col, *keys)
+    rows = measured(numbers, text)
+    rows = staged(rows if carry_text else rows.drop(text), "quality")
     valued = rows.withColumns({f"__v_{m}": F.expr(e) for m, (e, _, _) in MEASURES.items()})
     sketch = staged(sketches(valued.select(*keys, *[F.col(f"__v_{m}").alias(m) for m in MEASURES]), keys, list(MEASURES)), "sketch")
     limits = fences(sketch, keys, fence, min_group)
@@ -151,7 +155,9 @@ def quality_rules(
         if lower:
             inside &= F.col(f"__v_{m}") >= F.col(f"__{m}_lo")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return valued.join(limits, on, "left").select(*rows.columns, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(True))).alias("kept"))
+    carried = [c for c in names if c in rows.columns]
+    out = valued.join(limits, on, "left").select(*carried, *MEASURED, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(True))).alias("kept"))
+    return out.toDF(*[names[c] for c in carried], *made)
 
 
 def digest(rules: DataFrame) -> DataFrame:
