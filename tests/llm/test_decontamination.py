@@ -11,7 +11,7 @@ def brute(docs, items, threshold=dc.THRESHOLD, overlap=dc.OVERLAP):
         for t in set(w):
             df[t] = df.get(t, 0) + 1
     n, mean = len(split), sum(map(len, split.values())) / len(split)
-    width = max(64, 2 * max(len(w) for w in split.values() if len(w) >= dc.MIN_WORDS))
+    width = max(64, 2 * max(map(len, split.values())))
     out = set()
     for d, text in docs:
         words = dc.text_words(text or "").tolist()
@@ -19,12 +19,16 @@ def brute(docs, items, threshold=dc.THRESHOLD, overlap=dc.OVERLAP):
             part = words[lo : lo + width]
             grams = {tuple(part[k : k + 3]) for k in range(len(part) - 2)}
             for i, t in items:
-                if not t or len(split[i]) < dc.MIN_WORDS:
+                if not t or not split[i]:
                     continue
                 w = split[i]
                 weight = {x: np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in set(w)}
                 if sum(v for x, v in weight.items() if x in set(part)) < threshold * sum(weight.values()):
                     continue
+                if len(w) < dc.SHORT_WORDS:
+                    if any(part[k : k + len(w)] == w for k in range(len(part))):
+                        out.add((d, i))
+                    continue
                 shares = []
                 for p in dc.parts(t):
                     p = dc.text_words(p).tolist()
@@ -42,8 +46,9 @@ def test_documents_equal_brute_force(spark, sf):
     want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], rows)
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
     assert len(got) == len(want) > 0
-    sharded = dc.contaminated(docs, items, shard_bytes=2000).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in sharded} >= want
+    for shard_bytes in (1000, 4000):
+        sharded = dc.contaminated(docs, items, shard_bytes=shard_bytes).collect()
+        assert sorted(map(tuple, sharded)) == sorted(map(tuple, got))
     kept = dc.decontaminate(docs, items)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()} - {d for d, _ in want}
@@ -60,15 +65,19 @@ def test_wand_equals_scoring_all():
         terms = np.unique(rng.integers(0, len(index.terms), 20))
         full = {}
         for t in terms.tolist():
-            for k, x in zip(index.items[t].tolist(), index.impacts[t].tolist(), strict=True):
+            span = slice(index.start[index.lists[t]], index.start[index.lists[t + 1]])
+            for k, x in zip(index.item[span].tolist(), index.impact[span].tolist(), strict=True):
                 full[k] = full.get(k, 0) + x
-        got = {k: s for b in range(index.most.shape[1]) for k, s in index.wand(terms, b, 0.3)}
+        live = [b for _, b in index.live(terms, np.array([0, len(terms)]), 0.3)]
+        got = dict(index.wand(terms, live[0], 0.3)) if live else {}
+        # Skipped blocks hold nothing: cursors that stop at every block find the same.
+        assert got == dict(index.wand(terms, np.arange(index.n_blocks), 0.3))
         assert set(got) == {k for k, s in full.items() if s >= 0.3}
 
 
 def test_odd_rows(spark):
     item = "Which river runs through the old town of the northern valley? It is the long Alder river."
-    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "short one"), (1, item)], "item_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "..."), (1, item)], "item_id long, text string")
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 300 + item.upper() + " y" * 300), (3, item), (None, item), (5, "which river runs through the old town")], "doc_id long, text string")
     assert {(r[0], r[1]) for r in dc.contaminated(docs, items).collect()} == {(3, 1), (None, 1)}
     assert dc.decontaminate(docs, items).count() == 3
@@ -77,3 +86,33 @@ def test_odd_rows(spark):
     assert {(r[0], r[1]) for r in dc.contaminated(around, items).collect()} == {(2, 1)}
     assert sorted(r[0] for r in dc.decontaminate(around, items).collect()) == [1, 3, 4, 5, 6]
     assert dc.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_short_items_stand_in_a_row(spark):
+    items = [(1, "Blue whale"), (2, "why"), (3, "one two three four five six seven"), (4, "Which river runs through the old town of the northern valley? The long Alder river.")]
+    rows = [(1, "a blue, WHALE was here"), (2, "whale blue"), (3, "why not blue or whale"), (4, "x one two three four five six seven"), (5, "one two three four six five seven " * 40)]
+    got = {(r[0], r[1]) for r in dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(rows, items) == {(1, 1), (3, 2), (4, 3)}
+
+
+def test_ids_of_any_type_names_and_a_very_long_text(spark):
+    item = "Which river runs through the old town of the northern valley? It is the long Alder river."
+    items = spark.createDataFrame([("q1", item)], "item_id string, text string")
+    filler = "some other words of no test " * 100_000
+    docs = spark.createDataFrame([("d1", filler + item + " " + filler, 1, 2), ("d2", filler, 3, 4), ("d3", "W" * 1_000_000, 5, 6)], "doc_id string, text string, ID int, item_id int")
+    got = dc.contaminated(docs, items).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [("d1", "q1")]
+    kept = dc.decontaminate(docs, items)
+    assert kept.columns == docs.columns and sorted((r[0], r[2], r[3]) for r in kept.collect()) == [("d2", 3, 4), ("d3", 5, 6)]
+
+
+def test_memory_follows_the_postings():
+    rng = np.random.default_rng(0)
+    items = [(i, " ".join(f"w{x}" for x in rng.zipf(1.2, 30) % 100_000)) for i in range(2000)]
+    df = {}
+    for _, t in items:
+        for w in set(dc.text_words(t).tolist()):
+            df[w] = df.get(w, 0) + 1
+    index = dc.Index(items, df, len(items), 30.0)
+    arrays = sum(x.nbytes for x in (index.terms, index.item, index.impact, index.start, index.block, index.most, index.lists))
+    assert arrays <= 48 * len(index.item)
