@@ -49,3 +49,21 @@ def test_stages_return_the_columns_of_documents(spark, sf):
             assert out.columns == docs.columns
             out.count()
     assert line_dedup.ORACLE
+
+
+def test_extra_columns_and_very_long_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    columns = ["doc_id", "text", "lang", "source", "n_chars", "Kept", "n_words", "DOC_ID2", "__row", "copy", "component_id", "c0"]
+    schema = ", ".join(f"`{c}` {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in columns)
+    prose = " ".join(f"{a}{b}" for a in ("one", "two", "three", "four", "five") for b in ("al", "en", "or", "is", "um", "ta", "ro", "li", "ve", "ne", "so"))
+    texts = [prose, prose + " " * 2_000_000 + "end", "\n".join(f"{prose} {i}" for i in range(20_000)), "#" * 2_000_000, prose + " " + "a" * 2_000_000, None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *[f"mine {c}" for c in columns[5:]]) for i, t in enumerate(texts)], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.columns == columns
+        assert all(r[c] == f"mine {c}" for r in docs.collect() for c in columns[5:])
+    out = {r["doc_id"]: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()}
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(out) == set(rows) and rows
+    for d, t in rows.items():
+        assert out[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
