@@ -1,3 +1,9 @@
+import random
+import re
+import time
+
+import pytest
+
 from trialweave.llm.html_text import extract, page_text
 
 
@@ -32,7 +38,6 @@ def test_templates(spark):
 def test_pages_equal_plain_reading(spark, sf):
     """The pages of the test tables: article, h1 and p only."""
     import html
-    import re
 
     for r in extract(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]
@@ -53,3 +58,52 @@ def test_templates_of_layouts_and_sections(spark):
     want += [(200 + i, f"{'a common line' if i % 3 == 0 else f'line {i}'} own text {i}") for i in range(30)]
     got = [(r["page_id"], r["text"]) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("around", ["<article><div>{}</div></article>", "<main><div>{}</div></main>", "<div id='page'>{}</div>"])
+def test_templates_decide(spark, around):
+    """Notices, share bars, author boxes and teasers that neither tag nor class tells from the text: they go where a plain count of (host, block) finds them on half of the pages, and stay elsewhere."""
+    rng = random.Random(len(around))
+    blocks = {
+        h: [
+            f"<div><p>Readers of {h} get this <b>every</b> day.</p></div>",
+            f"<div><h2>Tell others</h2><ul><li><a href='/s?p=PAGE'>mail</a><li>print {h}</ul></div>",
+            f"<div><div><p>Written by the desk of {h}</p><p>More of the desk</p></div></div>",
+            f"<div><p>A teaser of {h}</p></div>",
+        ]
+        for h in ("a.org", "b.org", "c.org")
+    }
+    chance = {"a.org": (1, 0.8, 0.7, 0.2), "b.org": (0.9, 0.1, 1, 0.15), "c.org": (0, 1, 0.1, 0.75)}
+    plain = lambda x: " ".join(re.sub("<[^>]*>", lambda m: "" if m[0] in ("<b>", "</b>", "</a>") or m[0].startswith("<a ") else " ", x).split())
+    pages, count = [], {}
+    for h, kinds in blocks.items():
+        for i in range(40):
+            parts = [f"<p>own text {i} of {h}, first</p>", f"<p>and second {rng.randrange(10**6)}</p>"]
+            held = [k for k in range(4) if rng.random() < chance[h][k]]
+            for k in held:
+                count[h, k] = count.get((h, k), 0) + 1
+                parts.insert(rng.randrange(len(parts) + 1), (k, kinds[k].replace("PAGE", str(i))))
+            pages.append((h, i, parts))
+    rows, want = [], []
+    for n, (h, i, parts) in enumerate(pages):
+        rows.append((f"p{n}", f"https://{h}/{i}", f"<html><body>{around.format(''.join(x if isinstance(x, str) else x[1] for x in parts))}</body></html>", "mine"))
+        want.append((f"p{n}", " ".join(plain(x if isinstance(x, str) else x[1]) for x in parts if isinstance(x, str) or count[h, x[0]] < 20)))
+    got = [(r["page_id"], r["text"]) for r in extract(spark.createDataFrame(rows, "page_id string, url string, html string, TEXT string")).collect()]
+    assert sorted(got) == sorted(want)
+    assert sum(t != page_text(r[2]) for (_, t), r in zip(want, rows, strict=True)) > 60
+
+
+def test_words_of_classes():
+    """Within the article only words that name another part; around it also weaker ones."""
+    assert page_text("<article><p>a</p><div class='related-work'><p>b</p></div><div id='search'>c</div><div class='ad'>d</div><div class='comments'>e</div></article>") == "a b c"
+    assert page_text("<body><p>a</p><div class='related'><p>b</p></div></body>") == "a"
+
+
+def test_deep_and_long_pages():
+    took = []
+    for n in (5_000, 20_000):
+        began = time.perf_counter()
+        assert page_text("<div>" * n + "x" + "</div>" * n) == "x"
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.5
+    assert page_text("<article>" + "<p>word</p>" * 100_000 + "</article>") == " ".join(["word"] * 100_000)

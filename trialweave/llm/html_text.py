@@ -1,16 +1,17 @@
 """Main text of web pages, with site templates found by hashing element subtrees and counting them per host.
 
 A page is walked once as a stream of tags, with a stack of open elements.  Text of the article counts (of the whole body where a page has
-neither ``article`` nor ``main``), without elements that aren't content by their tag or by a word of their class, id or role.  Every block's
-subtree has a hash of its source; a subtree that recurs on at least ``share`` of the pages of a host, of a layout of the host or of a section of it, and on ``least``
+neither ``article`` nor ``main``), without elements that aren't content by their tag or by a word of their class, id or role that names a part of another kind.  Every block's
+subtree has a hash of its tag, classes, text and its children's hashes, bottom up, so a walk is linear in the page whatever the nesting; a subtree that recurs on at least ``share`` of the pages of a host, of a layout of the host or of a section of it, and on ``least``
 of these pages, is part of that part's template and goes from its pages.  A layout is the set of a page's containers (tag and class, digits aside), a section the first folder
 of the address; paragraphs and headings by themselves count for the whole host only, as a common line of articles may be on half of the pages of a small part.  Pages of a part with the same main text count once, so copies of an article don't make it a template.
 
 Spark counts (host, part, subtree) pre-aggregated; the templates of a part are fewer than its blocks per page / ``share``, so they fit in a row.  They are staged and joined by
 host and part: broadcast when their file is small, else a sort-merge join whose skewed hosts Spark splits.
 
-Defined cases: null or empty html, or a page without text, gives an empty text; a null or odd url has the host ''; an unclosed element ends
-with its parent or the page; repeated rows count as one page; an empty table gives an empty result.
+Defined cases: null or empty html, or a page without text, gives an empty text; html of any length is one row, walked whole; a null or odd url has the host ''; an unclosed element ends
+with its parent or the page; repeated rows count as one page; a subtree on exactly ``share`` of the pages (a tie) is a template; ids may be of any type and null; an empty table gives an
+empty result; columns beside id, url and html aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -41,9 +42,14 @@ _INLINE = {
 #: Elements of running text, which don't tell layouts apart.
 _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", *_INLINE}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Words of a class, id or role that name a part which isn't the article: menus, sidebars, notices, adverts, forms, reader comments, wherever it stands.
 _NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|nav\w*|menu\w*|breadcrumbs?|pagination|pager|cookies?|consent|gdpr|notice|notices|popup|modal|overlay|"
-    r"comments?|commentlist|discussion|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|toolbar|masthead|site-?header|site-?footer|footer|copyright|widget)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar|nav|navbar|navigation|menu\w*|breadcrumbs?|pagination|cookies?|consent|gdpr|notice|notices|"
+    r"comments?|commentlist|respond|disqus|newsletter|subscribe|signup|site-?header|site-?footer)(?:$|[\s_-])"
+)
+#: Words that only say so around the article; within it such a block stays unless it is part of a template.
+_AROUND = re.compile(
+    r"(?:^|[\s_-])(?:banner|side|nav\w*|pager|popup|modal|overlay|discussion|share|sharing|social|related|recommended|login|search|toolbar|masthead|footer|copyright|widget)(?:$|[\s_-])"
 )
 _CLASS = re.compile(r"""(?<![\w-])class\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
@@ -53,7 +59,7 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul", *_HEADINGS}
 
 
-def _not_content(tag: str, attributes: str) -> bool:
+def _not_content(tag: str, attributes: str, inside: int) -> bool:
     if tag in _NEVER:
         return True
     if not attributes:
@@ -62,7 +68,9 @@ def _not_content(tag: str, attributes: str) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return True
-        if (name == "role" and value in _ROLES) or (name in ("class", "id") and tag not in ("html", "body", "article", "main") and _NOT_CONTENT.search(value)):
+        if name == "role" and value in _ROLES:
+            return True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and (_NOT_CONTENT.search(value) or (not inside and _AROUND.search(value))):
             return True
         if name == "class" and tag == "article" and "comment" in value:
             return True
@@ -85,16 +93,18 @@ class Page:
         self.subtrees: set[int] = set()
         self.blocks: set[int] = set()  # those that aren't a paragraph or heading
         self.containers: set[str] = set()
-        # An open element: tag, where it begins, pieces so far in main and other, whether it isn't content.
-        stack: list[tuple[str, int, int, int, bool]] = []
+        # An open element: tag, its hash so far, pieces so far in main and other, whether it isn't content.
+        stack: list[tuple[str, xxhash.xxh64, int, int, bool]] = []
         dropped = inside = headers = 0
         at = 0
         found = None
 
-        def shut(n: int, end: int) -> None:
+        def shut(n: int) -> None:
             nonlocal dropped, inside, headers
             while len(stack) > n:
-                tag, begin, m, o, bad = stack.pop()
+                tag, hashed, m, o, bad = stack.pop()
+                if stack and not bad:
+                    stack[-1][1].update(b"\x02" + hashed.digest())
                 dropped -= bad
                 inside -= tag in ("article", "main")
                 headers -= tag == "header"
@@ -104,7 +114,7 @@ class Page:
                     self.main.append(" ")
                     self.other.append(" ")
                     if tag not in ("html", "body", "article", "main") and (len(self.main) > m + 1 or len(self.other) > o + 1):
-                        h = xxhash.xxh64_intdigest(source[begin:end].encode("utf-8", "surrogatepass")) - (1 << 63)
+                        h = hashed.intdigest() - (1 << 63)
                         self.subtrees.add(h)
                         if tag != "p" and tag not in _HEADINGS:
                             self.blocks.add(h)
@@ -122,6 +132,8 @@ class Page:
                 if "&" in piece:
                     piece = entities.unescape(piece)
                 (self.main if inside else self.other).append(piece)
+                if stack and (plain := " ".join(piece.split())):
+                    stack[-1][1].update(b"\x01" + plain.encode("utf-8", "surrogatepass"))
 
         while found := _TOKEN.search(source, at):
             text(at, found.start())
@@ -134,7 +146,7 @@ class Page:
             if found[1] or found[4]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
-                        shut(k, at)
+                        shut(k)
                         break
                 else:
                     if tag == "p":
@@ -152,26 +164,27 @@ class Page:
                 ends = {"p"} if tag in _CLOSES_P else _ENDS[tag]
                 for k in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
                     if stack[k][0] in ends:
-                        shut(k, found.start())
+                        shut(k)
                         break
                     if stack[k][0] not in _INLINE and stack[k][0] not in ("p",):
                         break
-            bad = _not_content(tag, attributes)
+            bad = _not_content(tag, attributes, inside)
             if tag in ("article", "main", "body") and not bad:
                 # an unclosed menu or notice before the article doesn't swallow it
                 first = next((k for k, s in enumerate(stack) if s[4]), None)
                 if first is not None and stack[first][0] in ("head", "nav", "header", "aside", "footer", "form"):
-                    shut(first, found.start())
+                    shut(first)
             if tag in _VOID or attributes.endswith("/") and tag not in ("p", "div", "span", "a"):
                 continue
+            kind = _container(tag, attributes)
             if tag not in _PROSE:
-                self.containers.add(_container(tag, attributes))
-            stack.append((tag, found.start(), len(self.main), len(self.other), bad))
+                self.containers.add(kind)
+            stack.append((tag, xxhash.xxh64(kind.encode("utf-8", "surrogatepass")), len(self.main), len(self.other), bad))
             dropped += bad
             inside += tag in ("article", "main")
             headers += tag == "header"
         text(at, len(source))
-        shut(0, len(source))
+        shut(0)
 
     @property
     def text(self) -> str:
