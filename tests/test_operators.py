@@ -135,7 +135,7 @@ def test_models(spark):
     load, share = models.components(np.diag([4.0, 1.0, 0.1]))
     assert load.shape == (3, 1) or load.shape == (3, 2)
     assert models.silhouette(x, np.repeat([0, 1], 150)) > 0.7
-    load, noise = models.factor_analysis(rng.normal(size=(2000, 1)) @ np.array([[1.0, 2.0, 3.0]]) + rng.normal(size=(2000, 3)), 1)
+    load, noise = models.factor_analysis(np.cov((rng.normal(size=(2000, 1)) @ np.array([[1.0, 2.0, 3.0]]) + rng.normal(size=(2000, 3))).T, ddof=0), 1)
     assert np.allclose(np.abs(load[:, 0]), [1, 2, 3], atol=0.3) and np.allclose(noise, 1, atol=0.3)
 
 
@@ -145,9 +145,76 @@ def test_statistics(spark):
     assert st.one_way_icc(df, "g", "x").first()["icc"] == 1.0
     assert st.spearman_brown(F.lit(0.25), F.lit(7)) is not None
     assert resampling.permutation_p(1.0, np.array([0.0, 2.0, 0.5])) == 0.5
-    sums = pd.DataFrame({"n1": [1, 1], "s1": [2.0, 2.0], "n0": [1, 1], "s0": [1.0, 1.0]})
-    r = resampling.interval(resampling.bootstrap(sums, resampling.difference, spark, repetitions=20)).first()
+    sums = spark.createDataFrame([(f"p{i}", 1, 2.0, 1, 1.0) for i in range(40)], "p string, n1 long, s1 double, n0 long, s0 double")
+    r = resampling.interval(resampling.bootstrap(sums, "p", resampling.difference, repetitions=20)).first()
     assert (r["replicates"], r["lower"], r["upper"]) == (20, 1.0, 1.0)
+    # a replicate's sums are those of its counts
+    got = {r["replicate"]: r["v"] for r in resampling.replicate_sums(sums.repartition(3), "p", repetitions=5).collect()}
+    counts = resampling.counts_of([f"p{i}" for i in range(40)], 5, 42).sum(axis=0)
+    assert all(v[1] == 2 * counts[k] for k, v in got.items()) and len(got) == 5
+
+
+def test_ranks_equal_plain_ranks(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(k), None if rng.random() < 0.1 else float(v)) for k, v in zip(rng.integers(0, 3, 300), rng.integers(0, 40, 300), strict=True)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    pdf = pd.DataFrame(rows, columns=["k", "v"])
+    want = {(k, v): r for k, v, r in zip(pdf["k"], pdf["v"], pdf.groupby("k")["v"].rank(), strict=True) if v == v}
+    assert {(r["k"], r["v"]): r["rank"] for r in st.ranks(df, "v", ["k"]).collect()} == want
+    assert {r["v"]: r["rank"] for r in st.ranks(df, "v").collect()} == {v: r for v, r in zip(pdf["v"], pdf["v"].rank(), strict=True) if v == v}
+
+
+def test_permutations_within_strata(spark):
+    """Agreement, its mean under permutation and its p-value against permuting the rows themselves."""
+    rng = np.random.default_rng(2)
+    rows = [(d, f"{d}-{p}", "abc"[(p + int(rng.random() < 0.4) + d) % 3]) for d in range(3) for p in range(8) for _ in range(5)]
+    got = resampling.permuted_agreement(spark.createDataFrame(rows, "d int, p string, l string"), "d", "p", "l", repetitions=2000).first()
+    pdf = pd.DataFrame(rows, columns=["d", "p", "l"])
+
+    def share(x):
+        k = x.groupby(["p", "l"]).size()
+        n = x.groupby("p").size()
+        return (k * (k - 1)).sum() / (n * (n - 1)).sum()
+
+    null = []
+    for _ in range(300):
+        null.append(share(pdf.assign(l=pdf.groupby("d")["l"].transform(lambda v: rng.permutation(v.to_numpy())))))
+    assert got["pair_agreement"] == share(pdf)
+    assert abs(got["permuted_agreement"] - np.mean(null)) < 4 * np.std(null) / np.sqrt(300)
+    assert got["p_value"] < 0.01
+
+
+def test_profile_association(spark):
+    rows = [(f"p{i}", "ab"[i % 2], (i % 2 == 0) == (i % 10 < 8)) for i in range(200)]
+    got = {r["profile"]: r for r in resampling.profile_association(spark.createDataFrame(rows, "p string, x string, e boolean"), "p", "x", "e", repetitions=200).collect()}
+    low = {x: sum(e for _, y, e in rows if y == x) for x in "ab"}
+    for x, y in ("ab", "ba"):
+        assert got[x]["n"] == 100 and got[x]["rate"] == low[x] / 100
+        assert abs(got[x]["odds_ratio"] - (low[x] + 0.5) * (100 - low[y] + 0.5) / ((100 - low[x] + 0.5) * (low[y] + 0.5))) < 1e-12
+        assert got[x]["odds_ratio_lower"] < got[x]["odds_ratio_median"] < got[x]["odds_ratio_upper"]
+
+
+def test_weighted_mixtures(spark):
+    """Replicates of a sweep equal fits to the rows they hold; agreements equal those of the labels."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (90, 2)), rng.normal(5, 1, (90, 2))])
+    df = spark.createDataFrame([(i % 3, f"g{i % 20}", float(a), float(b)) for i, (a, b) in enumerate(x)], "d int, g string, a double, b double").repartition(4)
+    how = {"ks": (1,), "kinds": ("full",)}
+    for m in models.mixture_sweep(df, ["a", "b"], replicates=3, weigh=models.leaving_out("d", [0, 1, 2]), **how):
+        rest = x[np.arange(180) % 3 != m["replicate"]]
+        assert m["n"] == 120 and np.allclose(m["means"][0], rest.mean(axis=0)) and np.allclose(m["cov"][0], np.cov(rest.T, ddof=0), atol=1e-5)
+    base = models.mixture_sweep(df, ["a", "b"], ks=(2,), kinds=("diag",), starts=5)[0]
+    drawn = models.mixture_sweep(df, ["a", "b"], ks=(2,), kinds=("diag",), starts=5, replicates=4, weigh=models.by_participant("g", 4))
+    assert len(drawn) == 4 and all(v > 0.9 for v in models.agreements(df, ["a", "b"], base, drawn))
+    both = models.assign(models.assign(df, ["a", "b"], base, "u").drop("posterior"), ["a", "b"], drawn[0], "v")
+    assert np.isclose(models.agreements(df, ["a", "b"], base, drawn[:1])[0], models.adjusted_rand(both, "u", "v").first()["ari"])
+    train, test = (models.weighted_moments(df, ["a", "b"], models.by_split("g", 6, test=t)) for t in (False, True))
+    assert all(train[r][0] + test[r][0] == 180 for r in range(6)) and len({train[r][0] for r in range(6)}) > 1
+    n, mean, cov = test[0]
+    part = rng.normal(size=(50, 2))
+    c = np.array([[2.0, 0.3], [0.3, 1.0]])
+    plain = np.mean([-0.5 * ((p - mean) @ np.linalg.inv(c) @ (p - mean) + np.log(np.linalg.det(c)) + 2 * np.log(2 * np.pi)) for p in part])
+    assert np.isclose(models.gaussian_log_likelihood(mean, c, part.mean(axis=0), np.cov(part.T, ddof=0)), plain)
 
 
 def test_files(spark, tmp_path):

@@ -74,13 +74,6 @@ def quantile(x: Column, q: float) -> Column:
     return F.percentile(x, F.lit(q))
 
 
-def average_rank(x: Column, keys: list[Column | str]) -> Column:
-    """Rank from 1 with ties at their mean, over non-null values; NULL for NULL."""
-    w = Window.partitionBy(*keys).orderBy(x.asc_nulls_last())
-    peers = Window.partitionBy(*keys, x)
-    return F.when(x.isNotNull(), F.rank().over(w) + (F.count(F.lit(1)).over(peers) - 1) / 2.0)
-
-
 def robust_z(x: Column, w: WindowSpec, fallback: Column | None = None, otherwise: float | None = None) -> Column:
     """(x - median) / IQR, with another scale where the IQR isn't positive."""
     iqr = quantile(x, 0.75).over(w) - quantile(x, 0.25).over(w)
@@ -91,6 +84,24 @@ def robust_z(x: Column, w: WindowSpec, fallback: Column | None = None, otherwise
     return z if otherwise is None else F.when(x.isNotNull(), F.coalesce(z, F.lit(otherwise)))
 
 
+def with_spreads(df: DataFrame, keys: list[str], columns: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with ``__q_<c>`` (quartiles), ``__sd_<c>`` of each column over its keys, and ``extra`` aggregates: summed up and joined back, so a large group isn't gathered."""
+    aggs = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__q_{c}") for c in columns]
+    aggs += [F.stddev_samp(c).alias(f"__sd_{c}") for c in columns] + [x.alias(n) for n, x in (extra or {}).items()]
+    found = df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(*aggs)
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(found, on, "left").drop(*[f"__k_{k}" for k in keys])
+
+
+def spread_z(c: str, otherwise: float | None = None) -> Column:
+    """(x - median) / IQR after :func:`with_spreads`; the standard deviation is the scale where the IQR isn't positive."""
+    x, q, sd = F.col(c), F.col(f"__q_{c}"), F.col(f"__sd_{c}")
+    z = (x - q[1]) / F.coalesce(F.when(q[2] - q[0] > 0, q[2] - q[0]), F.when(sd > 0, sd))
+    return z if otherwise is None else F.when(x.isNotNull(), F.coalesce(z, F.lit(otherwise)))
+
+
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     missing = sorted(set(columns) - set(df.columns))
     if missing:

@@ -7,7 +7,8 @@ worked on by NumPy on the driver.  Nothing collects rows, except the group-wise
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.functions.columns import quantile, safe_div
+from trialweave.operators.resampling import counts_of
 
 # --- preprocessing ---------------------------------------------------------------------------------------------------------------------------------------------------
 
@@ -152,11 +154,11 @@ def permuted_covariances(df: DataFrame, key: str, features: list[str], mean: np.
     return out
 
 
-def person_scatter(df: DataFrame, person: str, features: list[str]) -> pd.DataFrame:
+def person_scatter(df: DataFrame, person: str, features: list[str]) -> DataFrame:
     """Each person's rows and scatter matrix of centred features: additive, so resampled covariances are sums of these."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
     rows = person_centre(df.dropna(subset=features), person, features)
-    return rows.groupBy(person).agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs]).orderBy(person).toPandas()
+    return rows.groupBy(person).agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
 
 
 def scatter_matrix(sums: np.ndarray, n: float, p: int) -> np.ndarray:
@@ -204,61 +206,77 @@ def well_conditioned(covariances: np.ndarray, kind: str, most: float = 1e8) -> b
     return bool(len(found)) and bool((np.isfinite(found) & (found < most)).all())
 
 
-def mixture_sweep(df: DataFrame, features: list[str], *, ks: tuple[int, ...] = (1, 2, 3, 4), kinds: tuple[str, ...] = ("diag", "full"), starts: int = 3, rounds: int = 30, ridge: float = 1e-6, seed: int = 42) -> list[dict]:
-    """Gaussian mixtures for each k and covariance kind, best of several starts; sorted by BIC.
+def mixture_sums(rows: DataFrame, features: list[str], candidates: list[dict], weigh: tuple[list[str], Callable[[list[pa.Array]], np.ndarray]] | None = None) -> dict[int, np.ndarray]:
+    """For each candidate the sums of a pass: log likelihood, entropy, responsibilities, sizes, first and second moments.
+
+    ``weigh``: columns and a function of them that gives a weight for each row and replicate; a candidate counts by its ``replicate``.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast([(m["kind"], m["weights"], m["means"], m["cov"], m["replicate"]) for m in candidates])
+    d = len(features)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns[:d]])
+            if not len(x):
+                continue
+            times = weigh[1](b.columns[d:]) if weigh else np.ones((len(x), 1))
+            for i, (kind, w, mu, c, replicate) in enumerate(shared.value):
+                t = times[:, replicate]
+                lp = _log_density(x, mu, c, kind) + np.log(w)
+                top = lp.max(axis=1, keepdims=True)
+                total = top[:, 0] + np.log(np.exp(lp - top).sum(axis=1))
+                r = np.exp(lp - total[:, None])
+                entropy = -(t[:, None] * r * np.log(np.maximum(r, 1e-300))).sum()
+                size = np.bincount(lp.argmax(axis=1), weights=t, minlength=len(w))
+                r = r * t[:, None]
+                second = (r.T @ x**2).ravel() if kind == "diag" else np.einsum("ij,ik,il->jkl", r, x, x, optimize=True).ravel()
+                v = np.concatenate([[(total * t).sum(), entropy], r.sum(axis=0), size, (r.T @ x).ravel(), second])
+                sums[i] = sums[i] + v if i in sums else v
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["i", "v"])
+
+    total: dict[int, np.ndarray] = {}
+    for r in rows.mapInArrow(part, "i int, v array<double>").collect():
+        total[r["i"]] = total.get(r["i"], 0) + np.array(r["v"])
+    return total
+
+
+def mixture_sweep(
+    df: DataFrame, features: list[str], *, ks: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 7, 8), kinds: tuple[str, ...] = ("diag", "full"), starts: int = 20, rounds: int = 100, ridge: float = 1e-6, seed: int = 42,
+    tolerance: float = 1e-3, replicates: int = 1, weigh: tuple[list[str], Callable[[list[pa.Array]], np.ndarray]] | None = None,
+) -> list[dict]:
+    """Gaussian mixtures for each k and covariance kind, best of several starts; sorted by BIC.  With ``weigh``, a set of them for each of the ``replicates``.
 
     All candidates share the passes: a round is one job in which each task adds up responsibilities, first and second moments of every
-    candidate over its rows, so only sums leave a task.
+    candidate over its rows, so only sums leave a task.  A candidate rests once a round gains less than ``tolerance`` a row.
     """
-    n, mean, cov = moments(df, features)
+    _, mean, cov = moments(df, features)
     d = len(features)
     rng = np.random.default_rng(seed)
     scale = np.sqrt(np.maximum(np.diag(cov), ridge))
     models = []
-    for kind in kinds:
-        for k in ks:
-            for _ in range(starts if k > 1 else 1):
-                c = np.tile(np.maximum(np.diag(cov), ridge), (k, 1)) if kind == "diag" else np.tile(cov + ridge * np.eye(d), (k, 1, 1))
-                models.append({"kind": kind, "k": k, "weights": np.full(k, 1 / k), "means": mean + scale * rng.normal(0, 1, (k, d)) if k > 1 else mean[None].copy(), "cov": c, "ll": -np.inf})
-    rows = df.select(*features).dropna()
-    spark = df.sparkSession
-
-    def passed(now: list[dict]):
-        shared = spark.sparkContext.broadcast([(m["kind"], m["weights"], m["means"], m["cov"]) for m in now])
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for b in batches:
-                x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns])
-                if not len(x):
-                    continue
-                for i, (kind, w, mu, c) in enumerate(shared.value):
-                    lp = _log_density(x, mu, c, kind) + np.log(w)
-                    top = lp.max(axis=1, keepdims=True)
-                    total = top[:, 0] + np.log(np.exp(lp - top).sum(axis=1))
-                    r = np.exp(lp - total[:, None])
-                    second = (r.T @ x**2).ravel() if kind == "diag" else np.einsum("ij,ik,il->jkl", r, x, x).ravel()
-                    size = np.bincount(lp.argmax(axis=1), minlength=len(w))
-                    entropy = -(r * np.log(np.maximum(r, 1e-300))).sum()
-                    v = np.concatenate([[total.sum(), entropy], r.sum(axis=0), size, (r.T @ x).ravel(), second])
-                    sums[i] = sums[i] + v if i in sums else v
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["i", "v"])
-
-        total: dict[int, np.ndarray] = {}
-        for r in rows.mapInArrow(part, "i int, v array<double>").collect():
-            total[r["i"]] = total.get(r["i"], 0) + np.array(r["v"])
-        return total
-
+    for replicate in range(replicates):
+        for kind in kinds:
+            for k in ks:
+                for _ in range(starts if k > 1 else 1):
+                    c = np.tile(np.maximum(np.diag(cov), ridge), (k, 1)) if kind == "diag" else np.tile(cov + ridge * np.eye(d), (k, 1, 1))
+                    models.append({"replicate": replicate, "kind": kind, "k": k, "weights": np.full(k, 1 / k), "means": mean + scale * rng.normal(0, 1, (k, d)) if k > 1 else mean[None].copy(), "cov": c, "ll": -np.inf})
+    rows = df.select(*features, *(weigh[0] if weigh else [])).dropna(subset=features)
     live = list(range(len(models)))
     for round_ in range(rounds + 1):
-        total = passed([models[i] for i in live])
+        total = mixture_sums(rows, features, [models[i] for i in live], weigh)
         still = []
         for at, i in enumerate(live):
-            m, v = models[i], total[at]
+            m = models[i]
             k = m["k"]
+            if at not in total:  # no rows
+                m |= {"ll": 0.0, "entropy": 0.0, "sizes": np.zeros(k, int), "n": 0.0}
+                continue
+            v = total[at]
             gain = v[0] - m["ll"]
             m["ll"], m["entropy"], r, m["sizes"] = v[0], v[1], v[2 : 2 + k], v[2 + k : 2 + 2 * k].astype(int)
-            if (round_ and gain < 1e-3 * n * 1e-2) or round_ == rounds:
+            m["n"] = float(r.sum())
+            if (round_ and gain < tolerance * m["n"]) or round_ == rounds:
                 continue
             first = v[2 + 2 * k : 2 + 2 * k + k * d].reshape(k, d)
             second = v[2 + 2 * k + k * d :]
@@ -276,22 +294,122 @@ def mixture_sweep(df: DataFrame, features: list[str], *, ks: tuple[int, ...] = (
         live = still
         if not live:
             break
-    best: dict[tuple[str, int], dict] = {}
+    best: dict[tuple[int, str, int], dict] = {}
     for m in models:
-        key = (m["kind"], m["k"])
+        key = (m["replicate"], m["kind"], m["k"])
         if key not in best or m["ll"] > best[key]["ll"]:
             best[key] = m
     out = []
     for m in best.values():
-        free = parameter_count(m["k"], d, m["kind"])
+        free, n = parameter_count(m["k"], d, m["kind"]), m["n"]
         conditions = [float(c.max() / c.min()) if m["kind"] == "diag" else float(np.linalg.cond(c)) for c in m["cov"]]
-        m |= {"n": n, "bic": -2 * m["ll"] + free * math.log(max(n, 1)), "aic": -2 * m["ll"] + 2 * free, "parameters": free,
+        m |= {"bic": -2 * m["ll"] + free * math.log(max(n, 1)), "aic": -2 * m["ll"] + 2 * free, "parameters": free,
               "valid": bool(m["sizes"].min() >= max(20, 0.05 * n) and max(conditions) < 1e8 and (m["kind"] == "diag" or n > 10 * free)),
               "posterior_entropy": float(m["entropy"] / max(n, 1) / math.log(m["k"])) if m["k"] > 1 else 0.0}
         order = np.argsort(m["means"][:, 0])
         m["weights"], m["means"], m["cov"] = m["weights"][order], m["means"][order], m["cov"][order]
         out.append(m)
-    return sorted(out, key=lambda m: (not m["valid"], m["bic"]))
+    return sorted(out, key=lambda m: (m["replicate"], not m["valid"], m["bic"]))
+
+
+def by_participant(person: str, repetitions: int, seed: int = 42) -> tuple[list[str], Callable[[list[pa.Array]], np.ndarray]]:
+    """Weights of rows in bootstraps of whole participants: replicates with Poisson(1) counts."""
+
+    def times(columns: list[pa.Array]) -> np.ndarray:
+        people = columns[0].dictionary_encode()
+        return counts_of(people.dictionary.to_pylist(), repetitions, seed)[people.indices.to_numpy(zero_copy_only=False)]
+
+    return [person], times
+
+
+def leaving_out(column: str, values: list) -> tuple[list[str], Callable[[list[pa.Array]], np.ndarray]]:
+    """Weights 0 for the rows of one value in each replicate, else 1."""
+
+    def times(columns: list[pa.Array]) -> np.ndarray:
+        held = columns[0].to_pylist()
+        return np.array([[float(x != v) for v in values] for x in held]).reshape(len(held), len(values))
+
+    return [column], times
+
+
+def by_split(person: str, splits: int, share: float = 0.25, seed: int = 42, *, test: bool = False) -> tuple[list[str], Callable[[list[pa.Array]], np.ndarray]]:
+    """Weights of the training (or test) rows of random splits of whole participants."""
+
+    def times(columns: list[pa.Array]) -> np.ndarray:
+        people = columns[0].dictionary_encode()
+        drawn = np.array([np.random.default_rng([seed, zlib.crc32(str(p).encode())]).random(splits) < share for p in people.dictionary.to_pylist()]).reshape(-1, splits)
+        return (drawn == test)[people.indices.to_numpy(zero_copy_only=False)].astype(float)
+
+    return [person], times
+
+
+def weighted_moments(df: DataFrame, features: list[str], weigh: tuple[list[str], Callable[[list[pa.Array]], np.ndarray]]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """(weight, mean, covariance) of each replicate, over complete rows."""
+    d = len(features)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), *[c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns[:d]]])
+            v = np.einsum("ir,ij,ik->rjk", weigh[1](b.columns[d:]), x, x, optimize=True)
+            total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([v.ravel().tolist() for v in total], pa.list_(pa.float64()))], names=["r", "v"])
+
+    sums: dict[int, np.ndarray] = {}
+    for row in df.select(*features, *weigh[0]).dropna(subset=features).mapInArrow(part, "r int, v array<double>").collect():
+        sums[row["r"]] = sums.get(row["r"], 0) + np.array(row["v"]).reshape(d + 1, d + 1)
+    out = {}
+    for r, v in sums.items():
+        n = v[0, 0]
+        mean = v[0, 1:] / max(n, 1e-9)
+        out[r] = n, mean, v[1:, 1:] / max(n, 1e-9) - np.outer(mean, mean)
+    return out
+
+
+def agreements(df: DataFrame, features: list[str], base: dict, candidates: list[dict], left_out: tuple[str, list] | None = None) -> list[float | None]:
+    """Adjusted Rand index of each candidate's labels with those of ``base``, over all rows, or over the rows its replicate left out."""
+    d = len(features)
+    shared = df.sparkSession.sparkContext.broadcast((base, candidates))
+
+    def labels(x: np.ndarray, m: dict) -> np.ndarray:
+        return (_log_density(x, m["means"], m["cov"], m["kind"]) + np.log(m["weights"])).argmax(axis=1)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple[int, int, int], int] = {}
+        for b in batches:
+            x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns[:d]])
+            if not len(x):
+                continue
+            first = labels(x, shared.value[0])
+            held = b.column(d).to_pylist() if left_out else None
+            for i, m in enumerate(shared.value[1]):
+                at = np.array([v == left_out[1][m["replicate"]] for v in held]) if left_out else slice(None)
+                pair, n = np.unique(first[at] * 1000 + labels(x, m)[at], return_counts=True)
+                for q, k in zip(pair.tolist(), n.tolist(), strict=True):
+                    cells[i, q // 1000, q % 1000] = cells.get((i, q // 1000, q % 1000), 0) + k
+        yield pa.RecordBatch.from_arrays([pa.array([c[j] for c in cells], pa.int32()) for j in range(3)] + [pa.array(list(cells.values()), pa.int64())], names=["i", "a", "b", "n"])
+
+    rows = df.select(*features, *([left_out[0]] if left_out else [])).dropna(subset=features)
+    tables: list[dict[tuple[int, int], int]] = [{} for _ in candidates]
+    for r in rows.mapInArrow(part, "i int, a int, b int, n long").groupBy("i", "a", "b").agg(F.sum("n").alias("n")).collect():
+        tables[r["i"]][r["a"], r["b"]] = r["n"]
+    return [rand_index(t) for t in tables]
+
+
+def rand_index(cells: dict[tuple[int, int], int]) -> float | None:
+    """Adjusted Rand index of a contingency table; 1 for two labellings of one class each."""
+    pairs = lambda n: n * (n - 1) / 2
+    rows: dict[int, int] = {}
+    columns: dict[int, int] = {}
+    for (a, b), n in cells.items():
+        rows[a], columns[b] = rows.get(a, 0) + n, columns.get(b, 0) + n
+    total = pairs(sum(cells.values()))
+    if not total:
+        return None
+    same, a, b = (sum(map(pairs, x.values())) for x in (cells, rows, columns))
+    expected = a * b / total
+    return 1.0 if (a + b) / 2 == expected else float((same - expected) / ((a + b) / 2 - expected))
 
 
 def assign(df: DataFrame, features: list[str], model: dict, name: str = "component") -> DataFrame:
@@ -434,6 +552,36 @@ def grouped_classification(df: DataFrame, label: str, numeric: list[str], group:
     return spread.groupBy("fold").applyInPandas(fit, f"{group} {kind}, truth string, predicted string, confidence double, log_loss double")
 
 
+def permuted_accuracy(df: DataFrame, label: str, numeric: list[str], group: str, repetitions: int = 100, folds: int = 5) -> DataFrame:
+    """(replicate, balanced_accuracy) of out-of-fold predictions with the labels of whole groups permuted; a task fits one replicate's fold, from that replicate's rows."""
+    names = sorted(r[0] for r in df.select(label).filter(F.col(label).isNotNull()).distinct().collect())
+    rows = group_folds(df.filter(F.col(label).isNotNull()), group, folds).select("fold", group, label, *numeric)
+    # A replicate's order of groups is that of a hash; a group takes the label of the group at its place in the order of names.
+    groups = rows.groupBy(group).agg(F.min(label).alias("l")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    w = Window.partitionBy("replicate")
+    own = groups.select("replicate", group, F.row_number().over(w.orderBy(F.xxhash64(group, "replicate"), group)).alias("at"))
+    other = groups.select("replicate", F.col("l").alias("dealt"), F.row_number().over(w.orderBy(group)).alias("at"))
+    dealt = own.join(other, ["replicate", "at"]).select("replicate", group, "dealt")
+    spread = rows.withColumnRenamed("fold", "own").join(dealt, group).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = pdf["fold"].iloc[0]
+        train, test = pdf[pdf["own"] != f].sort_values([group, *numeric]), pdf[pdf["own"] == f]
+        if not len(test) or not len(train):
+            return pd.DataFrame({"replicate": [], "truth": [], "right": [], "n": []})
+        a, b = _prepared(train, test, numeric, [])
+        y = np.array([names.index(v) for v in train["dealt"]])
+        counts = np.bincount(y, minlength=len(names))
+        weight = (len(y) / (np.count_nonzero(counts) * np.maximum(counts, 1)))[y]
+        found = (np.column_stack([b, np.ones(len(b))]) @ logistic_fit(a, y, len(names), weight)).argmax(axis=1)
+        truth = np.array([names.index(v) for v in test["dealt"]])
+        right = np.bincount(truth[found == truth], minlength=len(names))
+        return pd.DataFrame({"replicate": int(pdf["replicate"].iloc[0]), "truth": range(len(names)), "right": right, "n": np.bincount(truth, minlength=len(names))})
+
+    cells = spread.groupBy("replicate", "fold").applyInPandas(fit, "replicate int, truth int, right long, n long").groupBy("replicate", "truth").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).filter("n > 0")
+    return cells.groupBy("replicate").agg(F.avg(F.col("right") / F.col("n")).alias("balanced_accuracy"))
+
+
 def classification_metrics(out: DataFrame, confident: float = 0.6) -> DataFrame:
     """Accuracy, balanced accuracy, macro F1, log loss and the share of confident rows."""
     t = out.groupBy("truth").agg(F.count("*").alias("n"), F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias("recall"))
@@ -486,9 +634,8 @@ def grouped_pls(df: DataFrame, left: list[str], right: list[str], group: str, fo
     return out.agg(F.count("*").alias("n"), (1 - safe_div(F.sum("e"), F.sum("t"))).alias("r2"))
 
 
-def factor_analysis(x: np.ndarray, k: int, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Loadings and noise variances of a maximum-likelihood factor model of centred rows, by expectation-maximisation."""
-    cov = x.T @ x / len(x)
+def factor_analysis(cov: np.ndarray, k: int, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Loadings and noise variances of a maximum-likelihood factor model, by expectation-maximisation from the covariance alone."""
     value, vector = np.linalg.eigh(cov)
     load = vector[:, ::-1][:, :k] * np.sqrt(np.maximum(value[::-1][:k], 1e-12) / 2)
     noise = np.maximum(np.diag(cov) / 2, 1e-12)
@@ -502,10 +649,11 @@ def factor_analysis(x: np.ndarray, k: int, rounds: int = 500) -> tuple[np.ndarra
     return load, noise
 
 
-def gaussian_log_likelihood(x: np.ndarray, cov: np.ndarray) -> float:
-    """Mean log density of centred rows."""
-    sign, logdet = np.linalg.slogdet(cov)
-    return float(-0.5 * (np.einsum("ij,jk,ik->i", x, np.linalg.inv(cov), x).mean() + logdet + x.shape[1] * math.log(2 * math.pi)))
+def gaussian_log_likelihood(mean: np.ndarray, cov: np.ndarray, test_mean: np.ndarray, test_cov: np.ndarray) -> float:
+    """Mean log density of rows of which only mean and covariance are known."""
+    gap = test_mean - mean
+    _, logdet = np.linalg.slogdet(cov)
+    return float(-0.5 * (np.trace(np.linalg.solve(cov, test_cov + np.outer(gap, gap))) + logdet + len(mean) * math.log(2 * math.pi)))
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float | None:

@@ -1,43 +1,77 @@
-"""Bootstraps of whole participants and permutations, from sums that were made by Spark.
+"""Bootstraps of whole participants and permutations of labels, as sums that Spark adds up.
 
-Rows are reduced to one row of sums a participant; replicates are dealt to tasks with those sums, each from a seed of its own, so a lost task
-repeats the same replicates.
+A bootstrap gives every participant a Poisson(1) count in every replicate, from a seed of its name and the bootstrap's, so replicates are sums over
+participants: a task multiplies its participants' sums by their counts and hands on one row a replicate.  Nothing but replicates is collected, and a lost task
+repeats the same counts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bootstrap(sums: pd.DataFrame, statistic: Callable[[np.ndarray], float], spark, *, repetitions: int = 500, seed: int = 42) -> DataFrame:
+def counts_of(people: list, repetitions: int, seed: int) -> np.ndarray:
+    """Poisson(1) counts, a row a participant and a column a replicate."""
+    out = np.empty((len(people), repetitions))
+    for i, p in enumerate(people):
+        out[i] = np.random.default_rng([seed, zlib.crc32(str(p).encode())]).poisson(1.0, repetitions)
+    return out
+
+
+def replicate_sums(sums: DataFrame, person: str, *, keys: list[str] | None = None, repetitions: int = 500, seed: int = 42) -> DataFrame:
+    """keys, replicate and ``v``: the other columns of ``sums`` (a row a participant and key), summed over the participants of each replicate."""
+    keys = keys or []
+    names = [c for c in sums.columns if c not in (person, *keys)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns[1 + len(keys) :]])
+            times = counts_of(b.column(0).to_pylist(), repetitions, seed)
+            group: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(*(c.to_pylist() for c in b.columns[1 : 1 + len(keys)]), strict=True) if keys else [()] * b.num_rows):
+                group.setdefault(k, []).append(i)
+            for k, at in group.items():
+                v = times[at].T @ x[at]
+                held[k] = held[k] + v if k in held else v
+        for k, v in held.items():
+            columns = [pa.array([k[j]] * repetitions, kinds[j]) for j in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(range(repetitions), pa.int64()), pa.array(v.tolist(), pa.list_(pa.float64()))], names=[*keys, "replicate", "v"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(sums.schema[k].dataType) for k in keys]
+    fields = "".join(f"{k} {sums.schema[k].dataType.simpleString()}, " for k in keys)
+    parts = sums.select(person, *keys, *names).mapInArrow(run, fields + "replicate long, v array<double>")
+    return parts.groupBy(*keys, "replicate").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(len(names))]).alias("v"))
+
+
+def bootstrap(sums: DataFrame, person: str, statistic: Callable[[np.ndarray], float], *, repetitions: int = 500, seed: int = 42) -> DataFrame:
     """(replicate, value): ``statistic`` of the summed columns of participants drawn with replacement."""
-    shared = spark.sparkContext.broadcast(sums.to_numpy(float))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = shared.value
-        for pdf in batches:
-            values = []
-            for r in pdf["id"]:
-                draw = np.random.default_rng([seed, int(r)]).integers(0, len(x), len(x)) if len(x) else np.zeros(0, int)
-                values.append(statistic(x[draw].sum(axis=0)) if len(x) else np.nan)
-            yield pd.DataFrame({"replicate": pdf["id"], "value": np.array(values, dtype=float)})
+    @F.pandas_udf("double")
+    def value(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: float(statistic(np.asarray(x, dtype=float)))).astype(float)
 
-    return spark.range(repetitions).mapInPandas(run, "replicate long, value double").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    out = replicate_sums(sums, person, repetitions=repetitions, seed=seed).select("replicate", value("v").alias("value"))
+    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def interval(replicates: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
     return replicates.agg(F.count("value").alias("replicates"), F.percentile("value", F.lit(low)).alias("lower"), F.percentile("value", F.lit(high)).alias("upper"))
 
 
-def effect_sums(df: DataFrame, participant: str, group: str, outcome: str) -> pd.DataFrame:
+def effect_sums(df: DataFrame, participant: str, group: str, outcome: str) -> DataFrame:
     """Counts and sums of an outcome in groups 1 and 0, a row a participant."""
     hit = lambda g: (F.col(group) == g) & F.col(outcome).isNotNull()
-    return df.groupBy(participant).agg(*[f.alias(n) for g in (1, 0) for n, f in ((f"n{g}", F.count(F.when(hit(g), 1))), (f"s{g}", F.sum(F.when(hit(g), F.col(outcome)).otherwise(0.0))))]).orderBy(participant).drop(participant).toPandas()
+    return df.groupBy(participant).agg(*[f.alias(n) for g in (1, 0) for n, f in ((f"n{g}", F.count(F.when(hit(g), 1))), (f"s{g}", F.sum(F.when(hit(g), F.col(outcome)).otherwise(0.0))))])
 
 
 def difference(v: np.ndarray) -> float:
@@ -54,17 +88,67 @@ def permutation_p(observed: float, null: np.ndarray) -> float:
     return (1 + int((null >= observed).sum())) / (len(null) + 1)
 
 
-def permuted_agreement(labels: pd.DataFrame, person: str, label: str, repetitions: int = 200, seed: int = 42) -> tuple[float, float]:
-    """Share of equal pairs within persons, and its p-value under permutation of the labels."""
-    people = labels[person].astype("category").cat.codes.to_numpy()
-    marks = labels[label].astype("category").cat.codes.to_numpy()
-    k = marks.max() + 1 if len(marks) else 1
-
-    def share(m: np.ndarray) -> float:
-        counts = np.bincount(people * k + m)
-        sizes = np.bincount(people)
-        return float((counts * (counts - 1)).sum() / max((sizes * (sizes - 1)).sum(), 1))
-
-    rng = np.random.default_rng(seed)
-    observed = share(marks)
-    return observed, permutation_p(observed, np.array([share(rng.permutation(marks)) for _ in range(repetitions)]))
+def permuted_agreement(df: DataFrame, stratum: str, person: str, label: str, repetitions: int = 200, seed: int = 42) -> DataFrame:
+    """Share of equal pairs of labels within persons, its mean and p-value under permutation of the labels within a stratum.
+
+    Permuting the labels of a stratum deals its label counts to its persons without replacement, so only counts are needed: a task gets the persons' numbers of rows and
+    the label counts of a stratum, no rows.
+    """
+    rows = df.filter(F.col(label).isNotNull())
+    cells = rows.groupBy(stratum, person, label).agg(F.count("*").alias("k"))
+    sizes = cells.groupBy(stratum, person).agg(F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("k") - 1)).alias("same"))
+    labels = cells.groupBy(stratum, label).agg(F.sum("k").alias("k")).groupBy(stratum).agg(F.sort_array(F.collect_list("k")).alias("labels"))
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = np.tile(np.asarray(pdf["labels"].iloc[0], dtype=np.int64), (repetitions, 1))
+        rng = np.random.default_rng([seed, zlib.crc32(str(pdf[stratum].iloc[0]).encode())])
+        same = np.zeros(repetitions)
+        for n in pdf.sort_values(person)["n"]:
+            rest, drawn = np.full(repetitions, n), np.zeros_like(left)
+            for j in range(left.shape[1]):
+                others = left[:, j + 1 :].sum(axis=1)
+                drawn[:, j] = rng.hypergeometric(left[:, j], others, rest) if others.any() else rest
+                rest = rest - drawn[:, j]
+            left -= drawn
+            same += (drawn * (drawn - 1)).sum(axis=1)
+        return pd.DataFrame({"replicate": range(repetitions), "same": same})
+
+    null = sizes.join(labels, stratum).groupBy(stratum).applyInPandas(deal, "replicate int, same double").groupBy("replicate").agg(F.sum("same").alias("same"))
+    seen = sizes.agg(F.sum("same").cast("double").alias("observed"), F.sum(F.col("n") * (F.col("n") - 1)).cast("double").alias("pairs"))
+    both = null.join(seen, F.lit(True))
+    out = both.agg(F.first("observed").alias("o"), F.first("pairs").alias("p"), F.avg("same").alias("m"), F.count(F.when(F.col("same") >= F.col("observed"), 1)).alias("above"), F.count("*").alias("r"))
+    share = lambda c: F.col(c) / F.nullif("p", F.lit(0.0))
+    return out.select(share("o").alias("pair_agreement"), share("m").alias("permuted_agreement"), ((1 + F.col("above")) / (1 + F.col("r"))).alias("p_value"))
+
+
+def profile_odds(v: np.ndarray, profiles: int) -> list[tuple[float, float]]:
+    """(rate, one-vs-rest odds ratio) of each profile, from counts without the event of all profiles and then with it."""
+    kept, low = v[:profiles], v[profiles:]
+    total, events = kept + low, low.sum()
+    return [
+        (low[i] / total[i] if total[i] else np.nan, (low[i] + 0.5) * (kept.sum() - kept[i] + 0.5) / ((kept[i] + 0.5) * (events - low[i] + 0.5)))
+        for i in range(profiles)
+    ]
+
+
+def profile_association(df: DataFrame, person: str, profile: str, event: str, *, repetitions: int = 500, seed: int = 42) -> DataFrame:
+    """profile, n, rate of ``event`` (a boolean), one-vs-rest odds ratio (half a case added to each count), and intervals by bootstrap of whole participants."""
+    rows = df.filter(F.col(profile).isNotNull() & F.col(event).isNotNull())
+    names = sorted(r[0] for r in rows.select(profile).distinct().collect())
+    hit = lambda p, e: F.count(F.when((F.col(profile) == p) & (F.col(event) == F.lit(e)), 1))
+    counts = [hit(p, e).alias(f"{'x' if e else 'y'}{i}") for e in (False, True) for i, p in enumerate(names)]
+    found = rows.agg(*counts).select(F.lit(-1).cast("long").alias("replicate"), F.array(*[F.expr(f"cast({'x' if e else 'y'}{i} as double)") for e in (False, True) for i in range(len(names))]).alias("v"))
+    drawn = replicate_sums(rows.groupBy(person).agg(*counts), person, repetitions=repetitions, seed=seed)
+
+    def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(int(r), names[i], float(sum(v[i :: len(names)])), *x) for r, v in zip(pdf["replicate"], pdf["v"], strict=True) for i, x in enumerate(profile_odds(np.asarray(v, float), len(names)))]
+            yield pd.DataFrame(out, columns=["replicate", "profile", "n", "rate", "odds"])
+
+    each = found.unionByName(drawn).mapInPandas(rates, "replicate long, profile string, n double, rate double, odds double")
+    own, boot = F.col("replicate") < 0, F.col("replicate") >= 0
+    at = lambda c, q: F.percentile(F.when(boot & ~F.isnan(c), F.col(c)), F.lit(q))
+    return each.groupBy("profile").agg(
+        F.max(F.when(own, F.col("n"))).cast("long").alias("n"), F.max(F.when(own, F.col("rate"))).alias("rate"), at("rate", 0.025).alias("rate_lower"), at("rate", 0.975).alias("rate_upper"),
+        F.max(F.when(own, F.col("odds"))).alias("odds_ratio"), at("odds", 0.5).alias("odds_ratio_median"), at("odds", 0.025).alias("odds_ratio_lower"), at("odds", 0.975).alias("odds_ratio_upper"),
+    )

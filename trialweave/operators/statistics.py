@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.functions.columns import average_rank, correlation, count_where, safe_div
+from trialweave.functions.columns import correlation, count_where, safe_div
+from trialweave.plans.staging import staged
 
 
 def one_way_icc(df: DataFrame, group: str, feature: str) -> DataFrame:
@@ -34,12 +35,33 @@ def trait_state(df: DataFrame, person: str, feature: str) -> DataFrame:
     return out.select(F.lit(feature).alias("feature"), "between", "within", safe_div(F.col("between"), F.col("between") + F.col("within")).alias("between_fraction"))
 
 
-def spearman(df: DataFrame, left: str, right: str, least: int = 4, keys: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of average ranks over rows with both."""
+def ranks(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, column, ``rank`` (from 1, ties at their mean) and ``n``, the number of values of the key: a row a distinct value that isn't null.
+
+    Values are counted, dealt to tasks by range and numbered there; a task adds what stands before its range, so no task sorts them all.
+    """
     keys = keys or []
-    both = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
-    ranked = both.select(*keys, average_rank(F.col(left), keys).alias("a"), average_rank(F.col(right), keys).alias("b"))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("a"), F.col("b"), least).alias("rho"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__many"))
+    placed = staged(counts.repartitionByRange(*keys, column).withColumn("__part", F.spark_partition_id()), "values")
+    by_key = Window.partitionBy(*keys)  # a row a key and task
+    parts = placed.groupBy(*keys, "__part").agg(F.sum("__many").alias("__here"))
+    before = parts.select(*keys, "__part", (F.sum("__here").over(by_key.orderBy("__part")) - F.col("__here")).alias("__before"), F.sum("__here").over(by_key).alias("n"))
+    run = F.sum("__many").over(Window.partitionBy(*keys, "__part").orderBy(column))
+    if not keys:
+        out = placed.withColumn("__run", run).join(before, "__part")
+    else:
+        same = F.col("a.__part") == F.col("b.__part")
+        for k in keys:
+            same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        out = placed.withColumn("__run", run).alias("a").join(before.alias("b"), same).select("a.*", "b.__before", "b.n")
+    return out.select(*keys, column, (F.col("__before") + F.col("__run") - F.col("__many") + (F.col("__many") + 1) / 2.0).alias("rank"), "n")
+
+
+def spearman(df: DataFrame, left: str, right: str, least: int = 4) -> DataFrame:
+    """Pearson correlation of average ranks over rows with both."""
+    both = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right)
+    ranked = both.join(ranks(both, left).select(left, F.col("rank").alias("__a")), left).join(ranks(both, right).select(right, F.col("rank").alias("__b")), right)
+    return ranked.agg(F.count("*").alias("n"), correlation(F.col("__a"), F.col("__b"), least).alias("rho"))
 
 
 def concordance(a: Column, b: Column) -> Column:

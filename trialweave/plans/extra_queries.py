@@ -179,14 +179,17 @@ def hrv09(spark, sf):
 
 @query("ML09")
 def ml09(spark, sf):
-    """Two to four components, with the agreement of labels when a dataset group is left out."""
-    rows = scaled(spark, sf)
+    """Two to four components, with the agreement of labels on each dataset with those of a mixture that was fitted without it."""
+    rows = staged(scaled(spark, sf).select("dataset_id", *FEATURES), "scaled")
+    found = models.mixture_sweep(rows, FEATURES, ks=(2, 3, 4), kinds=("diag",))
+    datasets = sorted(r[0] for r in rows.select("dataset_id").distinct().collect())
+    rest = models.mixture_sweep(rows, FEATURES, ks=(2, 3, 4), kinds=("diag",), starts=10, replicates=len(datasets), weigh=models.leaving_out("dataset_id", datasets))
     out = []
-    for m in models.mixture_sweep(rows, FEATURES, ks=(2, 3, 4), kinds=("diag",), starts=2, rounds=10):
-        rest = models.mixture_sweep(rows.filter("dataset_id % 4 <> 0"), FEATURES, ks=(m["k"],), kinds=("diag",), starts=2, rounds=10)[0]
-        both = models.assign(models.assign(rows, FEATURES, m, "a").drop("posterior"), FEATURES, rest, "b")
-        out.append((m["k"], float(m["bic"]), m["valid"], models.adjusted_rand(both, "a", "b").first()["ari"]))
-    return spark.createDataFrame(out, "k int, bic double, valid boolean, left_out_ari double")
+    for m in found:
+        mine = [x for x in rest if x["k"] == m["k"]]
+        aris = [v for v in models.agreements(rows, FEATURES, m, mine, ("dataset_id", datasets)) if v is not None]
+        out.append((m["k"], float(m["bic"]), m["valid"], len(aris), float(np.mean(aris)), float(np.min(aris))))
+    return spark.createDataFrame(out, "k int, bic double, valid boolean, datasets int, mean_left_out_ari double, least_left_out_ari double")
 
 
 @query("ML15")
@@ -208,16 +211,21 @@ def sta14(spark, sf):
     """Profiles against prototypes: similarity, its lower bound by bootstrap, and the verdict."""
     cols = ["accuracy", "throughput_proxy", "rt_cv"]
     rows = models.standard_scale(profiles16(spark, sf).dropna(subset=cols).select("participant_id", "profile", *cols), cols)
-    sums = rows.groupBy("profile", "participant_id").agg(*[F.sum(c).alias(c) for c in cols]).orderBy("profile", "participant_id").toPandas()
+    sums = staged(rows.groupBy("profile", "participant_id").agg(*[F.sum(c).alias(c) for c in cols]), "sums")
     prototypes = {"steady": np.array([1.0, 0.5, -1.0]), "fast": np.array([0.0, 1.0, 0.0]), "strained": np.array([-1.0, -0.5, 1.0])}
     cos = lambda v, p: float(v @ p / max(np.linalg.norm(v) * np.linalg.norm(p), 1e-300))
-    out = []
-    for name, pdf in sums.groupby("profile"):
-        x = pdf[cols]
-        scores = sorted(((cos(x.sum().to_numpy(), p), n) for n, p in prototypes.items()), reverse=True)
-        lower = resampling.interval(resampling.bootstrap(x, lambda v, p=prototypes[scores[0][1]]: cos(v, p), spark, repetitions=100)).first()["lower"]
-        strong = scores[0][0] >= 0.7 and lower >= 0.5 and scores[0][0] - scores[1][0] >= 0.15
-        out.append((name, scores[0][1], scores[0][0], lower, bool(strong)))
+    best = {}
+    for r in sums.groupBy("profile").agg(*[F.sum(c).alias(c) for c in cols]).collect():  # a row a profile
+        v = np.array([r[c] for c in cols])
+        best[r["profile"]] = sorted(((cos(v, p), n) for n, p in prototypes.items()), reverse=True)
+
+    @F.pandas_udf("double")
+    def similarity(profile: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([cos(np.asarray(x, float), prototypes[best[p][0][1]]) for p, x in zip(profile, v, strict=True)], dtype=float)
+
+    drawn = resampling.replicate_sums(sums, "participant_id", keys=["profile"], repetitions=100)
+    lower = {r["profile"]: r["lower"] for r in drawn.select("profile", similarity("profile", "v").alias("s")).groupBy("profile").agg(F.percentile("s", F.lit(0.025)).alias("lower")).collect()}
+    out = [(p, s[0][1], s[0][0], lower[p], bool(s[0][0] >= 0.7 and lower[p] >= 0.5 and s[0][0] - s[1][0] >= 0.15)) for p, s in best.items()]
     return spark.createDataFrame(out, "profile string, prototype string, similarity double, lower double, strong boolean")
 
 

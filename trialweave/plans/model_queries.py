@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,13 +158,20 @@ def res06(spark, sf):
     """Congruence of components with those of participants drawn with replacement, and without each participant."""
     from trialweave.operators.joins import match_components
 
-    s = models.person_scatter(models.standard_scale(primary(spark, sf), FEATURES), "participant_id", FEATURES)
-    x, n, p = s.drop(columns=["participant_id", "n"]).to_numpy(float), s["n"].to_numpy(float), len(FEATURES)
-    whole, _ = models.components(models.scatter_matrix(x.sum(axis=0), n.sum(), p), 2)
-    rng = np.random.default_rng(42)
-    boot = [np.abs(match_components(whole, models.components(models.scatter_matrix(x[i].sum(axis=0), n[i].sum(), p), 2)[0])[1]) for i in (rng.integers(0, len(x), len(x)) for _ in range(100))]
-    left = [np.abs(match_components(whole, models.components(models.scatter_matrix(x.sum(axis=0) - x[i], n.sum() - n[i], p), 2)[0])[1]) for i in range(len(x))]
-    return spark.createDataFrame([(f"C{j + 1}", float(np.quantile(np.array(boot)[:, j], 0.05)), float(np.array(left)[:, j].min())) for j in range(2)], "component string, bootstrap_p05 double, least_without_one double")
+    sums = staged(models.person_scatter(models.standard_scale(primary(spark, sf), FEATURES), "participant_id", FEATURES), "scatter")
+    p = len(FEATURES)
+    loadings = lambda v: models.components(models.scatter_matrix(np.asarray(v[1:], float), float(v[0]), p), 2)[0]
+    total = np.array(sums.agg(*[F.sum(f"`{c}`") for c in sums.columns[1:]]).first(), dtype=float)
+    whole = loadings(total)
+
+    def congruence(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: np.abs(match_components(whole, loadings(np.asarray(x, float)))[1]).tolist())
+
+    drawn = resampling.replicate_sums(sums, "participant_id", repetitions=100).select(F.lit("drawn").alias("how"), "v")
+    without = sums.select(F.lit("without").alias("how"), F.array(*[F.lit(float(t)) - F.col(f"`{c}`").cast("double") for t, c in zip(total, sums.columns[1:], strict=True)]).alias("v"))
+    phi = drawn.unionByName(without).select("how", F.posexplode(F.pandas_udf("array<double>")(congruence)("v")).alias("j", "phi"))
+    at = lambda how: F.when(F.col("how") == how, F.col("phi"))
+    return phi.groupBy(F.concat(F.lit("C"), F.col("j") + 1).alias("component")).agg(F.percentile(at("drawn"), F.lit(0.05)).alias("bootstrap_p05"), F.min(at("without")).alias("least_without_one"))
 
 
 @query("JOIN16")
@@ -190,7 +198,7 @@ def sta12(spark, sf):
 
 def mixtures(spark, sf, **how) -> tuple[DataFrame, list[dict]]:
     rows = scaled(spark, sf)
-    return rows, models.mixture_sweep(rows, FEATURES, **({"ks": (1, 2, 3), "starts": 2, "rounds": 12} | how))
+    return rows, models.mixture_sweep(rows, FEATURES, **how)
 
 
 def model_rows(spark, found: list[dict]) -> DataFrame:
@@ -206,7 +214,7 @@ def ml07(spark, sf):
 def ml11(spark, sf):
     """Session profiles: the best mixture's component of each session."""
     rows = staged(models.robust_scale(tables.sessions(spark, sf).dropna(subset=["speed", "spread", "accuracy"]), ["speed", "spread", "accuracy"]).select("participant_id", "session_year", "speed", "spread", "accuracy"), "sessions")
-    best = models.mixture_sweep(rows, ["speed", "spread", "accuracy"], ks=(1, 2), starts=1, rounds=10)[0]
+    best = models.mixture_sweep(rows, ["speed", "spread", "accuracy"], ks=(1, 2, 3, 4, 5))[0]
     return models.assign(rows, ["speed", "spread", "accuracy"], best).select("participant_id", "session_year", "component", "posterior")
 
 
@@ -221,34 +229,41 @@ def ml12(spark, sf):
 
 @query("ML10")
 def ml10(spark, sf):
-    """Held-out log-likelihood of factor models against a Gaussian of independent columns, over splits by participant."""
-    folds = models.group_folds(scaled(spark, sf).select("participant_id", *FEATURES), "participant_id", 4).select("fold", *FEATURES)
-    spread = folds.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(3))))
-
-    def score(pdf):
-        import pandas as pd
-
-        f = pdf["fold"].iloc[0]
-        a, b = (pdf[(pdf["own"] == f) == t][FEATURES].to_numpy(float) for t in (False, True))
-        if len(a) < 10 or not len(b):
-            return pd.DataFrame({"model": [], "ll": []})
-        mean = a.mean(axis=0)
-        out = [("independent", models.gaussian_log_likelihood(b - mean, np.diag(np.maximum(a.var(axis=0), 1e-9))))]
-        for k in (1, 2):
-            load, noise = models.factor_analysis(a - mean, k)
-            out.append((f"factors_{k}", models.gaussian_log_likelihood(b - mean, load @ load.T + np.diag(noise))))
-        return pd.DataFrame(out, columns=["model", "ll"])
-
-    return spread.groupBy("fold").applyInPandas(score, "model string, ll double").groupBy("model").agg(F.avg("ll").alias("held_out_ll"), F.count("*").alias("splits"))
+    """Held-out log-likelihood of factor models (continuous) and of diagonal mixtures, over 20 random splits by participant; all from sums of each split."""
+    splits = 20
+    rows = staged(scaled(spark, sf).select("participant_id", *FEATURES), "scaled")
+    train, test = (models.by_split("participant_id", splits, test=t) for t in (False, True))
+    seen, held = (models.weighted_moments(rows, FEATURES, w) for w in (train, test))
+    out = []
+    usable = [r for r in range(splits) if r in seen and seen[r][0] >= 10 and held[r][0] >= 1]
+    for r in usable:
+        (_, mean, cov), (_, test_mean, test_cov) = seen[r], held[r]
+        out.append(("independent", 0, models.gaussian_log_likelihood(mean, np.diag(np.maximum(np.diag(cov), 1e-9)), test_mean, test_cov)))
+        for k in range(1, min(6, len(FEATURES)) + 1):
+            load, noise = models.factor_analysis(cov, k)
+            out.append(("factors", k, models.gaussian_log_likelihood(mean, load @ load.T + np.diag(noise), test_mean, test_cov)))
+    found = [m for m in models.mixture_sweep(rows, FEATURES, ks=(2, 3, 4), kinds=("diag",), starts=5, replicates=splits, weigh=train) if m["replicate"] in usable]
+    sums = models.mixture_sums(rows.dropna(subset=FEATURES).select(*FEATURES, "participant_id"), FEATURES, found, test)
+    out += [("mixture", m["k"], float(sums[i][0] / held[m["replicate"]][0])) for i, m in enumerate(found)]
+    each = spark.createDataFrame(out, "model string, k int, ll double")
+    means = each.groupBy("model", "k").agg(F.avg("ll").alias("held_out_ll"), F.count("*").alias("splits"))
+    best = means.agg(F.max(F.when(F.col("model") == "factors", F.col("held_out_ll"))).alias("factors"), F.max(F.when(F.col("model") == "mixture", F.col("held_out_ll"))).alias("mixture"))
+    return means.join(best, F.lit(True)).select("model", "k", "held_out_ll", "splits", F.when(F.col("factors") >= F.col("mixture"), "continuous").otherwise("mixture").alias("verdict"))
 
 
 @query("RES04")
 def res04(spark, sf):
-    """Stability of a mixture: agreement of labels with those of a mixture of half of the participants."""
-    rows, found = mixtures(spark, sf, ks=(2,), kinds=("diag",))
-    half = models.mixture_sweep(rows.filter(F.crc32(F.col("participant_id").cast("binary")) % 2 == 0), FEATURES, ks=(2,), kinds=("diag",), starts=2, rounds=12)
-    both = models.assign(models.assign(rows, FEATURES, found[0], "a").drop("posterior"), FEATURES, half[0], "b")
-    return models.adjusted_rand(both, "a", "b")
+    """Stability of the best mixture: agreement of its labels with those of 50 bootstraps of participants, and with those of a mixture that never saw the dataset they are of."""
+    rows, found = mixtures(spark, sf)
+    rows = staged(rows.select("participant_id", "dataset_id", *FEATURES), "scaled")
+    base = next((m for m in found if m["k"] > 1 and m["valid"]), next(m for m in found if m["k"] > 1))
+    same = {"ks": (base["k"],), "kinds": (base["kind"],)}
+    drawn = models.mixture_sweep(rows, FEATURES, starts=5, replicates=50, weigh=models.by_participant("participant_id", 50), **same)
+    datasets = sorted(r[0] for r in rows.select("dataset_id").distinct().collect())
+    without = models.mixture_sweep(rows, FEATURES, starts=10, replicates=len(datasets), weigh=models.leaving_out("dataset_id", datasets), **same)
+    out = [("bootstrap", str(m["replicate"]), v) for m, v in zip(drawn, models.agreements(rows, FEATURES, base, drawn), strict=True)]
+    out += [("dataset_left_out", str(datasets[m["replicate"]]), v) for m, v in zip(without, models.agreements(rows, FEATURES, base, without, ("dataset_id", datasets)), strict=True)]
+    return spark.createDataFrame(out, "resample string, name string, ari double")
 
 
 # --- prediction ------------------------------------------------------------------------------------------------------------------------------------------------------
@@ -297,12 +312,14 @@ def ml18(spark, sf):
 
 @query("ML19")
 def ml19(spark, sf):
-    """Whether labels can be told from the source: balanced accuracy against chance."""
-    rows = profiles16(spark, sf).dropna(subset=FEATURES).select("participant_id", "task_family", *FEATURES)
-    m = models.classification_metrics(models.grouped_classification(rows, "task_family", FEATURES))
+    """Whether labels can be told from the source: balanced accuracy against chance, and its p-value under labels permuted over participants."""
+    rows = staged(profiles16(spark, sf).dropna(subset=FEATURES).select("participant_id", "task_family", *FEATURES), "confound")
+    m = models.classification_metrics(models.grouped_classification(rows, "task_family", FEATURES)).select("n", F.col("balanced_accuracy").alias("observed"))
+    null = models.permuted_accuracy(rows, "task_family", FEATURES, "participant_id", 100)
     k = rows.agg(F.count_distinct("task_family").alias("k"))
-    gain = (F.col("balanced_accuracy") - 1 / F.col("k")) / (1 - 1 / F.col("k"))
-    return m.join(k, F.lit(True)).select("n", "balanced_accuracy", gain.alias("normalised_improvement"), (gain >= 0.25).alias("substantial"))
+    p = null.join(m, F.lit(True)).agg(((1 + F.count(F.when(F.col("balanced_accuracy") >= F.col("observed"), 1))) / (1 + F.count("*"))).alias("p_value"), F.count("*").alias("permutations"))
+    gain = (F.col("observed") - 1 / F.col("k")) / (1 - 1 / F.col("k"))
+    return m.join(k, F.lit(True)).join(p, F.lit(True)).select("n", F.col("observed").alias("balanced_accuracy"), gain.alias("normalised_improvement"), "p_value", "permutations", ((gain >= 0.25) & (F.col("p_value") < 0.01)).alias("substantial"))
 
 
 @query("ML20")
@@ -329,42 +346,54 @@ def ml22(spark, sf):
 def res02(spark, sf):
     """Interval of the difference of next accuracy after large and small updates."""
     sums = resampling.effect_sums(linked(spark, sf), "participant_id", "large_update_window", "next_accuracy")
-    return resampling.interval(resampling.bootstrap(sums, resampling.difference, spark, repetitions=300))
+    return resampling.interval(resampling.bootstrap(sums, "participant_id", resampling.difference, repetitions=300))
 
 
 @query("RES03")
 def res03(spark, sf):
     """Interval of an odds ratio from counts by participant."""
-    hit = lambda a, b: F.count_if((F.col("congruency") == "incongruent") == a) if b is None else F.count_if(((F.col("congruency") == "incongruent") == a) & ((F.col("correct") == 0) == b))
-    sums = tables.trials(spark, sf).groupBy("participant_id").agg(hit(True, True).alias("a"), hit(True, False).alias("b"), hit(False, True).alias("c"), hit(False, False).alias("d")).orderBy("participant_id").drop("participant_id").toPandas()
-    return resampling.interval(resampling.bootstrap(sums, resampling.odds_ratio, spark, repetitions=500))
+    hit = lambda a, b: F.count_if(((F.col("congruency") == "incongruent") == a) & ((F.col("correct") == 0) == b))
+    sums = tables.trials(spark, sf).groupBy("participant_id").agg(hit(True, True).alias("a"), hit(True, False).alias("b"), hit(False, True).alias("c"), hit(False, False).alias("d"))
+    return resampling.interval(resampling.bootstrap(sums, "participant_id", resampling.odds_ratio, repetitions=5000))
 
 
 @query("STA08")
 def sta08(spark, sf):
-    return res03(spark, sf)
+    """Rate of slow sessions in each profile and its one-vs-rest odds ratio, with intervals by bootstrap of participants."""
+    rows = profiles16(spark, sf).select("participant_id", "profile", (F.col("accuracy") < 0.85).alias("low"))
+    return resampling.profile_association(rows, "participant_id", "profile", "low", repetitions=5000)
 
 
 @query("RES05")
 def res05(spark, sf):
-    """Agreement of a person's profiles, against permuted labels."""
-    labels = profiles16(spark, sf).select("participant_id", "profile").orderBy("participant_id", "profile").toPandas()
-    share, p = resampling.permuted_agreement(labels, "participant_id", "profile")
-    return spark.createDataFrame([(share, p)], "pair_agreement double, p_value double")
+    """Agreement of a person's profiles, against labels permuted within the dataset."""
+    return resampling.permuted_agreement(profiles16(spark, sf), "dataset_id", "participant_id", "profile", repetitions=1000)
 
 
 @query("STA15")
 def sta15(spark, sf):
-    return res05(spark, sf)
+    """How repeatable profiles are: occupancy of persons, agreement within them against permutation, persistence between neighbours against chance."""
+    rows = staged(profiles16(spark, sf).select("dataset_id", "participant_id", "block_raw", "window_index", "profile"), "profiles")
+    people = rows.groupBy("participant_id", "profile").agg(F.count("*").alias("k")).groupBy("participant_id").agg(F.sum("k").alias("n"), F.max("k").alias("top"), F.count("*").alias("kinds"))
+    persons = people.agg(F.sum("n").alias("n_windows"), F.count("*").alias("n_subjects"), F.median("n").alias("median_windows"), F.avg(F.col("top") / F.col("n")).alias("mean_modal_share"), F.median(F.col("top") / F.col("n")).alias("median_modal_share"), F.avg((F.col("kinds") > 1).cast("double")).alias("several_profiles_share"))
+    entropy = st.label_occupancy(rows, "participant_id", "profile").agg(F.avg("entropy").alias("mean_entropy"))
+    pairs = st.transition_table(rows, ["participant_id", "block_raw"], ["window_index"], "profile", F.col("next_window_index") == F.col("window_index") + 1)
+    steps = pairs.agg(F.sum("n").alias("adjacent_pairs"), (F.sum(F.when(F.col("from_label") == F.col("to_label"), F.col("n")).otherwise(0)) / F.nullif(F.sum("n"), F.lit(0))).alias("adjacent_same_share"))
+    labels = rows.groupBy("profile").agg(F.count("*").alias("k"))
+    chance = labels.agg((F.sum(F.col("k") * F.col("k")) / (F.sum("k") * F.sum("k"))).alias("chance_same_share"))
+    out = resampling.permuted_agreement(rows, "dataset_id", "participant_id", "profile", repetitions=1000)
+    for one_row in (persons, entropy, steps, chance):
+        out = out.join(one_row, F.lit(True))
+    return out
 
 
 @query("RES01")
 def res01(spark, sf):
     """Interval of the cosine of a centroid with a prototype."""
     rows = models.standard_scale(primary(spark, sf).dropna(subset=FEATURES), FEATURES).filter("accuracy > 0")
-    sums = rows.groupBy("participant_id").agg(*[F.sum(c).alias(c) for c in FEATURES]).orderBy("participant_id").drop("participant_id").toPandas()
+    sums = rows.groupBy("participant_id").agg(*[F.sum(c).alias(c) for c in FEATURES])
     proto = np.array([1.0, -1.0, 1.0, -1.0, 0.0])
-    return resampling.interval(resampling.bootstrap(sums, lambda v: float(v @ proto / max(np.linalg.norm(v) * np.linalg.norm(proto), 1e-300)), spark, repetitions=300))
+    return resampling.interval(resampling.bootstrap(sums, "participant_id", lambda v: float(v @ proto / max(np.linalg.norm(v) * np.linalg.norm(proto), 1e-300))))
 
 
 _COS = "sum(x * y) / sqrt(sum(x * x) * sum(y * y))"
