@@ -173,3 +173,36 @@ def group_slopes(df: DataFrame, group: str, y: str, x: str, expected: int) -> Da
     both = F.col(y).isNotNull() & F.col(x).isNotNull()
     g = df.filter(both).groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(x).alias("d"), F.regr_slope(y, x).alias("slope")).filter("n >= 3 and d >= 2")
     return g.agg(F.count("*").alias("groups"), F.median("slope").alias("median_slope"), F.avg((F.signum(F.round("slope", 9)) == expected).cast("double")).alias("share_expected"))
+
+
+def directional_effects(domains: dict[str, tuple[DataFrame, str, dict[str, int]]], group: str, *, least: int = 5, share: float = 0.6) -> DataFrame:
+    """A row for each domain and outcome: slopes of the outcome on the domain's predictor in each group (3 rows and 2 values of the predictor at least), their number, median and share in
+    the expected direction, and the verdict; with the share of supported outcomes of the domain.
+
+    ``domains``: name -> (rows, predictor, outcome -> expected sign).  All outcomes of a domain share one pass.
+    """
+    long = None
+    for name, (rows, predictor, outcomes) in domains.items():
+        each = F.array(*[F.struct(F.lit(o).alias("outcome"), F.lit(sign).alias("expected"), F.col(o).cast("double").alias("y")) for o, sign in outcomes.items()])
+        part = rows.select(F.lit(name).alias("domain"), F.col(group).alias("g"), F.col(predictor).cast("double").alias("x"), F.explode(each).alias("e")).select("domain", "g", "x", "e.*")
+        long = part if long is None else long.unionByName(part)
+    by = ["domain", "outcome", "expected"]
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    fits = long.groupBy(*by, "g").agg(F.count(F.when(both, 1)).alias("n"), F.count_distinct(F.when(both, F.col("x"))).alias("d"), F.regr_slope("y", "x").alias("s"))
+    slope = F.when((F.col("n") >= 3) & (F.col("d") >= 2), F.round("s", 9))
+    hit = F.when(slope.isNotNull(), (F.signum(slope) == F.col("expected")).cast("double"))
+    found = fits.groupBy(*by).agg(F.count(slope).alias("groups"), F.median(slope).alias("median_slope"), F.avg(hit).alias("share_expected"))
+    enough = F.col("groups") >= least
+    supported = enough & (F.signum("median_slope") == F.col("expected")) & (F.col("share_expected") >= share)
+    rows = found.withColumn("verdict", F.when(~enough, "not_testable").when(supported, "supported").otherwise("not_supported"))
+    sums = rows.groupBy("domain").agg(F.avg((F.col("verdict") == "supported").cast("double")).alias("domain_share"))
+    return rows.join(sums, "domain")
+
+
+def replication_gate(effects: DataFrame, participants: DataFrame, group: str, *, least: int = 5, share: float = 0.6, domains: int = 3) -> DataFrame:
+    """One row: domains tested and supported, and whether models beyond the published effects are open."""
+    per = effects.groupBy("domain").agg((F.max("groups") >= least).cast("int").alias("t"), (F.max("domain_share") >= share).cast("int").alias("s"))
+    sums = per.agg(F.sum("t").alias("domains_tested"), F.sum("s").alias("domains_supported"))
+    people = participants.agg(F.count_distinct(group).alias("participants"))
+    status = F.when(F.col("participants") < 5, "not_testable").when((F.col("domains_supported") >= 2) & (F.col("domains_tested") == domains), "passed").otherwise("failed")
+    return people.join(sums, F.lit(True)).select("participants", "domains_tested", "domains_supported", status.alias("status"))

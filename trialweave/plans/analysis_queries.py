@@ -678,12 +678,30 @@ def sta06(spark, sf):
     return st.binary_agreement(tables.sessions(spark, sf).filter("urgent is not null"), F.col("speed") > 250000, F.col("urgent") > 250000)
 
 
-@query("STA10", over(f"SELECT count(*) AS groups, {r6('median(slope) AS median_slope', 'avg((sign(round(slope, 9)) = -1)::INT) AS share_expected')}, CASE WHEN count(*) < 5 THEN 'not_testable' WHEN median(slope) < 0 AND avg((sign(round(slope, 9)) = -1)::INT) >= 0.6 THEN 'supported' ELSE 'not_supported' END AS verdict FROM (SELECT participant_id, regr_slope(accuracy, session_year) AS slope FROM sessions GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT session_year) >= 2)", SESSIONS))
+#: Directional effects: domain (task) -> outcome -> expected sign over the blocks and windows of a participant.
+EFFECTS = {
+    "Stroop": {"median_rt_ms": 1, "accuracy": -1, "rt_cv": 1, "throughput_proxy": -1},
+    "Flanker": {"accuracy": -1, "throughput_proxy": -1, "median_rt_ms": 1, "rt_cv": 1, "rt_volatility": 1},
+    "Simon": {"median_rt_ms": 1, "rt_cv": 1, "accuracy": -1, "throughput_proxy": -1, "rt_volatility": 1},
+}
+_EFFECTS = f"""fx(domain, outcome, expected) AS (VALUES {', '.join(f"('{d}', '{o}', {s})" for d, e in EFFECTS.items() for o, s in e.items())}),
+fl AS (SELECT task_family AS domain, participant_id, 10 * block_raw + window_index AS x, unnest(['median_rt_ms', 'accuracy', 'rt_cv', 'throughput_proxy', 'rt_volatility']) AS outcome,
+  unnest([median_rt_ms, accuracy, rt_cv, throughput_proxy, rt_volatility]) AS y FROM summary WHERE window_size = 16),
+fs AS (SELECT domain, outcome, expected, CASE WHEN count(y) >= 3 AND count(DISTINCT x) FILTER (y IS NOT NULL) >= 2 THEN round(regr_slope(y, x), 9) END AS s FROM fl JOIN fx USING (domain, outcome) GROUP BY domain, outcome, expected, participant_id),
+fe AS (SELECT domain, outcome, expected, count(s) AS groups, median(s) AS median_slope, avg((sign(s) = expected)::INT) AS share_expected FROM fs GROUP BY ALL),
+fv AS (SELECT *, CASE WHEN groups < 5 THEN 'not_testable' WHEN sign(median_slope) = expected AND share_expected >= 0.6 THEN 'supported' ELSE 'not_supported' END AS verdict FROM fe),
+fd AS (SELECT *, avg((verdict = 'supported')::INT) OVER (PARTITION BY domain) AS domain_share FROM fv)"""
+
+
+def effects(spark, sf) -> DataFrame:
+    s = summaries(spark, sf).filter("window_size = 16").withColumn("x", 10 * F.col("block_raw") + F.col("window_index"))
+    return st.directional_effects({d: (s.filter(F.col("task_family") == d), "x", e) for d, e in EFFECTS.items()}, "participant_id")
+
+
+@query("STA10", upto("summary", f"SELECT domain, outcome, expected, groups, {r6('median_slope', 'share_expected', 'domain_share')}, verdict FROM fd", _EFFECTS))
 def sta10(spark, sf):
-    """A directional effect: enough groups, median in the direction, 60 % of them too."""
-    g = st.group_slopes(tables.sessions(spark, sf), "participant_id", "accuracy", "session_year", -1)
-    verdict = F.when(F.col("groups") < 5, "not_testable").when((F.col("median_slope") < 0) & (F.col("share_expected") >= 0.6), "supported").otherwise("not_supported")
-    return g.withColumn("verdict", verdict)
+    """Fourteen directional effects in three domains: enough groups, median in the direction, 60 % of them too."""
+    return effects(spark, sf)
 
 
 @query("STA11", upto("transitions", _SPEARMAN("l", "rt_volatility", "next_accuracy"), "l AS (SELECT * FROM transitions WHERE window_size = 12)"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.operators import cleaning, gates, models, resampling, residuals, statistics as st
-from trialweave.plans.analysis_queries import hrv, profiles16
+from trialweave.plans.analysis_queries import _EFFECTS, effects, hrv, profiles16
 from trialweave.plans.oracle import BOUNDARY as B_SQL, SESSIONS, over, r6, upto
 from trialweave.plans.staging import shared_dir, staged
 from trialweave.plans.trial_queries import flagged, linked, members, query, summaries, update_series
@@ -429,13 +429,10 @@ def gte03(spark, sf):
     return gates.preflight(summaries(spark, sf), "control_cost_rt_ms")
 
 
-@query("GTE04", over("SELECT CASE WHEN sum((verdict = 'supported')::INT) >= 2 AND count(*) >= 3 THEN 'open' ELSE 'blocked' END AS novel_models FROM (SELECT unnest(['speed', 'accuracy', 'n_orders']) AS f, CASE WHEN round(unnest([a, b, c]), 9) > 0 THEN 'supported' ELSE 'not_supported' END AS verdict FROM (SELECT median(x) AS a, median(y) AS b, median(z) AS c FROM (SELECT regr_slope(speed, session_year) AS x, regr_slope(accuracy, session_year) AS y, regr_slope(n_orders, session_year) AS z FROM sessions GROUP BY participant_id HAVING count(*) >= 3)))", SESSIONS))
+@query("GTE04", upto("summary", "SELECT participants, domains_tested, domains_supported, CASE WHEN participants < 5 THEN 'not_testable' WHEN domains_supported >= 2 AND domains_tested = 3 THEN 'passed' ELSE 'failed' END AS status FROM (SELECT count(DISTINCT participant_id) AS participants FROM summary WHERE window_size = 16), (SELECT sum(t)::BIGINT AS domains_tested, sum(s)::BIGINT AS domains_supported FROM (SELECT domain, (max(groups) >= 5)::INT AS t, (max(domain_share) >= 0.6)::INT AS s FROM fd GROUP BY 1))", _EFFECTS))
 def gte04(spark, sf):
     """Models beyond the published effects are open only if enough of those are found."""
-    s = tables.sessions(spark, sf)
-    medians = [st.group_slopes(s, "participant_id", c, "session_year", 1).first()["median_slope"] for c in ("speed", "accuracy", "n_orders")]
-    found = sum(round(m or 0, 9) > 0 for m in medians)
-    return spark.createDataFrame([("open" if found >= 2 and len(medians) >= 3 else "blocked",)], "novel_models string")
+    return st.replication_gate(effects(spark, sf), summaries(spark, sf).filter("window_size = 16"), "participant_id")
 
 
 @query("GTE05", "SELECT user_id, count(*) AS recordings, count(*) FILTER (event_type = 'error') AS errors, count(*) = 66 AND count(*) FILTER (event_type = 'error') = 0 AS complete FROM events GROUP BY 1")
