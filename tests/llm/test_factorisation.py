@@ -40,3 +40,18 @@ def test_odd_rows(spark):
     assert len(out) == 5 and all(0 <= r["score"] <= 1 for r in out)
     assert all(r["score"] == 0.5 for r in fm.quality_scores(docs, labels.limit(0)).collect())
     assert fm.quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_bounds_names_and_long_texts(spark):
+    words = lambda k, n: " ".join(f"{k}{i % 50}" for i in range(n))
+    rows = [(f"d{i}", words("good" if i % 2 else "bad", 60), 1, i % 2) for i in range(60)] + [("d1", words("good", 60), 1, 1)] * 20 + [("long", words("good", 300_000), 1, 9), ("gap", " " * 2_000_000 + "x", 1, 9)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, n_chars long, QUALITY int")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(60)] + [("d1", 1)], "doc_id string, quality int")
+    out = fm.quality_scores(docs, labels).collect()
+    assert len(out) == len(rows) and {r["doc_id"] for r in out} == {r[0] for r in rows}
+    known = fm.sample(labels, "doc_id", "quality")
+    assert known.count() == 60
+    renamed = docs.toDF("c0", "c1", "c2", "c3")
+    assert fm.labelled_rows(renamed, known, "c0", "c1", ["c2"], 10**9).count() == 60
+    some = fm.labelled_rows(renamed, known, "c0", "c1", ["c2"], 5000)
+    assert 0 < some.count() < 30 and some.selectExpr("sum(octet_length(text))").first()[0] <= 5000

@@ -73,3 +73,10 @@ def test_odd_rows(spark):
     assert next(r for r in out if r["page_id"] == 2)["suffix"] == "de"
     assert all(r["language"] is None for r in li.identify(docs.withColumn("lang", F.lit(None).cast("string")), pages).collect())
     assert li.identify(docs.limit(0), pages.limit(0)).count() == 0
+
+
+def test_ids_names_and_long_texts(spark):
+    docs = spark.createDataFrame([("a", "der die das und nicht " * 100, "de", "s", "x"), ("b", "the of and to with " * 200_000, "en", "s", "y"), ("c", " " * 1_000_000, None, "s", "z")], "doc_id string, text string, lang string, source string, Language string")
+    pages = spark.createDataFrame([("p", "http://x.de/", "<p>" + "das und die " * 100_000 + "</p>", 1)], "page_id string, url string, html string, kind int")
+    out = {(r["doc_id"], r["page_id"]): r["language"] for r in li.identify(docs, pages).collect()}
+    assert len(out) == 4 and out["a", None] == "de" and out["b", None] == "en" and out[None, "p"] == "de"

@@ -4,11 +4,12 @@ The score of a text is ``sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 each statistic one of its standardised value; pairs are scored in time linear in the features by
 ``sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i (v_if x_i)^2)``.
 
-Fitting takes the ``max_train`` labelled rows of smallest hash (a documented bound); their features are made by tasks over whole texts and the
+Fitting takes the ``max_train`` labelled ids of smallest hash, as many of them as have ``max_train_bytes`` of text (documented bounds); their features are made by tasks over whole texts and the
 model is fitted on the driver by mini-batch AdaGrad.  Scoring is one pass over all texts, without a shuffle.
 
-Defined cases: null and empty texts have no words and get a score from bias and statistics; null metadata counts as 0; rows without a
-label aren't fitted to; without any label every score is 0.5; repeated rows get the same score; a null id isn't held out.
+Defined cases: null and empty texts have no words and get a score from bias and statistics; texts of any length are scored whole; null metadata counts as 0; rows without a
+label aren't fitted to; without any label every score is 0.5; repeated rows get the same score, and of a repeated labelled id the least text and the least label are fitted to once; a score of 0.5 (a tie)
+is predicted 1; a null id isn't held out, ids may be of any type with an order; an empty table gives an empty result; other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -18,14 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialweave.llm.text import numbered, place
 from trialweave.llm.words import U64, blocks, hashes, mix, spans
+from trialweave.plans.staging import staged
 
 SLOTS = 1 << 16
 FACTORS = 8
 MAX_TRAIN = 6000
+MAX_TRAIN_BYTES = 200_000_000
 #: Share of bytes by kind, then sizes and repetition.
 STATISTICS = ("symbols", "digits", "upper", "beyond_ascii", "punctuation", "words", "word_length", "lines", "distinct_words", "distinct_windows", "short_words")
 _KIND = np.zeros((5, 256), dtype=np.uint8)
@@ -170,17 +174,28 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(labelled: DataFrame, *, id_col: str, text_col: str, label_col: str, metadata: tuple[str, ...] = (), max_train: int = MAX_TRAIN, **how) -> Machine:
-    """A machine fitted to ``max_train`` rows at most, those of smallest hash of the id."""
-    rows = labelled.select(label_col, text_col, *metadata).mapInArrow(_features, "label int, slots binary, stats binary").collect()
+def train(labelled: DataFrame, **how) -> Machine:
+    """A machine fitted to all rows (label, text, metadata): a sample of bounded size, see :func:`sample`."""
+    width = len(STATISTICS) + len(labelled.columns) - 2
+    rows = labelled.mapInArrow(_features, "label int, slots binary, stats binary").collect()
     rows.sort(key=lambda r: (bytes(r["slots"]), bytes(r["stats"]), r["label"]))
-    stats = np.array([np.frombuffer(r["stats"], np.float32) for r in rows]).reshape(-1, len(STATISTICS) + len(metadata))
+    stats = np.array([np.frombuffer(r["stats"], np.float32) for r in rows]).reshape(-1, width)
     return fit([np.frombuffer(r["slots"], np.int32) for r in rows], stats, np.array([r["label"] for r in rows], dtype=np.float64), **how)
 
 
 def sample(labels: DataFrame, id_col: str, label_col: str, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The ``max_train`` rows of smallest hash: so few that they may be broadcast."""
-    return labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col).orderBy(F.xxhash64(id_col), id_col, label_col).limit(max_train)
+    """i, label: the ``max_train`` ids of smallest hash, so few that they may be broadcast; of several labels of an id the least."""
+    one = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("int").alias("label"))
+    return one.orderBy(F.xxhash64("i"), "i").limit(max_train)
+
+
+def labelled_rows(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, metadata: list[str], max_bytes: int) -> DataFrame:
+    """label, text, metadata of the sample's ids, a row an id (of repeated ones the least text), while their texts, in order of the hash, have at most ``max_bytes``."""
+    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("i")).select("i", "label", F.struct(F.col(text_col).cast("string").alias("text"), *[F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(metadata)]).alias("x"))
+    one = staged(rows.groupBy("i").agg(F.first("label").alias("label"), F.min("x").alias("x")), "labelled")
+    size = F.coalesce(F.octet_length("x.text"), F.lit(0)).cast("long")
+    upto = one.select("i", F.sum(size).over(Window.orderBy(F.xxhash64("i"), "i")).alias("bytes")).filter(F.col("bytes") <= max_bytes)  # ids and sizes only
+    return one.join(F.broadcast(upto.select("i")), "i").select("label", "x.*")
 
 
 def _scorer(model):
@@ -194,11 +209,16 @@ def _scorer(model):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = ("n_chars",), max_train: int = MAX_TRAIN) -> DataFrame:
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = ("n_chars",),
+    max_train: int = MAX_TRAIN, max_train_bytes: int = MAX_TRAIN_BYTES,
+) -> DataFrame:
     """For each row the id, ``held_out``, ``score`` and ``predicted``; held-out rows aren't fitted to."""
-    known = sample(labels.filter(~held_out(F.col(id_col))), id_col, label_col, max_train)
-    rows = docs.select(id_col, text_col, *metadata).join(F.broadcast(known), id_col)
-    model = docs.sparkSession.sparkContext.broadcast(train(rows, id_col=id_col, text_col=text_col, label_col=label_col, metadata=metadata))
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"), *[F.col(c).cast("double") for c in metadata]).mapInArrow(_scorer(model), f"id {kind}, held_out boolean, score double")
+    rows, (doc, text, *extra), _ = numbered(docs, (), id_col, text_col, *metadata)
+    marks, (mark, label), _ = numbered(labels, (), id_col, label_col)
+    known = staged(sample(marks.filter(~held_out(F.col(mark))), mark, label, max_train), "known")
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled_rows(rows, known, doc, text, extra, max_train_bytes)))
+    kind = docs.schema[place(docs, id_col)].dataType.simpleString()
+    slim = rows.select(F.col(doc).alias("id"), held_out(F.col(doc)).alias("held_out"), F.col(text).cast("string").alias("text"), *[F.col(c).cast("double") for c in extra])
+    scored = slim.mapInArrow(_scorer(model), f"id {kind}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -10,8 +10,9 @@ The sums are pre-aggregated, one row a group; groups meet rows by joins on narro
 
 The trigram table is fitted to ``max_train`` labelled texts, those of smallest hash (a documented bound).
 
-Defined cases: an empty or null text has no likelihood and gets its language from the other evidence; missing declarations,
-suffixes and hosts add nothing; repeated rows each count; without labelled texts the language is null; an empty table gives an empty result.
+Defined cases: an empty or null text has no likelihood and gets its language from the other evidence; texts and pages of any length are read whole; missing declarations,
+suffixes and hosts add nothing; repeated rows each count; languages of equal posterior (a tie) are decided by the alphabet; null ids are rows as any other, ids may be of any type; without labelled texts the language
+is null; an empty table gives an empty result; other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.html_text import host, page_text
+from trialweave.llm.text import numbered
 from trialweave.llm.words import blocks
 from trialweave.plans.staging import staged
 
@@ -167,10 +169,15 @@ def fused(evidence: DataFrame, langs: list[str]) -> DataFrame:
 
 def identify(docs: DataFrame, pages: DataFrame, *, max_train: int = MAX_TRAIN) -> DataFrame:
     """Languages of all documents (their source is the host, nothing is declared) and of all pages: doc_id, page_id, language, confidence."""
+    rows, at, _ = numbered(docs, (), "doc_id", "text", "lang", "source")
+    docs = rows.select(*[F.col(c).alias(n) for c, n in zip(at, ("doc_id", "text", "lang", "source"), strict=True)])
+    rows, at, _ = numbered(pages, (), "page_id", "url", "html")
+    pages = rows.select(*[F.col(c).alias(n) for c, n in zip(at, ("page_id", "url", "html"), strict=True)])
     langs, table = trained(docs, "text", "lang", F.col("doc_id"), max_train)
     null = F.lit(None).cast("string")
+    doc_null, page_null = (F.lit(None).cast(t.schema[c].dataType) for t, c in ((docs, "doc_id"), (pages, "page_id")))
     d = likelihoods(docs, langs, table, id_col="doc_id", text_col="text", url=F.col("source"), declared=null, from_html=False)
     p = likelihoods(pages, langs, table, id_col="page_id", text_col="html", url=F.col("url"), declared=null, from_html=True)
-    d = d.select(F.lit("document").alias("kind"), F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("host"), "declared", null.alias("suffix"), "ll")
-    p = p.select(F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("page_id"), host(F.col("url")).alias("host"), "declared", suffix(F.col("url")).alias("suffix"), "ll")
+    d = d.select(F.lit("document").alias("kind"), F.col("id").alias("doc_id"), page_null.alias("page_id"), F.coalesce("url", F.lit("")).alias("host"), "declared", null.alias("suffix"), "ll")
+    p = p.select(F.lit("page").alias("kind"), doc_null.alias("doc_id"), F.col("id").alias("page_id"), host(F.col("url")).alias("host"), "declared", suffix(F.col("url")).alias("suffix"), "ll")
     return fused(d.unionByName(p), langs).select("kind", "doc_id", "page_id", "language", "confidence", "declared", "suffix")
