@@ -327,3 +327,34 @@ def test_permuted_covariances(spark):
     for r, cov in enumerate(null):
         assert np.allclose(cov, np.cov(turn(0, r), turn(1, r), ddof=0)) and abs(cov[0, 1]) < 0.2 * real[0, 1]
     assert n == 6000 and len({c[0, 1] for c in null}) == 3
+
+
+def test_random_intercept_equals_dense_restricted_likelihood(spark):
+    rng = np.random.default_rng(7)
+    g = np.repeat(np.arange(12), rng.integers(3, 9, 12))
+    x = np.column_stack([rng.normal(size=len(g)), (rng.random(len(g)) < 0.4).astype(float), (g % 2).astype(float)])
+    y = 2 + x @ [0.7, -1.0, 0.5] + rng.normal(size=12)[g] * 1.5 + rng.normal(size=len(g))
+    df = spark.createDataFrame([(f"g{i}", float(v), *map(float, r)) for i, v, r in zip(g, y, x, strict=True)], "g string, y double, a double, b double, c double").repartition(3)
+    got = residuals.random_intercept(df, "y", ["a", "b", "c"], "g")
+    full = np.column_stack([np.ones(len(g)), x])
+
+    def reml(ratio):
+        v = np.eye(len(g)) + ratio * (g[:, None] == g[None, :])
+        w = np.linalg.inv(v)
+        a = full.T @ w @ full
+        beta = np.linalg.solve(a, full.T @ w @ y)
+        r = y - full @ beta
+        s = r @ w @ r / (len(y) - 4)
+        return -0.5 * ((len(y) - 4) * np.log(s) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(a)[1]), beta, s
+
+    best = max(np.geomspace(got["ratio"] / 2, got["ratio"] * 2, 400), key=lambda r: reml(r)[0])
+    assert got["status"] == "mixed" and abs(best / got["ratio"] - 1) < 0.01
+    _, beta, s = reml(got["ratio"])
+    assert np.allclose(got["beta"], beta[1:], atol=1e-8) and np.isclose(got["variance"], s)
+    few = residuals.random_intercept(df.filter("g < 'g2'"), "y", ["a", "b", "c"], "g")  # g0, g1, g10, g11
+    keep = np.isin(g, [0, 1, 10, 11])
+    if few["status"] == "participant_intercepts":
+        dummies = (g[keep][:, None] == np.array([0, 1, 10, 11])).astype(float)
+        beta = np.linalg.lstsq(np.column_stack([dummies, x[keep][:, :2]]), y[keep], rcond=None)[0]
+        assert np.allclose(few["beta"][:2], beta[4:], atol=1e-8) and abs(few["beta"][2]) < 1e-9
+    assert residuals.random_intercept(df.limit(0), "y", ["a"], "g")["status"] == "not_testable"

@@ -124,18 +124,20 @@ def tw10(spark, sf):
 
 @query("TW09")
 def tw09(spark, sf):
-    """Components from fewer windows a recording against those from all."""
-    cols = ["mean_nn", "sdnn", "rmssd", "pnn50"]
+    """Components from at most so many hours a participant (2, 4 and 8; a tenth and a twentieth of one for these short recordings) of evenly spaced windows, against those from all."""
+    cols, seconds = ["mean_nn", "sdnn", "rmssd", "pnn50"], 60
     rows = staged(hrv(spark, sf).dropna(subset=cols), "hrv")
-    full = None
+    person = Window.partitionBy("participant_id")
+    rows = staged(rows.withColumns({"place": F.row_number().over(person.orderBy("window_index")) - 1, "n": F.count(F.lit(1)).over(person)}), "placed")
+    loadings = lambda part: models.components(models.moments(models.standard_scale(models.person_centre(part, "participant_id", cols), cols), cols)[2], 3)[0]
+    full = loadings(rows)
     out = []
-    for most in (1000, 4, 2):
-        part = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("participant_id"))).filter(windows.spaced(F.col("window_index"), F.col("n"), most) if most < 1000 else F.lit(True))
-        cov = models.moments(models.standard_scale(models.person_centre(part, "participant_id", cols), cols), cols)[2]
-        load, _ = models.components(cov, 2)
-        full = load if full is None else full
-        out += [(most, f"C{j + 1}", float(abs(v))) for j, v in enumerate(joins.match_components(full, load)[1])]
-    return spark.createDataFrame(out, "windows int, component string, congruence double")
+    for hours in (0.05, 0.1, 2.0, 4.0, 8.0):
+        part = staged(rows.filter(windows.spaced(F.col("place"), F.col("n"), int(hours * 3600 // seconds))).select("participant_id", *cols), "cap")
+        load = loadings(part)
+        direct = np.abs(joins.match_components(full, load)[1])
+        out.append((hours, part.count(), *[float(v) for v in direct], float(models.subspace_similarity(full[:, 1:3], load[:, 1:3])[0].min()), float(models.subspace_similarity(full, load)[0].min())))
+    return spark.createDataFrame(out, "maximum_hours double, n_windows long, c1_congruence double, c2_congruence double, c3_congruence double, secondary_similarity double, all_similarity double")
 
 
 @query("HRV03")

@@ -57,10 +57,25 @@ def rsd03(spark, sf):
 
 @query("RSD05")
 def rsd05(spark, sf):
-    """Residuals of a window measure by person and task, then centred on the person."""
-    rows = primary(spark, sf).withColumns({"trial_raw": F.row_number().over(Window.partitionBy("participant_id").orderBy("window_id")), "congruency": F.col("task_family"), "block_raw": F.lit(0), "valid_rt": F.lit(True), "valid_correct_rt": F.lit(True)})
-    r = residuals.residuals(rows, y="throughput_proxy")
-    return models.person_centre(r, "participant_id", ["residual"]).select("window_id", "residual", "residual_status")
+    """Residuals of window measures by task, block, order and time on task with a random intercept of the person, centred on the person; with the person's mean and what was fitted."""
+    cols = ["throughput_proxy", "rt_cv"]
+    rows = summaries(spark, sf).filter("window_size = 16 and dynamics_eligible").select("window_id", "participant_id", "task_family", "block_raw", "window_index", *cols)
+    person = Window.partitionBy("participant_id")
+    rows = rows.withColumn("place", F.row_number().over(person.orderBy("block_raw", "window_index", "window_id")) - 1)
+    rows = staged(rows.withColumn("time_on_task", F.col("place") / F.greatest(F.count(F.lit(1)).over(person) - 1, F.lit(1))), "bridge")
+    xs = {"place": F.col("place").cast("double"), "time_on_task": F.col("time_on_task")}
+    for c in ("task_family", "block_raw"):
+        levels = sorted(r[0] for r in rows.select(c).distinct().collect() if r[0] is not None)  # a few
+        xs |= {f"{c}_{i}": (F.col(c) == v).cast("double") for i, v in enumerate(levels[1:])}
+    rows = rows.withColumns(xs)
+    out = None
+    for y in cols:
+        m = residuals.random_intercept(rows, y, list(xs), "participant_id")
+        raw = F.col(y) - sum((F.lit(float(b or 0.0)) * F.col(x) for b, x in zip(m["beta"], xs, strict=True)), F.lit(0.0)) if m["status"] != "not_testable" else F.lit(None).cast("double")
+        part = rows.withColumns({"raw": raw, "person_mean": F.avg(y).over(person)})
+        part = part.select("window_id", F.lit(y).alias("feature"), "person_mean", (F.col("raw") - F.avg("raw").over(person)).alias("within_residual"), F.lit(m["status"]).alias("status"), F.lit(m["n_rows"]).alias("n_windows"), F.lit(m["n_participants"]).alias("n_participants"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("RSD06", upto("summary", f"SELECT window_id, {r6('(rt_cv - coalesce(m, gm)) / coalesce(nullif(i, 0), nullif(gi, 0), 1) AS adjusted')} FROM s LEFT JOIN t ON t.dataset_id = s.dataset_id, (SELECT median(rt_cv) AS gm, quantile_cont(rt_cv, 0.75) - quantile_cont(rt_cv, 0.25) AS gi FROM s WHERE block_raw = 0) g WHERE s.block_raw = 1",
