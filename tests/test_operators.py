@@ -358,3 +358,46 @@ def test_random_intercept_equals_dense_restricted_likelihood(spark):
         beta = np.linalg.lstsq(np.column_stack([dummies, x[keep][:, :2]]), y[keep], rcond=None)[0]
         assert np.allclose(few["beta"][:2], beta[4:], atol=1e-8) and abs(few["beta"][2]) < 1e-9
     assert residuals.random_intercept(df.limit(0), "y", ["a"], "g")["status"] == "not_testable"
+
+
+def test_models_by_sums_equal_fits_to_rows(spark):
+    """Ridge, partial least squares and logistic regression, fold by fold, against plain fits to each fold's rows."""
+    rng = np.random.default_rng(11)
+    n = 240
+    a, b, c = rng.normal(size=(3, n))
+    kind = np.array(["u", "v", None], dtype=object)[rng.integers(0, 3, n)]
+    y = 2 * a - b + (kind == "u") + rng.normal(0, 0.5, n)
+    a[rng.random(n) < 0.1] = np.nan
+    label = np.where(y > 1, "high", np.where(y < -1, "low", "mid"))
+    pdf = pd.DataFrame({"g": [f"g{i % 30}" for i in range(n)], "a": a, "b": b, "c": c, "kind": kind, "y": y, "label": label})
+    df = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in pdf.itertuples(index=False)], "g string, a double, b double, c double, kind string, y double, label string").repartition(4)
+    fold = {r["g"]: r["fold"] for r in models.group_folds(df, "g").select("g", "fold").distinct().collect()}
+    own = pdf["g"].map(fold).to_numpy()
+    error, e_pls, t_pls, losses = [], 0.0, 0.0, []
+    full = pdf.assign(a=pdf["a"].fillna(0.0))
+    for f in range(5):
+        train, test = pdf[own != f], pdf[own == f]
+        x, z = models._prepared(train, test, ["a", "b"], ["kind"])
+        mx, my = x.mean(axis=0), train["y"].mean()
+        beta = np.linalg.solve((x - mx).T @ (x - mx) + np.eye(x.shape[1]), (x - mx).T @ (train["y"] - my))
+        error += (test["y"] - (my + (z - mx) @ beta)).tolist()
+        u, v = full[own != f][["a", "b", "c"]].to_numpy(), full[own != f][["y"]].to_numpy()
+        gram = np.column_stack([np.ones(len(u)), u, v])
+        coef, cx, cy, sd = models.pls(gram.T @ gram, 3, 3)
+        want = np.linalg.lstsq(np.column_stack([np.ones(len(u)), u]), v, rcond=None)[0]
+        assert np.allclose(coef, want[1:])  # with all components it is least squares
+        t = full[own == f]
+        e_pls += (((t[["y"]].to_numpy() - cy - (t[["a", "b", "c"]].to_numpy() - cx) @ coef) / sd) ** 2).sum()
+        t_pls += (((t[["y"]].to_numpy() - cy) / sd) ** 2).sum()
+        x, z = models._prepared(train, test, ["a", "b"], [])
+        names = ["high", "low", "mid"]
+        k = np.array([names.index(v) for v in train["label"]])
+        w = (len(k) / (3 * np.bincount(k, minlength=3)))[k]
+        p = models.softmax(np.column_stack([z, np.ones(len(z))]) @ models.logistic_fit(x, k, 3, w))
+        losses += (-np.log(p[np.arange(len(z)), [names.index(v) for v in test["label"]]])).tolist()
+    got = models.grouped_ridge(df, "y", ["a", "b"], ["kind"], "g").first()
+    assert got["n"] == n and np.isclose(got["rmse"], np.sqrt(np.mean(np.square(error)))) and np.isclose(got["r2"], 1 - np.sum(np.square(error)) / (n * y.var()))
+    got = models.grouped_pls(df.fillna({"a": 0.0}), ["a", "b", "c"], ["y"], "g", parts=3).first()
+    assert got["n"] == n and np.isclose(got["r2"], 1 - e_pls / t_pls)
+    rows = models.grouped_classification(df, "label", ["a", "b"], "g").collect()
+    assert np.allclose(sorted(r["log_loss"] for r in rows), sorted(losses), atol=1e-5)

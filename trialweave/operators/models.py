@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.columns import quantile, safe_div
 from trialweave.operators.resampling import counts_of
+from trialweave.plans.staging import staged
 
 # --- preprocessing ---------------------------------------------------------------------------------------------------------------------------------------------------
 
@@ -477,34 +478,107 @@ def _prepared(train: pd.DataFrame, test: pd.DataFrame, numeric: list[str], categ
     return (np.column_stack(a), np.column_stack(b)) if a else (np.zeros((len(train), 0)), np.zeros((len(test), 0)))
 
 
-def ridge_fit(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    """Closed form with an intercept that isn't penalised."""
-    mx, my = x.mean(axis=0), y.mean()
-    beta = np.linalg.solve((x - mx).T @ (x - mx) + alpha * np.eye(x.shape[1]), (x - mx).T @ (y - my))
-    return beta, float(my - mx @ beta)
+def summed(rows: DataFrame, columns: list[str], of: Callable[[dict[str, np.ndarray]], np.ndarray]) -> np.ndarray | None:
+    """The sum over all batches of rows of a vector of their columns (numbers with NaN for null, others as objects); a row a task is collected."""
+    texts = {c for c in columns if rows.schema[c].dataType.simpleString() == "string"}
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = {c: np.array(v.to_pylist(), dtype=object) if c in texts else v.cast(pa.float64()).to_numpy(zero_copy_only=False) for c, v in zip(columns, b.columns, strict=True)}
+                v = of(x)
+                total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    found = [np.array(r["v"]) for r in rows.select(*columns).mapInArrow(part, "v array<double>").collect()]
+    return sum(found[1:], found[0]) if found else None
+
+
+class FoldDesign:
+    """Median imputation with indicators, robust scaling and one-hot codes for each fold, all from its training rows (``fold`` is another), by aggregates."""
+
+    def __init__(self, rows: DataFrame, numeric: list[str], categorical: list[str], folds: int) -> None:
+        self.numeric, self.categorical, self.folds = numeric, categorical, folds
+        spread = rows.withColumn("f", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold"))))
+        clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        first = spread.groupBy("f").agg(F.count("*").alias("n"), *[x for i, c in enumerate(numeric) for x in (F.median(clean(c)).alias(f"m{i}"), F.count(clean(c)).alias(f"k{i}"))]).collect()
+        self.middle = {r["f"]: [float(r[f"m{i}"] or 0.0) for i in range(len(numeric))] for r in first}
+        self.gaps = {r["f"]: [r[f"k{i}"] < r["n"] for i in range(len(numeric))] for r in first}
+        fill = lambda i, c: F.coalesce(clean(c), F.element_at(F.create_map(*[F.lit(x) for f, m in self.middle.items() for x in (f, m[i])]), F.col("f")))
+        quartiles = spread.groupBy("f").agg(F.count("*"), *[F.percentile(fill(i, c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(numeric)]).collect() if first else []
+        self.spread = {r["f"]: [(r[f"q{i}"][1], (r[f"q{i}"][2] - r[f"q{i}"][0]) or 1.0) for i in range(len(numeric))] for r in quartiles}
+        self.levels: dict[tuple[int, str], list] = {}
+        for c in categorical:
+            for r in spread.filter(F.col(c).isNotNull()).select("f", c).distinct().orderBy("f", c).collect():  # a few
+                self.levels.setdefault((r["f"], c), []).append(r[c])
+
+    def __call__(self, x: dict[str, np.ndarray], fold: int) -> np.ndarray:
+        out = []
+        for i, c in enumerate(self.numeric):
+            if self.gaps[fold][i]:
+                out.append(np.isnan(x[c]).astype(float))
+            middle, scale = self.spread[fold][i]
+            out.append((np.where(np.isnan(x[c]), self.middle[fold][i], x[c]) - middle) / scale)
+        for c in self.categorical:
+            out += [(x[c] == v).astype(float) for v in self.levels.get((fold, c), [])]
+        n = len(next(iter(x.values())))
+        return np.column_stack(out) if out else np.zeros((n, 0))
+
+
+def _fold_rows(df: DataFrame, group: str, folds: int, columns: list[str]) -> DataFrame:
+    columns = list(dict.fromkeys(columns))
+    return staged(group_folds(df, group, folds).select("fold", *columns), "folds")
+
+
+def ridge_from(gram: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
+    """Coefficients and an intercept that isn't penalised, from the cross products of (1, x, y)."""
+    n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
+    c = gram[1:, 1:] - n * np.outer(mean, mean)
+    beta = np.linalg.solve(c[:-1, :-1] + alpha * np.eye(len(c) - 1), c[:-1, -1])
+    return beta, float(mean[-1] - mean[:-1] @ beta)
 
 
 def grouped_ridge(df: DataFrame, target: str, numeric: list[str], categorical: list[str] | None = None, group: str = "participant_id", folds: int = 5, alpha: float = 1.0) -> DataFrame:
     """Out-of-fold R2, MAE and RMSE of a ridge regression with folds by group: one row.
 
-    Each fold is a task that gets the training rows once; the fold's scalers are its own.
+    A fold's fit needs the cross products of its training rows only: one pass adds them up for all folds, a second one the errors.
     """
     categorical = categorical or []
-    rows = group_folds(df.filter(F.col(target).isNotNull()), group, folds).select("fold", group, target, *numeric, *categorical)
-    spread = rows.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf["fold"].iloc[0]
-        train, test = pdf[pdf["own"] != f].sort_values([group, target, *numeric]), pdf[pdf["own"] == f]
-        if not len(test) or not len(train):
-            return pd.DataFrame({"y": [], "p": []})
-        a, b = _prepared(train, test, numeric, categorical)
-        beta, bias = ridge_fit(a, train[target].to_numpy(float), alpha)
-        return pd.DataFrame({"y": test[target].to_numpy(float), "p": b @ beta + bias})
-
-    out = spread.groupBy("fold").applyInPandas(fit, "y double, p double")
-    e = F.col("y") - F.col("p")
-    return out.agg(F.count("*").alias("n"), (1 - safe_div(F.sum(e * e), F.var_pop("y") * F.count("*"))).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    rows = _fold_rows(df.filter(F.col(target).isNotNull()), group, folds, [target, *numeric, *categorical])
+    columns = rows.columns
+    design = FoldDesign(rows, numeric, categorical, folds)
+    live = sorted(design.spread)
+
+    def products(x: dict[str, np.ndarray]) -> np.ndarray:
+        out = []
+        for f in live:
+            z = np.column_stack([np.ones(len(x["fold"])), design(x, f), x[target]])[x["fold"] != f]
+            out.append((z.T @ z).ravel())
+        return np.concatenate(out)
+
+    total, fits, at = summed(rows, columns, products) if live else None, {}, 0
+    if total is not None:
+        for f in live:
+            p = 2 + sum(1 + g for g in design.gaps[f]) + sum(len(design.levels.get((f, c), [])) for c in categorical)
+            fits[f] = ridge_from(total[at : at + p * p].reshape(p, p), alpha)
+            at += p * p
+
+    def errors(x: dict[str, np.ndarray]) -> np.ndarray:
+        out = np.zeros(5)
+        for f, (beta, bias) in fits.items():
+            mine = x["fold"] == f
+            y = x[target][mine]
+            e = y - design({c: v[mine] for c, v in x.items()}, f) @ beta - bias
+            out += [len(y), (e**2).sum(), np.abs(e).sum(), y.sum(), (y**2).sum()]
+        return out
+
+    e = summed(rows, columns, errors) if fits else None
+    n, squares, gaps, s, ss = e if e is not None else np.zeros(5)
+    around = ss - s * s / n if n else 0.0
+    row = (int(n), float(1 - squares / around) if around > 0 else None, float(gaps / n) if n else None, float(np.sqrt(squares / n)) if n else None)
+    return df.sparkSession.createDataFrame([row], "n long, r2 double, mae double, rmse double")
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, classes: int, weight: np.ndarray, l2: float = 1.0, rounds: int = 60) -> np.ndarray:
@@ -529,27 +603,83 @@ def softmax(a: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def grouped_classification(df: DataFrame, label: str, numeric: list[str], group: str = "participant_id", folds: int = 5) -> DataFrame:
-    """Out-of-fold class probabilities with balanced weights: group, truth, predicted, confidence, log_loss."""
+def grouped_classification(df: DataFrame, label: str, numeric: list[str], group: str = "participant_id", folds: int = 5, l2: float = 1.0, rounds: int = 60) -> DataFrame:
+    """Out-of-fold class probabilities with balanced weights: group, truth, predicted, confidence, log_loss.
+
+    The multinomial fits of all folds share the passes: each adds up the gradients of all folds, a step is by a fixed bound of the Hessian, which is a sum as well.
+    """
     names = sorted(r[0] for r in df.select(label).filter(F.col(label).isNotNull()).distinct().collect())
-    rows = group_folds(df.filter(F.col(label).isNotNull()), group, folds).select("fold", group, label, *numeric)
-    spread = rows.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    kind = df.schema[group].dataType.simpleString()
+    rows = _fold_rows(df.filter(F.col(label).isNotNull()), group, folds, [group, label, *numeric])
+    columns, classes = ["fold", label, *numeric], len(names)
+    design = FoldDesign(rows, numeric, [], folds)
+    counts: dict[int, np.ndarray] = {f: np.zeros(classes) for f in design.spread}
+    for r in rows.groupBy("fold", label).agg(F.count("*").alias("n")).collect():  # folds by labels
+        for f, c in counts.items():
+            c[names.index(r[label])] += r["n"] * (r["fold"] != f)
+    weights = {f: c.sum() / (np.count_nonzero(c) * np.maximum(c, 1)) for f, c in counts.items()}
+    place = {v: i for i, v in enumerate(names)}
+    width = {f: 1 + sum(1 + g for g in design.gaps[f]) for f in design.spread}
+    coefficients = {f: np.zeros((width[f], classes)) for f in design.spread}
+
+    def training(x: dict[str, np.ndarray], f: int):
+        on = x["fold"] != f
+        z = np.column_stack([design({c: v[on] for c, v in x.items()}, f), np.ones(int(on.sum()))])
+        y = np.array([place[v] for v in x[label][on]], dtype=int)
+        return z, y, weights[f][y]
+
+    def bounds(x: dict[str, np.ndarray]) -> np.ndarray:
+        return np.concatenate([((z * w[:, None]).T @ z).ravel() for z, _, w in (training(x, f) for f in coefficients)])
+
+    total = summed(rows, columns, bounds) if coefficients else None
+    at, inverse, penalty = 0, {}, {}
+    for f in coefficients if total is not None else ():
+        k = width[f]
+        penalty[f] = l2 * np.eye(k)
+        penalty[f][-1, -1] = 1e-6
+        inverse[f] = np.linalg.inv(0.5 * (1 - 1 / max(classes, 2)) * total[at : at + k * k].reshape(k, k) + penalty[f])
+        at += k * k
+    live = list(inverse)
+    for _ in range(rounds):
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf["fold"].iloc[0]
-        train, test = pdf[pdf["own"] != f].sort_values([group, label, *numeric]), pdf[pdf["own"] == f]
-        if not len(test) or not len(train):
-            return pd.DataFrame({group: [], "truth": [], "predicted": [], "confidence": [], "log_loss": []})
-        a, b = _prepared(train, test, numeric, [])
-        y = np.array([names.index(v) for v in train[label]])
-        counts = np.bincount(y, minlength=len(names))
-        weight = (len(y) / (np.count_nonzero(counts) * np.maximum(counts, 1)))[y]
-        p = softmax(np.column_stack([b, np.ones(len(b))]) @ logistic_fit(a, y, len(names), weight))
-        t = np.array([names.index(v) for v in test[label]])
-        return pd.DataFrame({group: test[group].to_numpy(), "truth": test[label].to_numpy(), "predicted": [names[i] for i in p.argmax(axis=1)], "confidence": p.max(axis=1), "log_loss": -np.log(np.maximum(p[np.arange(len(t)), t], 1e-15))})
+        def gradients(x: dict[str, np.ndarray], live=tuple(live)) -> np.ndarray:
+            out = []
+            for f in live:
+                z, y, w = training(x, f)
+                out.append((z.T @ (w[:, None] * (np.eye(classes)[y] - softmax(z @ coefficients[f])))).ravel())
+            return np.concatenate(out)
 
-    return spread.groupBy("fold").applyInPandas(fit, f"{group} {kind}, truth string, predicted string, confidence double, log_loss double")
+        if not live:
+            break
+        total, at, still = summed(rows, columns, gradients), 0, []
+        for f in live:
+            k = width[f] * classes
+            step = inverse[f] @ (total[at : at + k].reshape(-1, classes) - penalty[f] @ coefficients[f])
+            coefficients[f] = coefficients[f] + step
+            at += k
+            if np.abs(step).max() >= 1e-6:
+                still.append(f)
+        live = still
+    texts = rows.schema[label].dataType.simpleString() == "string"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fold = b.column(0).to_numpy(zero_copy_only=False)
+            x = {c: v.cast(pa.float64()).to_numpy(zero_copy_only=False) for c, v in zip(numeric, b.columns[3:], strict=True)}
+            truth = np.array([place[v] for v in b.column(2).to_pylist()], dtype=int)
+            p = np.full((b.num_rows, classes), 1 / max(classes, 1))
+            for f in inverse:
+                on = fold == f
+                if on.any():
+                    p[on] = softmax(np.column_stack([design({c: v[on] for c, v in x.items()}, f), np.ones(int(on.sum()))]) @ coefficients[f])
+            own = p[np.arange(len(truth)), truth] if len(truth) else np.zeros(0)
+            word = lambda i: names[i] if texts else str(names[i])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(1), pa.array([word(i) for i in truth], pa.string()), pa.array([word(i) for i in p.argmax(axis=1)] if len(truth) else [], pa.string()), pa.array(p.max(axis=1) if len(truth) else [], pa.float64()), pa.array(-np.log(np.maximum(own, 1e-15)), pa.float64())],
+                names=[group, "truth", "predicted", "confidence", "log_loss"],
+            )
+
+    kind = df.schema[group].dataType.simpleString()
+    return rows.select("fold", group, label, *numeric).mapInArrow(score, f"{group} {kind}, truth string, predicted string, confidence double, log_loss double")
 
 
 def permuted_accuracy(df: DataFrame, label: str, numeric: list[str], group: str, repetitions: int = 100, folds: int = 5) -> DataFrame:
@@ -592,46 +722,54 @@ def classification_metrics(out: DataFrame, confident: float = 0.6) -> DataFrame:
     return rest.join(one, F.lit(True))
 
 
-def pls(x: np.ndarray, y: np.ndarray, components: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients, x means and y means of partial least squares (two blocks, deflated, on standardised columns)."""
-    mx, my = x.mean(axis=0), y.mean(axis=0)
-    sx, sy = np.where(x.std(axis=0, ddof=1) > 0, x.std(axis=0, ddof=1), 1), np.where(y.std(axis=0, ddof=1) > 0, y.std(axis=0, ddof=1), 1)
-    a, b = (x - mx) / sx, (y - my) / sy
+def pls(gram: np.ndarray, p: int, components: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, x means, y means and y spreads of partial least squares (two blocks, deflated, on standardised columns), from the cross products of (1, x, y)."""
+    n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
+    c = gram[1:, 1:] - n * np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(c), 0) / max(n - 1, 1))
+    sd = np.where(sd > 1e-12, sd, 1)
+    c = c / np.outer(sd, sd)
+    a, b = c[:p, :p].copy(), c[:p, p:].copy()  # of x with x, and x with y
     ws, ps, qs = [], [], []
-    for _ in range(min(components, a.shape[1])):
-        u, _, _ = np.linalg.svd(a.T @ b, full_matrices=False)
-        w = u[:, 0]
-        t = a @ w
-        tt = t @ t
+    for _ in range(min(components, p)):
+        w = np.linalg.svd(b, full_matrices=False)[0][:, 0]
+        tt = w @ a @ w
         if tt <= 1e-12:
             break
-        p, q = a.T @ t / tt, b.T @ t / tt
-        a, b = a - np.outer(t, p), b - np.outer(t, q)
-        ws.append(w), ps.append(p), qs.append(q)
+        left, right = a @ w / tt, b.T @ w / tt
+        a, b = a - tt * np.outer(left, left), b - tt * np.outer(left, right)
+        ws.append(w), ps.append(left), qs.append(right)
     if not ws:
-        return np.zeros((x.shape[1], y.shape[1])), mx, my
-    w, p, q = (np.column_stack(v) for v in (ws, ps, qs))
-    return (w @ np.linalg.pinv(p.T @ w) @ q.T) / sx[:, None] * sy, mx, my
+        return np.zeros((p, len(mean) - p)), mean[:p], mean[p:], sd[p:]
+    w, left, right = (np.column_stack(v) for v in (ws, ps, qs))
+    return (w @ np.linalg.pinv(left.T @ w) @ right.T) / sd[:p, None] * sd[p:], mean[:p], mean[p:], sd[p:]
 
 
 def grouped_pls(df: DataFrame, left: list[str], right: list[str], group: str, folds: int = 5, parts: int = 2) -> DataFrame:
-    """Out-of-fold share of the variance of ``right`` that ``left`` explains: one row."""
-    rows = group_folds(df.dropna(subset=[*left, *right]), group, folds).select("fold", group, *left, *right)
-    spread = rows.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf["fold"].iloc[0]
-        train, test = pdf[pdf["own"] != f].sort_values([group, *left]), pdf[pdf["own"] == f]
-        if not len(test) or len(train) < 3:
-            return pd.DataFrame({"e": [], "t": []})
-        beta, mx, my = pls(train[left].to_numpy(float), train[right].to_numpy(float), parts)
-        y = test[right].to_numpy(float)
-        sd = np.where(train[right].std(ddof=1).to_numpy() > 0, train[right].std(ddof=1).to_numpy(), 1)
-        err = (y - (my + (test[left].to_numpy(float) - mx) @ beta)) / sd
-        return pd.DataFrame({"e": (err**2).sum(axis=1), "t": (((y - my) / sd) ** 2).sum(axis=1)})
-
-    out = spread.groupBy("fold").applyInPandas(fit, "e double, t double")
-    return out.agg(F.count("*").alias("n"), (1 - safe_div(F.sum("e"), F.sum("t"))).alias("r2"))
+    """Out-of-fold share of the variance of ``right`` that ``left`` explains: one row; from the cross products of each fold's training rows."""
+    rows = _fold_rows(df.dropna(subset=[*left, *right]), group, folds, [*left, *right])
+    columns, p, k = rows.columns, len(left), 1 + len(left) + len(right)
+    block = lambda x: np.column_stack([np.ones(len(x["fold"])), *[x[c] for c in (*left, *right)]])
+
+    def products(x: dict[str, np.ndarray]) -> np.ndarray:
+        z = block(x)
+        return np.concatenate([(z[x["fold"] != f].T @ z[x["fold"] != f]).ravel() for f in range(folds)])
+
+    total = summed(rows, columns, products)
+    grams = total.reshape(folds, k, k) if total is not None else []
+    fits = {f: pls(g, p, parts) for f, g in enumerate(grams) if g[0, 0] >= 3}
+
+    def errors(x: dict[str, np.ndarray]) -> np.ndarray:
+        out, z = np.zeros(3), block(x)
+        for f, (beta, mx, my, sd) in fits.items():
+            mine = z[x["fold"] == f]
+            y = mine[:, 1 + p :]
+            out += [len(y), (((y - my - (mine[:, 1 : 1 + p] - mx) @ beta) / sd) ** 2).sum(), (((y - my) / sd) ** 2).sum()]
+        return out
+
+    e = summed(rows, columns, errors) if fits else None
+    n, rest, around = e if e is not None else np.zeros(3)
+    return df.sparkSession.createDataFrame([(int(n), float(1 - rest / around) if around > 0 else None)], "n long, r2 double")
 
 
 def factor_analysis(cov: np.ndarray, k: int, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
