@@ -401,3 +401,22 @@ def test_models_by_sums_equal_fits_to_rows(spark):
     assert got["n"] == n and np.isclose(got["r2"], 1 - e_pls / t_pls)
     rows = models.grouped_classification(df, "label", ["a", "b"], "g").collect()
     assert np.allclose(sorted(r["log_loss"] for r in rows), sorted(losses), atol=1e-5)
+
+
+def test_reports_say_what_they_leave_out(spark):
+    from trialweave.operators import gates
+
+    text = gates.markdown("T", spark.range(5), 3)
+    assert text.count("| ") == 4 and text.endswith("The first 3 of 5 rows.\n")
+    assert "first" not in gates.markdown("T", spark.range(3), 3)
+
+
+def test_staged_tables_need_a_shared_folder():
+    from trialweave.plans import staging
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})  # noqa: N815
+
+    with pytest.raises(ValueError, match="all executors share"):
+        staging.shared_dir(Cluster)

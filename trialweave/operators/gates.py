@@ -40,8 +40,11 @@ def completeness(recordings: DataFrame, participant: str, expected: int) -> Data
 
 
 def markdown(title: str, df: DataFrame, limit: int = 200) -> str:
-    """A report table of the first rows."""
-    rows = df.limit(limit).collect()
+    """A report table; of a longer one the first ``limit`` rows, with a line that says how many it has."""
+    rows = df.limit(limit + 1).collect()
     cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]]) + "\n"
+    lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:limit]]
+    if len(rows) > limit:
+        lines += ["", f"The first {limit} of {df.count()} rows."]
+    return "\n".join(lines) + "\n"
