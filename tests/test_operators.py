@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trialweave.operators import cleaning, dynamics, heart, joins, models, resampling, residuals, statistics as st, windows
+from trialweave.operators import cleaning, dynamics, ecg, heart, joins, models, resampling, residuals, statistics as st, windows
 from trialweave.sources import files
 from trialweave.streaming.windows import stream_count_windows
 
@@ -420,3 +420,31 @@ def test_staged_tables_need_a_shared_folder():
 
     with pytest.raises(ValueError, match="all executors share"):
         staging.shared_dir(Cluster)
+
+
+def test_band_pass_and_beats(spark):
+    """Gains of the filter, its zero phase, and the beats of a waveform cut into chunks against where they were put."""
+    rate = 200.0
+    gain = lambda f: float(ecg.band_pass_gain(np.array([f]), rate, 0.5, 40.0)[0])
+    assert gain(5.0) > 0.999 and abs(gain(0.5) - 0.5) < 1e-9 and abs(gain(40.0) - 0.5) < 1e-9 and gain(0.05) < 1e-6 and gain(80.0) < 1e-3
+    assert ecg.notch_gain(np.array([50.0]), rate, 50.0)[0] < 1e-12 and ecg.notch_gain(np.array([10.0]), rate, 50.0)[0] > 0.99
+    t = np.arange(int(60 * rate)) / rate
+    clean = np.sin(2 * np.pi * 8 * t)
+    y = ecg.filtered(clean + 5 * np.sin(2 * np.pi * 0.02 * t) + np.sin(2 * np.pi * 50 * t), rate)
+    assert np.abs(y - clean)[600:-600].max() < 0.02
+    rng = np.random.default_rng(4)
+    where = np.cumsum(rng.integers(130, 220, 90))
+    x = np.zeros(where[-1] + 200)
+    for i in where:
+        x += np.exp(-(((np.arange(len(x)) - i) / rate) / 0.012) ** 2) + 0.2 * np.exp(-(((np.arange(len(x)) - i - 50) / rate) / 0.05) ** 2)
+    x += 0.4 * np.sin(0.6 * np.arange(len(x)) / rate) + 0.02 * rng.normal(size=len(x))
+    cuts = [0, 700, 3000, 3100, 9000, len(x)]
+    rows = [("r", k, a, x[a:b].tolist()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    df = spark.createDataFrame(rows, "who string, chunk int, start long, samples array<double>").repartition(3)
+    beats = ecg.detect(df, ["who"], rate)
+    for name in ecg.DETECTORS:
+        found = np.array(sorted(r["sample"] for r in beats.filter(F.col("detector") == name).collect()))
+        hit = [np.abs(found - i).min() <= 4 for i in where]
+        assert np.mean(hit) > 0.97 and abs(len(found) - len(where)) <= 3
+    agreement = ecg.concordance(beats, ["who"], rate).first()
+    assert agreement["concordance"] > 0.95

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trialweave.operators import dynamics, joins, models, resampling, windows
+from trialweave.operators import dynamics, ecg, joins, models, resampling, windows
 from trialweave.plans.analysis_queries import _SERIES, _STEPS, hrv, profiles16, rt_series
 from trialweave.plans.model_queries import FEATURES, next_rows, scaled, scratch
 from trialweave.plans.oracle import BOUNDARY as B_SQL, RR, over, r6, upto
@@ -140,6 +140,37 @@ def tw09(spark, sf):
     return spark.createDataFrame(out, "maximum_hours double, n_windows long, c1_congruence double, c2_congruence double, c3_congruence double, secondary_similarity double, all_similarity double")
 
 
+#: Samples a second, and seconds of a chunk, of the waveforms made from intervals.
+RATE, CHUNK = 100.0, 30
+
+
+def waveforms(spark, sf):
+    """A waveform for each list of intervals: at each beat a narrow wave and a broad one after it, on a slow drift with mains hum; in chunks of whole beats."""
+    w = Window.partitionBy("participant_id").orderBy("pos")
+    good = tables.rr_intervals(spark, sf).filter("rr_ms > 0 and not isnan(rr_ms)").withColumn("n", F.round(F.col("rr_ms") * RATE / 1000).cast("int"))
+    beats = good.withColumn("end", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("n"))
+    t = lambda i: i / RATE
+    bump = lambda x, at, width: F.exp(-F.pow((x - at) / width, F.lit(2.0)))
+    value = lambda i: (
+        bump(t(i), 0.15, 0.012) + 0.2 * bump(t(i), 0.40, 0.05) + 0.4 * F.sin(0.2 * np.pi * t(F.col("start") + i)) + 0.1 * F.sin(2 * np.pi * 49.0 * t(F.col("start") + i))
+    )
+    samples = beats.select("participant_id", "pos", "start", F.floor(F.col("start") / (CHUNK * RATE)).alias("chunk"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), value).alias("v"))
+    parts = samples.groupBy("participant_id", "chunk").agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("x"))
+    return parts.select("participant_id", "chunk", "start", F.flatten(F.col("x.v")).alias("samples"))
+
+
+@query("HRV01")
+def hrv01(spark, sf):
+    """Spread of each chunk of a waveform before and after the zero-phase band-pass."""
+    return ecg.quality(waveforms(spark, sf), ["participant_id"], RATE)
+
+
+@query("HRV02")
+def hrv02(spark, sf):
+    """Beats of two detectors on the filtered waveform, and their agreement."""
+    return ecg.concordance(ecg.detect(waveforms(spark, sf), ["participant_id"], RATE), ["participant_id"], RATE)
+
+
 @query("HRV03")
 def hrv03(spark, sf):
     """Concordance of two peak lists of a recording within 80 ms, the second one shifted."""
