@@ -506,6 +506,24 @@ def snk07(spark, sf):
     return files.upsert(c, c.filter("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"])
 
 
+_MEASURES = ("accuracy", "rt_cv", "throughput_proxy")
+
+
+@query("SNK09", upto("summary", f"""SELECT plot, x, series, {r6('value')} FROM (
+SELECT 'bars' AS plot, task_family AS x, 'windows' AS series, CAST(count(*) AS DOUBLE) AS value FROM s GROUP BY 2
+UNION ALL SELECT 'heatmap', task_family, series, avg(v) FROM (SELECT task_family, unnest([{', '.join(f"'{c}'" for c in _MEASURES)}]) AS series, unnest([{', '.join(_MEASURES)}]) AS v FROM s) GROUP BY 2, 3
+UNION ALL SELECT 'histogram', CAST(CAST(floor(median_rt_ms / 50) * 50 AS BIGINT) AS VARCHAR), task_family, CAST(count(*) AS DOUBLE) FROM s WHERE median_rt_ms IS NOT NULL GROUP BY 2, 3)""", "s AS (SELECT * FROM summary WHERE window_size = 16)"))
+def snk09(spark, sf):
+    """What figures show, as tables: bars of counts, a heatmap of means, a histogram; a row a mark."""
+    s = summaries(spark, sf).filter("window_size = 16")
+    bars = s.groupBy(F.col("task_family").alias("x")).agg(F.count("*").cast("double").alias("value")).select(F.lit("bars").alias("plot"), "x", F.lit("windows").alias("series"), "value")
+    cells = s.select(F.col("task_family").alias("x"), F.explode(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("v")) for c in _MEASURES])).alias("m"))
+    heat = cells.groupBy("x", "m.series").agg(F.avg("m.v").alias("value")).select(F.lit("heatmap").alias("plot"), "x", "series", "value")
+    edge = (F.floor(F.col("median_rt_ms") / 50) * 50).cast("long").cast("string")
+    hist = s.filter("median_rt_ms is not null").groupBy(edge.alias("x"), F.col("task_family").alias("series")).agg(F.count("*").cast("double").alias("value")).select(F.lit("histogram").alias("plot"), "x", "series", "value")
+    return bars.unionByName(heat).unionByName(hist)
+
+
 @query("SNK10", "SELECT n_nationkey, sha256(n_name) AS sha256 FROM nation")
 def snk10(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.sha2("n_name", 256).alias("sha256"))
