@@ -59,7 +59,7 @@ def ranks(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFram
 
 def spearman(df: DataFrame, left: str, right: str, least: int = 4) -> DataFrame:
     """Pearson correlation of average ranks over rows with both."""
-    both = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right)
+    both = staged(df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right), "pairs")
     ranked = both.join(ranks(both, left).select(left, F.col("rank").alias("__a")), left).join(ranks(both, right).select(right, F.col("rank").alias("__b")), right)
     return ranked.agg(F.count("*").alias("n"), correlation(F.col("__a"), F.col("__b"), least).alias("rho"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.functions.columns import quantile, row_rms, spread_z, with_spreads
+from trialweave.plans.staging import staged
 from trialweave.sources.tables import BOUNDARY
 
 PRIMARY, SENSITIVITY, REMAINDER = 16, (12, 24), 8
@@ -94,8 +95,9 @@ def transitions(windows: DataFrame, *, keys: list[str] | None = None, large: flo
     reason = {f"missing_reason_{d}": F.when(~F.col("has_previous_window"), "no_previous_window").when(F.col(d).isNull(), "source_metric_unavailable") for d in deltas}
     reason |= {f"missing_reason_{d}": F.when(~F.col("has_next_window"), "no_next_window").when(F.col(d).isNull(), "next_metric_unavailable") for d in nexts}
     out = out.withColumns({**reason, **{d.replace("next_", "change_"): F.col(d) - F.col(s) for d, s in nexts.items()}})
-    # Scales of a source and its limit are aggregates, joined back.
+    # Scales of a source and its limit are aggregates, joined back; the rows they are read from are written once.
     source = ["dataset_id", "task_family", "window_size"]
+    out = staged(out, "transitions")
     out = with_spreads(out, source, list(deltas)).withColumns({f"{d}_z": spread_z(d) for d in deltas})
     out = out.withColumn("combined_update_magnitude", row_rms([F.col(f"{d}_z") for d in deltas], least)).drop(*[f"__{x}_{d}" for d in deltas for x in ("q", "sd")])
     limit = out.groupBy(*[F.col(k).alias(f"__k_{k}") for k in source]).agg(quantile(F.col("combined_update_magnitude"), large).alias("__limit"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialweave.functions.columns import clip, mean_where, null_nan, quantile, robust_z, row_mean, row_rms, safe_div, spread_z, with_spreads, zscore
 from trialweave.operators import cleaning, statistics as st, summary, windows
 from trialweave.plans.oracle import BOUNDARY as B_SQL, over, r6, upto, SESSIONS
+from trialweave.plans.staging import staged
 from trialweave.sources import tables
 from trialweave.sources.tables import BOUNDARY, table
 
@@ -427,7 +428,8 @@ def session_z(s: DataFrame, columns: list[str]) -> DataFrame:
 
 @query("WIN07", upto("summary", f"SELECT window_id, {r6('CASE WHEN accuracy IS NOT NULL THEN coalesce((accuracy - median(accuracy) OVER g) / CASE WHEN quantile_cont(accuracy, 0.75) OVER g - quantile_cont(accuracy, 0.25) OVER g > 0 THEN quantile_cont(accuracy, 0.75) OVER g - quantile_cont(accuracy, 0.25) OVER g WHEN stddev_samp(accuracy) OVER g > 0 THEN stddev_samp(accuracy) OVER g END, 0) END AS profile_z')} FROM summary WINDOW g AS (PARTITION BY task_family)"))
 def win07(spark, sf):
-    return with_spreads(summaries(spark, sf), ["task_family"], ["accuracy"]).select("window_id", spread_z("accuracy", 0.0).alias("profile_z"))
+    s = staged(summaries(spark, sf).select("window_id", "task_family", "accuracy"), "spread")
+    return with_spreads(s, ["task_family"], ["accuracy"]).select("window_id", spread_z("accuracy", 0.0).alias("profile_z"))
 
 
 @query("WIN09", upto("summary", f"SELECT a.window_id, l.next_accuracy FROM summary a LEFT JOIN (SELECT window_id, {r6('lead(accuracy) OVER (PARTITION BY dataset_id, participant_id, task_family, block_raw ORDER BY window_index) AS next_accuracy')} FROM summary WHERE window_size = 12) l USING (window_id)"))
@@ -463,7 +465,7 @@ def win16(spark, sf):
 
 @query("WIN17", upto("summary", f"SELECT window_id, {r6('CASE WHEN accuracy IS NOT NULL THEN (rank() OVER (PARTITION BY task_family ORDER BY accuracy ASC NULLS LAST) + (count(*) OVER (PARTITION BY task_family, accuracy) - 1) / 2.0) / count(accuracy) OVER (PARTITION BY task_family) END AS pct')} FROM summary"))
 def win17(spark, sf):
-    s = summaries(spark, sf).select("window_id", "task_family", "accuracy")
+    s = staged(summaries(spark, sf).select("window_id", "task_family", "accuracy"), "ranked")
     return s.join(st.ranks(s, "accuracy", ["task_family"]), ["task_family", "accuracy"], "left").select("window_id", (F.col("rank") / F.col("n")).alias("pct"))
 
 
