@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import bpe, decontamination, factorisation, html_text, jaccard_join, language_id, line_dedup, packing, periodic, quality_rules, suffix_dedup, token_counts
+from trialweave.llm import bpe, decontamination, factorisation, html_text, jaccard_join, language_id, line_dedup, packing, periodic, quality_rules, spelling, suffix_dedup, token_counts
 
 
 def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spelling.variants(spelling.misspelt(spelling.words_of(docs)))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return periodic.digest(periodic.periodic_runs(periodic.echoed(docs)))
@@ -84,6 +89,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorisation_machine, op2_jaccard_join, op3_byte_bpe, op4_token_counts, op5_language_id, op6_line_dedup, op7_suffix_dedup, op8_html_text, op9_quality_rules, op10_decontamination, op12_periodic_runs, op13_best_fit_packing, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_factorisation_machine, op2_jaccard_join, op3_byte_bpe, op4_token_counts, op5_language_id, op6_line_dedup, op7_suffix_dedup, op8_html_text, op9_quality_rules, op10_decontamination, op11_spelling_variants, op12_periodic_runs, op13_best_fit_packing, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
