@@ -11,15 +11,15 @@ def brute(docs, items, threshold=dc.THRESHOLD, overlap=dc.OVERLAP):
         for t in set(w):
             df[t] = df.get(t, 0) + 1
     n, mean = len(split), sum(map(len, split.values())) / len(split)
-    width = max(64, 2 * max(map(len, split.values())))
+    widths = {i: next(x for x in (64 << k for k in range(30)) if x >= 2 * len(w)) for i, w in split.items()}
     out = set()
     for d, text in docs:
         words = dc.text_words(text or "").tolist()
-        for lo in range(0, max(len(words) - width // 2, 1), width // 2):
+        for width, lo in [(x, lo) for x in set(widths.values()) for lo in range(0, max(len(words) - x // 2, 1), x // 2)]:
             part = words[lo : lo + width]
             grams = {tuple(part[k : k + 3]) for k in range(len(part) - 2)}
             for i, t in items:
-                if not t or not split[i]:
+                if not t or not split[i] or widths[i] != width:
                     continue
                 w = split[i]
                 weight = {x: np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in set(w)}
@@ -116,3 +116,21 @@ def test_memory_follows_the_postings():
     index = dc.Index(items, df, len(items), 30.0)
     arrays = sum(x.nbytes for x in (index.terms, index.item, index.impact, index.start, index.block, index.most, index.lists))
     assert arrays <= 48 * len(index.item)
+
+
+def test_no_item_changes_what_another_finds(spark):
+    q, a = "Which river runs through the old town of the northern valley", "It is the long and winding Alder river"
+    items = [(1, f"{q}? {a}."), (2, "The tallest tower of the eastern harbour was built by whom? By the guild of masons in the ninth year.")]
+    far = " ".join(f"x{k}" for k in range(400))
+    rows = [(1, f"{q} {far} {a}"), (2, f"{far} {q}? {a}. {far}"), (3, items[1][1]), (4, far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    long = (3, " ".join(f"w{k}" for k in range(10_000)) + ". And the answer is " + " ".join(f"v{k}" for k in range(5_000)))
+    middle = (4, " ".join(f"m{k}" for k in range(60)) + "? " + " ".join(f"n{k}" for k in range(40)))
+    sets = []
+    for extra in ([], [long], [middle, long]):
+        got = {(r[0], r[1]) for r in dc.contaminated(docs, spark.createDataFrame(items + extra, "item_id long, text string")).collect()}
+        assert got == brute(rows, items + extra)
+        sets.append(got)
+    assert sets == [{(2, 1), (3, 2)}] * 3
+    leaked = spark.createDataFrame([(9, f"{far} {long[1]} {far}"), (8, f"{far} {middle[1]}")], docs.schema)
+    assert {(r[0], r[1]) for r in dc.contaminated(leaked, spark.createDataFrame([*items, long, middle], "item_id long, text string")).collect()} == {(9, 3), (8, 4)}

@@ -107,3 +107,32 @@ def test_deep_and_long_pages():
         took.append(time.perf_counter() - began)
     assert took[1] < 10 * took[0] + 0.5
     assert page_text("<article>" + "<p>word</p>" * 100_000 + "</article>") == " ".join(["word"] * 100_000)
+
+
+def test_articles_in_other_parts():
+    assert page_text("<article><p>Body</p><aside><article>Sidebar teaser</article></aside></article>") == "Body"
+    for part in ("aside", "footer", "form", "nav"):
+        for tag in ("article", "main"):
+            assert page_text(f"<{part}><{tag}>teaser</{tag}></{part}><div><p>body</p></div>") == "body"
+            assert page_text(f"<article>a</article><{part}><p>x<{tag}>teaser</{tag}></{part}>") == "a"
+    assert page_text("<header><article>teaser</article></header><article>a</article>") == "a"
+    # the first has no end, so it ends where the article begins; the second has one
+    assert page_text("<nav><ul><li>menu<nav>inner</nav><article><p>text</p></article>") == "text"
+    assert page_text("<header><h1>Site</h1><article><h1>Head</h1>text</article>") == "Head text"
+    assert page_text("<article>a<!-- never ended <p>b</p>") == "a"
+    assert page_text("<li><p>a<b><i><u><s><q><em><tt><var><sub><sup><kbd><code>c<p>d") == "a c d".replace("a c", "ac")
+
+
+SHAPES = ["<a ", '<p a="x', "<div>|</q>", "<html ", "<header>|<div>x", "<article>", "<aside>|<article>", "<li><p>", "<b><p>", "<!-- ", "<meta content-language ", "<script>", "&amp", "<p a='x>y", "</p>", "<nav>"]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_faulty_long_pages(shape):
+    from trialweave.llm.language_id import declared_language
+
+    first, _, then = shape.partition("|")
+    page = first * (1_000_000 // len(first)) + then * (1_000_000 // max(len(then), 1)) if then else first * (2_000_000 // len(first))
+    for read in (page_text, declared_language):
+        began = time.process_time()
+        read(page)
+        assert time.process_time() - began < 12  # seconds on a busy machine; a tenth of a page takes a tenth

@@ -80,3 +80,13 @@ def test_ids_names_and_long_texts(spark):
     pages = spark.createDataFrame([("p", "http://x.de/", "<p>" + "das und die " * 100_000 + "</p>", 1)], "page_id string, url string, html string, kind int")
     out = {(r["doc_id"], r["page_id"]): r["language"] for r in li.identify(docs, pages).collect()}
     assert len(out) == 4 and out["a", None] == "de" and out["b", None] == "en" and out[None, "p"] == "de"
+
+
+def test_declarations():
+    from trialweave.llm.language_id import declared_language
+
+    assert declared_language("<!DOCTYPE html><HTML class=x lang = 'de-AT'><p>") == "de"
+    assert declared_language("<html><meta charset=x><meta http-equiv=content-language content=fr><html lang=en>") == "fr"
+    assert declared_language("<html dir=ltr> lang=en <p lang=es>") is None
+    assert declared_language("<html lang=it") == "it"
+    assert declared_language("") is None and declared_language(None) is None

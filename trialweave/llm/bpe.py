@@ -10,7 +10,7 @@ A word that a third of all texts hold is one entry a chunk.  A bucket holds one
 buckets follows the shuffle partitions.  Chunks hold ``chunk_chars`` characters or one longer text.
 
 Defined cases: null and empty texts have no tokens; a text of any length is one row of one chunk, and a run of any length one pre-token; ids may be of any type;
-repeated rows and null ids are rows as any other (ties don't arise); an empty table gives an empty result; columns beside id and text aren't read, so their names can't clash.
+repeated rows and null ids are rows as any other (ties don't arise); an empty table gives an empty result; columns beside id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.llm.text import numbered
+
 CHUNK_CHARS = 8_000_000
 #: From so many characters on a text is split piece by piece; the ids are the same.
 LONG_TEXT = 100_000
@@ -263,8 +265,9 @@ def encode_decode(docs: DataFrame, vocab: Vocabulary, *, id_col: str = "doc_id",
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    named, (doc, text), _ = numbered(docs, (), id_col, text_col)
+    id_type = named.schema[doc].dataType
+    rows = named.select(F.col(doc).alias("id"), F.col(text).cast("string").alias("text"))
     packed = rows.mapInArrow(_split(shared, 4 * parts, chunk_chars), _PACKED).repartition(parts, "part").sortWithinPartitions("part")
     answers = packed.mapInArrow(_encode(shared), "part long, bucket int, ids binary").repartition(parts, "part")
     schema = f"id {id_type.simpleString()}, n_tokens long, ids_text string, decoded binary"

@@ -4,7 +4,8 @@
 serves items of any length (1: all of the item's terms are there).  Posting lists are in order of item, cut into blocks at the same items (``BLOCK_ITEMS``), each with its largest impact,
 so memory follows the postings.  The index goes to the tasks in shards of about ``shard_bytes`` of item text;
 each shard is a pass over the texts, with statistics and passages of all items, so shards change no result.
-*Passages.*  Windows of twice the longest item's words (64 at least), half a window apart, over whole texts, so a leaked item lies whole in one.
+*Passages.*  Windows of 64, 128, 256, ... words, half a window apart, over whole texts; an item is looked for in the smallest that are twice as long as it, so a leaked item lies whole in one
+and no item changes what another finds.
 *Search.*  The bound of a block is the sum of its maxima in the lists of the window's distinct terms.  Blocks whose bound doesn't reach the threshold are skipped (their bounds are
 summed for many windows at once); the lists' cursors move from live block to live block, and by WAND within one: items are scored only where the bounds of
 the lists up to the pivot reach the threshold.  Everything above it is retrieved, no top k.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trialweave.llm.text import numbered
+from trialweave.llm.text import numbered, place
 from trialweave.llm.words import PUNCTUATION, U64, blocks, hashes, mix, spans
 
 K1, B = 1.2, 0.75
@@ -37,7 +38,8 @@ BLOCK_ITEMS = 4
 THRESHOLD = 0.5
 OVERLAP = 0.5
 SHORT_WORDS = 8
-SHARD_BYTES = 4_000_000
+#: Ten times as much memory in each task.
+SHARD_BYTES = 16_000_000
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
@@ -73,12 +75,9 @@ def _grams(w: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """BM25 postings of items, in order of item, with the largest impact of each block of a list; memory follows the number of postings.
+    """BM25 postings of items that are looked for in windows of ``width`` words, in order of item, with the largest impact of each block of a list; memory follows the number of postings."""
 
-    ``longest``: words of the longest of all items, in whatever shard.
-    """
-
-    def __init__(self, items: list[tuple[object, str]], df: dict[int, int], n_items: int, mean_words: float, longest: int | None = None) -> None:
+    def __init__(self, items: list[tuple[object, str]], df: dict[int, int], n_items: int, mean_words: float, width: int = 64) -> None:
         split = [(i, text_words(t), *map(text_words, parts(t))) for i, t in items if t]
         split = [x for x in split if len(x[1])]
         split.sort(key=lambda x: len(x[1]))  # blocks of alike items have tight bounds
@@ -86,7 +85,7 @@ class Index:
         self.words = [x[1] if len(x[1]) < SHORT_WORDS else None for x in split]
         self.question = [_grams(x[2]) for x in split]
         self.answer = [_grams(x[3]) for x in split]
-        self.longest = longest or max((len(x[1]) for x in split), default=0)
+        self.width = width
         self.n_blocks = -(-len(split) // BLOCK_ITEMS)
         hashed, which, impact = [], [], []
         for k, (_, w, _, _) in enumerate(split):
@@ -195,7 +194,7 @@ class Index:
         """(row, item, score, question share, answer share, first word) of verified passages of rows of words."""
         if not len(self.ids) or not len(words):
             return
-        width = max(64, 2 * self.longest)
+        width = self.width
         step = width // 2
         place = self.lookup(words)
         starts = [np.arange(a, max(b - step, a + 1), step) if b > a else np.zeros(0, np.int64) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
@@ -222,6 +221,30 @@ class Index:
                     yield int(row[w]), item, score, *share, int(begin[w] - first[row[w]])
 
 
+def width_of(words: int) -> int:
+    """Words of the windows in which an item of so many words is looked for."""
+    return max(64, 1 << (2 * words - 1).bit_length())
+
+
+class Shard:
+    """The items of a shard, an index for each width of windows."""
+
+    def __init__(self, items: list[tuple[object, str]], df: dict[int, int], n_items: int, mean_words: float) -> None:
+        by: dict[int, list[tuple[object, str]]] = {}
+        for i, t in items:
+            if n := len(text_words(t or "")):
+                by.setdefault(width_of(n), []).append((i, t))
+        self.indexes = [Index(some, df, n_items, mean_words, width) for width, some in sorted(by.items())]
+        self.ids = [i for x in self.indexes for i in x.ids]
+
+    def search(self, words: np.ndarray, first: np.ndarray, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float, int]]:
+        before = 0
+        for x in self.indexes:
+            for row, item, *rest in x.search(words, first, threshold, overlap):
+                yield row, before + item, *rest
+            before += len(x.ids)
+
+
 def _found(index, threshold: float, overlap: float, batch: pa.RecordBatch, text_at: int) -> list[tuple[int, int, float, float, float, int]]:
     """(row of the batch, item, ...): the best passage of each row and item."""
     best: dict[tuple[int, int], tuple] = {}
@@ -258,9 +281,10 @@ def _dropper(index, threshold: float, overlap: float, text_at: int):
     return run
 
 
-def indexes(items: DataFrame, *, item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
+def indexes(items: DataFrame, *, item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> Iterator[Shard]:
     """The index in shards of about ``shard_bytes`` of item text."""
-    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null and t <> ''")
+    named, (item, text), _ = numbered(items, (), item_id, item_text)
+    rows = named.select(F.col(item).alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null and t <> ''")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,21 +295,22 @@ def indexes(items: DataFrame, *, item_id: str = "item_id", item_text: str = "tex
     shards = max(1, -(-size // shard_bytes))
     shard = F.pmod(F.xxhash64("t"), F.lit(shards))
     split = rows.select(shard.alias("s"), "t").mapInArrow(words, "s long, n int, w array<long>")
-    n_items, mean, longest = split.filter("n > 0").agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    n_items, mean = split.filter("n > 0").agg(F.count("*"), F.avg("n")).first()
     counts = split.select("s", F.explode("w").alias("w"))
     total = counts.groupBy("w").agg(F.count("*").alias("df"))
     for s in range(shards):
         mine = rows.filter(shard == s).collect()
         df = total.join(counts.filter(F.col("s") == s).select("w").distinct(), "w").collect()
         known = {int(np.int64(r["w"]).view(U64)): r["df"] for r in df}
-        yield Index(sorted(((r["i"], r["t"]) for r in mine), key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1])), known, n_items, mean or 1.0, longest)
+        yield Shard(sorted(((r["i"], r["t"]) for r in mine), key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1])), known, n_items, mean or 1.0)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", threshold: float = THRESHOLD, overlap: float = OVERLAP, **index) -> DataFrame:
     """A row for each document and item whose text it holds: id, item_id, score, question_overlap, answer_overlap, first_word."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = items.schema[item_id].dataType
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, item_id {kind.simpleString()}, score double, question_overlap double, answer_overlap double, first_word long"
+    named, (doc, text), _ = numbered(docs, (), id_col, text_col)
+    rows = named.select(F.col(doc).alias("id"), F.col(text).cast("string").alias("text"))
+    kind = items.schema[place(items, item_id)].dataType
+    schema = f"id {named.schema[doc].dataType.simpleString()}, item_id {kind.simpleString()}, score double, question_overlap double, answer_overlap double, first_word long"
     out = None
     for shard in indexes(items, item_id=item_id, **index):
         part = rows.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(shard), threshold, overlap, to_arrow_type(kind)), schema)

@@ -2,7 +2,7 @@
 
 A page is walked once as a stream of tags, with a stack of open elements.  Text of the article counts (of the whole body where a page has
 neither ``article`` nor ``main``), without elements that aren't content by their tag or by a word of their class, id or role that names a part of another kind.  Every block's
-subtree has a hash of its tag, classes, text and its children's hashes, bottom up, so a walk is linear in the page whatever the nesting; a subtree that recurs on at least ``share`` of the pages of a host, of a layout of the host or of a section of it, and on ``least``
+subtree has a hash of its tag, classes, text and its children's hashes, bottom up, and open elements are counted by tag, so a walk is linear in the page whatever its nesting and its faults; a subtree that recurs on at least ``share`` of the pages of a host, of a layout of the host or of a section of it, and on ``least``
 of these pages, is part of that part's template and goes from its pages.  A layout is the set of a page's containers (tag and class, digits aside), a section the first folder
 of the address; paragraphs and headings by themselves count for the whole host only, as a common line of articles may be on half of the pages of a small part.  Pages of a part with the same main text count once, so copies of an article don't make it a template.
 
@@ -10,14 +10,15 @@ Spark counts (host, part, subtree) pre-aggregated; the templates of a part are f
 host and part: broadcast when their file is small, else a sort-merge join whose skewed hosts Spark splits.
 
 Defined cases: null or empty html, or a page without text, gives an empty text; html of any length is one row, walked whole; a null or odd url has the host ''; an unclosed element ends
-with its parent or the page; repeated rows count as one page; a subtree on exactly ``share`` of the pages (a tie) is a template; ids may be of any type and null; an empty table gives an
-empty result; columns beside id, url and html aren't read, so their names can't clash.
+with its parent or the page, and a menu, header, sidebar, footer or form without an end also where the first article begins; an article within one that has an end isn't content; repeated rows count as one page; a subtree on exactly ``share`` of the pages (a tie) is a template; ids may be of any type and null; an empty table gives an
+empty result; columns beside id, url and html aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.llm.text import numbered
 from trialweave.plans.staging import staged
 
 SHARE = 0.5
@@ -56,6 +58,8 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dia
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Elements whose opening ends an open one of the set.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that an article ends if they are never ended themselves.
+_LEFT_OPEN = re.compile(r"<(/?)(head|nav|header|aside|footer|form)(?=[\s/>])", re.I)
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul", *_HEADINGS}
 
 
@@ -82,6 +86,18 @@ def _container(tag: str, attributes: str) -> str:
     return " ".join([tag, *sorted({re.sub(r"\d+", "", c) for c in found[1].strip("\"'").split()})]) if found else tag
 
 
+def _unclosed(source: str) -> set[int]:
+    """Where the elements begin that could swallow an article and have no end."""
+    open_: dict[str, list[int]] = {}
+    for m in _LEFT_OPEN.finditer(source):
+        held = open_.setdefault(m[2].lower(), [])
+        if not m[1]:
+            held.append(m.start())
+        elif held:
+            held.pop()
+    return {at for held in open_.values() for at in held}
+
+
 class Page:
     """One walk over a page; ``templates`` are hashes of subtrees to leave out."""
 
@@ -95,22 +111,32 @@ class Page:
         self.containers: set[str] = set()
         # An open element: tag, its hash so far, pieces so far in main and other, whether it isn't content.
         stack: list[tuple[str, xxhash.xxh64, int, int, bool]] = []
-        dropped = inside = headers = 0
+        open_: Counter[str] = Counter()  # open elements by tag
+        outer: list[int] = []  # places in the stack of those that aren't inline
+        bads: list[int] = []  # and of those that aren't content
+        inside = headings = 0
+        begun = False
+        loose: list[int] = []  # and of those that are never ended
+        unclosed = _unclosed(source)
         at = 0
-        found = None
 
         def shut(n: int) -> None:
-            nonlocal dropped, inside, headers
+            nonlocal inside, headings
             while len(stack) > n:
                 tag, hashed, m, o, bad = stack.pop()
                 if stack and not bad:
                     stack[-1][1].update(b"\x02" + hashed.digest())
-                dropped -= bad
+                open_[tag] -= 1
                 inside -= tag in ("article", "main")
-                headers -= tag == "header"
+                headings -= tag in _HEADINGS
+                if bad:
+                    bads.pop()
                 if tag in _INLINE:
                     continue
-                if dropped == 0 and not bad:
+                outer.pop()
+                if loose and loose[-1] == len(stack):
+                    loose.pop()
+                if not bads and not bad:
                     self.main.append(" ")
                     self.other.append(" ")
                     if tag not in ("html", "body", "article", "main") and (len(self.main) > m + 1 or len(self.other) > o + 1):
@@ -123,11 +149,9 @@ class Page:
                             self.other[o:] = [" "]
 
         def text(lo: int, hi: int) -> None:
-            if dropped == 0 and hi > lo:
+            if not bads and hi > lo:
                 piece = source[lo:hi]
-                if headers and inside and not any(s[0] in _HEADINGS for s in stack):
-                    return
-                if headers and not inside:
+                if open_["header"] and not (inside and headings):
                     return
                 if "&" in piece:
                     piece = entities.unescape(piece)
@@ -135,23 +159,26 @@ class Page:
                 if stack and (plain := " ".join(piece.split())):
                     stack[-1][1].update(b"\x01" + plain.encode("utf-8", "surrogatepass"))
 
-        while found := _TOKEN.search(source, at):
+        last = source.rfind(">") + 1  # every tag before it has an end, so no search goes over the same place twice
+        while found := _TOKEN.search(source, at, last):
             text(at, found.start())
             at = found.end()
             tag = found[2] or found[5]
             if not tag:
+                if found[0].startswith("<!--") and not found[0].endswith("-->"):
+                    at = len(source)
                 continue
             tag = tag.lower()
             attributes = found[3] if found[2] else found[6]
             if found[1] or found[4]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        shut(k)
-                        break
-                else:
-                    if tag == "p":
-                        self.main.append(" ")
-                        self.other.append(" ")
+                if open_[tag]:
+                    k = len(stack) - 1
+                    while stack[k][0] != tag:
+                        k -= 1
+                    shut(k)
+                elif tag == "p":
+                    self.main.append(" ")
+                    self.other.append(" ")
                 continue
             if tag in _RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
@@ -162,28 +189,33 @@ class Page:
                 self.other.append(" ")
             if tag in _CLOSES_P or tag in _ENDS:
                 ends = {"p"} if tag in _CLOSES_P else _ENDS[tag]
-                for k in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
+                for k in reversed(outer):
                     if stack[k][0] in ends:
                         shut(k)
                         break
-                    if stack[k][0] not in _INLINE and stack[k][0] not in ("p",):
+                    if stack[k][0] != "p":
                         break
             bad = _not_content(tag, attributes, inside)
-            if tag in ("article", "main", "body") and not bad:
-                # an unclosed menu or notice before the article doesn't swallow it
-                first = next((k for k, s in enumerate(stack) if s[4]), None)
-                if first is not None and stack[first][0] in ("head", "nav", "header", "aside", "footer", "form"):
-                    shut(first)
+            if tag in ("article", "main", "body") and not bad and not begun and loose:
+                shut(loose[0])  # a menu or notice before the article that is never ended doesn't swallow it
             if tag in _VOID or attributes.endswith("/") and tag not in ("p", "div", "span", "a"):
                 continue
             kind = _container(tag, attributes)
             if tag not in _PROSE:
                 self.containers.add(kind)
+            if tag not in _INLINE:
+                outer.append(len(stack))
+            if bad:
+                bads.append(len(stack))
+            if found.start() in unclosed:
+                loose.append(len(stack))
             stack.append((tag, xxhash.xxh64(kind.encode("utf-8", "surrogatepass")), len(self.main), len(self.other), bad))
-            dropped += bad
+            open_[tag] += 1
             inside += tag in ("article", "main")
-            headers += tag == "header"
-        text(at, len(source))
+            headings += tag in _HEADINGS
+            begun = begun or (tag in ("article", "main") and not bads)
+        tail = source.find("<!", at)
+        text(at, len(source) if tail < 0 else tail)
         shut(0)
 
     @property
@@ -254,10 +286,11 @@ def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = LEAST) -> DataFrame:
     """For each page the id, the url and ``text``."""
-    url = F.col(url_col).cast("string")
-    rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host(url).alias("host"), section(url).alias("section"))
+    named, (page, address, source), _ = numbered(pages, (), id_col, url_col, html_col)
+    url = F.col(address).cast("string")
+    rows = named.select(F.col(page).alias("id"), url.alias("url"), F.col(source).cast("string").alias("html"), host(url).alias("host"), section(url).alias("section"))
     found = staged(site_templates(rows.select("host", "section", "html"), share, least), "templates")
-    kind = pages.schema[id_col].dataType.simpleString()
+    kind = named.schema[page].dataType.simpleString()
     joined = rows.mapInArrow(_layouts, f"id {kind}, url string, html string, host string, section string, layout string")
     for part in _PARTS:
         by = ["host"] if part == "host" else ["host", part]

@@ -12,7 +12,7 @@ The trigram table is fitted to ``max_train`` labelled texts, those of smallest h
 
 Defined cases: an empty or null text has no likelihood and gets its language from the other evidence; texts and pages of any length are read whole; missing declarations,
 suffixes and hosts add nothing; repeated rows each count; languages of equal posterior (a tie) are decided by the alphabet; null ids are rows as any other, ids may be of any type; without labelled texts the language
-is null; an empty table gives an empty result; other columns aren't read, so their names can't clash.
+is null; an empty table gives an empty result; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +39,26 @@ PULL = 10.0
 SMOOTH = 0.5
 #: Languages of country suffixes; a fixed list.
 COUNTRY = {"de": "de", "at": "de", "li": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "pe": "es", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "kr": "ko", "se": "sv", "dk": "da", "fi": "fi", "gr": "el", "tr": "tr", "cz": "cs"}
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})|<meta\b[^>]*content-language[^>]*?content\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_DECLARES = re.compile(r"<(html|meta)\b", re.I)
+_LANG, _CONTENT = (re.compile(rf"\b{name}\s*=\s*[\"']?\s*([A-Za-z]{{2,3}})", re.I) for name in ("lang", "content"))
+_NAMED = re.compile("content-language", re.I)
+
+
+def declared_language(source: str | None) -> str | None:
+    """The language that the first tag with one declares; each tag is read once, up to its end."""
+    at = 0
+    while source and (tag := _DECLARES.search(source, at)):
+        at = source.find(">", tag.end())
+        at = len(source) if at < 0 else at
+        inside = source[tag.end() : at]
+        if tag[1].lower() == "html":
+            found = _LANG.search(inside)
+        else:
+            named = _NAMED.search(inside)
+            found = _CONTENT.search(inside, named.end()) if named else None
+        if found:
+            return found[1].lower()
+    return None
 
 
 def _slots(buf: np.ndarray) -> np.ndarray:
@@ -94,8 +113,7 @@ def _likelihoods(model, from_html: bool):
             texts, declared = b.column(2), b.column(3)
             if from_html:
                 sources = texts.to_pylist()
-                found = [_DECLARED.search(s) if s else None for s in sources]
-                declared = pa.array([(m[1] or m[2]).lower() if m else None for m in found], pa.string())
+                declared = pa.array([declared_language(s) for s in sources], pa.string())
                 texts = pa.array([page_text(s) for s in sources], pa.large_string())
             out = np.zeros((b.num_rows, table.shape[1]))
             for lo, hi, slots, edge in _grams(texts):

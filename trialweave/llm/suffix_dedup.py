@@ -20,7 +20,7 @@ then found by the count of their 128-bit fingerprints, one of each repeated wind
 192 are.  It changes nothing of what is removed.
 
 Defined cases: null and empty texts have no bytes and nothing to remove; repeated rows repeat each other (for ``shares_passage`` equal ids with equal texts are one row); rows with null ids take part, ids
-may be of any type; a text of any length is cut like the others, its segments spread over tasks; ties don't arise; an empty table gives an empty result; columns beside id and text aren't read, so their names can't clash.
+may be of any type; a text of any length is cut like the others, its segments spread over tasks; ties don't arise; an empty table gives an empty result; columns beside id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from trialweave.llm.bits import bitmap, slot, there
+from trialweave.llm.text import numbered
 from trialweave.llm.words import U64, _BYTE, blocks, mix
 from trialweave.plans.staging import staged
 
@@ -412,9 +413,10 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if length % WIDE or not 0 < gram <= passage <= length or gram == length:
         raise ValueError("length must be a multiple of 8, and gram <= passage <= length")
     spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    named, (doc, column), _ = numbered(docs, (), id_col, text_col)
+    text = F.col(column).cast("string")
+    kind = named.schema[doc].dataType
+    rows = named.select(F.col(doc).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
     long = rows.filter(F.octet_length("text") >= passage)
     keys = long.select("text").mapInArrow(_keys(passage, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
     marked = spark.sparkContext.broadcast(bitmap(keys.select(slot(F.col("key"), BITS).alias("h")), BITS))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.llm.bpe import Vocabulary
-from trialweave.llm.text import words_counted
+from trialweave.llm.text import numbered, words_counted
 from trialweave.plans.staging import shared_dir, staged
 
 KEYS = ("source", "lang", "tokenizer")
@@ -135,13 +135,12 @@ def _counter(vocabularies):
 
 def counted(docs: DataFrame, vocabularies: dict[str, Vocabulary], text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with a count of tokens in a column for each tokenizer version."""
-    taken = {c.lower() for c in (text_col, *vocabularies)}
-    rest = [c for c in docs.columns if c.lower() not in taken]
+    named, (text,), names = numbered(docs, vocabularies, text_col)
+    rest = [c for c in names if c != text]
     shared = docs.sparkSession.sparkContext.broadcast(list(vocabularies.values()))
-    fields = "".join(f"c{k} {docs.schema[c].dataType.simpleString()}, " for k, c in enumerate(rest))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.col(text_col).cast("string").alias("t"))
-    out = rows.mapInArrow(_counter(shared), fields + ", ".join(f"n{i} long" for i in range(len(vocabularies))))
-    return out.toDF(*rest, *vocabularies)
+    fields = "".join(f"{c} {named.schema[c].dataType.simpleString()}, " for c in rest)
+    out = named.select(*rest, F.col(text).cast("string").alias("t")).mapInArrow(_counter(shared), fields + ", ".join(f"n{i} long" for i in range(len(vocabularies))))
+    return out.toDF(*[names[c] for c in rest], *vocabularies)
 
 
 def replayed(docs: DataFrame, vocabularies: dict[str, Vocabulary], path: str | None = None, *, restore: bool = False) -> DataFrame:
@@ -150,8 +149,9 @@ def replayed(docs: DataFrame, vocabularies: dict[str, Vocabulary], path: str | N
     are of all rows.  Returns the totals."""
     spark = docs.sparkSession
     rollup = Rollup(spark, path or f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    text = F.col("text")
-    slim = docs.select("doc_id", "source", "lang", words_counted(text).alias("estimate"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("copy"), text).alias("h2"), "text")
+    named, (doc, source, lang, column), _ = numbered(docs, (), "doc_id", "source", "lang", "text")
+    text = F.col(column)
+    slim = named.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), F.col(lang).alias("lang"), words_counted(text).alias("estimate"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("copy"), text).alias("h2"), text.alias("text"))
     rows = staged(counted(slim, vocabularies), "counts")
     first, *later = vocabularies
     change = lambda op, version, new, old=None: rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer"), F.col(new).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_tokens"))
