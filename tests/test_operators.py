@@ -422,29 +422,124 @@ def test_staged_tables_need_a_shared_folder():
         staging.shared_dir(Cluster)
 
 
-def test_band_pass_and_beats(spark):
-    """Gains of the filter, its zero phase, and the beats of a waveform cut into chunks against where they were put."""
+def one_pass(x, sections):
+    """Sample by sample, forward and backward, mirrored at the ends."""
+    pad = 3 * (2 * len(sections) + 1)
+    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    settled = ecg.Cascade(sections).settled
+    for _ in range(2):
+        state = (settled * y[0]).reshape(-1, 2)
+        out = np.zeros(len(y))
+        for i, v in enumerate(y.tolist()):
+            for k, (b0, b1, b2, _, a1, a2) in enumerate(sections.tolist()):
+                w = b0 * v + state[k, 0]
+                state[k] = b1 * v - a1 * w + state[k, 1], b2 * v - a2 * w
+                v = w
+            out[i] = v
+        y = out[::-1]
+    return y[pad : pad + len(x)]
+
+
+def wave(rate, beats=90, seed=4):
+    """A waveform and where its beats are."""
+    rng = np.random.default_rng(seed)
+    where = np.cumsum(rng.integers(int(0.65 * rate), int(1.1 * rate), beats))
+    t = np.arange(where[-1] + int(rate))
+    x = sum(np.exp(-(((t - i) / rate) / 0.012) ** 2) + 0.2 * np.exp(-(((t - i) / rate - 0.25) / 0.05) ** 2) for i in where)
+    return x + 0.4 * np.sin(0.6 * t / rate) + 0.02 * rng.normal(size=len(t)) + 0.1 * np.sin(2 * np.pi * 49 * t / rate), where
+
+
+def cut(spark, who, x, cuts):
+    edges = [0, *cuts, len(x)]
+    rows = [(who, k, a, x[a:b].tolist()) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    return spark.createDataFrame(rows, "who string, chunk int, start long, samples array<double>").repartition(3)
+
+
+def joined(df):
+    return np.concatenate([r["samples"] for r in df.orderBy("chunk").collect()])
+
+
+def test_filters():
+    gain = lambda sections, f, rate: abs(np.prod([(b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z) for b0, b1, b2, _, a1, a2 in sections for z in (np.exp(-2j * np.pi * f / rate),)]))
+    for rate in (100.0, 250.0, 500.0):
+        s = ecg.band_pass(rate, 0.5, 40.0)
+        assert len(s) == 4 and abs(gain(s, 5.0, rate) - 1) < 1e-3 and all(abs(gain(s, f, rate) ** 2 - 0.5) < 1e-6 for f in (0.5, 40.0)) and gain(s, 0.05, rate) < 1e-3
+    assert gain(ecg.notch(200.0, 50.0), 50.0, 200.0) < 1e-9 and gain(ecg.notch(200.0, 50.0), 10.0, 200.0) > 0.99
+    rng = np.random.default_rng(0)
+    x, c = rng.normal(size=777), ecg.Cascade(ecg.band_pass(250.0, 0.5, 40.0))
+    whole, end = c.run(x, c.settled * 3.0)
+    first, state = c.run(x[:301], c.settled * 3.0)
+    second, last = c.run(x[301:], state)
+    assert np.abs(np.concatenate([first, second]) - whole).max() < 1e-10 and np.abs(last - end).max() < 1e-8
+
+
+def test_chunks_equal_whole_recordings(spark):
+    """Filter, resampling and beats of a waveform in chunks are those of one pass over all of it; no beat is lost or doubled at a border."""
     rate = 200.0
-    gain = lambda f: float(ecg.band_pass_gain(np.array([f]), rate, 0.5, 40.0)[0])
-    assert gain(5.0) > 0.999 and abs(gain(0.5) - 0.5) < 1e-9 and abs(gain(40.0) - 0.5) < 1e-9 and gain(0.05) < 1e-6 and gain(80.0) < 1e-3
-    assert ecg.notch_gain(np.array([50.0]), rate, 50.0)[0] < 1e-12 and ecg.notch_gain(np.array([10.0]), rate, 50.0)[0] > 0.99
-    t = np.arange(int(60 * rate)) / rate
-    clean = np.sin(2 * np.pi * 8 * t)
-    y = ecg.filtered(clean + 5 * np.sin(2 * np.pi * 0.02 * t) + np.sin(2 * np.pi * 50 * t), rate)
-    assert np.abs(y - clean)[600:-600].max() < 0.02
-    rng = np.random.default_rng(4)
-    where = np.cumsum(rng.integers(130, 220, 90))
-    x = np.zeros(where[-1] + 200)
-    for i in where:
-        x += np.exp(-(((np.arange(len(x)) - i) / rate) / 0.012) ** 2) + 0.2 * np.exp(-(((np.arange(len(x)) - i - 50) / rate) / 0.05) ** 2)
-    x += 0.4 * np.sin(0.6 * np.arange(len(x)) / rate) + 0.02 * rng.normal(size=len(x))
-    cuts = [0, 700, 3000, 3100, 9000, len(x)]
-    rows = [("r", k, a, x[a:b].tolist()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    df = spark.createDataFrame(rows, "who string, chunk int, start long, samples array<double>").repartition(3)
-    beats = ecg.detect(df, ["who"], rate)
+    x, where = wave(rate)
+    cuts = [1100, 3000, 4001, 9000, len(x) - 7]
+    parts, whole = cut(spark, "r", x, cuts), cut(spark, "r", x, [])
+    clean = ecg.filtered(parts, ["who"], rate).cache()
+    want = one_pass(one_pass(x, ecg.band_pass(rate, 0.5, 40.0)), ecg.notch(rate, 50.0))
+    assert np.abs(joined(clean) - want).max() < 1e-9
+    half = np.convolve(np.pad(x, 20), np.sinc(np.arange(-20, 21) / 2) * np.kaiser(41, 5.0) / (np.sinc(np.arange(-20, 21) / 2) * np.kaiser(41, 5.0)).sum(), "valid")[::2]
+    halves = ecg.halved(parts, ["who"])
+    assert np.abs(joined(halves) - half).max() < 1e-12
+    assert [r["start"] for r in halves.orderBy("chunk").collect()] == [-(-c // 2) for c in (0, *cuts)]
+    beats = ecg.detect(clean, ["who"], rate).collect()
+    once = ecg.detect(ecg.filtered(whole, ["who"], rate), ["who"], rate).collect()
+    assert sorted(map(tuple, beats)) == sorted(map(tuple, once))
     for name in ecg.DETECTORS:
-        found = np.array(sorted(r["sample"] for r in beats.filter(F.col("detector") == name).collect()))
-        hit = [np.abs(found - i).min() <= 4 for i in where]
-        assert np.mean(hit) > 0.97 and abs(len(found) - len(where)) <= 3
-    agreement = ecg.concordance(beats, ["who"], rate).first()
-    assert agreement["concordance"] > 0.95
+        found = np.array(sorted(r["sample"] for r in beats if r["detector"] == name))
+        assert len(set(found)) == len(found)
+        assert np.mean([np.abs(found - i).min() <= 4 for i in where]) > 0.97 and abs(len(found) - len(where)) <= 3
+    agreement = ecg.concordance(ecg.detect(clean, ["who"], rate), ["who"], rate).first()
+    assert agreement["concordance"] > 0.95 and abs(agreement["concordance"] + agreement["unmatched_rate"] - 1) < 1e-12
+    lists = [[r["sample"] for r in beats if r["detector"] == d] for d in ecg.DETECTORS]
+    assert agreement["matched"] == joins.band_matches(*(np.sort(v) for v in lists), 16)
+
+
+def test_short_recordings_are_refused(spark):
+    rate = 100.0
+    x, _ = wave(rate, 30)
+    df = cut(spark, "long", x, [900]).unionAll(cut(spark, "short", x[:499], [200]))
+    assert {r["who"] for r in ecg.filtered(df, ["who"], rate).collect()} == {"long"}
+    got = {(r["who"], r["reason"]) for r in ecg.quality(df, ["who"], rate).collect()}
+    assert got == {("long", None), ("short", "recording is too short for stable filtering")}
+    q = ecg.quality(df, ["who"], rate).filter("who = 'long' and chunk = 0").first()
+    clean = ecg.filtered(df, ["who"], rate).filter("who = 'long' and chunk = 0").first()["samples"]
+    assert abs(q["filtered_sd"] - np.std(clean)) < 1e-9 and abs(q["raw_sd"] - np.std(x[:900])) < 1e-9 and q["n"] == 900
+
+
+def test_matches_over_long_lists(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for k in range(6):
+        a, b = (np.sort(np.round(rng.uniform(0, 300 if k else 0.5, int(rng.integers(0, 200))), 1)) for _ in range(2))
+        rows += [(k, 0, float(v)) for v in a] + [(k, 1, float(v)) for v in b]
+        want[k] = joins.band_matches(a, b, 0.75)
+    got = joins.band_match(spark.createDataFrame(rows, "k long, side int, t double").repartition(3), ["k"], 0.75).collect()
+    assert {r["k"]: r["matched"] for r in got} == {k: v for k, v in want.items() if k in {r[0] for r in rows}}
+
+
+def test_templates_of_long_series(spark):
+    rng = np.random.default_rng(8)
+    series = {0: rng.normal(size=300), 1: np.round(rng.normal(size=150), 1), 2: np.ones(40), 3: np.array([1.0]), 4: rng.normal(size=19)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "k long, i long, x double").repartition(3)
+    for long in (20_000, 37):
+        found = {r["k"]: r["sample_entropy"] for r in dynamics.sample_entropies(df, "k", long).collect()}
+        assert set(found) == set(series)
+        for k, x in series.items():
+            want = dynamics.sample_entropy(x)
+            # the last two-value template has no third value, so it isn't counted as one of those that could last
+            t = np.lib.stride_tricks.sliding_window_view(x, 2) if len(x) > 1 else np.zeros((0, 2))
+            r = 0.2 * x.std(ddof=1) if len(x) > 1 else 0
+            two = sum(bool((np.abs(t[i] - t[j]) <= r).all()) for i in range(len(t)) for j in range(i))
+            three = sum(bool((np.abs(t[i] - t[j]) <= r).all() and abs(x[i + 2] - x[j + 2]) <= r) for i in range(len(t) - 1) for j in range(i))
+            assert found[k] == (None if want is None else pytest.approx(-np.log(three / two)))
+    big = np.cumsum(rng.normal(size=60_000)) % 500
+    two, three = dynamics.template_matches(big, 0.5)
+    parts = [dynamics.template_matches(big, 0.5, lo, lo + 25_000) for lo in range(0, 60_000, 25_000)]
+    assert (two, three) == tuple(map(sum, zip(*parts, strict=True))) and two > three > 0
+    alpha = {r["k"]: r["dfa_alpha"] for r in dynamics.fluctuation(df, "k").collect()}
+    assert set(alpha) == {0, 1} and all(abs(alpha[k] - dynamics.dfa_alpha(series[k])) < 1e-9 for k in alpha)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trialweave.functions.columns import correlation, quantile, safe_div, slope
+from trialweave.plans.staging import staged
 
 
 def series(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -174,15 +178,113 @@ def corrected_mi(a: np.ndarray, b: np.ndarray, seed: int, *, least: int = 40, pe
     return max(0.0, observed - float(null)), None
 
 
-def sequence_features(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """dfa_alpha and sample_entropy of each key's series."""
+#: A longer series is compared with itself by several tasks.
+LONG = 20_000
 
-    def features(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "dfa_alpha": pd.array([dfa_alpha(x)], "Float64"), "sample_entropy": pd.array([sample_entropy(x)], "Float64")})
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, order, value).groupBy(key).applyInPandas(features, f"{key} {kind}, dfa_alpha double, sample_entropy double")
+def template_matches(x: np.ndarray, r: float, lo: int = 0, hi: int | None = None) -> tuple[int, int]:
+    """Pairs of templates of two and of three values that are within r in each; of those whose lower first value has a place from lo to hi among all.
+
+    Templates are sorted by their first value, so each is compared with those up to r above it only, some thousands at a time.
+    """
+    if len(x) < 2:
+        return 0, 0
+    order = np.argsort(x[:-1], kind="stable")
+    a, b, c = x[order], x[order + 1], np.append(x[2:], np.nan)[order]
+    top = np.searchsorted(a, a + r + 1e-9 * (np.abs(a) + r), side="right")  # the sum may round where the difference doesn't
+    two = three = 0
+    for p in range(lo, min(len(a), len(a) if hi is None else hi), 256):
+        q = min(p + 256, len(a), len(a) if hi is None else hi)
+        end = int(top[q - 1])
+        for s in range(p, end, 4096):
+            t = slice(s, min(s + 4096, end))
+            near = (a[None, t] - a[p:q, None] <= r) & (np.abs(b[None, t] - b[p:q, None]) <= r)
+            near &= np.arange(t.start, t.stop) > np.arange(p, q)[:, None]
+            two += int(near.sum())
+            i, j = np.nonzero(near)
+            three += int((np.abs(c[p + i] - c[s + j]) <= r).sum())
+    return two, three
+
+
+def matched_templates(s: DataFrame, key: str, long: int = LONG) -> DataFrame:
+    """key, n, two, three: :func:`template_matches` within a fifth of the spread, of each series (key, i, x) of two values or more."""
+    kind = s.schema[key].dataType.simpleString()
+    sorted_rows = s.select(key, "i", "x").repartition(key).sortWithinPartitions(key, "i")
+
+    def one(k, x: np.ndarray) -> list[tuple]:
+        r = 0.2 * x.std(ddof=1) if len(x) > 1 else 0.0
+        if len(x) < 2:
+            return []
+        if len(x) <= long:
+            return [(k, len(x), *template_matches(x, r), None, None, None)]
+        return [(k, len(x), None, None, lo, r, x.tobytes()) for lo in range(0, len(x), long)]
+
+    names = ["k", "n", "two", "three", "lo", "r", "packed"]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            keys, x = b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)
+            cut = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
+            out: list[tuple] = []
+            for lo, hi in zip(cut, [*cut[1:], len(keys)], strict=True):
+                if keys[lo] != now and parts:
+                    out += one(now, np.concatenate(parts))
+                    parts = []
+                now = keys[lo]
+                parts.append(x[lo:hi])
+            if out:
+                yield batch(out)
+        if parts and (out := one(now, np.concatenate(parts))):
+            yield batch(out)
+
+    arrow = to_arrow_type(s.schema[key].dataType)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [arrow, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, n, _, _, lo, r, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield batch([(k, n, *template_matches(np.frombuffer(packed), r, lo, lo + long), None, None, None)])
+
+    schema = f"k {kind}, n long, two long, three long, lo long, r double, packed binary"
+    found = staged(sorted_rows.mapInArrow(split, schema), "templates")
+    far = found.filter("packed is not null").repartition("k", "lo").mapInArrow(count, schema)
+    out = found.filter("packed is null").unionAll(far)
+    return out.groupBy(F.col("k").alias(key)).agg(F.max("n").alias("n"), F.sum("two").alias("two"), F.sum("three").alias("three"))
+
+
+def sample_entropies(s: DataFrame, key: str, long: int = LONG) -> DataFrame:
+    """key, sample_entropy: -ln of the share of template matches that last one value more; from 20 values on."""
+    found = (F.col("n") >= 20) & (F.col("two") > 0) & (F.col("three") > 0)
+    rows = s.groupBy(key).agg((F.max("x") > F.min("x")).alias("varies"))
+    out = rows.join(matched_templates(s, key, long), key, "left")
+    return out.select(key, F.when(found & F.col("varies"), -F.ln(F.col("three") / F.col("two"))).alias("sample_entropy"))
+
+
+def fluctuation(s: DataFrame, key: str) -> DataFrame:
+    """key, dfa_alpha: scaling exponent of the detrended fluctuations of each series (key, i, x) over scales 4..16, from 40 values on; sums by part of a series."""
+    w = Window.partitionBy(key)
+    rows = s.withColumns({"n": F.count(F.lit(1)).over(w), "sd": F.stddev_pop("x").over(w), "d": F.col("x") - F.avg("x").over(w)}).filter("n >= 40 and sd > 0")
+    rows = rows.withColumn("y", F.sum("d").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).select(key, "i", "y", "n", F.explode(F.sequence(F.lit(4), F.lit(16))).alias("s"))
+    whole = F.floor(F.col("n") / F.col("s"))
+    parts = rows.filter((whole >= 4) & (F.col("i") < whole * F.col("s"))).groupBy(key, "s", F.floor(F.col("i") / F.col("s")).alias("part"))
+    i = F.col("i").cast("double")
+    sums = parts.agg((F.count("*") * (F.var_pop("y") - F.pow(F.covar_pop("y", i), F.lit(2.0)) / F.var_pop(i))).alias("sse"))
+    each = sums.groupBy(key, "s").agg(F.sqrt(F.greatest(F.sum("sse"), F.lit(0.0)) / (F.count("*") * F.col("s"))).alias("f")).filter("f > 0")
+    return each.groupBy(key).agg(F.when(F.count("*") >= 4, slope(F.ln("f"), F.ln(F.col("s").cast("double")))).alias("dfa_alpha"))
+
+
+def range_entropy(s: DataFrame, key: str, bins: int = 12, least: int = 10) -> DataFrame:
+    """key, diff_entropy: normalised entropy of the steps over equal bins of their range."""
+    w = Window.partitionBy(key)
+    steps = s.withColumn("d", F.col("x") - F.lag("x").over(w.orderBy("i"))).filter("d is not null").withColumns({"lo": F.min("d").over(w), "hi": F.max("d").over(w)}).filter("hi > lo")
+    edges = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda e: F.col("lo") + e * ((F.col("hi") - F.col("lo")) / bins))
+    index = F.greatest(F.least(F.size(F.filter(edges, lambda e: e <= F.col("d"))) - 1, F.lit(bins - 1)), F.lit(0))
+    counts = steps.groupBy(key, index.alias("bin")).agg(F.count("*").alias("k"))
+    return entropy(counts, [key], float(bins)).filter(F.col("n") >= least).select(key, F.col("h").alias("diff_entropy"))
 
 
 def corrected_mi_by(df: DataFrame, key: str, order: str, left: str, right: str, seed: int = 42, **rules) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -65,15 +66,43 @@ def band_matches(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
     return n
 
 
-def band_match(df: DataFrame, key: str, left: str, right: str, tolerance: float) -> DataFrame:
-    """key, matched and concordance of two array columns of times."""
+def matched_points(points: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """keys, t0, t1: the pairs of :func:`band_matches` of points (keys, side 0 or 1, t).
 
-    @F.pandas_udf("long")
-    def matched(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([band_matches(np.sort(np.asarray(x)), np.sort(np.asarray(y)), tolerance) for x, y in zip(a, b, strict=True)])
-
-    out = df.select(key, matched(left, right).alias("matched"), F.greatest(F.size(left), F.size(right)).alias("__most"))
-    return out.select(key, "matched", (F.col("matched") / F.nullif(F.col("__most"), F.lit(0))).alias("concordance"))
+    A match never reaches over a gap wider than the tolerance, so the runs between such gaps are dealt to tasks and read in order: a task holds the points within one tolerance.
+    """
+    w = Window.partitionBy(*keys).orderBy("t", "side")
+    gap = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("long"), F.lit(0))
+    runs = points.select(*keys, "side", "t").withColumn("gap", gap).withColumn("run", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = runs.select(*keys, "run", "t", "side").repartition(*keys, "run").sortWithinPartitions(*keys, "run", "t", "side")
+
+    def match(frames):
+        here, waiting = None, (deque(), deque())
+        for pdf in frames:
+            out = []
+            rows = zip(*(pdf[c].tolist() for c in (*keys, "run", "t", "side")), strict=True)
+            for *run, t, side in rows:
+                if run != here:
+                    here, waiting = run, (deque(), deque())
+                other = waiting[1 - side]
+                while other and t - other[0] > tolerance:
+                    other.popleft()
+                if other:
+                    pair = (other.popleft(), t)
+                    out.append((*run[:-1], *(pair if side else pair[::-1])))
+                else:
+                    waiting[side].append(t)
+            yield pd.DataFrame(out, columns=[*keys, "t0", "t1"])
+
+    fields = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    return dealt.mapInPandas(match, f"{fields}, t0 double, t1 double")
+
+
+def band_match(points: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """keys, matched, and concordance: the share of the longer of both lists of points (keys, side 0 or 1, t)."""
+    sizes = points.groupBy(*keys).agg(F.greatest(F.count(F.when(F.col("side") == 0, 1)), F.count(F.when(F.col("side") == 1, 1))).alias("most"))
+    out = sizes.join(matched_points(points, keys, tolerance).groupBy(*keys).agg(F.count("*").alias("matched")), keys, "left")
+    return out.select(*keys, F.coalesce("matched", F.lit(0)).alias("matched"), (F.coalesce("matched", F.lit(0)) / F.col("most")).alias("concordance"))
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:

@@ -87,14 +87,11 @@ def join11(spark, sf):
     return out.select("user_id", F.col("stimulus.event_id").alias("stimulus"), F.col("response.event_id").alias("response"))
 
 
-_TIMES = lambda t, k: t.filter(f"l_linenumber % 2 = {k}").groupBy("l_suppkey").agg(F.collect_list("l_extendedprice").alias(f"t{k}"))
-
-
 @query("JOIN10")
 def join10(spark, sf):
     """One-to-one matches of two lists of times within a tolerance."""
-    li = table(spark, sf, "lineitem")
-    return joins.band_match(_TIMES(li, 0).join(_TIMES(li, 1), "l_suppkey"), "l_suppkey", "t0", "t1", 40.0)
+    points = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_linenumber") % 2).cast("int").alias("side"), F.col("l_extendedprice").cast("double").alias("t"))
+    return joins.band_match(points, ["l_suppkey"], 40.0)
 
 
 @query("JOIN12")
@@ -433,7 +430,9 @@ a AS (SELECT participant_id, CASE WHEN count(*) >= 4 THEN regr_slope(ln(f), ln(s
 
 @query("DYN01", over(f"SELECT participant_id, {r6('alpha AS dfa_alpha')} FROM (SELECT DISTINCT participant_id FROM rr) LEFT JOIN a USING (participant_id)", RR, _DFA))
 def dyn01(spark, sf):
-    return dynamics.sequence_features(tables.rr_intervals(spark, sf), "participant_id", "pos", "rr_ms").select("participant_id", "dfa_alpha")
+    rr = tables.rr_intervals(spark, sf)
+    found = dynamics.fluctuation(dynamics.series(rr, "participant_id", "pos", "rr_ms"), "participant_id")
+    return rr.select("participant_id").distinct().join(found, "participant_id", "left")
 
 
 _SAMPEN = """w AS (SELECT participant_id || ':' || (pos // 80) AS window_id, pos AS i, rr_ms AS x FROM rr), s AS (SELECT window_id, count(*) AS n, 0.2 * stddev_samp(x) AS r FROM w GROUP BY 1),
@@ -444,7 +443,7 @@ p AS (SELECT a.window_id, count(*) AS b, count(*) FILTER (abs(a.z - b.z) <= a.r)
 @query("DYN09", over(f"SELECT window_id, {r6('CASE WHEN p.a > 0 THEN -ln(p.a / p.b) END AS sample_entropy')} FROM s LEFT JOIN p USING (window_id)", RR, _SAMPEN))
 def dyn09(spark, sf):
     w = tables.rr_intervals(spark, sf).withColumn("window_id", F.concat_ws(":", "participant_id", F.floor(F.col("pos") / 80)))
-    return dynamics.sequence_features(w, "window_id", "pos", "rr_ms").select("window_id", "sample_entropy")
+    return dynamics.sample_entropies(dynamics.series(w, "window_id", "pos", "rr_ms"), "window_id")
 
 
 @query("DYN12")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.operators import dynamics, ecg, joins, models, resampling, windows
-from trialweave.plans.analysis_queries import _SERIES, _STEPS, hrv, profiles16, rt_series
+from trialweave.operators import dynamics, ecg, heart, joins, models, resampling, windows
+from trialweave.plans.analysis_queries import _SERIES, _SPREAD, _STEPS, hrv, profiles16, rt_series
 from trialweave.plans.model_queries import FEATURES, next_rows, scaled, scratch
 from trialweave.plans.oracle import BOUNDARY as B_SQL, RR, over, r6, upto
 from trialweave.plans.staging import staged
@@ -70,13 +72,7 @@ _RANGE12 = f"""SELECT window_id, {r6('-sum(p * ln(p)) / ln(12) AS diff_entropy')
 @query("DYN08", upto("members", _RANGE12, _SERIES, _STEPS))
 def dyn08(spark, sf):
     """Entropy of steps over twelve equal bins of their range, from ten steps on."""
-    s = rt_series(spark, sf)
-    w = Window.partitionBy("window_id")
-    steps = s.withColumn("d", F.col("x") - F.lag("x").over(w.orderBy("i"))).filter("d is not null").withColumns({"lo": F.min("d").over(w), "hi": F.max("d").over(w)}).filter("hi > lo")
-    edges = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda e: F.col("lo") + e * ((F.col("hi") - F.col("lo")) / 12))
-    index = F.greatest(F.least(F.size(F.filter(edges, lambda e: e <= F.col("d"))) - 1, F.lit(11)), F.lit(0))
-    counts = steps.groupBy("window_id", index.alias("bin")).agg(F.count("*").alias("k"))
-    return dynamics.entropy(counts, ["window_id"], 12.0).filter("n >= 10").select("window_id", F.col("h").alias("diff_entropy"))
+    return dynamics.range_entropy(rt_series(spark, sf), "window_id")
 
 
 _TEMPLATES = "te AS (SELECT window_id, i, x, lead(x) OVER w AS y, 0.2 * stddev_samp(x) OVER (PARTITION BY window_id) AS r FROM ser WINDOW w AS (PARTITION BY window_id ORDER BY i))"
@@ -84,16 +80,8 @@ _TEMPLATES = "te AS (SELECT window_id, i, x, lead(x) OVER w AS y, 0.2 * stddev_s
 
 @query("JOIN15", upto("members", "SELECT a.window_id, count(b.i) AS pairs FROM te a LEFT JOIN te b ON a.window_id = b.window_id AND a.i < b.i AND abs(a.x - b.x) <= a.r AND abs(a.y - b.y) <= a.r WHERE a.y IS NOT NULL GROUP BY 1", _SERIES, _TEMPLATES))
 def join15(spark, sf):
-    """Template pairs of a window within a tolerance: all pairs of a window of bounded length, in the window's own task."""
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("i")["x"].to_numpy(float)
-        r = 0.2 * x.std(ddof=1) if len(x) > 1 else np.nan
-        t = np.column_stack([x[:-1], x[1:]])
-        near = (np.abs(t[:, None] - t[None]) <= r).all(axis=2) if len(t) else np.zeros((0, 0), bool)
-        return pd.DataFrame({"window_id": [pdf["window_id"].iloc[0]], "pairs": [int(np.triu(near, 1).sum())]}) if len(x) > 1 else pd.DataFrame({"window_id": [], "pairs": []})
-
-    return rt_series(spark, sf).groupBy("window_id").applyInPandas(count, "window_id string, pairs long")
+    """Template pairs of a window within a tolerance: counted by their sorted first values, long series by several tasks."""
+    return dynamics.matched_templates(rt_series(spark, sf), "window_id").select("window_id", F.col("two").alias("pairs"))
 
 
 # --- behaviour, intervals --------------------------------------------------------------------------------------------------------------------------------------------
@@ -140,6 +128,8 @@ def tw09(spark, sf):
     return spark.createDataFrame(out, "maximum_hours double, n_windows long, c1_congruence double, c2_congruence double, c3_congruence double, secondary_similarity double, all_similarity double")
 
 
+#: Seconds, role and least beats of a recording's windows.
+LENGTHS = ((10, "replication", 5), (60, "extended", 30), (120, "extended", 30), (180, "extended", 30), (None, "benchmark", 30))
 #: Samples a second, and seconds of a chunk, of the waveforms made from intervals.
 RATE, CHUNK = 100.0, 30
 
@@ -168,26 +158,91 @@ def hrv01(spark, sf):
 @query("HRV02")
 def hrv02(spark, sf):
     """Beats of two detectors on the filtered waveform, and their agreement."""
-    return ecg.concordance(ecg.detect(waveforms(spark, sf), ["participant_id"], RATE), ["participant_id"], RATE)
+    clean = staged(ecg.filtered(waveforms(spark, sf), ["participant_id"], RATE), "clean")
+    return ecg.concordance(ecg.detect(clean, ["participant_id"], RATE), ["participant_id"], RATE)
 
 
-@query("HRV03")
-def hrv03(spark, sf):
-    """Concordance of two peak lists of a recording within 80 ms, the second one shifted."""
+def two_detectors(spark, sf) -> DataFrame:
+    """Beats of a recording (side 0) and those of a second detector (1), which misses a tenth of them and is late by up to 110 ms."""
     w = Window.partitionBy("participant_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    clock = tables.rr_intervals(spark, sf).withColumn("t", F.sum("rr_ms").over(w))
-    peaks = clock.groupBy("participant_id").agg(F.collect_list("t").alias("a"), F.collect_list(F.when(F.col("pos") % 10 != 0, F.col("t") + (F.col("pos") % 12) * 10)).alias("b"))
-    return joins.band_match(peaks, "participant_id", "a", "b", 80.0)
+    clock = tables.rr_intervals(spark, sf).withColumn("t", F.sum("rr_ms").over(w).cast("double"))
+    second = clock.filter("pos % 10 <> 0").select("participant_id", F.lit(1).alias("side"), (F.col("t") + (F.col("pos") % 12) * 10).alias("t"))
+    return clock.select("participant_id", F.lit(0).alias("side"), "t").unionAll(second)
 
 
-@query("HRV05", over(f"""SELECT participant_id, count(rr) AS n_intervals, {r6('avg(rr) AS mean_nn', '60000 / avg(rr) AS heart_rate', 'stddev_samp(rr) AS sdnn')} FROM (SELECT participant_id, clock - lag(clock) OVER (PARTITION BY participant_id ORDER BY pos) AS rr
-  FROM (SELECT participant_id, pos, sum(rr_ms) OVER (PARTITION BY participant_id ORDER BY pos) AS clock FROM rr)) GROUP BY 1""", RR))
+@query("HRV03")
+def hrv03(spark, sf):
+    """Concordance of two peak lists of a recording within 80 ms, the second one shifted."""
+    return joins.band_match(two_detectors(spark, sf), ["participant_id"], 80.0)
+
+
+_PEAKS = """ck AS (SELECT participant_id, pos, sum(rr_ms) OVER (PARTITION BY participant_id ORDER BY pos) AS c FROM rr),
+pk AS (SELECT participant_id, CAST(floor(c / 60000) AS BIGINT) AS window_index, participant_id || ':' || CAST(floor(c / 60000) AS BIGINT) AS w, pos, c - floor(c / 60000) * 60000 AS t FROM ck),
+nb AS (SELECT participant_id, window_index, w, count(*) AS n_beats FROM pk GROUP BY ALL),
+p1 AS (SELECT *, coalesce(rr BETWEEN 300 AND 2000, false) AS ok, median(CASE WHEN rr BETWEEN 300 AND 2000 THEN rr END) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW) AS m
+  FROM (SELECT *, t - lag(t) OVER (PARTITION BY w ORDER BY pos) AS rr FROM pk) WHERE rr IS NOT NULL),
+p2 AS (SELECT *, CASE WHEN NOT ok OR iso THEN m ELSE rr END AS x FROM (SELECT *, coalesce(m > 0 AND abs(rr - m) > 0.2 * m, false) AS iso FROM p1)),
+qu AS (SELECT w, avg((x IS NOT NULL)::INT) AS valid_rr_fraction, avg((NOT ok OR iso)::INT) AS rr_corrected_fraction, avg((NOT ok)::INT) AS rr_physiological_invalid_fraction, avg(iso::INT) AS rr_isolated_outlier_fraction FROM p2 GROUP BY 1),
+ser AS (SELECT w AS window_id, row_number() OVER (PARTITION BY w ORDER BY pos) - 1 AS i, x, t / 1000 AS s FROM p2 WHERE x IS NOT NULL),
+tf AS (SELECT window_id, count(*) AS n, avg(x) AS mean_nn_ms, sqrt(avg(d * d)) AS rmssd, stddev_samp(x) AS sdnn_ms, avg((abs(d) > 20)::INT) AS pnn20, avg((abs(d) > 50)::INT) AS pnn50,
+  CASE WHEN count(*) >= 3 AND max(s) > min(s) THEN regr_slope(60000 / x, s) * 60 END AS hr_slope_bpm_per_min, CASE WHEN count(*) >= 3 AND max(s) > min(s) THEN regr_slope(x, s) * 60 END AS nn_slope_ms_per_min,
+  CASE WHEN count(l) >= 3 AND max(x) FILTER (l IS NOT NULL) > min(x) FILTER (l IS NOT NULL) AND max(l) > min(l) THEN corr(x, l) END AS hrv_lag1
+  FROM (SELECT *, x - lag(x) OVER o AS d, lag(x) OVER o AS l FROM ser WINDOW o AS (PARTITION BY window_id ORDER BY i)) GROUP BY 1 HAVING count(*) >= 2),
+dc AS (SELECT *, sum(x - mean) OVER (PARTITION BY window_id ORDER BY i) AS y FROM (SELECT *, avg(x) OVER p AS mean, stddev_pop(x) OVER p AS sd, count(*) OVER p AS n FROM ser WINDOW p AS (PARTITION BY window_id))),
+dg AS (SELECT window_id, k, i // k AS part, regr_syy(y, i) - regr_sxy(y, i) * regr_sxy(y, i) / regr_sxx(y, i) AS sse FROM dc, generate_series(4, 16) AS g(k) WHERE n >= 40 AND sd > 0 AND n // k >= 4 AND i < n // k * k GROUP BY ALL),
+da AS (SELECT window_id, CASE WHEN count(*) >= 4 THEN regr_slope(ln(f), ln(k)) END AS hrv_dfa_alpha1 FROM (SELECT window_id, k, sqrt(greatest(sum(sse), 0) / (count(*) * k)) AS f FROM dg GROUP BY window_id, k) WHERE f > 0 GROUP BY 1),
+pe AS (SELECT window_id, -sum(p * ln(p)) / ln(6) AS hrv_perm_entropy3 FROM (SELECT window_id, count(*) / sum(count(*)) OVER (PARTITION BY window_id) AS p, sum(count(*)) OVER (PARTITION BY window_id) AS n
+  FROM (SELECT window_id, x AS a, lead(x, 1) OVER o AS b, lead(x, 2) OVER o AS c FROM ser WINDOW o AS (PARTITION BY window_id ORDER BY i)) WHERE c IS NOT NULL GROUP BY window_id, a <= b, b <= c, a <= c) WHERE n >= 3 GROUP BY 1),
+te AS (SELECT *, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z, 0.2 * stddev_samp(x) OVER (PARTITION BY window_id) AS r, count(*) OVER (PARTITION BY window_id) AS n FROM ser WINDOW o AS (PARTITION BY window_id ORDER BY i)),
+se AS (SELECT a.window_id, count(*) AS two, count(*) FILTER (abs(a.z - b.z) <= a.r) AS three FROM te a JOIN te b ON a.window_id = b.window_id AND a.i < b.i AND abs(a.x - b.x) <= a.r AND abs(a.y - b.y) <= a.r WHERE a.n >= 20 AND a.r > 0 GROUP BY 1)"""
+_ENTROPY12 = f"re AS ({_RANGE12})"
+_WHY = """CASE WHEN n_beats < 2 THEN 'fewer than two detected beats' ELSE coalesce(nullif(concat_ws('|', CASE WHEN n_beats < 30 THEN 'insufficient beats' END, CASE WHEN rr_corrected_fraction > 0.05 THEN 'more than 5% RR intervals corrected' END,
+  CASE WHEN valid_rr_fraction < 0.95 THEN 'less than 95% valid RR intervals' END), ''), 'ok') END"""
+_SD2 = "(2 * sdnn_ms * sdnn_ms - 0.5 * rmssd * rmssd)"
+_BEAT_COLUMNS = [
+    "valid_rr_fraction", "rr_corrected_fraction", "rr_physiological_invalid_fraction", "rr_isolated_outlier_fraction", "60000 / mean_nn_ms AS mean_hr_bpm", "mean_nn_ms", "CASE WHEN rmssd > 0 THEN ln(rmssd) END AS log_rmssd", "sdnn_ms",
+    "sdnn_ms / mean_nn_ms AS cvnn", "pnn20", "pnn50", "rmssd / sqrt(2) AS sd1_ms", f"CASE WHEN {_SD2} > 0 THEN sqrt({_SD2}) END AS sd2_ms", f"CASE WHEN {_SD2} > 0 THEN rmssd / sqrt(2) / sqrt({_SD2}) END AS sd1_sd2",
+    "hr_slope_bpm_per_min", "nn_slope_ms_per_min", "hrv_dfa_alpha1", "hrv_lag1", "CASE WHEN sp.n >= 3 AND sp.sd > 0 THEN sp.rmssd_ / sp.sd END AS hrv_roughness", "sign_change AS hrv_sign_change", "hrv_perm_entropy3",
+    "diff_entropy AS hrv_difference_entropy", "CASE WHEN three > 0 THEN -ln(three / two) END AS hrv_sample_entropy",
+]
+
+
+@query("HRV05", over(f"""SELECT participant_id, window_index, n_beats, ({_WHY}) = 'ok' AS ecg_quality_pass, {_WHY} AS ecg_quality_reason, {r6(*_BEAT_COLUMNS)}
+  FROM nb LEFT JOIN qu USING (w) LEFT JOIN tf ON tf.window_id = w LEFT JOIN da ON da.window_id = w LEFT JOIN (SELECT window_id, n, sd, rmssd AS rmssd_ FROM sp) AS sp ON sp.window_id = w LEFT JOIN tu ON tu.window_id = w
+  LEFT JOIN pe ON pe.window_id = w LEFT JOIN re ON re.window_id = w LEFT JOIN se ON se.window_id = w""", RR, _PEAKS, _STEPS, _SPREAD, _ENTROPY12))
 def hrv05(spark, sf):
-    """Features from peak times: intervals are their differences."""
-    w = Window.partitionBy("participant_id").orderBy("pos")
-    clock = tables.rr_intervals(spark, sf).withColumn("clock", F.sum("rr_ms").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rr = clock.withColumn("rr", F.col("clock") - F.lag("clock").over(w))
-    return rr.groupBy("participant_id").agg(F.count("rr").alias("n_intervals"), F.avg("rr").alias("mean_nn"), (60000 / F.avg("rr")).alias("heart_rate"), F.stddev_samp("rr").alias("sdnn"))
+    """Quality, its reasons and nineteen features of each minute's beats."""
+    w = Window.partitionBy("participant_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    clock = tables.rr_intervals(spark, sf).withColumn("c", F.sum("rr_ms").over(w))
+    minute = F.floor(F.col("c") / 60000)
+    return heart.peak_features(clock.select("participant_id", minute.alias("window_index"), (F.col("c") - minute * 60000).alias("t")), ["participant_id", "window_index"])
+
+
+@query("HRV08_paths")
+def hrv08_paths(spark, sf):
+    """Windows of all lengths of recorded waveforms: those of 10 seconds from the waveform at half the rate with a band-pass of its own, the others from the waveform itself."""
+    raw = staged(waveforms(spark, sf), "waveforms")
+    seconds = raw.groupBy("participant_id").agg((F.sum(F.size("samples")) / RATE).alias("seconds"))
+    paths = {
+        "extended": (staged(ecg.filtered(raw, ["participant_id"], RATE), "clean"), RATE),
+        "replication": (staged(ecg.filtered(ecg.halved(raw, ["participant_id"]), ["participant_id"], RATE / 2, low=1.0, hum=None), "clean"), RATE / 2),
+    }
+    beats = {name: (staged(ecg.detect(clean, ["participant_id"], rate), "beats"), rate) for name, (clean, rate) in paths.items()}
+    keys = ["participant_id", "window_label", "role", "least", "window_index"]
+    points = []
+    for length, role, least in LENGTHS:
+        found, rate = beats["replication" if role == "replication" else "extended"]
+        at = F.col("sample") / rate
+        index = F.floor(at / length) if length else F.lit(0).cast("long")
+        inside = found.join(seconds, "participant_id").filter(index < F.floor(F.col("seconds") / length)) if length else found
+        points.append(inside.select(
+            "participant_id", F.lit(str(length or "full")).alias("window_label"), F.lit(role).alias("role"), F.lit(least).alias("least"), index.alias("window_index"),
+            (F.col("detector") != "energy").cast("int").alias("side"), (1000 * (at - index * (length or 0))).alias("t"),
+        ))
+    rows = staged(reduce(DataFrame.unionByName, points), "points")
+    agreement = joins.band_match(rows, keys, 80.0).select(*keys, F.col("concordance").alias("detector_concordance"), (1 - F.col("concordance")).alias("detector_unmatched_rate"))
+    out = heart.peak_features(rows.filter("side = 0").select(*keys, "t"), keys, least=F.col("least")).join(agreement, keys)
+    return out.withColumn("detector_disagreement_flag", F.col("detector_unmatched_rate") > 0.01).drop("least")
 
 
 @query("HRV09", over(f"SELECT participant_id, {r6('CASE WHEN short <= 0.2 THEN mean END AS mean_nn')}, CASE WHEN short > 0.2 THEN 'too many short intervals' END AS error FROM (SELECT participant_id, avg(rr_ms) AS mean, avg((rr_ms < 300)::INT) AS short FROM rr GROUP BY 1)", RR))
