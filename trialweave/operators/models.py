@@ -122,6 +122,48 @@ def component_scores(df: DataFrame, features: list[str], mean: np.ndarray, loadi
     return df.withColumns({f"{name}{j + 1}": sum(((F.col(c) - float(mean[i])) * float(loadings[i, j]) for i, c in enumerate(features)), F.lit(0.0)) for j in range(loadings.shape[1])})
 
 
+def fixed_components(df: DataFrame, person: str, features: list[str], k: int, key: str, *, least: int = 5, parallel: bool = True) -> tuple[np.ndarray, np.ndarray, DataFrame, dict]:
+    """Loadings, variance shares, ``df`` of complete rows with scores ``component_1`` ..., and what was fitted: k components of person-centred, standardised features."""
+    rows = staged(person_centre(df, person, features).dropna(subset=features), "centred")
+    people = rows.agg(F.count_distinct(person)).first()[0]
+    if people < least:
+        raise ValueError(f"at least {least} participants are required")
+    rows = standard_scale(rows, features)
+    n, mean, cov = moments(rows, features)
+    load, share = components(cov, k)
+    count = None
+    if parallel:
+        null = permuted_covariances(rows, key, features, mean, cov)
+        count = parallel_count(null.__getitem__, len(features), cov, len(null), most=min(5, len(features)))
+    scores = component_scores(rows, features, mean, load, "component_")
+    return load, share, scores, {"n_windows": n, "n_participants": people, "fixed_components": k, "parallel_analysis_components": count}
+
+
+def autonomic_dimensions(df: DataFrame, person: str, features: list[str], mode: str, most: int, key: str, *, available: float = 0.8) -> tuple[np.ndarray, np.ndarray, list[str], DataFrame | None, dict]:
+    """Loadings, variance shares, the features used, scores and status: components between participants (of their means) or within them, as many as beat permuted columns."""
+    if mode not in ("between", "within"):
+        raise ValueError("mode must be between or within")
+    none = np.zeros((0, 0))
+    shares = df.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in features]).first()
+    used = [c for c in features if (shares[c] or 0) >= available]
+    if len(used) < 3:
+        return none, none, used, None, {"status": "not_testable", "reason": "fewer than three HRV features", "n_factors": None, "n_observations": None}
+    if mode == "between":
+        source = df.groupBy(person).agg(*[F.avg(c).alias(c) for c in used]).dropna(subset=used).withColumn(key, F.col(person).cast("string"))
+    else:
+        source = person_centre(df.select(person, key, *used).dropna(subset=used), person, used)
+    source = staged(source, "source")
+    n = source.count()
+    if n < max(8, len(used) + 1):
+        return none, none, used, None, {"status": "not_testable", "reason": "insufficient complete observations", "n_factors": None, "n_observations": n}
+    rows = staged(standard_scale(source, used), "scaled")
+    _, mean, cov = moments(rows, used)
+    null = permuted_covariances(rows, key, used, mean, cov)
+    k = parallel_count(null.__getitem__, len(used), cov, len(null), most=min(most, len(used)))
+    load, share = components(cov, k)
+    return load, share, used, component_scores(rows, used, mean, load, f"ans_{mode}_component_"), {"status": "ok", "reason": None, "n_factors": k, "n_observations": n}
+
+
 def parallel_count(covariance_of, n_features: int, real: np.ndarray, repetitions: int = 100, q: float = 0.95, most: int = 6) -> int:
     """Components whose eigenvalue beats the quantile of those of permuted columns; ``covariance_of(seed)`` gives one such covariance."""
     null = np.array([np.sort(np.linalg.eigvalsh(covariance_of(s)))[::-1] for s in range(repetitions)])
@@ -444,6 +486,37 @@ def adjusted_rand(df: DataFrame, left: str, right: str) -> DataFrame:
     return t.join(a, F.lit(True)).join(b, F.lit(True)).select(F.col("n"), safe_div(F.col("same") - expected, (F.col("a") + F.col("b")) / 2 - expected).alias("ari"))
 
 
+def partition_jaccard(df: DataFrame, reference: str, candidate: str) -> DataFrame:
+    """One row: the mean over the clusters of ``reference`` of the best overlap (intersection over union) with one of ``candidate``; null and -1 are noise."""
+    a, b = F.col(reference), F.col(candidate)
+    c = df.select(F.when(a.cast("string") != "-1", a).alias("a"), F.when(b.cast("string") != "-1", b).alias("b")).groupBy("a", "b").agg(F.count("*").alias("k"))
+    left = c.filter("a is not null").groupBy("a").agg(F.sum("k").alias("n"))
+    right = c.filter("b is not null").groupBy("b").agg(F.sum("k").alias("m"))
+    best = c.filter("a is not null and b is not null").join(right, "b").join(left, "a").groupBy("a").agg(F.max(F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("j"))
+    found = left.join(best, "a", "left").agg(F.avg(F.coalesce("j", F.lit(0.0))).alias("j"))
+    return found.join(right.agg(F.count("*").alias("clusters")), F.lit(True)).select(F.when(F.col("clusters") > 0, F.col("j")).alias("partition_jaccard"))
+
+
+def posterior_entropy(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the mean entropy of a row's probabilities, in units of the logarithm of their number."""
+    p = [F.least(F.greatest(F.col(c).cast("double"), F.lit(1e-12)), F.lit(1.0)) for c in columns]
+    h = sum((-x * F.ln(x) for x in p), F.lit(0.0)) / math.log(len(columns)) if len(columns) > 1 else F.lit(0.0)
+    return df.agg(F.avg(h).alias("posterior_entropy"))
+
+
+def labelled(df: DataFrame, features: list[str], candidates: list[dict]) -> DataFrame:
+    """``df`` with a column ``m0``, ``m1``, ... of the most likely component for each mixture, in one pass."""
+    schema = ", ".join(f"m{i} int" for i in range(len(candidates)))
+
+    @F.pandas_udf(f"struct<{schema.replace(' int', ':int')}>")
+    def label(*cols: pd.Series) -> pd.DataFrame:
+        x = np.column_stack([s.to_numpy(float) for s in cols])
+        return pd.DataFrame({f"m{i}": (_log_density(x, m["means"], m["cov"], m["kind"]) + np.log(m["weights"])).argmax(axis=1).astype(np.int32) for i, m in enumerate(candidates)})
+
+    out = df.dropna(subset=features).withColumn("__m", label(*features))
+    return out.select(*df.columns, "__m.*")
+
+
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """Adds ``fold``: groups of one size are dealt in turns, so folds hold alike numbers of groups and rows; a group has one fold.
 
@@ -581,6 +654,85 @@ def grouped_ridge(df: DataFrame, target: str, numeric: list[str], categorical: l
     return df.sparkSession.createDataFrame([row], "n long, r2 double, mae double, rmse double")
 
 
+def grouped_ridge_models(
+    df: DataFrame, targets: list[str], sets: dict[str, tuple[list[str], list[str]]], group: str = "participant_id", folds: int = 5, alpha: float = 1.0, *, present: float | None = None
+) -> DataFrame:
+    """A row for each target and model of ``sets`` (numeric and categorical features): status, reason, n_windows, n_subjects, folds, r2, mae, rmse out of fold, and the features used.
+
+    Folds are by group.  All models of a target share one design: the cross products of all features are added up once, and a model takes its rows and columns of them.  A target needs two
+    groups, and 20 rows or four a fold; a model without features predicts the training mean; with ``present`` a feature is used where so large a share of the target's rows has it.
+    """
+    spark = df.sparkSession
+    numeric, categorical = (list(dict.fromkeys(c for s in sets.values() for c in s[i])) for i in (0, 1))
+    out: list[tuple] = []
+    for target in targets:
+        rows = _fold_rows(df.filter(F.col(target).isNotNull() & F.col(group).isNotNull()), group, folds, [group, target, *numeric, *categorical])
+        known = rows.agg(F.count("*").alias("n"), F.count_distinct(group).alias("g"), *[F.avg(F.col(c).isNotNull().cast("double")).alias(f"p{i}") for i, c in enumerate(numeric)]).first()
+        n, groups = known["n"], known["g"]
+        splits = min(folds, groups)
+        shares = {c: known[f"p{i}"] or 0.0 for i, c in enumerate(numeric)}
+        used = {m: ([c for c in a if c != target and (shares[c] > 0 if present is None else shares[c] >= present)], [c for c in b if c != target]) for m, (a, b) in sets.items()}
+        told = {m: ("|".join(a), "|".join(b)) for m, (a, b) in used.items()}
+        if splits < 2 or n < max(20, 4 * splits):
+            out += [(target, m, "not_testable", "insufficient rows or participant groups", n, groups, splits, None, None, None, *told[m]) for m in sets]
+            continue
+        design = FoldDesign(rows, numeric, categorical, folds)
+        live = sorted(design.spread)
+        columns = [c for c in rows.columns if c != group or c in numeric or c in categorical]
+        at: dict[tuple[int, str], list[int]] = {}
+        width = {}
+        for f in live:
+            k = 1
+            for i, c in enumerate(numeric):
+                at[f, c] = list(range(k, k + 1 + design.gaps[f][i]))
+                k += 1 + design.gaps[f][i]
+            for c in categorical:
+                at[f, c] = list(range(k, k + len(design.levels.get((f, c), []))))
+                k += len(at[f, c])
+            width[f] = k + 1
+
+        def products(x: dict[str, np.ndarray], design=design, live=live, target=target) -> np.ndarray:
+            parts = []
+            for f in live:
+                z = np.column_stack([np.ones(len(x["fold"])), design(x, f), x[target]])[x["fold"] != f]
+                parts.append((z.T @ z).ravel())
+            return np.concatenate(parts)
+
+        total, fits, k = summed(rows, columns, products), {}, 0
+        for f in live:
+            gram = total[k : k + width[f] ** 2].reshape(width[f], width[f])
+            k += width[f] ** 2
+            for m, (a, b) in used.items():
+                pick = [0, *[j for c in (*a, *b) for j in at[f, c]], width[f] - 1]
+                fits[m, f] = (pick[1:-1], *ridge_from(gram[np.ix_(pick, pick)], alpha))
+
+        def errors(x: dict[str, np.ndarray], design=design, live=live, target=target, fits=fits) -> np.ndarray:
+            parts = {m: np.zeros(5) for m in sets}
+            for f in live:
+                mine = x["fold"] == f
+                y = x[target][mine]
+                z = np.column_stack([np.ones(len(y)), design({c: v[mine] for c, v in x.items()}, f)])
+                for m in sets:
+                    pick, beta, bias = fits[m, f]
+                    e = y - z[:, pick] @ beta - bias
+                    parts[m] += [len(y), (e**2).sum(), np.abs(e).sum(), y.sum(), (y**2).sum()]
+            return np.concatenate([parts[m] for m in sets])
+
+        found = summed(rows, columns, errors).reshape(len(sets), 5)
+        for m, (count, square, size, y, yy) in zip(sets, found.tolist(), strict=True):
+            around = yy - y * y / count
+            out.append((target, m, "ok", None, n, groups, splits, 1 - square / around if around > 0 else None, size / count, math.sqrt(square / count), *told[m]))
+    return spark.createDataFrame(out, "target string, model string, status string, reason string, n_windows long, n_subjects long, folds int, r2 double, mae double, rmse double, numeric_features string, categorical_features string")
+
+
+def gains(models: DataFrame, **against: str) -> DataFrame:
+    """``models`` of :func:`grouped_ridge_models` with a column ``delta_r2_vs_<name>`` for each model to compare with."""
+    for name, model in against.items():
+        base = models.filter(F.col("model") == model).select("target", F.col("r2").alias("base"))
+        models = models.join(base, "target", "left").withColumn(f"delta_r2_vs_{name}", F.col("r2") - F.col("base")).drop("base")
+    return models
+
+
 def logistic_fit(x: np.ndarray, y: np.ndarray, classes: int, weight: np.ndarray, l2: float = 1.0, rounds: int = 60) -> np.ndarray:
     """Multinomial coefficients (with an intercept in the last row) by Newton's method on each class in turn (bound optimisation)."""
     z = np.column_stack([x, np.ones(len(x))])
@@ -682,34 +834,159 @@ def grouped_classification(df: DataFrame, label: str, numeric: list[str], group:
     return rows.select("fold", group, label, *numeric).mapInArrow(score, f"{group} {kind}, truth string, predicted string, confidence double, log_loss double")
 
 
-def permuted_accuracy(df: DataFrame, label: str, numeric: list[str], group: str, repetitions: int = 100, folds: int = 5) -> DataFrame:
-    """(replicate, balanced_accuracy) of out-of-fold predictions with the labels of whole groups permuted; a task fits one replicate's fold, from that replicate's rows."""
-    names = sorted(r[0] for r in df.select(label).filter(F.col(label).isNotNull()).distinct().collect())
-    rows = group_folds(df.filter(F.col(label).isNotNull()), group, folds).select("fold", group, label, *numeric)
-    # A replicate's order of groups is that of a hash; a group takes the label of the group at its place in the order of names.
-    groups = rows.groupBy(group).agg(F.min(label).alias("l")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    w = Window.partitionBy("replicate")
-    own = groups.select("replicate", group, F.row_number().over(w.orderBy(F.xxhash64(group, "replicate"), group)).alias("at"))
-    other = groups.select("replicate", F.col("l").alias("dealt"), F.row_number().over(w.orderBy(group)).alias("at"))
-    dealt = own.join(other, ["replicate", "at"]).select("replicate", group, "dealt")
-    spread = rows.withColumnRenamed("fold", "own").join(dealt, group).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf["fold"].iloc[0]
-        train, test = pdf[pdf["own"] != f].sort_values([group, *numeric]), pdf[pdf["own"] == f]
-        if not len(test) or not len(train):
-            return pd.DataFrame({"replicate": [], "truth": [], "right": [], "n": []})
-        a, b = _prepared(train, test, numeric, [])
-        y = np.array([names.index(v) for v in train["dealt"]])
-        counts = np.bincount(y, minlength=len(names))
-        weight = (len(y) / (np.count_nonzero(counts) * np.maximum(counts, 1)))[y]
-        found = (np.column_stack([b, np.ones(len(b))]) @ logistic_fit(a, y, len(names), weight)).argmax(axis=1)
-        truth = np.array([names.index(v) for v in test["dealt"]])
-        right = np.bincount(truth[found == truth], minlength=len(names))
-        return pd.DataFrame({"replicate": int(pdf["replicate"].iloc[0]), "truth": range(len(names)), "right": right, "n": np.bincount(truth, minlength=len(names))})
-
-    cells = spread.groupBy("replicate", "fold").applyInPandas(fit, "replicate int, truth int, right long, n long").groupBy("replicate", "truth").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).filter("n > 0")
-    return cells.groupBy("replicate").agg(F.avg(F.col("right") / F.col("n")).alias("balanced_accuracy"))
+def dealt_labels(place: np.ndarray, counts: np.ndarray, repetitions: int, seed: int = 42) -> np.ndarray:
+    """Labels (places by repetitions) of the groups numbered ``place`` under random permutations of all labels: each repetition deals label k to ``counts[k]`` groups exactly.
+
+    A permutation is a small cipher of the numbers below the number of groups, so a group's label is had where the group is read, without the others.
+    """
+    n = int(counts.sum())
+    half = max(1, -(-(max(n, 2) - 1).bit_length() // 2))
+    mask = np.uint64((1 << half) - 1)
+    rng = np.random.default_rng(seed)
+    keys = rng.integers(0, 2**63, (repetitions, 6), dtype=np.uint64)
+    edges = np.cumsum(counts)
+    out = np.zeros((len(place), repetitions), np.int16)
+    with np.errstate(over="ignore"):
+        for r in range(repetitions):
+            v = place.astype(np.uint64)
+            todo = np.arange(len(v))
+            while len(todo):
+                a, b = v[todo] >> np.uint64(half), v[todo] & mask
+                for k in keys[r]:
+                    m = (b + k) * np.uint64(0x9E3779B97F4A7C15)
+                    m = (m ^ (m >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    a, b = b, a ^ ((m >> np.uint64(32)) & mask)
+                v[todo] = (a << np.uint64(half)) | b
+                todo = todo[v[todo] >= n]  # the cipher is of a power of two: walk on to a number below n
+            out[:, r] = np.searchsorted(edges, v.astype(np.int64), side="right")
+    return out
+
+
+def dense_places(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """``df`` with the number of each row from 0 in ``order``: sorted by ranges, with the rows before each range added."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = staged(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "places")
+    part = F.shiftright("__m", 33)
+    sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row a partition
+    before, start = 0, []
+    for p, n in sizes:
+        start += [F.lit(p), F.lit(before)]
+        before += n
+    offset = F.create_map(*start)[part] if start else F.lit(0)
+    return placed.withColumn(name, (F.col("__m").bitwiseAND((1 << 33) - 1) + offset).cast("long")).drop("__m")
+
+
+def permuted_accuracy(df: DataFrame, label: str, numeric: list[str], group: str, repetitions: int = 100, folds: int = 5, l2: float = 1.0, rounds: int = 40, seed: int = 42) -> DataFrame:
+    """(replicate, balanced_accuracy) of out-of-fold predictions with the labels of whole groups permuted.
+
+    All replicates and folds are fitted together: each pass over the rows adds up their gradients and curvatures, and a row carries its group's labels of all replicates.
+    """
+    spark = df.sparkSession
+    usable = df.filter(F.col(label).isNotNull() & F.col(group).isNotNull())
+    groups = dense_places(usable.groupBy(group).agg(F.min(label).alias("l")), ["l", group])
+    counted = sorted((r["l"], r["n"]) for r in groups.groupBy("l").agg(F.count("*").alias("n")).collect())  # a row a class
+    counts = np.array([n for _, n in counted], np.int64)
+    classes, every = len(counts), repetitions
+    if classes < 2:
+        return spark.createDataFrame([], "replicate int, balanced_accuracy double")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dealt = dealt_labels(b.column(1).to_numpy(), counts, every, seed).astype(np.uint8 if classes < 256 else np.int16)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in dealt], pa.binary())], names=["__g", "dealt"])
+
+    kind = groups.schema[group].dataType.simpleString()
+    carried = groups.select(group, "place").mapInArrow(deal, f"__g {kind}, dealt binary")
+    rows = staged(group_folds(usable, group, folds).join(carried, F.col(group) == F.col("__g")).select("fold", *numeric, "dealt"), "permuted")
+    design = FoldDesign(rows, numeric, [], folds)
+    live = sorted(design.spread)
+    width = {f: 1 + sum(1 + g for g in design.gaps[f]) for f in live}
+
+    def passed(of: Callable[[np.ndarray, dict[str, np.ndarray], np.ndarray], np.ndarray]) -> np.ndarray | None:
+        """The sum of ``of(fold, features, labels by replicate)`` over all rows, some thousands at a time."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                for lo in range(0, b.num_rows, 2048):
+                    c = b.slice(lo, 2048)
+                    x = {name: v.cast(pa.float64()).to_numpy(zero_copy_only=False) for name, v in zip(numeric, c.columns[1:-1], strict=True)}
+                    y = np.stack([np.frombuffer(v, np.uint8 if classes < 256 else np.int16) for v in c.column(c.num_columns - 1).to_pylist()]).astype(np.int64)
+                    v = of(c.column(0).to_numpy(zero_copy_only=False), x, y)
+                    total = v if total is None else total + v
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+        found = [np.array(r["v"]) for r in rows.mapInArrow(part, "v array<double>").collect()]
+        return sum(found[1:], found[0]) if found else None
+
+    def inputs(fold: np.ndarray, x: dict[str, np.ndarray], f: int, train: bool) -> tuple[np.ndarray, np.ndarray]:
+        on = np.flatnonzero((fold != f) if train else (fold == f))
+        return on, np.column_stack([design({c: v[on] for c, v in x.items()}, f), np.ones(len(on))])
+
+    def sizes(fold: np.ndarray, x: dict[str, np.ndarray], y: np.ndarray) -> np.ndarray:
+        hot = np.stack([(y == c) for c in range(classes)], axis=2)
+        return np.stack([hot[fold != f].sum(axis=0) for f in live]).astype(float).ravel()
+
+    total = passed(sizes)
+    if total is None:
+        return spark.createDataFrame([], "replicate int, balanced_accuracy double")
+    n = total.reshape(len(live), every, classes)
+    weights = np.where(n > 0, n.sum(axis=2, keepdims=True) / (np.maximum((n > 0).sum(axis=2, keepdims=True), 1) * np.maximum(n, 1)), 0.0)
+    beta = {f: np.zeros((every, width[f], classes)) for f in live}
+    moving = {f: np.arange(every) for f in live}
+    ridge = {f: np.repeat(np.append(np.full(width[f] - 1, l2), 1e-6), classes) for f in live}
+    for _ in range(rounds):
+        todo = [f for f in live if len(moving[f])]
+        if not todo:
+            break
+
+        def steps(fold: np.ndarray, x: dict[str, np.ndarray], y: np.ndarray, todo=tuple(todo)) -> np.ndarray:
+            out = []
+            for f in todo:
+                on, z = inputs(fold, x, f, True)
+                r, k = moving[f], width[f]
+                yr = y[np.ix_(on, r)]
+                w = np.take_along_axis(weights[live.index(f)][r], yr.T, axis=1).T if len(on) else np.zeros((0, len(r)))
+                p = softmax(np.einsum("nk,rkc->nrc", z, beta[f][r], optimize=True))
+                gradient = np.einsum("nk,nrc->rkc", z, w[..., None] * (np.eye(classes)[yr] - p), optimize=True)
+                square = (z[:, :, None] * z[:, None, :]).reshape(len(on), k * k)
+                curve = np.zeros((len(r), k, classes, k, classes))
+                for c in range(classes):
+                    for d in range(c, classes):
+                        part = ((w * p[..., c] * ((c == d) - p[..., d])).T @ square).reshape(len(r), k, k)
+                        curve[:, :, c, :, d] = part
+                        curve[:, :, d, :, c] = part
+                out += [gradient.ravel(), curve.ravel()]
+            return np.concatenate(out)
+
+        total, at = passed(steps), 0
+        for f in todo:
+            r, k = moving[f], width[f] * classes
+            gradient = total[at : at + len(r) * k].reshape(len(r), k) - ridge[f] * beta[f][r].reshape(len(r), k)
+            at += len(r) * k
+            curve = total[at : at + len(r) * k * k].reshape(len(r), k, k) + np.diag(ridge[f])
+            at += len(r) * k * k
+            step = np.linalg.solve(curve, gradient[..., None])[..., 0]
+            size = np.abs(step).max(axis=1)
+            step *= np.minimum(1.0, 3.0 / np.maximum(size, 1e-300))[:, None]  # far from the optimum, not too far at once
+            beta[f][r] += step.reshape(len(r), width[f], classes)
+            moving[f] = r[size >= 1e-6]
+
+    def hits(fold: np.ndarray, x: dict[str, np.ndarray], y: np.ndarray) -> np.ndarray:
+        right, seen = np.zeros((every, classes)), np.zeros((every, classes))
+        for f in live:
+            on, z = inputs(fold, x, f, False)
+            found = np.einsum("nk,rkc->nrc", z, beta[f], optimize=True).argmax(axis=2)
+            for c in range(classes):
+                mine = y[on] == c
+                seen[:, c] += mine.sum(axis=0)
+                right[:, c] += (mine & (found == c)).sum(axis=0)
+        return np.concatenate([right.ravel(), seen.ravel()])
+
+    right, seen = passed(hits).reshape(2, every, classes)
+    score = np.nanmean(np.where(seen > 0, right / np.maximum(seen, 1), np.nan), axis=1)
+    return spark.createDataFrame([(r, float(v)) for r, v in enumerate(score)], "replicate int, balanced_accuracy double")
 
 
 def classification_metrics(out: DataFrame, confident: float = 0.6) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.plans.staging import staged
+
 
 def counts_of(people: list, repetitions: int, seed: int) -> np.ndarray:
     """Poisson(1) counts, a row a participant and a column a replicate."""
@@ -88,32 +90,72 @@ def permutation_p(observed: float, null: np.ndarray) -> float:
     return (1 + int((null >= observed).sum())) / (len(null) + 1)
 
 
-def permuted_agreement(df: DataFrame, stratum: str, person: str, label: str, repetitions: int = 200, seed: int = 42) -> DataFrame:
+def permuted_agreement(df: DataFrame, stratum: str, person: str, label: str, repetitions: int = 200, seed: int = 42, fan: int = 64) -> DataFrame:
     """Share of equal pairs of labels within persons, its mean and p-value under permutation of the labels within a stratum.
 
-    Permuting the labels of a stratum deals its label counts to its persons without replacement, so only counts are needed: a task gets the persons' numbers of rows and
-    the label counts of a stratum, no rows.
+    Permuting the labels of a stratum deals its label counts to its persons without replacement, so only counts are needed.  They are dealt down a tree: a stratum's counts to up to
+    ``fan`` blocks of persons by hypergeometric draws, each block's to its blocks, and at the leaves to persons.  Every node draws from a seed of its own name, so blocks are tasks of their own, whatever the
+    size of a stratum, and a repeated task draws the same.
     """
     rows = df.filter(F.col(label).isNotNull())
     cells = rows.groupBy(stratum, person, label).agg(F.count("*").alias("k"))
-    sizes = cells.groupBy(stratum, person).agg(F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("k") - 1)).alias("same"))
+    sizes = staged(cells.groupBy(stratum, person).agg(F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("k") - 1)).alias("same")), "persons")
+    most = sizes.groupBy(stratum).count().agg(F.max("count")).first()[0] or 0
+    depth = 0
+    while fan ** (depth + 1) < most:
+        depth += 1
+    # A person's block at level d is the first digits of its hash, in base ``fan``.
+    digits = F.pmod(F.xxhash64(F.lit(seed), F.col(person)), F.lit(fan**depth))
+    placed = sizes.withColumn("leaf", digits)
     labels = cells.groupBy(stratum, label).agg(F.sum("k").alias("k")).groupBy(stratum).agg(F.sort_array(F.collect_list("k")).alias("labels"))
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = np.tile(np.asarray(pdf["labels"].iloc[0], dtype=np.int64), (repetitions, 1))
-        rng = np.random.default_rng([seed, zlib.crc32(str(pdf[stratum].iloc[0]).encode())])
-        same = np.zeros(repetitions)
+    kind = sizes.schema[stratum].dataType.simpleString()
+
+    def drawn(left: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+        """n of the labels that are left, in each repetition."""
+        rest, out = np.full(len(left), n), np.zeros_like(left)
+        for j in range(left.shape[1]):
+            others = left[:, j + 1 :].sum(axis=1)
+            out[:, j] = rng.hypergeometric(left[:, j], others, rest) if others.any() else rest
+            rest = rest - out[:, j]
+        return out
+
+    def generator(key, level: int, node: int) -> np.random.Generator:
+        return np.random.default_rng([seed, zlib.crc32(str(key).encode()), level, node])
+
+    def split(level: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            first = pdf.iloc[0]
+            left = np.frombuffer(first["dealt"], np.int64).reshape(repetitions, -1).copy()
+            rng, out = generator(first[stratum], level, int(first["node"])), []
+            for node, n in sorted(zip(pdf["child"], pdf["n"], strict=True)):
+                part = drawn(left, int(n), rng)
+                left -= part
+                out.append((first[stratum], node, part.tobytes()))
+            return pd.DataFrame(out, columns=[stratum, "node", "dealt"])
+
+        return run
+
+    def persons(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        left = np.frombuffer(first["dealt"], np.int64).reshape(repetitions, -1).copy()
+        rng, same = generator(first[stratum], depth, int(first["node"])), np.zeros(repetitions)
         for n in pdf.sort_values(person)["n"]:
-            rest, drawn = np.full(repetitions, n), np.zeros_like(left)
-            for j in range(left.shape[1]):
-                others = left[:, j + 1 :].sum(axis=1)
-                drawn[:, j] = rng.hypergeometric(left[:, j], others, rest) if others.any() else rest
-                rest = rest - drawn[:, j]
-            left -= drawn
-            same += (drawn * (drawn - 1)).sum(axis=1)
-        return pd.DataFrame({"replicate": range(repetitions), "same": same})
-
-    null = sizes.join(labels, stratum).groupBy(stratum).applyInPandas(deal, "replicate int, same double").groupBy("replicate").agg(F.sum("same").alias("same"))
+            part = drawn(left, int(n), rng)
+            left -= part
+            same += (part * (part - 1)).sum(axis=1)
+        return pd.DataFrame({"same": [same.tolist()]})
+
+    def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({stratum: pdf[stratum], "node": 0, "dealt": [np.tile(np.asarray(v, np.int64), (repetitions, 1)).tobytes() for v in pdf["labels"]]})
+
+    nodes = labels.mapInPandas(repeated, f"{stratum} {kind}, node long, dealt binary")
+    for level in range(depth):
+        up, down = fan ** (depth - level), fan ** (depth - level - 1)
+        children = placed.groupBy(stratum, F.floor(F.col("leaf") / up).alias("node"), F.floor(F.col("leaf") / down).alias("child")).agg(F.sum("n").alias("n"))
+        nodes = staged(children.join(nodes, [stratum, "node"]).groupBy(stratum, "node").applyInPandas(split(level), f"{stratum} {kind}, node long, dealt binary"), "dealt")
+    leaves = placed.withColumnRenamed("leaf", "node").join(nodes, [stratum, "node"]).groupBy(stratum, "node").applyInPandas(persons, "same array<double>")
+    null = leaves.select(F.posexplode("same").alias("replicate", "same")).groupBy("replicate").agg(F.sum("same").alias("same"))
     seen = sizes.agg(F.sum("same").cast("double").alias("observed"), F.sum(F.col("n") * (F.col("n") - 1)).cast("double").alias("pairs"))
     both = null.join(seen, F.lit(True))
     out = both.agg(F.first("observed").alias("o"), F.first("pairs").alias("p"), F.avg("same").alias("m"), F.count(F.when(F.col("same") >= F.col("observed"), 1)).alias("above"), F.count("*").alias("r"))

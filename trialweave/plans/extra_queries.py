@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialweave.functions.columns import row_rms
 from trialweave.operators import dynamics, ecg, heart, joins, models, resampling, windows
 from trialweave.plans.analysis_queries import _SERIES, _SPREAD, _STEPS, hrv, profiles16, rt_series
-from trialweave.plans.model_queries import FEATURES, next_rows, scaled, scratch
+from trialweave.plans.model_queries import FEATURES, scaled, scratch
 from trialweave.plans.oracle import BOUNDARY as B_SQL, RR, over, r6, upto
 from trialweave.plans.staging import staged
-from trialweave.plans.trial_queries import SQL, query, trials
+from trialweave.plans.trial_queries import SQL, linked, query, trials
 from trialweave.sources import files, tables
 from trialweave.sources.tables import BOUNDARY, table
 
@@ -247,19 +248,11 @@ def hrv08_paths(spark, sf):
 
 @query("HRV09", over(f"SELECT participant_id, {r6('CASE WHEN short <= 0.2 THEN mean END AS mean_nn')}, CASE WHEN short > 0.2 THEN 'too many short intervals' END AS error FROM (SELECT participant_id, avg(rr_ms) AS mean, avg((rr_ms < 300)::INT) AS short FROM rr GROUP BY 1)", RR))
 def hrv09(spark, sf):
-    """Recordings processed one by one; a recording that fails is a row with its error."""
-
-    def process(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["participant_id"].iloc[0]
-        try:
-            x = pdf.sort_values("pos")["rr_ms"].to_numpy(float)
-            if (x < 300).mean() > 0.2:
-                raise ValueError("too many short intervals")
-            return pd.DataFrame({"participant_id": [key], "mean_nn": [float(x.mean())], "error": [None]})
-        except ValueError as e:
-            return pd.DataFrame({"participant_id": [key], "mean_nn": [None], "error": [str(e)]})
-
-    return tables.rr_intervals(spark, sf).groupBy("participant_id").applyInPandas(process, "participant_id long, mean_nn double, error string")
+    """Recordings by themselves; one that fails is a row with its error."""
+    x = F.col("rr_ms")
+    out = tables.rr_intervals(spark, sf).groupBy("participant_id").agg(F.avg(x).alias("mean"), F.avg((x < 300).cast("double")).alias("short"))
+    failed = F.col("short") > 0.2
+    return out.select("participant_id", F.when(~failed, F.col("mean")).alias("mean_nn"), F.when(failed, "too many short intervals").alias("error"))
 
 
 # --- models ----------------------------------------------------------------------------------------------------------------------------------------------------------
@@ -282,16 +275,29 @@ def ml09(spark, sf):
 
 @query("ML15")
 def ml15(spark, sf):
-    """Gain of features over a baseline, and of features shuffled within the task."""
-    w = Window.partitionBy("task_family")
-    rows = next_rows(spark, sf)
-    order = rows.withColumns({"here": F.row_number().over(w.orderBy("participant_id", *FEATURES)), "there": F.row_number().over(w.orderBy(F.xxhash64("participant_id", *FEATURES)))})
-    other = order.select("task_family", F.col("there").alias("here"), F.col("rt_volatility").alias("shuffled"))
-    rows = staged(order.join(other, ["task_family", "here"]), "shuffled")
-    fit = lambda cols, n: models.grouped_ridge(rows, "next_accuracy", cols, ["task_family"]).select(F.lit(n).alias("model"), "n", "r2")
-    out = fit(["accuracy"], "baseline").unionByName(fit(["accuracy", "rt_volatility"], "features")).unionByName(fit(["accuracy", "shuffled"], "negative_control"))
-    base = out.filter("model = 'baseline'").select(F.col("r2").alias("base"))
-    return out.join(base, F.lit(True)).select("model", "n", "r2", (F.col("r2") - F.col("base")).alias("delta_r2"))
+    """Outcomes of the next window from behaviour, heart features of the participant's recording and their divergence, each set against behaviour alone; and the same with heart features dealt anew
+    within a block."""
+    cognitive, heart_columns = ["accuracy", "rt_volatility", "rt_cv"], ["heart_rate", "log_rmssd", "sdnn"]
+    beats = hrv(spark, sf).select(F.col("participant_id").alias("who"), F.col("window_index").alias("minute"), *heart_columns)
+    w = Window.partitionBy(*BOUNDARY)
+    rows = linked(spark, sf).filter("window_size = 12").select(*BOUNDARY, "window_index", "next_accuracy", "next_throughput", *cognitive)
+    rows = rows.withColumns({"who": F.split("participant_id", ":")[1].cast("long"), "time_on_task": F.col("window_index") / F.greatest(F.max("window_index").over(w), F.lit(1)), "minute": F.col("window_index").cast("long")})
+    aligned = staged(rows.join(beats, ["who", "minute"], "left"), "aligned")
+    # Heart features of a block's windows, dealt anew among them: a few rows a block.
+    here, there = (F.row_number().over(w.orderBy(*order)).alias("k") for order in (["window_index"], [F.xxhash64(F.lit(42), "window_index", *BOUNDARY), "window_index"]))
+    control = staged(aligned.select(*BOUNDARY, "window_index", here).join(aligned.select(*BOUNDARY, *heart_columns, there), [*BOUNDARY, "k"]).select(*BOUNDARY, "window_index", *heart_columns), "dealt")
+    shuffled = aligned.drop(*heart_columns).join(control, [*BOUNDARY, "window_index"])
+    base, kinds = ["block_raw", "time_on_task"], ["task_family"]
+    divergence = ["cognitive_residual_magnitude", "autonomic_activation_residual", "mind_body_divergence_magnitude", "mind_body_coupling_product"]
+    sets = {"A": base, "B": [*base, *cognitive], "C": [*base, *heart_columns], "D": [*base, *cognitive, *heart_columns], "E": [*base, *cognitive, *heart_columns, *divergence]}
+    out = None
+    for name, frame in (("temporally_aligned", aligned), ("within_task_shuffled_ecg", shuffled)):
+        size, activation = row_rms([F.col(c) for c in cognitive], 1), F.col("heart_rate") - F.col("log_rmssd")
+        full = frame.withColumns(dict(zip(divergence, (size, activation, F.abs(size - F.abs(activation)), size * activation), strict=True)))
+        one = models.gains(models.grouped_ridge_models(full, ["next_accuracy", "next_throughput"], {m: (c, kinds) for m, c in sets.items()}, present=0.2), b="B").withColumn("control", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    inference = F.when(F.col("n_subjects") >= 8, "eligible_for_participant_permutation").otherwise("pilot_descriptive_only_fewer_than_8_participants")
+    return out.withColumn("formal_incremental_inference_status", inference)
 
 
 @query("STA14")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.operators import cleaning, gates, models, resampling, residuals, statistics as st
+from trialweave.operators import cleaning, gates, models, pairs, resampling, residuals, statistics as st
 from trialweave.plans.analysis_queries import _EFFECTS, effects, hrv, profiles16
 from trialweave.plans.oracle import BOUNDARY as B_SQL, SESSIONS, over, r6, upto
 from trialweave.plans.staging import shared_dir, staged
@@ -139,23 +139,36 @@ def ml04(spark, sf):
     return loading_rows(spark, *models.components(cov), FEATURES)
 
 
+def component_table(load: np.ndarray, share: np.ndarray, features: list[str], scores: DataFrame | None, key: str, name: str, info: dict) -> list[tuple]:
+    """Loadings, and of the scores of each component their mean, spread and largest size."""
+    out = [("loading", f, j + 1, float(load[i, j]), float(share[j])) for i, f in enumerate(features) for j in range(load.shape[1])]
+    if scores is not None:
+        columns = [f"{name}{j + 1}" for j in range(load.shape[1])]
+        r = scores.agg(*[f(F.col(c)).alias(f"{c}_{k}") for c in columns for k, f in (("mean", F.avg), ("sd", F.stddev_pop), ("largest", lambda x: F.max(F.abs(x))))]).first()
+        out += [("score", k, j + 1, r[f"{c}_{k}"], float(share[j])) for j, c in enumerate(columns) for k in ("mean", "sd", "largest")]
+    return out + [("info", k, None, float(v) if v is not None else None, None) for k, v in info.items() if not isinstance(v, str)]
+
+
+_COMPONENTS = "kind string, name string, component int, value double, explained_variance_ratio double"
+
+
 @query("ML05")
 def ml05(spark, sf):
-    """Two components of person-centred, standardised features: loadings."""
-    rows = models.standard_scale(models.person_centre(primary(spark, sf).dropna(subset=FEATURES), "participant_id", FEATURES), FEATURES)
-    _, _, cov = models.moments(rows, FEATURES)
-    return loading_rows(spark, *models.components(cov, 2), FEATURES)
+    """Three components of person-centred, standardised features: loadings, scores and what was fitted."""
+    load, share, scores, info = models.fixed_components(primary(spark, sf), "participant_id", FEATURES, 3, "window_id")
+    return spark.createDataFrame(component_table(load, share, FEATURES, scores, "window_id", "component_", info), _COMPONENTS)
 
 
 @query("ML06")
 def ml06(spark, sf):
-    """Components between persons (of their means) and within."""
-    cols = ["mean_nn", "sdnn", "rmssd", "pnn50"]
-    rows = hrv(spark, sf).dropna(subset=cols)
-    between = models.standard_scale(rows.groupBy("participant_id").agg(*[F.avg(c).alias(c) for c in cols]), cols)
-    within = models.standard_scale(models.person_centre(rows, "participant_id", cols), cols)
-    part = lambda df, n: loading_rows(spark, *models.components(models.moments(df, cols)[2], 2), cols).withColumn("mode", F.lit(n))
-    return part(between, "between").unionByName(part(within, "within"))
+    """Components between persons (of their means) and within, of the features that are there in four fifths of the windows, as many as beat permuted columns."""
+    cols = ["mean_nn", "sdnn", "rmssd", "pnn50", "log_rmssd", "slope_per_minute"]
+    rows = staged(hrv(spark, sf).withColumn("row_id", F.concat_ws(":", "participant_id", "window_index")), "windows")
+    out = []
+    for mode in ("between", "within"):
+        load, share, used, scores, info = models.autonomic_dimensions(rows, "participant_id", cols, mode, 4, "row_id")
+        out += [(mode, info["status"], *r) for r in component_table(load, share, used, scores, "row_id", f"ans_{mode}_component_", info)]
+    return spark.createDataFrame(out, f"mode string, status string, {_COMPONENTS}")
 
 
 @query("RES07")
@@ -222,7 +235,12 @@ def model_rows(spark, found: list[dict]) -> DataFrame:
 
 @query("ML07")
 def ml07(spark, sf):
-    return model_rows(spark, mixtures(spark, sf)[1])
+    """Mixtures of one to eight components, with the silhouette of their labels; all of them share one pass over the pairs of rows."""
+    rows, found = mixtures(spark, sf)
+    several = [m for m in found if m["k"] > 1]
+    spread = pairs.silhouettes(models.labelled(rows.select(*FEATURES), FEATURES, several), FEATURES, [f"m{i}" for i in range(len(several))])
+    names = spark.createDataFrame([(f"m{i}", m["kind"], m["k"]) for i, m in enumerate(several)], "labelling string, covariance string, k int")
+    return model_rows(spark, found).join(names.join(spread, "labelling").select("covariance", "k", "silhouette"), ["covariance", "k"], "left")
 
 
 @query("ML11")
@@ -290,25 +308,29 @@ def next_rows(spark, sf) -> DataFrame:
 
 @query("ML13")
 def ml13(spark, sf):
-    return models.grouped_ridge(next_rows(spark, sf), "next_accuracy", FEATURES, ["task_family"])
+    return models.grouped_ridge_models(next_rows(spark, sf), ["next_accuracy"], {"all": (FEATURES, ["task_family"])})
 
 
 @query("ML14")
 def ml14(spark, sf):
-    """Nested feature sets against each other."""
-    sets = {"A": (["accuracy"], []), "B": (["accuracy"], ["task_family"]), "C": (FEATURES[:3], ["task_family"]), "D": (FEATURES, ["task_family"])}
-    rows = staged(next_rows(spark, sf), "next")
-    out = None
-    for name, (num, cat) in sets.items():
-        one = models.grouped_ridge(rows, "next_accuracy", num, cat).withColumn("model", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    base = out.filter("model = 'A'").select(F.col("r2").alias("r2_a"))
-    return out.join(base, F.lit(True)).select("model", "n", "r2", "mae", "rmse", (F.col("r2") - F.col("r2_a")).alias("delta_r2"))
+    """Five nested feature sets on three outcomes of the next window, each against the first and the second."""
+    wide = linked(spark, sf).filter("window_size = 12").select("participant_id", "task_family", "dataset_id", "next_accuracy", "next_throughput", "next_rt_cv", *FEATURES)
+    rows = staged(wide, "next")
+    best = models.mixture_sweep(models.robust_scale(rows.dropna(subset=FEATURES), FEATURES), FEATURES, ks=(3,), kinds=("diag",), starts=3)[0]
+    rows = staged(models.assign(models.robust_scale(rows, FEATURES), FEATURES, best, "cluster").withColumn("cluster", F.col("cluster").cast("string")), "clustered")
+    source = ["task_family"]
+    sets = {
+        "Model A": (["accuracy"], source), "Model B": (FEATURES[:2], source), "Model C": (FEATURES[:3], source), "Model D": (FEATURES, source), "Model E": (FEATURES, [*source, "cluster"]),
+    }
+    return models.gains(models.grouped_ridge_models(rows, ["next_accuracy", "next_throughput", "next_rt_cv"], sets), model_a="Model A", model_b="Model B")
 
 
 @query("ML16")
 def ml16(spark, sf):
-    return models.grouped_ridge(tables.sessions(spark, sf), "accuracy", ["speed", "spread", "urgent", "low"])
+    """A session measure from none, one, two and four others."""
+    two = ["speed", "spread"]
+    sets = {"intercept_only": ([], []), "engagement_only": (two[:1], []), "inhibitory_only": (two[1:], []), "two_dimensions": (two, []), "expanded": ([*two, "urgent", "low"], [])}
+    return models.grouped_ridge_models(tables.sessions(spark, sf), ["accuracy"], sets)
 
 
 @query("ML17")
@@ -319,10 +341,14 @@ def ml17(spark, sf):
 
 @query("ML18")
 def ml18(spark, sf):
-    """Recall by class of out-of-fold predictions."""
+    """Recovery of profiles out of fold: recall by class, and the metrics of all rows and of the confident ones."""
     rows = profiles16(spark, sf).dropna(subset=FEATURES).select("participant_id", "profile", *FEATURES)
-    out = models.grouped_classification(rows, "profile", FEATURES)
-    return out.groupBy("truth").agg(F.count("*").alias("n"), F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias("recall"), F.avg("confidence").alias("confidence"))
+    out = staged(models.grouped_classification(rows, "profile", FEATURES), "recovered")
+    right = (F.col("truth") == F.col("predicted")).cast("double")
+    sure = F.col("confidence") >= 0.6
+    all_rows = out.agg(F.avg("confidence").alias("mean_confidence"), F.avg(F.when(sure, right)).alias("confident_accuracy"), F.count_distinct("participant_id").alias("n_subjects"))
+    metrics = models.classification_metrics(out).select("accuracy", "balanced_accuracy", "macro_f1", "log_loss", F.col("confident_share").alias("confident_coverage")).join(all_rows, F.lit(True))
+    return out.groupBy("truth").agg(F.count("*").alias("n"), F.avg(right).alias("recall")).join(metrics, F.lit(True))
 
 
 @query("ML19")
@@ -347,11 +373,27 @@ def ml21(spark, sf):
     return models.group_folds(tables.trials(spark, sf), "participant_id").select("participant_id", "fold").distinct()
 
 
-@query("ML22", f"""WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS k FROM orders GROUP BY ALL), x AS (SELECT sum(k * (k - 1) / 2) AS s, sum(k) AS n FROM c),
-p AS (SELECT sum(k * (k - 1) / 2) AS a FROM (SELECT sum(k) AS k FROM c GROUP BY a)), q AS (SELECT sum(k * (k - 1) / 2) AS b FROM (SELECT sum(k) AS k FROM c GROUP BY b))
-SELECT n::BIGINT AS n, {r6('(s - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)) AS ari')} FROM x, p, q""")
+_CELLS = """z AS (SELECT o_orderstatus AS a, o_orderpriority AS b, o_totalprice, o_custkey FROM orders), c AS (SELECT a, b, count(*) AS k FROM z GROUP BY ALL), x AS (SELECT sum(k * (k - 1) / 2) AS s, sum(k) AS n FROM c),
+p AS (SELECT sum(k * (k - 1) / 2) AS a FROM (SELECT sum(k) AS k FROM c GROUP BY a)), q AS (SELECT sum(k * (k - 1) / 2) AS b FROM (SELECT sum(k) AS k FROM c GROUP BY b)),
+j AS (SELECT avg(best) AS jaccard FROM (SELECT a, max(k / (n + m - k)) AS best FROM (SELECT *, sum(k) OVER (PARTITION BY a) AS n, sum(k) OVER (PARTITION BY b) AS m FROM c) GROUP BY a)),
+pr AS (SELECT l_suppkey, avg((l_returnflag = 'A')::INT) AS pa, avg((l_returnflag = 'N')::INT) AS pn, avg((l_returnflag = 'R')::INT) AS pr FROM lineitem GROUP BY 1),
+en AS (SELECT avg((-greatest(pa, 1e-12) * ln(greatest(pa, 1e-12)) - greatest(pn, 1e-12) * ln(greatest(pn, 1e-12)) - greatest(pr, 1e-12) * ln(greatest(pr, 1e-12))) / ln(3)) AS entropy FROM pr),
+r AS (SELECT p_partkey, p_size / 10.0 AS f1, p_retailprice / 100.0 AS f2, p_partkey % 3 AS l FROM part), nl AS (SELECT l, count(*) AS n FROM r GROUP BY 1),
+d AS (SELECT u.p_partkey, u.l, v.l AS o, sum(sqrt((u.f1 - v.f1) ** 2 + (u.f2 - v.f2) ** 2)) AS t FROM r u, r v GROUP BY ALL),
+si AS (SELECT avg((b - a) / greatest(a, b)) AS silhouette FROM (SELECT p_partkey, max(t / (n - 1)) FILTER (d.l = o) AS a, min(t / n) FILTER (d.l <> o) AS b FROM d JOIN nl ON nl.l = o GROUP BY 1))"""
+
+
+@query("ML22", f"""WITH {_CELLS}
+SELECT n::BIGINT AS n, {r6('(s - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)) AS ari', 'silhouette', 'entropy AS posterior_entropy', 'jaccard AS partition_jaccard')} FROM x, p, q, si, en, j""")
 def ml22(spark, sf):
-    return models.adjusted_rand(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
+    """Agreement of two labellings, their partition overlap, the silhouette of a labelling of parts and the entropy of suppliers' shares."""
+    orders, part = table(spark, sf, "orders"), table(spark, sf, "part")
+    flags = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(*[F.avg((F.col("l_returnflag") == f).cast("double")).alias(f) for f in "ANR"])
+    rows = part.select((F.col("p_size") / 10.0).alias("f1"), (F.col("p_retailprice") / 100.0).alias("f2"), (F.col("p_partkey") % 3).alias("l"))
+    out = models.adjusted_rand(orders, "o_orderstatus", "o_orderpriority")
+    for one in (pairs.silhouettes(rows, ["f1", "f2"], ["l"]).select("silhouette"), models.posterior_entropy(flags, ["A", "N", "R"]), models.partition_jaccard(orders, "o_orderstatus", "o_orderpriority")):
+        out = out.join(one, F.lit(True))
+    return out
 
 
 # --- resampling ------------------------------------------------------------------------------------------------------------------------------------------------------
