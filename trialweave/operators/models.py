@@ -751,8 +751,8 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, classes: int, weight: np.ndarray,
 
 
 def softmax(a: np.ndarray) -> np.ndarray:
-    e = np.exp(a - a.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e = np.exp(a - a.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
 
 
 def grouped_classification(df: DataFrame, label: str, numeric: list[str], group: str = "participant_id", folds: int = 5, l2: float = 1.0, rounds: int = 60) -> DataFrame:
