@@ -1,7 +1,7 @@
 """Density clustering with noise: a hierarchy of mutual reachability, condensed, with the clusters of most excess mass.
 
-The hierarchy is of all rows.  Its core distances and its spanning tree (Boruvka's rounds) take the square of the rows, in blocks dealt to tasks; the driver and each
-task hold the features of all rows.  With ``most`` it is of a sample of so many rows (those of smallest hash), and other rows take the label of the nearest sampled one.
+The hierarchy is of all rows.  Its core distances and its spanning tree (Boruvka's rounds) take the square of the rows, in tiles of blocks dealt to tasks: no task holds more than two blocks of rows, and none
+of them reaches the driver.  The edges of the tree, three numbers a row, are condensed in order by one task, which needs some numbers a row.
 """
 
 from __future__ import annotations
@@ -11,11 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELLS = 4_000_000
+from trialweave.operators.models import dense_places
+from trialweave.operators.pairs import BLOCK, blocks, distances, tile_sums, tiles
+from trialweave.plans.staging import staged
+
 TINY = 1e-12
+#: Parts of the range that holds a row's core distance, in a pass.
+BINS = 512
 
 
 @dataclass
@@ -33,7 +38,7 @@ class Hierarchy:
         if not len(self.points):
             return out
         for lo in range(0, len(x), 512):
-            d = _distances(x[lo : lo + 512], self.points)
+            d = distances(x[lo : lo + 512], self.points)
             near = np.maximum(d, self.core).argmin(axis=1)
             reach = np.maximum(d, self.core)[np.arange(len(d)), near]
             found = self.labels[near]
@@ -44,13 +49,6 @@ class Hierarchy:
         return out
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)))
-    for k in range(a.shape[1]):
-        out += (a[:, k, None] - b[None, :, k]) ** 2
-    return np.sqrt(out)
-
-
 def spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
     """Edges of least mutual reachability that connect all rows, the shortest first."""
     n = len(x)
@@ -58,7 +56,7 @@ def spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int
     at, edges = 0, []
     out[0] = True
     for _ in range(n - 1):
-        d = np.maximum(np.maximum(_distances(x[at : at + 1], x)[0], core), core[at])
+        d = np.maximum(np.maximum(distances(x[at : at + 1], x)[0], core), core[at])
         closer = ~out & (d < best)
         best[closer], via[closer] = d[closer], at
         at = int(np.where(out, np.inf, best).argmin())
@@ -67,75 +65,123 @@ def spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int
     return sorted(edges)
 
 
-def shared_tree(spark: SparkSession, x: np.ndarray, least: int) -> tuple[np.ndarray, list[tuple[float, int, int]]]:
-    """Core distances, and the edges of :func:`spanning_tree`, by blocks of rows in tasks: in a round each component gets its shortest edge to another one."""
-    n = len(x)
-    step = max(1, min(512, CELLS // n))
-    blocks = spark.range(0, n, step, numPartitions=max(1, min(-(-n // step), 4 * spark.sparkContext.defaultParallelism)))
-    points = spark.sparkContext.broadcast(x)
+def _bins(dist: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How many of a row's distances are in each of ``BINS`` parts of [lo, hi)."""
+    width = _width(lo, hi)[:, None]
+    at = np.clip(((dist - lo[:, None]) / width).astype(np.int64), 0, BINS - 1)
+    at -= (at > 0) & (dist < lo[:, None] + at * width)  # a division may round where the edges don't
+    at += (at < BINS - 1) & (dist >= lo[:, None] + (at + 1) * width)
+    row, _ = np.nonzero(inside := (dist >= lo[:, None]) & (dist < hi[:, None]))
+    return np.bincount(row * BINS + at[inside], minlength=len(dist) * BINS).reshape(len(dist), BINS)
+
+
+def _width(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return np.maximum((hi - lo) / BINS, np.spacing(lo))
+
+
+def core_distances(rows: DataFrame, features: list[str], least: int, size: int = BLOCK) -> DataFrame:
+    """``rows`` (r and features) with ``core``: the distance to the ``least``-th other row.  All rows' distances are counted in bins of a range of each row's own, which holds the one that is looked for and is narrowed until it is one number."""
+    d = len(features)
+    spread = rows.agg(*[(F.max(c) - F.min(c)).alias(c) for c in features]).first()
+    most = float(np.sqrt(sum((spread[c] or 0.0) ** 2 for c in features))) * 1.001 + 1.0
+    packed = blocks(rows.select("r", *features, F.lit(0.0).alias("lo"), F.lit(most).alias("hi"), F.lit(0.0).alias("below")), [*features, "r", "lo", "hi", "below"], size, "r")
+    width = d + 4
+
+    def of(x: np.ndarray, y: np.ndarray, same: bool):
+        dist = distances(x[:, :d], y[:, :d])
+        return _bins(dist, x[:, d + 1], x[:, d + 2]), None if same else _bins(dist.T, y[:, d + 1], y[:, d + 2])
 
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lows = b.column(0).to_pylist()
-            found = [np.partition(_distances(points.value[lo : lo + step], points.value), least, axis=1)[:, least].tolist() for lo in lows]
-            yield pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["lo", "core"])
-
-    core = np.zeros(n)
-    for r in blocks.mapInArrow(cores, "lo long, core array<double>").collect():
-        core[r["lo"] : r["lo"] + step] = r["core"]
-    component, edges = np.arange(n), []
-    while len(edges) < n - 1:
-        state = spark.sparkContext.broadcast((core, component))
-
-        def shortest(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            core, component = state.value
-            best: dict[int, tuple[float, int, int]] = {}
-            for b in batches:
-                for lo in b.column(0).to_pylist():
-                    d = np.maximum(np.maximum(_distances(points.value[lo : lo + step], points.value), core), core[lo : lo + step, None])
-                    d[component[lo : lo + step, None] == component] = np.inf
-                    near = d.argmin(axis=1)
-                    for k, j in enumerate(near.tolist()):
-                        c, edge = int(component[lo + k]), (float(d[k, j]), lo + k, j)
-                        if c not in best or edge < best[c]:
-                            best[c] = edge
-            columns = [pa.array(list(best), pa.int64()), *[pa.array([e[k] for e in best.values()], t) for k, t in ((0, pa.float64()), (1, pa.int64()), (2, pa.int64()))]]
-            yield pa.RecordBatch.from_arrays(columns, names=["c", "d", "i", "j"])
-
-        best: dict[int, tuple[float, int, int]] = {}
-        for r in blocks.mapInArrow(shortest, "c long, d double, i long, j long").collect():
-            edge = (r["d"], r["i"], r["j"])
-            if r["c"] not in best or edge < best[r["c"]]:
-                best[r["c"]] = edge
-        root = {c: c for c in best}
-
-        def find(c: int, root=root) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        for d, i, j in sorted(best.values()):
-            a, b = find(int(component[i])), find(int(component[j]))
-            if a != b:
-                root[b] = a
-                edges.append((d, i, j))
-        names, place = np.unique(component, return_inverse=True)
-        component = np.array([find(c) for c in names.tolist()])[place]
-        state.destroy()
-    return core, sorted(edges)
-
-
-def fit(x: np.ndarray, least: int, spark: SparkSession | None = None) -> Hierarchy:
-    """The hierarchy of clusters of ``least`` rows or more; with ``spark`` its distances are worked on by tasks."""
+            for block, n, held, total in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                x = np.frombuffer(held.as_py()).reshape(-1, width).copy()
+                run = np.cumsum(np.frombuffer(total.as_py()).reshape(len(x), BINS), axis=1) + x[:, d + 3, None]
+                at = (run > least).argmax(axis=1)
+                i, lo, hi = np.arange(len(x)), x[:, d + 1].copy(), x[:, d + 2].copy()
+                w = _width(lo, hi)
+                x[:, d + 1], x[:, d + 2] = lo + at * w, np.where(at == BINS - 1, hi, np.minimum(lo + (at + 1) * w, hi))
+                x[:, d + 3] = np.where(at > 0, run[i, np.maximum(at - 1, 0)], x[:, d + 3])
+                wide = int((x[:, d + 2] > np.maximum(np.nextafter(x[:, d + 1], np.inf), TINY)).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([wide], pa.int64())], names=["block", "n", "packed", "wide"])
+
+    while True:
+        summed = tile_sums(packed, width, of).select("block", "n", "packed", "total")
+        found = staged(summed.mapInArrow(narrowed, "block int, n int, packed binary, wide long"), "cores")
+        packed = found.select("block", "n", "packed")
+        if not (found.agg(F.sum("wide")).first()[0] or 0):
+            break
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for held in b.column(2):
+                x = np.frombuffer(held.as_py()).reshape(-1, width)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, d].astype(np.int64)), *[pa.array(x[:, k].copy()) for k in (*range(d), d + 1)]], names=["r", *features, "core"])
+
+    return staged(packed.mapInArrow(unpack, f"r long, {', '.join(f'`{c}` double' for c in features)}, core double"), "cored")
+
+
+def shared_tree(rows: DataFrame, features: list[str], size: int = BLOCK) -> DataFrame:
+    """w, a, b: the edges of :func:`spanning_tree` of rows (r, features, core), by Boruvka's rounds: each component gets its shortest edge to another one, tile by tile, and what that joins becomes one."""
+    d = len(features)
+    rows = staged(rows.withColumn("comp", F.col("r")), "components")
+    edges: list[DataFrame] = []
+
+    def shortest(x: np.ndarray, y: np.ndarray, mutual: np.ndarray) -> np.ndarray:
+        """Rows (component, w, a, b, other component): of each component of x the least (w, a, b); rows are in order of their numbers."""
+        at = mutual.argmin(axis=1)
+        w = mutual[np.arange(len(x)), at]
+        out = np.column_stack([x[:, d + 1], w, np.minimum(x[:, d + 2], y[at, d + 2]), np.maximum(x[:, d + 2], y[at, d + 2]), y[at, d + 1]])[np.isfinite(w)]
+        out = out[np.lexsort((out[:, 3], out[:, 2], out[:, 1], out[:, 0]))]
+        new = np.ones(len(out), bool)
+        new[1:] = out[1:, 0] != out[:-1, 0]
+        return out[new]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_py()).reshape(-1, d + 3) for v in (a, b))
+                mutual = np.maximum(np.maximum(distances(x[:, :d], y[:, :d]), x[:, d, None]), y[None, :, d])
+                mutual[x[:, d + 1, None] == y[None, :, d + 1]] = np.inf
+                out = shortest(x, y, mutual)
+                if i != j:
+                    out = np.concatenate([out, shortest(y, x, mutual.T)])
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, k].astype(np.int64) if k != 1 else out[:, k].copy()) for k in range(5)], names=["comp", "w", "a", "b", "other"])
+
+    while True:
+        packed = blocks(rows, [*features, "core", "comp", "r"], size, "r")
+        found = tiles(packed).mapInArrow(nearest, "comp long, w double, a long, b long, other long")
+        best = staged(found.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("comp", "e.*"), "shortest")
+        if best.isEmpty():
+            break
+        edges.append(staged(best.select("w", "a", "b").distinct(), "edges"))
+        back = best.select(F.col("comp").alias("other"), F.col("other").alias("back"))
+        up = staged(best.join(back, "other").select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("up")), "up")
+        while True:  # every component's root, in doubled steps
+            above = up.select(F.col("comp").alias("up"), F.col("up").alias("next"))
+            up = staged(up.join(above, "up").select("comp", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "up")
+            if up.filter("moved").isEmpty():
+                break
+            up = up.select("comp", "up")
+        rows = staged(rows.join(up.select("comp", "up"), "comp").drop("comp").withColumnRenamed("up", "comp"), "components")
+    if not edges:
+        return rows.sparkSession.createDataFrame([], "w double, a long, b long")
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionAll(e)
+    return out
+
+
+def fit(x: np.ndarray, least: int) -> Hierarchy:
+    """The hierarchy of clusters of ``least`` rows or more of a matrix."""
     n = len(x)
     if n <= least:
         return Hierarchy(x, np.zeros(n), np.full(n, -1), np.zeros(0))
-    if spark is None:
-        core = np.concatenate([np.partition(_distances(x[lo : lo + 512], x), least, axis=1)[:, least] for lo in range(0, n, 512)])
-        tree = spanning_tree(x, core)
-    else:
-        core, tree = shared_tree(spark, x, least)
+    core = np.concatenate([np.partition(distances(x[lo : lo + 512], x), least, axis=1)[:, least] for lo in range(0, n, 512)])
+    return Hierarchy(x, core, *condensed(n, spanning_tree(x, core), least))
+
+
+def condensed(n: int, tree: list[tuple[float, int, int]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of n rows from the edges of their spanning tree, the shortest first, and the density at which each cluster begins."""
     # The dendrogram: node n + k joins two nodes at the k-th edge.
     root, size = list(range(n)), [1] * n
     joined: list[tuple[int, int, float]] = []
@@ -197,31 +243,28 @@ def fit(x: np.ndarray, least: int, spark: SparkSession | None = None) -> Hierarc
     _, first = np.unique(found[found >= 0], return_index=True)
     order = found[found >= 0][np.sort(first)]  # clusters are numbered by their first row
     number = {c: k for k, c in enumerate(order.tolist())}
-    return Hierarchy(x, core, np.array([number.get(c, -1) for c in found.tolist()]), np.array([begins[c] for c in order.tolist()]))
-
-
-def density_clusters(df: DataFrame, features: list[str], key: str, *, least: int = 20, share: float = 0.05, most: int | None = None, name: str = "cluster") -> DataFrame:
-    """``df`` with the cluster of each row, -1 for noise and for rows that miss a feature.
-
-    A cluster has ``least`` rows and ``share`` of all at least (of the sample, with ``most``).
-    """
-    sample = df.select(key, *features).dropna().orderBy(F.xxhash64(key), key)
-    sample = (sample if most is None else sample.limit(most)).drop(key).toPandas().to_numpy(float) + 0.0
-    model = df.sparkSession.sparkContext.broadcast(fit(sample, max(least, int(np.ceil(share * len(sample)))), df.sparkSession))
-    columns = df.columns
-    places = [columns.index(c) for c in features]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {p.tobytes(): int(c) for p, c in zip(model.value.points[::-1], model.value.labels[::-1], strict=True)}
-        for b in batches:
-            x = 0.0 + np.column_stack([b.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in places])
-            whole = ~np.isnan(x).any(axis=1)
-            out = np.full(len(x), -1)
-            own = np.array([known.get(p.tobytes(), -2) for p in x], dtype=np.int64)
-            out[whole] = own[whole]
-            rest = whole & (own == -2)  # rows outside a sample
-            if rest.any():
-                out[rest] = model.value.label(x[rest])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*columns, name])
-
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` int"]))
+    return np.array([number.get(c, -1) for c in found.tolist()]), np.array([begins[c] for c in order.tolist()])
+
+
+def density_clusters(df: DataFrame, features: list[str], key: str, *, least: int = 20, share: float = 0.05, name: str = "cluster", size: int = BLOCK) -> DataFrame:
+    """``df`` with the cluster of each row, -1 for noise and for rows that miss a feature.  A cluster has ``least`` rows and ``share`` of all at least."""
+    base = staged(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    clean = [(F.col(c).cast("double") + 0.0).alias(f"f{k}") for k, c in enumerate(features)]
+    whole = base.dropna(subset=features).select("__row", F.xxhash64(key).alias("h"), F.col(key).alias("k"), *clean)
+    rows = dense_places(whole.filter(" and ".join(f"not isnan(f{k})" for k in range(len(features)))), ["h", "k", "__row"], "r")
+    columns = [f"f{k}" for k in range(len(features))]
+    n = rows.count()
+    smallest = max(least, int(np.ceil(share * n)))
+    if n <= smallest:
+        return base.drop("__row").withColumn(name, F.lit(-1))
+    tree = shared_tree(core_distances(rows.select("r", *columns), columns, smallest, size), columns, size)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = [e for b in batches for e in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if edges:
+            found = condensed(n, edges, smallest)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(found.astype(np.int32))], names=["r", "c"])
+
+    labels = tree.repartition(1).sortWithinPartitions("w", "a", "b").mapInArrow(label, "r long, c int")
+    found = rows.select("__row", "r").join(labels, "r").select("__row", "c")
+    return base.join(found, "__row", "left").select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("c", F.lit(-1)).alias(name))

@@ -39,12 +39,9 @@ def completeness(recordings: DataFrame, participant: str, expected: int) -> Data
     return g.withColumn("complete", (F.col("recordings") == expected) & (F.col("errors") == 0))
 
 
-def markdown(title: str, df: DataFrame, limit: int = 200) -> str:
-    """A report table; of a longer one the first ``limit`` rows, with a line that says how many it has."""
-    rows = df.limit(limit + 1).collect()
+def markdown(title: str, df: DataFrame) -> str:
+    """A report table with all rows, one partition after another."""
     cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:limit]]
-    if len(rows) > limit:
-        lines += ["", f"The first {limit} of {df.count()} rows."]
+    lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in df.toLocalIterator()]
     return "\n".join(lines) + "\n"

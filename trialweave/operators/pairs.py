@@ -23,9 +23,10 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
-def blocks(df: DataFrame, columns: list[str], size: int = BLOCK) -> DataFrame:
-    """block, n, packed: ``columns`` as doubles, row by row, of blocks of about ``size`` rows, dealt by a hash of the rows' numbers."""
-    numbered = staged(df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).withColumn("r", F.monotonically_increasing_id()), "rows")
+def blocks(df: DataFrame, columns: list[str], size: int = BLOCK, row: str | None = None) -> DataFrame:
+    """block, n, packed: ``columns`` as doubles, row by row, of blocks of about ``size`` rows, dealt by a hash of the rows' numbers and in their order (``row``, else numbers of their own)."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    numbered = staged(df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)], number.alias("r")), "rows")
     parts = max(1, -(-numbered.count() // size))
     dealt = numbered.withColumn("block", F.pmod(F.xxhash64("r"), F.lit(parts)).cast("int")).repartition("block").sortWithinPartitions("block", "r")
 
@@ -53,13 +54,18 @@ def blocks(df: DataFrame, columns: list[str], size: int = BLOCK) -> DataFrame:
     return staged(dealt.select(*[f"c{k}" for k in range(len(columns))], "block").mapInArrow(pack, "block int, n int, packed binary"), "blocks")
 
 
-def tile_sums(packed: DataFrame, width: int, of: Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
-    """block, n, packed, total: the sum over all blocks of ``of(rows, others, same block)``, which gives an array for the rows and, of two blocks, one for the others."""
+def tiles(packed: DataFrame) -> DataFrame:
+    """i, j, a, b: the rows of every two blocks, and of each with itself."""
     left = packed.select(F.col("block").alias("i"), F.col("packed").alias("a"))
     right = packed.select(F.col("block").alias("j"), F.col("packed").alias("b"))
     names = packed.select("block")
-    tiles = names.toDF("i").join(names.toDF("j"), F.col("i") <= F.col("j")).repartition("i", "j")
-    rows = tiles.join(left, "i").join(right, "j").select("i", "j", "a", "b")
+    pairs = names.toDF("i").join(names.toDF("j"), F.col("i") <= F.col("j")).repartition("i", "j")
+    return pairs.join(left, "i").join(right, "j").select("i", "j", "a", "b")
+
+
+def tile_sums(packed: DataFrame, width: int, of: Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
+    """block, n, packed, total: the sum over all blocks of ``of(rows, others, same block)``, which gives an array for the rows and, of two blocks, one for the others."""
+    rows = tiles(packed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,6 +11,10 @@ from trialweave.functions.columns import correlation, count_where, safe_div
 from trialweave.plans.staging import staged
 
 
+#: So many distinct values are sorted by one task; the ranks are the same either way.
+SORTED = 200_000
+
+
 def one_way_icc(df: DataFrame, group: str, feature: str) -> DataFrame:
     """Unbalanced one-way ICC(1) over groups of two rows or more."""
     x = F.col(feature).cast("double")
@@ -38,12 +42,15 @@ def trait_state(df: DataFrame, person: str, feature: str) -> DataFrame:
 def ranks(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
     """keys, column, ``rank`` (from 1, ties at their mean) and ``n``, the number of values of the key: a row a distinct value that isn't null.
 
-    Values are counted, dealt to tasks by range and numbered there; a task adds what stands before its range, so no task sorts them all.
+    Values are counted; up to ``SORTED`` distinct ones are numbered by a window.  More are dealt to tasks by range and numbered there, and a task adds what stands before its range, so no task sorts them all.
     """
     keys = keys or []
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__many"))
+    by_key = Window.partitionBy(*keys)  # of many values: a row a key and task
+    counts = staged(df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__many")), "values")
+    if counts.count() <= SORTED:
+        run, all_rows = F.sum("__many").over(by_key.orderBy(column)), F.sum("__many").over(by_key)
+        return counts.select(*keys, column, (run - F.col("__many") + (F.col("__many") + 1) / 2.0).alias("rank"), all_rows.alias("n"))
     placed = staged(counts.repartitionByRange(*keys, column).withColumn("__part", F.spark_partition_id()), "values")
-    by_key = Window.partitionBy(*keys)  # a row a key and task
     parts = placed.groupBy(*keys, "__part").agg(F.sum("__many").alias("__here"))
     before = parts.select(*keys, "__part", (F.sum("__here").over(by_key.orderBy("__part")) - F.col("__here")).alias("__before"), F.sum("__here").over(by_key).alias("n"))
     run = F.sum("__many").over(Window.partitionBy(*keys, "__part").orderBy(column))
