@@ -40,13 +40,14 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables written after the first ``since``; their DataFrames can't be read any more."""
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete the tables written after the first ``since``, without the last ``but`` of them; their DataFrames can't be read any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _WRITTEN[since:]:
+    end = max(since, len(_WRITTEN) - but)
+    for path in _WRITTEN[since:end]:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-    del _WRITTEN[since:]
+    del _WRITTEN[since:end]
 
 
 def written() -> int:
