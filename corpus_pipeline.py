@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trialweave.llm import bpe, decontamination, jaccard_join, line_dedup, quality_rules
 from trialweave.llm.text import numbered
-from trialweave.plans.staging import staged
+from trialweave.plans.staging import release, staged, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -78,11 +78,13 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; a stage's own tables go when its result is written, and its input with them."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, name)
+            release(spark, since, but=1)
     return docs
 
 
