@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.columns import correlation, count_where, mean_where, quantile, row_mean, row_rms, safe_div
 from trialweave.operators import dynamics, heart, joins, statistics as st, windows
-from trialweave.plans.oracle import BOUNDARY as B_SQL, RR, SESSIONS, over, r6, rr_windows, upto
+from trialweave.plans.oracle import BOUNDARY as B_SQL, RR, SESSIONS, matched, over, r6, rr_windows, upto
 from trialweave.plans.trial_queries import dataset_yield, flagged, icc_band, linked, members, query, session_z, summaries, trials
 from trialweave.sources import tables
 from trialweave.sources.tables import BOUNDARY, table
@@ -87,7 +87,7 @@ def join11(spark, sf):
     return out.select("user_id", F.col("stimulus.event_id").alias("stimulus"), F.col("response.event_id").alias("response"))
 
 
-@query("JOIN10")
+@query("JOIN10", matched("l_suppkey", "SELECT l_suppkey, l_linenumber % 2 AS side, l_extendedprice::DOUBLE AS t FROM lineitem", 40.0))
 def join10(spark, sf):
     """One-to-one matches of two lists of times within a tolerance."""
     points = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_linenumber") % 2).cast("int").alias("side"), F.col("l_extendedprice").cast("double").alias("t"))

@@ -13,7 +13,7 @@ from trialweave.functions.columns import row_rms
 from trialweave.operators import dynamics, ecg, heart, joins, models, resampling, windows
 from trialweave.plans.analysis_queries import _SERIES, _SPREAD, _STEPS, hrv, profiles16, rt_series
 from trialweave.plans.model_queries import FEATURES, scaled, scratch
-from trialweave.plans.oracle import BOUNDARY as B_SQL, RR, over, r6, upto
+from trialweave.plans.oracle import BOUNDARY as B_SQL, RR, matched, over, r6, upto
 from trialweave.plans.staging import staged
 from trialweave.plans.trial_queries import SQL, linked, query, trials
 from trialweave.sources import files, tables
@@ -171,7 +171,7 @@ def two_detectors(spark, sf) -> DataFrame:
     return clock.select("participant_id", F.lit(0).alias("side"), "t").unionAll(second)
 
 
-@query("HRV03")
+@query("HRV03", matched("participant_id", f"WITH {RR}, ck AS (SELECT participant_id, pos, sum(rr_ms) OVER (PARTITION BY participant_id ORDER BY pos)::DOUBLE AS t FROM rr) SELECT participant_id, 0 AS side, t FROM ck UNION ALL SELECT participant_id, 1, t + (pos % 12) * 10 FROM ck WHERE pos % 10 <> 0", 80.0))
 def hrv03(spark, sf):
     """Concordance of two peak lists of a recording within 80 ms, the second one shifted."""
     return joins.band_match(two_detectors(spark, sf), ["participant_id"], 80.0)

@@ -95,6 +95,14 @@ def upto(name: str, select: str, *more: str) -> str:
     return f"WITH {', '.join([*parts, *more])}\n{select}"
 
 
+def matched(key: str, points: str, tolerance: float) -> str:
+    """Greedy one-to-one matches of the two sides of ``points`` (key, side, t), a step of two pointers a round."""
+    return f"""WITH RECURSIVE lists AS (SELECT {key}, list(t ORDER BY t) FILTER (side = 0) AS a, list(t ORDER BY t) FILTER (side = 1) AS b FROM ({points}) GROUP BY 1),
+s AS (SELECT {key}, 1 AS i, 1 AS j, 0 AS m FROM lists UNION ALL SELECT {key}, CASE WHEN hit OR gap < 0 THEN i + 1 ELSE i END, CASE WHEN hit OR gap >= 0 THEN j + 1 ELSE j END, m + hit::INT
+  FROM (SELECT *, abs(gap) <= {tolerance} AS hit FROM (SELECT s.*, a[i] - b[j] AS gap FROM s JOIN lists USING ({key}) WHERE i <= len(a) AND j <= len(b))))
+SELECT {key}, max(m) AS matched, {r6('max(m) / greatest(len(coalesce(any_value(a), [])), len(coalesce(any_value(b), []))) AS concordance')} FROM s JOIN lists USING ({key}) GROUP BY 1"""
+
+
 def over(select: str, *ctes: str) -> str:
     return f"WITH {', '.join(ctes)}\n{select}"
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trialweave.operators import density, heart, models, windows
 from trialweave.plans.analysis_queries import _COR, _HRV
 from trialweave.plans.model_queries import FEATURES, scaled, scratch
-from trialweave.plans.oracle import RR, over, r6, rr_windows
+from trialweave.plans.oracle import RR, over, r6, rr_windows, upto
 from trialweave.plans.staging import staged
 from trialweave.plans.trial_queries import query
 from trialweave.sources import files, tables
@@ -24,21 +24,23 @@ from trialweave.sources.tables import table
 
 # --- contracts and settings ------------------------------------------------------------------------------------------------------------------------------------------
 
-CONTRACT = {"nation": ["n_nationkey", "n_name"], "region": ["r_regionkey"], "visits": ["v"]}
+CONTRACT = {"customer": ["c_custkey", "c_nationkey"], "lineitem": ["l_orderkey", "l_partkey"], "visits": ["v"]}
+_AUDIT = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, true AS present, count(*) AS n_rows, count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct FROM {t}" for t in ("customer", "lineitem") for c in CONTRACT[t])
 
 
-@query("SRC01", "SELECT * FROM (VALUES ('nation', 'n_nationkey'), ('nation', 'n_name'), ('region', 'r_regionkey'), ('visits', 'v')) AS t(table_name, column_name)")
+@query("SRC01", f"{_AUDIT} UNION ALL SELECT 'visits', 'v', false, NULL, NULL, NULL")
 def src01(spark, sf):
+    """A contract loaded from JSON, and what the tables hold of it."""
     found = files.load_contract(files.write_json({"tables": CONTRACT}, scratch(spark, ".json")))
-    return spark.createDataFrame([(t, c) for t, cols in found.items() for c in cols], "table_name string, column_name string")
+    return files.contract_audit({n: table(spark, sf, n) for n in ("customer", "lineitem")}, found)
 
 
-@query("SRC03", "SELECT 'Missing table: visits' AS value")
+@query("SRC03", upto("trials", "SELECT 'Missing table: visits' AS value UNION ALL SELECT format('Table trials: {} of {} rows have no rt_ms', count(*) - count(rt_ms), count(*)) FROM trials HAVING count(rt_ms) < count(*)"))
 def src03(spark, sf):
-    """A database that breaks its contract stops the run and leaves a report."""
+    """A database that breaks its contract, in its tables or in its rows, stops the run and leaves a report."""
     path = scratch(spark, ".txt")
     try:
-        files.require_schema({n: table(spark, sf, n) for n in ("nation", "region")}, CONTRACT, path)
+        files.require_complete({"trials": tables.trials(spark, sf)}, {"trials": ["observation_id", "rt_ms"], "visits": ["v"]}, path)
     except ValueError:
         return spark.read.text(path)
     raise AssertionError("the contract is broken")
@@ -50,10 +52,16 @@ class Settings:
     floor: float = 150.0
 
 
-@query("SRC21", "SELECT size, 150.0::DOUBLE AS floor FROM (VALUES (60), (80), (120)) AS t(size)")
+_SIZED = "SELECT s AS size, 150.0::DOUBLE AS floor, sum(n)::BIGINT AS n_trials, sum(n // s)::BIGINT AS n_windows FROM (SELECT participant_id, block_raw, count(*) AS n FROM trials WHERE rt_ms >= 150 GROUP BY ALL), (VALUES (12), (16), (24)) AS t(s) GROUP BY ALL"
+
+
+@query("SRC21", upto("trials", _SIZED))
 def src21(spark, sf):
-    s = files.load_config(files.write_json({"sizes": [60, 80, 120]}, scratch(spark, ".json")), Settings)
-    return spark.createDataFrame([(x, s.floor) for x in s.sizes], "size int, floor double")
+    """Settings from JSON, and the windows that they cut from the trials."""
+    s = files.load_config(files.write_json({"sizes": [12, 16, 24]}, scratch(spark, ".json")), Settings)
+    blocks = tables.trials(spark, sf).filter(F.col("rt_ms") >= s.floor).groupBy("participant_id", "block_raw").agg(F.count("*").alias("n"))
+    sized = blocks.withColumn("size", F.explode(F.array(*[F.lit(x) for x in s.sizes])))
+    return sized.groupBy("size").agg(F.lit(s.floor).alias("floor"), F.sum("n").alias("n_trials"), F.sum(F.floor(F.col("n") / F.col("size"))).alias("n_windows"))
 
 
 # --- readers ---------------------------------------------------------------------------------------------------------------------------------------------------------
@@ -73,55 +81,61 @@ def src13(spark, sf):
     return files.recording_issues(meta).select("s_suppkey", "issue")
 
 
-@query("SRC16", "SELECT n_nationkey, format('sub-{:02d}.zip', n_nationkey + 1) AS file FROM nation")
+@query("SRC16", "SELECT c_custkey, format('sub-{:02d}.zip', c_custkey % 29 + 1) AS file FROM customer")
 def src16(spark, sf):
-    return table(spark, sf, "nation").withColumn("number", F.col("n_nationkey") + 1).select("n_nationkey", files.participant_file("number").alias("file"))
+    return table(spark, sf, "customer").withColumn("number", F.col("c_custkey") % 29 + 1).select("c_custkey", files.participant_file("number").alias("file"))
 
 
-@query("SRC17", "SELECT n_name AS file, CASE n_regionkey WHEN 0 THEN 'missing' WHEN 1 THEN 'size_differs' WHEN 2 THEN 'digest_differs' ELSE 'verified' END AS status FROM nation")
+@query("SRC17", "SELECT c_name AS file, CASE c_custkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'size_differs' WHEN 2 THEN 'digest_differs' ELSE 'verified' END AS status FROM customer")
 def src17(spark, sf):
     """Files held against the sizes and digests of a manifest."""
-    content = table(spark, sf, "nation").select("n_name", "n_regionkey", F.encode("n_name", "UTF-8").alias("c"))
-    manifest = content.select(F.col("n_name").alias("file"), F.length("c").alias("bytes"), F.md5("c").alias("md5"))
-    region, size = F.col("n_regionkey"), F.length("c")
-    digest = F.when(region == 2, F.md5(F.reverse("n_name").cast("binary"))).otherwise(F.md5("c"))
-    found = content.filter(region != 0).select(F.col("n_name").alias("file"), F.when(region == 1, size - 1).otherwise(size).alias("bytes"), digest.alias("md5"))
+    content = table(spark, sf, "customer").select("c_name", (F.col("c_custkey") % 5).alias("kind"), F.encode("c_name", "UTF-8").alias("c"))
+    manifest = content.select(F.col("c_name").alias("file"), F.length("c").alias("bytes"), F.md5("c").alias("md5"))
+    kind, size = F.col("kind"), F.length("c")
+    digest = F.when(kind == 2, F.md5(F.concat(F.lit("x"), "c_name").cast("binary"))).otherwise(F.md5("c"))
+    found = content.filter(kind != 0).select(F.col("c_name").alias("file"), F.when(kind == 1, size - 1).otherwise(size).alias("bytes"), digest.alias("md5"))
     return files.verify_files(found, manifest)
 
 
-@query("SRC19", "SELECT 'r' || n_regionkey || '.zip' AS path, n_name || '.txt' AS archive_member, length(n_name) AS uncompressed_bytes FROM nation")
+@query("SRC19", "SELECT 'c' || (c_custkey // 100) || '.zip' AS path, c_custkey || '.txt' AS archive_member, length(c_name) AS uncompressed_bytes FROM customer")
 def src19(spark, sf):
-    """Archives of a region's nations, and what is in them."""
+    """Archives of a hundred customers each, and what is in them."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for names in b.column(1).to_pylist():
+            for rows in b.column(1).to_pylist():
                 held = io.BytesIO()
                 with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("nations/", "")
-                    for n in names:
-                        z.writestr(f"{n}.txt", n)
+                    z.writestr("customers/", "")
+                    for r in rows:
+                        z.writestr(f"{r['c_custkey']}.txt", r["c_name"])
                 out.append(held.getvalue())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["path", "content"])
 
-    nations = table(spark, sf, "nation").groupBy(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".zip")).alias("path")).agg(F.collect_list("n_name").alias("names"))
-    return files.archive_members(nations.mapInArrow(packed, "path string, content binary")).drop("compressed_bytes")
+    path = F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 100).cast("string"), F.lit(".zip")).alias("path")
+    groups = table(spark, sf, "customer").groupBy(path).agg(F.collect_list(F.struct("c_custkey", "c_name")).alias("rows"))
+    return files.archive_members(groups.mapInArrow(packed, "path string, content binary")).drop("compressed_bytes")
 
 
 # --- writers ---------------------------------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("SNK02", "SELECT NULL::DOUBLE AS a, 3 AS b, 1.5::DOUBLE AS c")
+@query("SNK02", upto("trials", f"SELECT dataset_id, congruency, count(*) AS n, {r6('avg(rt_ms) FILTER (rt_ms > 2500) AS slow_mean')} FROM trials GROUP BY ALL"))
 def snk02(spark, sf):
-    """What isn't finite is null."""
-    path = files.write_json({"a": float("nan"), "b": np.int64(3), "c": 1.5}, scratch(spark, ".json"))
-    return spark.read.schema("a double, b int, c double").json(path, multiLine=True)
+    """Figures of each dataset and condition as JSON: what isn't finite is null."""
+    slow = F.coalesce(F.avg(F.when(F.col("rt_ms") > 2500, F.col("rt_ms"))), F.lit(float("nan")))
+    found = tables.trials(spark, sf).groupBy("dataset_id", "congruency").agg(F.count("*").alias("n"), slow.alias("slow_mean")).collect()  # four a dataset
+    path = files.write_json([{**r.asDict(), "n": np.int64(r["n"])} for r in found], scratch(spark, ".json"))
+    return spark.read.schema("dataset_id long, congruency string, n long, slow_mean double").json(path, multiLine=True)
 
 
-@query("SNK03", "SELECT '# Report' || chr(10) || chr(10) || 'done' || chr(10) AS value")
+@query("SNK03", upto("trials", "SELECT string_agg(task_family || ': ' || n || ' trials', chr(10) ORDER BY task_family) || chr(10) AS value FROM (SELECT task_family, count(*) AS n FROM trials GROUP BY 1)"))
 def snk03(spark, sf):
-    return spark.read.text(files.write_text("# Report\n\ndone\n\n\n", scratch(spark, ".md")), wholetext=True)
+    """A report with one newline at its end, however many the text had."""
+    counts = tables.trials(spark, sf).groupBy("task_family").count().orderBy("task_family")
+    text = "\n".join(f"{r['task_family']}: {r['count']} trials" for r in counts.toLocalIterator())
+    return spark.read.text(files.write_text(text + "\n\n\n", scratch(spark, ".md")), wholetext=True)
 
 
 @query("SNK04", f"SELECT o_orderkey, {r6('o_totalprice')} FROM orders")
@@ -132,13 +146,17 @@ def snk04(spark, sf):
     return files.read_table(spark, files.write_table(files.read_table(spark, path, schema="o_orderkey long, o_totalprice double"), scratch(spark, ".parquet")))
 
 
-@query("SNK05", "SELECT 5 AS seed, 80 AS size, true AS versioned")
+@query("SNK05", "SELECT 5 AS seed, 16 AS size, count(*) AS trials, count(DISTINCT user_id) AS participants, true AS versioned FROM events")
 def snk05(spark, sf):
-    """Stages that add themselves to one manifest."""
+    """Stages that add their settings and the size of their input to one manifest."""
     path = scratch(spark, ".json")
-    files.update_manifest(path, "windows", {"size": 80})
-    files.update_manifest(path, "models", {"seed": 5})
-    return spark.read.json(path, multiLine=True).select(F.col("stages.models.seed").cast("int").alias("seed"), F.col("stages.windows.size").cast("int").alias("size"), F.col("versions.pyspark").isNotNull().alias("versioned"))
+    rows = tables.trials(spark, sf).agg(F.count("*").alias("n"), F.count_distinct("participant_id").alias("p")).first()
+    files.update_manifest(path, "windows", {"size": 16, "trials": rows["n"]})
+    files.update_manifest(path, "models", {"seed": 5, "participants": rows["p"]})
+    at = lambda name, kind: F.col(f"stages.{name}").cast(kind)
+    return spark.read.json(path, multiLine=True).select(
+        at("models.seed", "int").alias("seed"), at("windows.size", "int").alias("size"), at("windows.trials", "long").alias("trials"), at("models.participants", "long").alias("participants"), F.col("versions.pyspark").isNotNull().alias("versioned")
+    )
 
 
 @query("SNK08", "SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1")
@@ -183,10 +201,13 @@ def hrv08(spark, sf):
 # --- models ----------------------------------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("ML00", "SELECT k, kind, CASE kind WHEN 'diag' THEN k * 10 + k - 1 ELSE k * 20 + k - 1 END AS parameters FROM generate_series(1, 4) AS g(k), (VALUES ('diag'), ('full')) AS t(kind)")
+@query("ML00", """WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), g AS (SELECT o_orderstatus, count(*) AS k, min(n) AS least, sum(n) AS rows FROM c GROUP BY 1)
+SELECT o_orderstatus, kind, k, CASE kind WHEN 'diag' THEN k * 10 + k - 1 ELSE k * 20 + k - 1 END AS parameters, least >= 20 AND least / rows >= 0.05 AS enough_rows FROM g, (VALUES ('diag'), ('full')) AS t(kind)""")
 def ml00(spark, sf):
-    """Free parameters of mixtures over five features."""
-    return spark.createDataFrame([(k, kind, models.parameter_count(k, 5, kind)) for k in range(1, 5) for kind in ("diag", "full")], "k long, kind string, parameters long")
+    """Free parameters of a mixture with a component for each priority of a status, over five features, and whether each component has rows enough."""
+    sizes = table(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").count().groupBy("o_orderstatus").agg(F.collect_list("count").alias("n")).collect()  # labels by labels
+    out = [(r["o_orderstatus"], kind, len(r["n"]), models.parameter_count(len(r["n"]), 5, kind), bool(models.enough_rows(np.array(r["n"])))) for r in sizes for kind in ("diag", "full")]
+    return spark.createDataFrame(out, "o_orderstatus string, kind string, k long, parameters long, enough_rows boolean")
 
 
 @query("ML08")

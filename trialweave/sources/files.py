@@ -85,6 +85,32 @@ def require_schema(tables: dict[str, DataFrame], contract: dict[str, list[str]],
     return tables
 
 
+def contract_audit(tables: dict[str, DataFrame], contract: dict[str, list[str]]) -> DataFrame:
+    """table_name, column_name, present, n_rows, n_values, n_distinct of each column of a contract, from one aggregate a table."""
+    spark = next(iter(tables.values())).sparkSession
+    kind = "table_name string, column_name string, present boolean, n_rows long, n_values long, n_distinct long"
+    lost = [(t, c, False, None, None, None) for t, cols in contract.items() for c in cols if t not in tables or c not in tables[t].columns]
+    out = spark.createDataFrame(lost, kind)
+    for name, df in tables.items():
+        if held := [c for c in contract.get(name, []) if c in df.columns]:
+            one = df.agg(F.count("*").alias("n"), *[f for i, c in enumerate(held) for f in (F.count(c).alias(f"v{i}"), F.count_distinct(c).alias(f"d{i}"))])
+            rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"v{i}").alias("n_values"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(held)]))
+            out = out.unionByName(one.select("n", rows.alias("x")).select(F.lit(name).alias("table_name"), "x.column_name", F.lit(True).alias("present"), F.col("n").alias("n_rows"), "x.n_values", "x.n_distinct"))
+    return out
+
+
+def require_complete(tables: dict[str, DataFrame], contract: dict[str, list[str]], report: str | None = None) -> dict[str, DataFrame]:
+    """The same tables; an error that lists what is missing: tables, columns and, of columns that are there, how many rows have no value.  ``report`` keeps the list as text."""
+    issues = validate_schema(tables, contract)
+    gaps = contract_audit(tables, contract).filter("n_values < n_rows").orderBy("table_name", "column_name").collect()  # a row a column of the contract
+    issues += [f"Table {r['table_name']}: {r['n_rows'] - r['n_values']} of {r['n_rows']} rows have no {r['column_name']}" for r in gaps]
+    if issues:
+        if report:
+            write_text("\n".join(issues), report)
+        raise ValueError("; ".join(issues))
+    return tables
+
+
 def load_config(path: str, kind: type):
     """A dataclass from JSON: lists become tuples, unknown names are errors."""
     data = json.loads(get(path))
