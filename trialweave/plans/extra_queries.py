@@ -31,12 +31,11 @@ def src05(spark, sf):
 
 @query("SRC10", over(f"SELECT participant_id::VARCHAR AS participant_id, pos, {r6('rr_ms')} FROM rr", RR))
 def src10(spark, sf):
-    """Recordings written as text, one file each, and read in order."""
-    rr = tables.rr_intervals(spark, sf).groupBy("participant_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "rr_ms"))), lambda x: x["rr_ms"].cast("string")), "\n").alias("value"))
+    """Recordings written as text, one file each and line by line, and read in order."""
     path = scratch(spark, "")
-    rr.repartition("participant_id").select("value", F.concat(F.lit("p"), F.col("participant_id").cast("string")).alias("name")).write.partitionBy("name").text(path)
-    lines = spark.read.text(f"{path}/*/*.txt", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"name=p(\d+)", 1).alias("participant_id"), F.posexplode(F.split(F.btrim("value", F.lit(" \n")), r"\s+")).alias("pos", "line"))
-    return lines.select("participant_id", F.col("pos").cast("long").alias("pos"), F.col("line").try_cast("double").alias("rr_ms"))
+    rr = tables.rr_intervals(spark, sf).select(F.col("rr_ms").cast("string").alias("value"), F.concat(F.lit("p"), F.col("participant_id").cast("string")).alias("name"), "pos")
+    rr.repartition("name").sortWithinPartitions("name", "pos").drop("pos").write.partitionBy("name").text(path)
+    return files.read_rr_files(spark, f"{path}/*/*.txt", r"name=p(\d+)").select("participant_id", "pos", "rr_ms")
 
 
 @query("SRC11", over(f"SELECT participant_id, count(*) AS intervals, {r6('sum(rr_ms) / 3600000 AS hours', 'median(rr_ms) AS median_rr', 'min(rr_ms) AS min_rr', 'max(rr_ms) AS max_rr')} FROM rr GROUP BY 1", RR))

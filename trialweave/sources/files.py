@@ -156,11 +156,14 @@ def read_excel(spark: SparkSession, path: str, cache: str, sheet: str | int = 0,
     return read_table(spark, cache, columns)
 
 
-def read_rr_files(spark: SparkSession, path: str) -> DataFrame:
-    """Interval text files, one number a line: participant_id (file stem), pos, rr_ms (NULL where a line isn't a number), blank."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)(?:\.[^.]*)?$", 1).alias("participant_id"), "value")
-    lines = files.select("participant_id", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "line"))
-    return lines.select("participant_id", F.col("pos").cast("long").alias("pos"), F.trim("line").try_cast("double").alias("rr_ms"), (F.trim("line") == "").alias("blank"))
+def read_rr_files(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.[^.]*)?$") -> DataFrame:
+    """Interval text files, one number a line: participant_id (the file's stem, or what ``name`` finds in its path), pos, rr_ms (NULL where a line isn't a number), blank.  A file of any size is read by blocks; one without a byte is a blank line."""
+    stem = lambda path: F.regexp_extract(path, name, 1)
+    lines = spark.read.text(path).select(stem(F.col("_metadata.file_path")).alias("participant_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("block", "line")) - 1
+    numbered = lines.select("participant_id", place.cast("long").alias("pos"), F.trim("value").alias("value"))
+    empty = spark.read.format("binaryFile").load(path).filter("length = 0").select(stem(F.col("path")).alias("participant_id"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("value"))
+    return numbered.unionAll(empty).select("participant_id", "pos", F.col("value").try_cast("double").alias("rr_ms"), (F.col("value") == "").alias("blank"))
 
 
 def rr_inventory(rr: DataFrame) -> DataFrame:
