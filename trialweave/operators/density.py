@@ -180,10 +180,10 @@ def fit(x: np.ndarray, least: int) -> Hierarchy:
     return Hierarchy(x, core, *condensed(n, spanning_tree(x, core), least))
 
 
-def condensed(n: int, tree: list[tuple[float, int, int]], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of n rows from the edges of their spanning tree, the shortest first, and the density at which each cluster begins."""
+def condensed(n: int, tree: list[tuple[float, int, int]], least: int, copies: np.ndarray | None = None, core: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of n rows from the edges of their spanning tree, the shortest first, and the density at which each cluster begins.  A row may stand for ``copies`` of it, which part at its ``core`` distance."""
     # The dendrogram: node n + k joins two nodes at the k-th edge.
-    root, size = list(range(n)), [1] * n
+    root, size = list(range(n)), [1] * n if copies is None else copies.tolist()
     joined: list[tuple[int, int, float]] = []
     top = list(range(n))
 
@@ -215,6 +215,10 @@ def condensed(n: int, tree: list[tuple[float, int, int]], least: int) -> tuple[n
     stack = [(2 * n - 2, 0)]
     while stack:
         node, c = stack.pop()
+        if node < n:  # a row with as many copies as a cluster needs
+            mass[c] += (1 / max(core[node], TINY) - begins[c]) * size[node]
+            left[node] = c
+            continue
         *both, d = joined[node - n]
         density = 1 / max(d, TINY)
         large = [k for k in both if size[k] >= least]
