@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.operators import cleaning, gates, models, pairs, resampling, residuals, statistics as st
+from trialweave.operators import cleaning, gates, models, pairs, resampling, residuals, stability, statistics as st
 from trialweave.plans.analysis_queries import _EFFECTS, effects, hrv, profiles16
 from trialweave.plans.oracle import BOUNDARY as B_SQL, SESSIONS, over, r6, upto
 from trialweave.plans.staging import shared_dir, staged
@@ -286,9 +286,9 @@ def ml10(spark, sf):
 
 @query("RES04")
 def res04(spark, sf):
-    """Stability of the best mixture: agreement of its labels with those of 50 bootstraps of participants, and with those of a mixture that never saw the dataset they are of."""
+    """Stability of the best mixture: agreement of its labels with those of 50 bootstraps of participants, and with those of a mixture that never saw the dataset they are of.  Of density clusters: their overlap with those of 50 bootstraps."""
     rows, found = mixtures(spark, sf)
-    rows = staged(rows.select("participant_id", "dataset_id", *FEATURES), "scaled")
+    rows = staged(rows.select("window_id", "participant_id", "dataset_id", *FEATURES), "scaled")
     base = next((m for m in found if m["k"] > 1 and m["valid"]), next(m for m in found if m["k"] > 1))
     same = {"ks": (base["k"],), "kinds": (base["kind"],)}
     drawn = models.mixture_sweep(rows, FEATURES, starts=5, replicates=50, weigh=models.by_participant("participant_id", 50), **same)
@@ -296,7 +296,9 @@ def res04(spark, sf):
     without = models.mixture_sweep(rows, FEATURES, starts=10, replicates=len(datasets), weigh=models.leaving_out("dataset_id", datasets), **same)
     out = [("bootstrap", str(m["replicate"]), v) for m, v in zip(drawn, models.agreements(rows, FEATURES, base, drawn), strict=True)]
     out += [("dataset_left_out", str(datasets[m["replicate"]]), v) for m, v in zip(without, models.agreements(rows, FEATURES, base, without, ("dataset_id", datasets)), strict=True)]
-    return spark.createDataFrame(out, "resample string, name string, ari double")
+    dense = stability.density_stability(rows, FEATURES, "window_id", "participant_id", repetitions=50)
+    mixed = spark.createDataFrame(out, "resample string, name string, ari double").withColumn("jaccard", F.lit(None).cast("double"))
+    return mixed.unionByName(dense.select(F.lit("density_bootstrap").alias("resample"), F.col("replicate").cast("string").alias("name"), F.lit(None).cast("double").alias("ari"), "jaccard"))
 
 
 # --- prediction ------------------------------------------------------------------------------------------------------------------------------------------------------
