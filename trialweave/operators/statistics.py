@@ -64,11 +64,20 @@ def ranks(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFram
     return out.select(*keys, column, (F.col("__before") + F.col("__run") - F.col("__many") + (F.col("__many") + 1) / 2.0).alias("rank"), "n")
 
 
-def spearman(df: DataFrame, left: str, right: str, least: int = 4) -> DataFrame:
-    """Pearson correlation of average ranks over rows with both."""
-    both = staged(df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right), "pairs")
-    ranked = both.join(ranks(both, left).select(left, F.col("rank").alias("__a")), left).join(ranks(both, right).select(right, F.col("rank").alias("__b")), right)
-    return ranked.agg(F.count("*").alias("n"), correlation(F.col("__a"), F.col("__b"), least).alias("rho"))
+def spearman(df: DataFrame, left: str, right: str, least: int = 4, keys: list[str] | None = None) -> DataFrame:
+    """keys, n, rho: Pearson correlation of average ranks over rows with both.  Both columns are ranked in one pass, as values of one column with a key more."""
+    keys = keys or []
+    both = staged(df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*keys, F.col(left).cast("double").alias("__x"), F.col(right).cast("double").alias("__y")), "pairs")
+    long = both.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("__side"), F.col("__x").alias("__v")), F.struct(F.lit(1).alias("__side"), F.col("__y").alias("__v")))).alias("__s"))
+    placed = staged(ranks(long.select(*keys, "__s.*"), "__v", [*keys, "__side"]), "ranks")
+    ranked = both
+    for side, c, name in ((0, "__x", "__a"), (1, "__y", "__b")):
+        found = placed.filter(F.col("__side") == side).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__v").alias("__w"), F.col("rank").alias(name))
+        on = F.col(c) == F.col("__w")
+        for k in keys:
+            on &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        ranked = ranked.join(found, on).drop("__w", *[f"__k_{k}" for k in keys])
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("__a"), F.col("__b"), least).alias("rho"))
 
 
 def concordance(a: Column, b: Column) -> Column:

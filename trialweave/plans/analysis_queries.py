@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trialweave.functions.columns import correlation, count_where, mean_where, quantile, row_mean, row_rms, safe_div
 from trialweave.operators import dynamics, heart, joins, statistics as st, windows
 from trialweave.plans.oracle import BOUNDARY as B_SQL, RR, SESSIONS, matched, over, r6, rr_windows, upto
+from trialweave.plans.staging import staged
 from trialweave.plans.trial_queries import dataset_yield, flagged, icc_band, linked, members, query, session_z, summaries, trials
 from trialweave.sources import tables
 from trialweave.sources.tables import BOUNDARY, table
@@ -648,13 +649,13 @@ def sta02(spark, sf):
   SESSIONS, "b AS (SELECT * FROM sessions WHERE urgent IS NOT NULL AND low IS NOT NULL)", "m AS (SELECT participant_id, avg(urgent) AS urgent, avg(low) AS low FROM b GROUP BY 1)"))
 def sta03(spark, sf):
     """One association at three levels: sessions and persons by rank, within persons by centred values."""
-    b = tables.sessions(spark, sf).filter("urgent is not null and low is not null")
+    b = staged(tables.sessions(spark, sf).filter("urgent is not null and low is not null").select("participant_id", "urgent", "low"), "sessions")
     people = b.groupBy("participant_id").agg(F.avg("urgent").alias("urgent"), F.avg("low").alias("low"))
+    both = b.withColumn("level", F.lit("session")).unionByName(people.withColumn("level", F.lit("between")))
     w = Window.partitionBy("participant_id")
     centred = b.withColumns({"u": F.col("urgent") - F.avg("urgent").over(w), "l": F.col("low") - F.avg("low").over(w), "k": F.count(F.lit(1)).over(w)}).filter("k >= 2")
     within = centred.agg(F.count("*").alias("n"), correlation(F.col("u"), F.col("l"), 4).alias("rho"))
-    level = lambda df, n: df.select(F.lit(n).alias("level"), "n", "rho")
-    return level(st.spearman(b, "urgent", "low"), "session").unionByName(level(st.spearman(people, "urgent", "low"), "between")).unionByName(level(within, "within"))
+    return st.spearman(both, "urgent", "low", keys=["level"]).unionByName(within.select(F.lit("within").alias("level"), "n", "rho"))
 
 
 _AGREE = ["2 * covar_pop(urgent, low) / (var_pop(urgent) + var_pop(low) + (avg(urgent) - avg(low)) * (avg(urgent) - avg(low))) AS ccc"]
