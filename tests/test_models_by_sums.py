@@ -153,3 +153,20 @@ def test_windows_of_few_beats(spark):
     assert got["three"]["ecg_quality_reason"] == "insufficient beats" and got["three"]["mean_nn_ms"] == 800
     assert got["bad"]["ecg_quality_reason"] == "more than 5% RR intervals corrected|less than 95% valid RR intervals" and got["bad"]["valid_rr_fraction"] == 0
     assert got["good"]["ecg_quality_pass"] and got["good"]["ecg_quality_reason"] == "ok" and got["good"]["n_beats"] == 40
+
+
+def test_design_of_folds_with_gaps(spark):
+    """Medians, quartiles of imputed columns and levels of each fold's training rows, where a column has gaps in some rows, in all, or in none."""
+    rng = np.random.default_rng(5)
+    n = 200
+    pdf = pd.DataFrame({"fold": rng.integers(0, 4, n), "a": rng.normal(size=n), "b": np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n)), "c": np.nan, "s": rng.choice(["x", "y", "z"], n)})
+    pdf.loc[pdf["fold"] != 2, "s"] = pdf.loc[pdf["fold"] != 2, "s"].replace("z", "x")
+    design = models.FoldDesign(spark.createDataFrame(pdf).withColumn("s", F.when(F.col("a") < 1.5, F.col("s"))), ["a", "b", "c"], ["s"], 4)
+    for f in range(4):
+        train = pdf[pdf["fold"] != f]
+        for i, c in enumerate("abc"):
+            middle = train[c].median() if train[c].notna().any() else 0.0
+            assert abs(design.middle[f][i] - middle) < 1e-12 and design.gaps[f][i] == train[c].isna().any()
+            q = np.percentile(train[c].fillna(middle), [25, 50, 75])
+            assert np.allclose(design.spread[f][i], (q[1], (q[2] - q[0]) or 1.0))
+        assert design.levels[f, "s"] == sorted(set(train.loc[train["a"] < 1.5, "s"]))

@@ -576,16 +576,22 @@ class FoldDesign:
         self.numeric, self.categorical, self.folds = numeric, categorical, folds
         spread = rows.withColumn("f", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold"))))
         clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        first = spread.groupBy("f").agg(F.count("*").alias("n"), *[x for i, c in enumerate(numeric) for x in (F.median(clean(c)).alias(f"m{i}"), F.count(clean(c)).alias(f"k{i}"))]).collect()
-        self.middle = {r["f"]: [float(r[f"m{i}"] or 0.0) for i in range(len(numeric))] for r in first}
+        quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        known = [x for i, c in enumerate(numeric) for x in (F.percentile(clean(c), quarters).alias(f"q{i}"), F.count(clean(c)).alias(f"k{i}"))]
+        seen = [F.sort_array(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(categorical)]  # a few
+        first = spread.groupBy("f").agg(F.count("*").alias("n"), *known, *seen).collect()
+        self.middle = {r["f"]: [float(r[f"q{i}"][1]) if r[f"q{i}"] else 0.0 for i in range(len(numeric))] for r in first}
         self.gaps = {r["f"]: [r[f"k{i}"] < r["n"] for i in range(len(numeric))] for r in first}
+        filled = {r["f"]: [r[f"q{i}"] for i in range(len(numeric))] for r in first}
+        # Imputed rows move the quartiles of the columns with gaps only.
+        holed = [i for i in range(len(numeric)) if any(g[i] for g in self.gaps.values())]
         fill = lambda i, c: F.coalesce(clean(c), F.element_at(F.create_map(*[F.lit(x) for f, m in self.middle.items() for x in (f, m[i])]), F.col("f")))
-        quartiles = spread.groupBy("f").agg(F.count("*"), *[F.percentile(fill(i, c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(numeric)]).collect() if first else []
-        self.spread = {r["f"]: [(r[f"q{i}"][1], (r[f"q{i}"][2] - r[f"q{i}"][0]) or 1.0) for i in range(len(numeric))] for r in quartiles}
-        self.levels: dict[tuple[int, str], list] = {}
-        for c in categorical:
-            for r in spread.filter(F.col(c).isNotNull()).select("f", c).distinct().orderBy("f", c).collect():  # a few
-                self.levels.setdefault((r["f"], c), []).append(r[c])
+        if holed:
+            for r in spread.groupBy("f").agg(*[F.percentile(fill(i, numeric[i]), quarters).alias(f"q{i}") for i in holed]).collect():
+                for i in holed:
+                    filled[r["f"]][i] = r[f"q{i}"]
+        self.spread = {f: [(q[1], (q[2] - q[0]) or 1.0) for q in qs] for f, qs in filled.items()}
+        self.levels: dict[tuple[int, str], list] = {(r["f"], c): r[f"s{i}"] for r in first for i, c in enumerate(categorical) if r[f"s{i}"]}
 
     def __call__(self, x: dict[str, np.ndarray], fold: int) -> np.ndarray:
         out = []
