@@ -623,7 +623,7 @@ _PCT = lambda c: f"(rank() OVER (ORDER BY {c} ASC NULLS LAST) + (count(*) OVER (
 @query("SES06", over("SELECT participant_id, session_year, CASE WHEN ra >= 0.75 AND rb <= 0.25 THEN 'fast_inaccurate' WHEN ra <= 0.25 AND rb >= 0.75 THEN 'slow_accurate' WHEN ra >= 0.75 AND rb >= 0.75 THEN 'both_high' ELSE 'mixed' END AS profile FROM r", SESSIONS, f"r AS (SELECT *, {_PCT('speed')} AS ra, {_PCT('accuracy')} AS rb FROM sessions)"))
 def ses06(spark, sf):
     """Divergence profiles from percentile ranks; a later rule wins, so it stands first."""
-    s = tables.sessions(spark, sf).select("participant_id", "session_year", "speed", "accuracy")
+    s = staged(tables.sessions(spark, sf).select("participant_id", "session_year", "speed", "accuracy"), "sessions")  # ranked values are joined back: they are computed once
     for c, name in (("speed", "a"), ("accuracy", "b")):
         s = s.join(st.ranks(s, c).select(c, (F.col("rank") / F.col("n")).alias(name)), c, "left")
     hi, lo = lambda c: F.col(c) >= 0.75, lambda c: F.col(c) <= 0.25
