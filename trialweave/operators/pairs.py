@@ -13,6 +13,8 @@ from trialweave.plans.staging import staged
 
 #: Rows of a block.
 BLOCK = 1024
+#: Blocks of :func:`silhouettes`, if they'd have ``BLOCK`` rows or more: each row and its sums are shuffled once for each of them.
+MOST = 16
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,23 +94,35 @@ def tile_sums(packed: DataFrame, width: int, of: Callable[[np.ndarray, np.ndarra
 
 
 def silhouettes(df: DataFrame, features: list[str], labels: list[str], size: int = BLOCK) -> DataFrame:
-    """labelling, n, clusters, silhouette: the mean silhouette by Euclidean distance of each column of ``labels``; rows without a feature or a label don't count in it, a single cluster has none."""
-    whole = df.dropna(subset=features).select(*features, *labels)
+    """labelling, n, clusters, silhouette: the mean silhouette by Euclidean distance of each column of ``labels``; rows without a feature or a label don't count in it, a single cluster has none.
+
+    Equal rows of equal labels are one row with their number.  The others are paired in ``MOST`` blocks by parts of ``size`` rows, so what is shuffled grows with the rows; the work is the square of the different ones.
+    """
+    counts = df.dropna(subset=features).groupBy(*features, *labels).agg(F.count(F.lit(1)).cast("double").alias("__copies"))
+    whole = staged(counts, "different")
     names = {c: sorted(r[0] for r in whole.select(c).distinct().collect() if r[0] is not None) for c in labels}  # a row a cluster
     coded = [F.coalesce(F.create_map(*[F.lit(v) for k, n in enumerate(names[c]) for v in (n, float(k))])[F.col(c)], F.lit(-1.0)) if names[c] else F.lit(-1.0) for c in labels]
-    packed = blocks(whole.select(*features, *[x.alias(f"l{k}") for k, x in enumerate(coded)]), [*features, *[f"l{k}" for k in range(len(labels))]], size)
-    d, width, most = len(features), len(features) + len(labels), [len(names[c]) for c in labels]
-    counted = whole.agg(*[F.count(F.when(x == float(j), 1)).alias(f"n{k}_{j}") for k, x in enumerate(coded) for j in range(most[k])]).first() if sum(most) else None
+    columns = [*features, *[f"l{k}" for k in range(len(labels))], "__copies"]
+    packed = blocks(whole.select(*features, *[x.alias(f"l{k}") for k, x in enumerate(coded)], "__copies"), columns, max(size, -(-whole.count() // MOST)))
+    d, width, most = len(features), len(columns), [len(names[c]) for c in labels]
+    counted = whole.agg(*[F.coalesce(F.sum(F.when(x == float(j), F.col("__copies"))), F.lit(0.0)).alias(f"n{k}_{j}") for k, x in enumerate(coded) for j in range(most[k])]).first() if sum(most) else None
     sizes = [np.array([counted[f"n{k}_{j}"] for j in range(most[k])], float) for k in range(len(labels))]
 
-    def by_cluster(dist: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Sums of distances to the clusters of each labelling."""
-        hot = [np.equal.outer(codes[:, k], np.arange(most[k])).astype(float) for k in range(len(labels))]
-        return dist @ np.concatenate(hot, axis=1)
+    def hot(rows: np.ndarray) -> np.ndarray:
+        """A column a cluster of each labelling: the copies of a row that are in it."""
+        return np.concatenate([np.equal.outer(rows[:, d + k], np.arange(most[k])) * rows[:, -1:] for k in range(len(labels))], axis=1)
 
     def of(x: np.ndarray, y: np.ndarray, same: bool):
-        dist = distances(x[:, :d], y[:, :d])
-        return by_cluster(dist, y[:, d:]), None if same else by_cluster(dist.T, x[:, d:])
+        """Sums of distances to the clusters of each labelling."""
+        in_x, in_y = hot(x), hot(y)
+        mine, theirs = np.zeros((len(x), sum(most))), np.zeros((len(y), sum(most)))
+        for lo in range(0, len(x), size):
+            for at in range(0, len(y), size):
+                dist = distances(x[lo : lo + size, :d], y[at : at + size, :d])
+                mine[lo : lo + size] += dist @ in_y[at : at + size]
+                if not same:
+                    theirs[at : at + size] += dist.T @ in_x[lo : lo + size]
+        return mine, None if same else theirs
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,14 +136,14 @@ def silhouettes(df: DataFrame, features: list[str], labels: list[str], size: int
                     on = np.flatnonzero(own >= 0)
                     if len(n) < 2 or not len(on):
                         continue
-                    own, part = own[on], part[on]
+                    own, part, copies = own[on], part[on], x[on, -1]
                     i = np.arange(len(on))
                     a = part[i, own] / np.maximum(n[own] - 1, 1)
                     mean = part / n
                     mean[i, own] = np.inf
                     near = mean.min(axis=1)
                     s = np.where(n[own] > 1, (near - a) / np.maximum(np.maximum(a, near), 1e-300), 0)
-                    out.append((k, len(on), float(s.sum())))
+                    out.append((k, int(copies.sum()), float((s * copies).sum())))
                 yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.float64()))], names=["k", "n", "s"])
 
     spark = df.sparkSession
