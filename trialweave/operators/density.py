@@ -251,24 +251,37 @@ def condensed(n: int, tree: list[tuple[float, int, int]], least: int, copies: np
 
 
 def density_clusters(df: DataFrame, features: list[str], key: str, *, least: int = 20, share: float = 0.05, name: str = "cluster", size: int = BLOCK) -> DataFrame:
-    """``df`` with the cluster of each row, -1 for noise and for rows that miss a feature.  A cluster has ``least`` rows and ``share`` of all at least."""
+    """``df`` with the cluster of each row, -1 for noise and for rows that miss a feature.  A cluster has ``least`` rows and ``share`` of all at least; equal rows are one node with their number."""
+    from trialweave.operators import stability  # which labels rows by this module
+
     base = staged(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
     clean = [(F.col(c).cast("double") + 0.0).alias(f"f{k}") for k, c in enumerate(features)]
     whole = base.dropna(subset=features).select("__row", F.xxhash64(key).alias("h"), F.col(key).alias("k"), *clean)
-    rows = dense_places(whole.filter(" and ".join(f"not isnan(f{k})" for k in range(len(features)))), ["h", "k", "__row"], "r")
     columns = [f"f{k}" for k in range(len(features))]
-    n = rows.count()
+    whole = whole.filter(" and ".join(f"not isnan({c})" for c in columns))
+    different = whole.groupBy(*columns).agg(F.min(F.struct("h", "k", "__row")).alias("first"), F.count(F.lit(1)).cast("double").alias("copies"))
+    rows = dense_places(different.select("first.*", "copies", *columns), ["h", "k", "__row"], "r")
+    n, m = (int(v or 0) for v in rows.agg(F.sum("copies"), F.count("*")).first())
     smallest = max(least, int(np.ceil(share * n)))
     if n <= smallest:
         return base.drop("__row").withColumn(name, F.lit(-1))
-    tree = shared_tree(core_distances(rows.select("r", *columns), columns, smallest, size), columns, size)
+    cored = stability.weighted_cores(rows.select("r", *columns, "copies"), columns, ["copies"], smallest, size).withColumnRenamed("core0", "core")
+    tree = shared_tree(cored.select("r", *columns, "core"), columns, size)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = [e for b in batches for e in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        copies, core, edges = np.ones(m, np.int64), np.zeros(m), []
+        for batch in batches:
+            for edge, w, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if edge:
+                    edges.append((w, a, b))
+                else:
+                    core[a], copies[a] = w, b
         if edges:
-            found = condensed(n, edges, smallest)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(found.astype(np.int32))], names=["r", "c"])
+            found = condensed(m, edges, smallest, copies, core)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array(found.astype(np.int32))], names=["r", "c"])
 
-    labels = tree.repartition(1).sortWithinPartitions("w", "a", "b").mapInArrow(label, "r long, c int")
-    found = rows.select("__row", "r").join(labels, "r").select("__row", "c")
+    nodes = cored.select(F.lit(False).alias("edge"), F.col("core").alias("w"), F.col("r").alias("a"), F.col("copies").cast("long").alias("b"))
+    both = nodes.unionByName(tree.select(F.lit(True).alias("edge"), "w", "a", "b"))
+    labels = both.repartition(1).sortWithinPartitions("edge", "w", "a", "b").mapInArrow(label, "r long, c int")
+    found = whole.join(rows.select(*columns, "r"), columns).join(labels, "r").select("__row", "c")
     return base.join(found, "__row", "left").select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("c", F.lit(-1)).alias(name))
