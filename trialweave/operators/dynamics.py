@@ -146,16 +146,25 @@ def stable_seed(seed: int, *values: object) -> int:
     return int.from_bytes(digest[:8], "little") % (2**32 - 1)
 
 
+def _mi_of_codes(i: np.ndarray, j: np.ndarray, rows: int, columns: int, share: np.ndarray) -> float:
+    """Mutual information in bits of two columns of codes; ``share[k]`` is the probability of k rows."""
+    p = share[np.bincount(i * columns + j, minlength=rows * columns)].reshape(rows, columns)
+    q = p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True)
+    some = p > 0
+    return float((p[some] * np.log2(p[some] / q[some])).sum())
+
+
+def _shares(n: int) -> np.ndarray:
+    """The probabilities of 0 to n rows of n, added up row by row."""
+    return np.concatenate(([0.0], np.cumsum(np.full(n, 1 / n))))
+
+
 def mi_bits(a: np.ndarray, b: np.ndarray) -> float | None:
     _, i = np.unique(a, return_inverse=True)
     _, j = np.unique(b, return_inverse=True)
     if not len(a) or i.max() == 0 or j.max() == 0:
         return None
-    p = np.zeros((i.max() + 1, j.max() + 1))
-    np.add.at(p, (i, j), 1 / len(a))
-    q = p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True)
-    some = p > 0
-    return float((p[some] * np.log2(p[some] / q[some])).sum())
+    return _mi_of_codes(i, j, int(i.max()) + 1, int(j.max()) + 1, _shares(len(a)))
 
 
 def corrected_mi(a: np.ndarray, b: np.ndarray, seed: int, *, least: int = 40, permutations: int = 50, least_class: int = 3) -> tuple[float | None, str | None]:
@@ -164,17 +173,19 @@ def corrected_mi(a: np.ndarray, b: np.ndarray, seed: int, *, least: int = 40, pe
     a, b = np.asarray(a)[keep], np.asarray(b)[keep]
     if len(a) < least:
         return None, "insufficient_observations"
+    codes = []
     for name, v in (("left", a), ("right", b)):
-        n = np.unique(v, return_counts=True)[1]
+        _, code, n = np.unique(v, return_inverse=True, return_counts=True)
         if len(n) < 2:
             return None, f"invariant_{name}"
         if n.min() < least_class:
             return None, f"sparse_{name}_class"
-    observed = mi_bits(a, b)
-    if observed is None:
-        return None, "mi_not_estimable"
+        codes.append((code, len(n)))
+    # Values are coded once: a permutation of them is the same permutation of their codes.
+    (i, rows), (j, columns), share = *codes, _shares(len(a))
+    observed = _mi_of_codes(i, j, rows, columns, share)
     rng = np.random.default_rng(seed)
-    null = np.mean([mi_bits(a, rng.permutation(b)) for _ in range(permutations)])
+    null = np.mean([_mi_of_codes(i, rng.permutation(j), rows, columns, share) for _ in range(permutations)])
     return max(0.0, observed - float(null)), None
 
 
