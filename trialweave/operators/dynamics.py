@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trialweave.functions.columns import correlation, quantile, safe_div, slope
+from trialweave.functions.columns import correlation, interpolated, safe_div, slope
 from trialweave.plans.staging import staged
 
 
@@ -74,8 +74,7 @@ def difference_entropy(s: DataFrame, key: str, bins: int = 16) -> DataFrame:
     """
     w = _ordered(s, key)
     steps = s.withColumn("d", F.col("x") - F.lag("x").over(w)).filter("d is not null")
-    limit = quantile(F.abs("d"), 0.95).over(Window.partitionBy(key))
-    steps = steps.withColumn("c", limit).filter("c > 0").withColumn("v", F.greatest(F.least("d", "c"), -F.col("c")))
+    steps = interpolated(steps, [key], F.abs("d"), 0.95, "c").filter("c > 0").withColumn("v", F.greatest(F.least("d", "c"), -F.col("c")))
     edges = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: -F.col("c") + i * (2 * F.col("c") / bins))
     index = F.least(F.size(F.filter(edges, lambda e: e <= F.col("v"))) - 1, F.lit(bins - 1))
     counts = steps.groupBy(key, F.greatest(index, F.lit(0)).alias("bin")).agg(F.count("*").alias("k"))
