@@ -69,15 +69,16 @@ def band_matches(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
     return n
 
 
-def matched_points(points: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+def matched_points(points: DataFrame, keys: list[str], tolerance: float, parts: int | None = None) -> DataFrame:
     """keys, t0, t1: the pairs of :func:`band_matches` of points (keys, side 0 or 1, t).
 
-    A match never reaches over a gap wider than the tolerance, so the runs between such gaps are dealt to tasks and read in order: a task holds the points within one tolerance.
+    A match never reaches over a gap wider than the tolerance, so the runs between such gaps are dealt to tasks and read in order: a task holds the points within one tolerance.  ``parts`` is the number of tasks, if not Spark's own.
     """
     w = Window.partitionBy(*keys).orderBy("t", "side")
     gap = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("long"), F.lit(0))
     runs = points.select(*keys, "side", "t").withColumn("gap", gap).withColumn("run", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    dealt = runs.select(*keys, "run", "t", "side").repartition(*keys, "run").sortWithinPartitions(*keys, "run", "t", "side")
+    at = [*keys, "run"]
+    dealt = runs.select(*at, "t", "side").repartition(*([parts] if parts else []), *at).sortWithinPartitions(*keys, "run", "t", "side")
 
     def match(frames):
         here, waiting = None, (deque(), deque())
@@ -101,10 +102,10 @@ def matched_points(points: DataFrame, keys: list[str], tolerance: float) -> Data
     return dealt.mapInPandas(match, f"{fields}, t0 double, t1 double")
 
 
-def band_match(points: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+def band_match(points: DataFrame, keys: list[str], tolerance: float, parts: int | None = None) -> DataFrame:
     """keys, matched, and concordance: the share of the longer of both lists of points (keys, side 0 or 1, t)."""
     sizes = points.groupBy(*keys).agg(F.greatest(F.count(F.when(F.col("side") == 0, 1)), F.count(F.when(F.col("side") == 1, 1))).alias("most"))
-    out = sizes.join(matched_points(points, keys, tolerance).groupBy(*keys).agg(F.count("*").alias("matched")), keys, "left")
+    out = sizes.join(matched_points(points, keys, tolerance, parts).groupBy(*keys).agg(F.count("*").alias("matched")), keys, "left")
     return out.select(*keys, F.coalesce("matched", F.lit(0)).alias("matched"), (F.coalesce("matched", F.lit(0)) / F.col("most")).alias("concordance"))
 
 
