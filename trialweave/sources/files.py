@@ -6,6 +6,7 @@ import io
 import json
 import math
 import os
+import re
 import subprocess
 import zipfile
 from collections.abc import Callable, Iterator
@@ -156,14 +157,22 @@ def read_excel(spark: SparkSession, path: str, cache: str, sheet: str | int = 0,
     return read_table(spark, cache, columns)
 
 
-def read_rr_files(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.[^.]*)?$") -> DataFrame:
-    """Interval text files, one number a line: participant_id (the file's stem, or what ``name`` finds in its path), pos, rr_ms (NULL where a line isn't a number), blank.  A file of any size is read by blocks; one without a byte is a blank line."""
+def read_rr_files(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.[^.]*)?$", *, empty: bool = True) -> DataFrame:
+    """Interval text files, one number a line: participant_id (the file's stem, or what ``name`` finds in its path), pos, rr_ms (NULL where a line isn't a number), blank.  A file of any size is read by blocks; one without a byte is a blank line.
+
+    A folder is read with all below it, and listed by tasks; a pattern is resolved on the driver.  Files without a byte take a second listing, by a pattern: ``empty=False`` where there can be none.
+    """
+    folder = not re.search(r"[*?\[{]", path)
+    if folder and empty:
+        raise ValueError("the listing of a folder leaves out files without a byte: give a pattern, or empty=False")
     stem = lambda path: F.regexp_extract(path, name, 1)
-    lines = spark.read.text(path).select(stem(F.col("_metadata.file_path")).alias("participant_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    lines = spark.read.option("recursiveFileLookup", folder).text(path).select(stem(F.col("_metadata.file_path")).alias("participant_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
     place = F.row_number().over(Window.partitionBy("file").orderBy("block", "line")) - 1
     numbered = lines.select("participant_id", place.cast("long").alias("pos"), F.trim("value").alias("value"))
-    empty = spark.read.format("binaryFile").load(path).filter("length = 0").select(stem(F.col("path")).alias("participant_id"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("value"))
-    return numbered.unionAll(empty).select("participant_id", "pos", F.col("value").try_cast("double").alias("rr_ms"), (F.col("value") == "").alias("blank"))
+    if empty:
+        blank = spark.read.format("binaryFile").load(path).filter("length = 0")
+        numbered = numbered.unionAll(blank.select(stem(F.col("path")).alias("participant_id"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("value")))
+    return numbered.select("participant_id", "pos", F.col("value").try_cast("double").alias("rr_ms"), (F.col("value") == "").alias("blank"))
 
 
 def rr_inventory(rr: DataFrame) -> DataFrame:
