@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from trialweave.plans.staging import staged
 
+#: Counts that a task holds at once: a batch's participants are taken in pieces, however many replicates there are.
+HELD = 1 << 20
+
 
 def counts_of(people: list, repetitions: int, seed: int) -> np.ndarray:
     """Poisson(1) counts, a row a participant and a column a replicate."""
@@ -36,13 +39,15 @@ def replicate_sums(sums: DataFrame, person: str, *, keys: list[str] | None = Non
         held: dict[tuple, np.ndarray] = {}
         for b in batches:
             x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns[1 + len(keys) :]])
-            times = counts_of(b.column(0).to_pylist(), repetitions, seed)
+            people, step = b.column(0).to_pylist(), max(1, HELD // repetitions)
             group: dict[tuple, list[int]] = {}
             for i, k in enumerate(zip(*(c.to_pylist() for c in b.columns[1 : 1 + len(keys)]), strict=True) if keys else [()] * b.num_rows):
                 group.setdefault(k, []).append(i)
             for k, at in group.items():
-                v = times[at].T @ x[at]
-                held[k] = held[k] + v if k in held else v
+                for lo in range(0, len(at), step):
+                    some = at[lo : lo + step]
+                    v = counts_of([people[i] for i in some], repetitions, seed).T @ x[some]
+                    held[k] = held[k] + v if k in held else v
         for k, v in held.items():
             columns = [pa.array([k[j]] * repetitions, kinds[j]) for j in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(range(repetitions), pa.int64()), pa.array(v.tolist(), pa.list_(pa.float64()))], names=[*keys, "replicate", "v"])
