@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.functions.columns import quantile, safe_div
+from trialweave.functions.columns import quantiles, safe_div
 from trialweave.operators.resampling import counts_of
 from trialweave.plans.staging import staged
 
@@ -53,9 +53,12 @@ def median_impute(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, features: list[str]) -> DataFrame:
-    """(x - median) / IQR by exact quantiles; an IQR of 0 counts as 1."""
-    s = df.agg(*[f.alias(f"{c}_{k}") for c in features for k, f in (("m", F.median(c)), ("i", quantile(F.col(c), 0.75) - quantile(F.col(c), 0.25)))]).first()
-    return df.withColumns({c: (F.col(c) - F.lit(s[f"{c}_m"])) / F.lit(s[f"{c}_i"] or 1.0) for c in features})
+    """(x - median) / IQR by exact quantiles; an IQR of 0 counts as 1.  ``df`` is written once."""
+    df = staged(df, "unscaled")
+    found = quantiles(df, {c: F.col(c) for c in features}, [0.25, 0.5, 0.75]).get((), {})
+    q = {c: found.get(c) or [None] * 3 for c in features}
+    spread = {c: v[2] - v[0] if v[0] is not None else 1.0 for c, v in q.items()}
+    return df.withColumns({c: (F.col(c) - F.lit(q[c][1])) / F.lit(spread[c] or 1.0) for c in features})
 
 
 def standard_scale(df: DataFrame, features: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.functions.columns import correlation, count_where, mean_where, quantile, row_mean, row_rms, safe_div
+from trialweave.functions.columns import correlation, count_where, mean_where, quantile, quantiles, row_mean, row_rms, safe_div
 from trialweave.operators import dynamics, heart, joins, statistics as st, windows
 from trialweave.plans.oracle import BOUNDARY as B_SQL, RR, SESSIONS, matched, over, r6, rr_windows, upto
 from trialweave.plans.staging import staged
@@ -592,15 +592,16 @@ _SC = lambda c: f"({c} - (SELECT median({c}) FROM k)) / (SELECT CASE WHEN quanti
 @query("SES03", over(f"SELECT participant_id, session_year, {r6('(' + _SC('speed') + ' - ' + _SC('spread') + ') / 2 AS engagement')} FROM k", SESSIONS, "k AS (SELECT * FROM sessions WHERE speed IS NOT NULL AND spread IS NOT NULL)"))
 def ses03(spark, sf):
     """Equal-weight component of oriented indicators over complete rows, scaled by median and IQR."""
-    return component_score(tables.sessions(spark, sf), {"speed": 1, "spread": -1}, "engagement").select("participant_id", "session_year", "engagement")
+    return component_score(tables.sessions(spark, sf).select("participant_id", "session_year", "speed", "spread"), {"speed": 1, "spread": -1}, "engagement").select("participant_id", "session_year", "engagement")
 
 
 def component_score(df: DataFrame, indicators: dict[str, int], name: str, least: int = 20) -> DataFrame:
-    rows = df.dropna(subset=list(indicators))
-    stats = rows.agg(F.count("*").alias("n"), *[f.alias(f"{c}_{k}") for c in indicators for k, f in (("med", F.median(c)), ("lo", quantile(F.col(c), 0.25)), ("hi", quantile(F.col(c), 0.75)), ("sd", F.stddev_pop(c)))]).first()
+    rows = staged(df.dropna(subset=list(indicators)), "complete")
+    stats = rows.agg(F.count("*").alias("n"), *[F.stddev_pop(c).alias(c) for c in indicators]).first()
     if stats["n"] < least:
         return rows.withColumn(name, F.lit(None).cast("double"))
-    scaled = [sign * (F.col(c) - stats[f"{c}_med"]) / ((stats[f"{c}_hi"] - stats[f"{c}_lo"]) or stats[f"{c}_sd"] or 1.0) for c, sign in indicators.items()]
+    quarters = quantiles(rows, {c: F.col(c) for c in indicators}, [0.25, 0.5, 0.75])[()]
+    scaled = [sign * (F.col(c) - quarters[c][1]) / ((quarters[c][2] - quarters[c][0]) or stats[c] or 1.0) for c, sign in indicators.items()]
     return rows.withColumn(name, sum(scaled[1:], scaled[0]) / len(scaled))
 
 

@@ -122,7 +122,7 @@ def ml03(spark, sf):
 
 
 def scaled(spark, sf) -> DataFrame:
-    return staged(models.robust_scale(primary(spark, sf).dropna(subset=FEATURES), FEATURES), "scaled")
+    return models.robust_scale(primary(spark, sf).dropna(subset=FEATURES), FEATURES)
 
 
 # --- components ------------------------------------------------------------------------------------------------------------------------------------------------------
@@ -246,7 +246,8 @@ def ml07(spark, sf):
 @query("ML11")
 def ml11(spark, sf):
     """Session profiles: the best mixture's component of each session."""
-    rows = staged(models.robust_scale(tables.sessions(spark, sf).dropna(subset=["speed", "spread", "accuracy"]), ["speed", "spread", "accuracy"]).select("participant_id", "session_year", "speed", "spread", "accuracy"), "sessions")
+    measures = ["speed", "spread", "accuracy"]
+    rows = models.robust_scale(tables.sessions(spark, sf).dropna(subset=measures).select("participant_id", "session_year", *measures), measures)
     best = models.mixture_sweep(rows, ["speed", "spread", "accuracy"], ks=(1, 2, 3, 4, 5))[0]
     return models.assign(rows, ["speed", "spread", "accuracy"], best).select("participant_id", "session_year", "component", "posterior")
 
