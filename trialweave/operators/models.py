@@ -252,38 +252,117 @@ def well_conditioned(covariances: np.ndarray, kind: str, most: float = 1e8) -> b
     return bool(len(found)) and bool((np.isfinite(found) & (found < most)).all())
 
 
-def mixture_sums(rows: DataFrame, features: list[str], candidates: list[dict], weigh: tuple[list[str], Callable[[list[pa.Array]], np.ndarray]] | None = None) -> dict[int, np.ndarray]:
-    """For each candidate the sums of a pass: log likelihood, entropy, responsibilities, sizes, first and second moments.
+#: Densities, or counts of replicates, that a task holds at once.
+HELD = 1 << 19
+
+
+def _log_coefficients(m: dict, centre: np.ndarray) -> np.ndarray:
+    """Columns, one a component: the log of weight times density as a quadratic in a row less ``centre``: 1, the features, then their products (i, j >= i)."""
+    d = len(centre)
+    mu, upper, out = m["means"] - centre, np.triu_indices(d), []
+    for j in range(len(mu)):
+        if m["kind"] == "diag":
+            precision, log_det = np.diag(1 / m["cov"][j]), np.log(m["cov"][j]).sum()
+        else:
+            low = np.linalg.cholesky(m["cov"][j])
+            inverse = np.linalg.solve(low, np.eye(d))
+            precision, log_det = inverse.T @ inverse, 2 * np.log(np.diag(low)).sum()
+        linear = precision @ mu[j]
+        products = np.where(upper[0] == upper[1], -0.5, -1.0) * precision[upper]
+        out.append(np.concatenate([[np.log(m["weights"][j]) - 0.5 * (d * math.log(2 * math.pi) + log_det + mu[j] @ linear)], linear, products]))
+    return np.array(out).T
+
+
+def weighed(df: DataFrame, features: list[str], replicates: int, weigh: tuple[list[str], Callable[[list[pa.Array]], np.ndarray]] | None = None) -> DataFrame:
+    """The different rows of ``features``, and ``t``: how often each counts in every replicate (once for each of its rows, without ``weigh``).
+
+    Written once, so that rounds read neither participants nor draw their counts again, and copies of a row are one row.
+    """
+    rows = df.select(*features, *(weigh[0] if weigh else [])).dropna(subset=features)
+    if not weigh:
+        return staged(rows.groupBy(*features).agg(F.array(F.count(F.lit(1)).cast("double")).alias("t")), "weighed")
+    schema, step = ", ".join(f"`{c}` double" for c in features) + ", t array<double>", max(1, HELD // replicates)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                times = np.ascontiguousarray(weigh[1](part.columns[len(features) :]), dtype=float)
+                t = pa.ListArray.from_arrays(pa.array(np.arange(len(times) + 1) * replicates, pa.int32()), pa.array(times.ravel()))
+                yield pa.RecordBatch.from_arrays([*[c.cast(pa.float64()) for c in part.columns[: len(features)]], t], names=[*features, "t"])
+
+    each = rows.mapInArrow(drawn, schema)
+    return staged(each.groupBy(*features).agg(F.array(*[F.sum(F.col("t")[r]) for r in range(replicates)]).alias("t")), "weighed")
+
+
+def mixture_sums(rows: DataFrame, features: list[str], candidates: list[dict], centre: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """For each candidate the sums of a pass over rows of :func:`weighed`: log likelihood, entropy, responsibilities, sizes, first and second moments.
 
-    ``weigh``: columns and a function of them that gives a weight for each row and replicate; a candidate counts by its ``replicate``.
+    A candidate counts by its ``replicate``.  All densities of some rows are one product of matrices, and so are all moments; rows are taken less ``centre``.
     """
-    shared = rows.sparkSession.sparkContext.broadcast([(m["kind"], m["weights"], m["means"], m["cov"], m["replicate"]) for m in candidates])
     d = len(features)
+    centre = np.zeros(d) if centre is None else centre
+    # Candidates of one number of components stand together: they are one array.
+    order = sorted(range(len(candidates)), key=lambda i: candidates[i]["k"])
+    groups = [(k, [i for i in order if candidates[i]["k"] == k]) for k in sorted({m["k"] for m in candidates})]
+    coefficients = np.concatenate([_log_coefficients(candidates[i], centre) for i in order], axis=1) if order else np.zeros((1, 0))
+    shared = rows.sparkSession.sparkContext.broadcast((coefficients, [(k, [candidates[i]["replicate"] for i in at]) for k, at in groups]))
+    upper = np.triu_indices(d)
+    width = 1 + d + len(upper[0])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        beta, kinds = shared.value
+        step = max(64, HELD // max(1, beta.shape[1]))
+        held = np.zeros((beta.shape[1], width + 1))
+        logs = [np.zeros((2, len(at))) for _, at in kinds]
         for b in batches:
-            x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns[:d]])
-            if not len(x):
-                continue
-            times = weigh[1](b.columns[d:]) if weigh else np.ones((len(x), 1))
-            for i, (kind, w, mu, c, replicate) in enumerate(shared.value):
-                t = times[:, replicate]
-                lp = _log_density(x, mu, c, kind) + np.log(w)
-                top = lp.max(axis=1, keepdims=True)
-                total = top[:, 0] + np.log(np.exp(lp - top).sum(axis=1))
-                r = np.exp(lp - total[:, None])
-                entropy = -(t[:, None] * r * np.log(np.maximum(r, 1e-300))).sum()
-                size = np.bincount(lp.argmax(axis=1), weights=t, minlength=len(w))
-                r = r * t[:, None]
-                second = (r.T @ x**2).ravel() if kind == "diag" else np.einsum("ij,ik,il->jkl", r, x, x, optimize=True).ravel()
-                v = np.concatenate([[(total * t).sum(), entropy], r.sum(axis=0), size, (r.T @ x).ravel(), second])
-                sums[i] = sums[i] + v if i in sums else v
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["i", "v"])
-
+            x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns[:d]]) - centre
+            t_all = b.column(d).flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+            for lo in range(0, len(x), step):
+                y, times = x[lo : lo + step], t_all[lo : lo + step]
+                phi = np.concatenate([np.ones((len(y), 1)), y, y[:, upper[0]] * y[:, upper[1]]], axis=1)
+                lp = phi @ beta
+                at = 0
+                for (k, replicate), sums in zip(kinds, logs, strict=True):
+                    span = slice(at, at + k * len(replicate))
+                    p = lp[:, span].reshape(len(y), -1, k)
+                    t = times[:, replicate]
+                    if k == 1:
+                        sums[0] += (p[:, :, 0] * t).sum(axis=0)
+                        r, size = t[:, :, None], t[:, :, None]
+                    else:
+                        top = p.max(axis=2, keepdims=True)
+                        size = (np.arange(k) == p.argmax(axis=2)[:, :, None]) * t[:, :, None]
+                        p = p - top
+                        r = np.exp(p)
+                        whole = r.sum(axis=2, keepdims=True)
+                        log_whole = np.log(whole)
+                        sums[0] += ((top + log_whole)[:, :, 0] * t).sum(axis=0)
+                        r /= whole
+                        sums[1] -= ((r * (p - log_whole)).sum(axis=2) * t).sum(axis=0)
+                        r *= t[:, :, None]
+                    held[span, :width] += r.reshape(len(y), -1).T @ phi
+                    held[span, width] += size.reshape(len(y), -1).sum(axis=0)
+                    at = span.stop
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary()), pa.array([b"".join(s.tobytes() for s in logs)], pa.binary())], names=["v", "l"])
+
+    v, logs = np.zeros((coefficients.shape[1], width + 1)), np.zeros(2 * len(candidates))
+    for r in rows.mapInArrow(part, "v binary, l binary").collect():  # a row a task
+        v, logs = v + np.frombuffer(r["v"]).reshape(v.shape), logs + np.frombuffer(r["l"])
     total: dict[int, np.ndarray] = {}
-    for r in rows.mapInArrow(part, "i int, v array<double>").collect():
-        total[r["i"]] = total.get(r["i"], 0) + np.array(r["v"])
+    at = of = 0
+    for k, members in groups:
+        ll, entropy = logs[of : of + 2 * len(members)].reshape(2, -1)
+        of += 2 * len(members)
+        for n, i in enumerate(members):
+            s = v[at : at + k]
+            at += k
+            if not s[:, 0].any():
+                continue
+            size, first = s[:, 0], s[:, 1 : 1 + d]
+            second = np.zeros((k, d, d))
+            second[:, upper[0], upper[1]] = second[:, upper[1], upper[0]] = s[:, 1 + d : width]
+            total[i] = np.concatenate([[ll[n], entropy[n]], size, s[:, width], first.ravel(), second.ravel()])
     return total
 
 
@@ -307,10 +386,10 @@ def mixture_sweep(
                 for _ in range(starts if k > 1 else 1):
                     c = np.tile(np.maximum(np.diag(cov), ridge), (k, 1)) if kind == "diag" else np.tile(cov + ridge * np.eye(d), (k, 1, 1))
                     models.append({"replicate": replicate, "kind": kind, "k": k, "weights": np.full(k, 1 / k), "means": mean + scale * rng.normal(0, 1, (k, d)) if k > 1 else mean[None].copy(), "cov": c, "ll": -np.inf})
-    rows = df.select(*features, *(weigh[0] if weigh else [])).dropna(subset=features)
+    rows = weighed(df, features, replicates, weigh)
     live = list(range(len(models)))
     for round_ in range(rounds + 1):
-        total = mixture_sums(rows, features, [models[i] for i in live], weigh)
+        total = mixture_sums(rows, features, [models[i] for i in live], mean)
         still = []
         for at, i in enumerate(live):
             m = models[i]
@@ -325,17 +404,17 @@ def mixture_sweep(
             if (round_ and gain < tolerance * m["n"]) or round_ == rounds:
                 continue
             first = v[2 + 2 * k : 2 + 2 * k + k * d].reshape(k, d)
-            second = v[2 + 2 * k + k * d :]
+            second = v[2 + 2 * k + k * d :].reshape(k, d, d)
             r = np.maximum(r, 1e-9)
-            mu = first / r[:, None]
+            mu = first / r[:, None]  # less the centre, as are the moments
             if m["kind"] == "diag":
-                c = np.maximum(second.reshape(k, d) / r[:, None] - mu**2, 0) + ridge
+                c = np.maximum(np.diagonal(second, axis1=1, axis2=2) / r[:, None] - mu**2, 0) + ridge
             else:
-                c = second.reshape(k, d, d) / r[:, None, None] - np.einsum("ij,ik->ijk", mu, mu)
+                c = second / r[:, None, None] - np.einsum("ij,ik->ijk", mu, mu)
                 c = (c + c.transpose(0, 2, 1)) / 2
                 value, vector = np.linalg.eigh(c)
                 c = np.einsum("aij,aj,akj->aik", vector, np.maximum(value, 0) + ridge, vector)
-            m["weights"], m["means"], m["cov"] = r / r.sum(), mu, c
+            m["weights"], m["means"], m["cov"] = r / r.sum(), mu + mean, c
             still.append(i)
         live = still
         if not live:

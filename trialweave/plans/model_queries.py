@@ -277,7 +277,7 @@ def ml10(spark, sf):
             load, noise = models.factor_analysis(cov, k)
             out.append(("factors", k, models.gaussian_log_likelihood(mean, load @ load.T + np.diag(noise), test_mean, test_cov)))
     found = [m for m in models.mixture_sweep(rows, FEATURES, ks=(2, 3, 4), kinds=("diag",), starts=5, replicates=splits, weigh=train) if m["replicate"] in usable]
-    sums = models.mixture_sums(rows.dropna(subset=FEATURES).select(*FEATURES, "participant_id"), FEATURES, found, test)
+    sums = models.mixture_sums(models.weighed(rows, FEATURES, splits, test), FEATURES, found)
     out += [("mixture", m["k"], float(sums[i][0] / held[m["replicate"]][0])) for i, m in enumerate(found)]
     each = spark.createDataFrame(out, "model string, k int, ll double")
     means = each.groupBy("model", "k").agg(F.avg("ll").alias("held_out_ll"), F.count("*").alias("splits"))
