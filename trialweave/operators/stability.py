@@ -221,9 +221,12 @@ def predicted(rows: DataFrame, features: list[str], counts: list[str], least: in
     return own.select("replicate", "r", "label").unionAll(best.select("replicate", "r", F.when(dense, F.col("label")).otherwise(F.lit(-1)).alias("label")))
 
 
-def overlaps(labels: DataFrame, by: str, reference: str, candidate: str) -> DataFrame:
-    """``by``, clusters, jaccard: the mean over the clusters of ``reference`` of the best overlap (intersection over union) with one of ``candidate``; -1 is noise, a group without clusters of both has no row."""
-    c = labels.groupBy(by, F.col(reference).alias("a"), F.col(candidate).alias("b")).agg(F.count("*").alias("k"))
+def overlaps(labels: DataFrame, by: str, reference: str, candidate: str, copies: str | None = None) -> DataFrame:
+    """``by``, clusters, jaccard: the mean over the clusters of ``reference`` of the best overlap (intersection over union) with one of ``candidate``; -1 is noise, a group without clusters of both has no row.
+
+    ``copies``: a column that says how many rows a row stands for.
+    """
+    c = labels.groupBy(by, F.col(reference).alias("a"), F.col(candidate).alias("b")).agg(F.sum(copies).alias("k") if copies else F.count("*").alias("k"))
     left = c.filter("a >= 0").groupBy(by, "a").agg(F.sum("k").alias("n"))
     right = c.filter("b >= 0").groupBy(by, "b").agg(F.sum("k").alias("m"))
     best = c.filter("a >= 0 and b >= 0").join(right, [by, "b"]).join(left, [by, "a"]).groupBy(by, "a").agg(F.max(F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("j"))
@@ -246,8 +249,10 @@ def density_stability(df: DataFrame, features: list[str], key: str, person: str,
     named = df.select(F.col(key).alias("k"), F.col(person).cast("string").alias("p"), *clean).dropna(subset=[f"f{j}" for j in range(k)]).filter(" and ".join(f"not isnan(f{j})" for j in range(k)))
     columns = [f"f{j}" for j in range(k)]
     found = density_clusters(named, columns, "k", least=least, share=share).withColumn("w", drawn("p"))
-    rows = staged(dense_places(found.withColumn("h", F.xxhash64("k")), ["h", "k", "p"], "r"), "drawn")
-    n = rows.count()
+    # Equal rows have one cluster in all rows and in each replicate: they are one row, which is drawn as often as all of them.
+    same = found.groupBy(*columns, "cluster").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.xxhash64("k").alias("h"), "k", "p")).alias("first"), F.array(*[F.sum(F.col("w")[j]) for j in range(repetitions)]).alias("w"))
+    rows = staged(dense_places(same.select(*columns, "cluster", "copies", "w", "first.*"), ["h", "k", "p"], "r"), "drawn")
+    n = rows.agg(F.sum("copies")).first()[0] or 0
     smallest = max(least, int(np.ceil(share * n)))
     totals = rows.agg(*[F.sum(F.col("w")[j]).alias(f"t{j}") for j in range(repetitions)]).first()
     usable = [j for j in range(repetitions) if (totals[f"t{j}"] or 0) > smallest]
@@ -255,6 +260,6 @@ def density_stability(df: DataFrame, features: list[str], key: str, person: str,
         return df.sparkSession.createDataFrame([], "replicate int, clusters long, jaccard double")
     counts = [f"w{j}" for j in range(len(usable))]
     got = predicted(rows.select("r", *columns, *[F.col("w")[j].alias(c) for c, j in zip(counts, usable, strict=True)]), columns, counts, smallest, size)
-    both = got.join(rows.select("r", F.col("cluster").alias("base")), "r")
+    both = got.join(rows.select("r", "copies", F.col("cluster").alias("base")), "r")
     number = F.array(*[F.lit(j) for j in usable])[F.col("replicate").cast("int")]
-    return overlaps(both, "replicate", "base", "label").select(number.alias("replicate"), "clusters", "jaccard")
+    return overlaps(both, "replicate", "base", "label", "copies").select(number.alias("replicate"), "clusters", "jaccard")
