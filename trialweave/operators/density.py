@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.operators.models import dense_places
-from trialweave.operators.pairs import BLOCK, blocks, distances, tile_sums, tiles
+from trialweave.operators.pairs import BLOCK, blocks, distances, strips, tile_sums, tiles
 from trialweave.plans.staging import staged
 
 TINY = 1e-12
@@ -120,8 +120,37 @@ def core_distances(rows: DataFrame, features: list[str], least: int, size: int =
     return staged(packed.mapInArrow(unpack, f"r long, {', '.join(f'`{c}` double' for c in features)}, core double"), "cored")
 
 
+def first_links(rows: DataFrame, features: list[str], size: int = BLOCK) -> DataFrame:
+    """r, w, a, b, other: the edge that the first of Boruvka's rounds gives a row of rows (r, features, core), where it is no longer than the row's core distance; most rows have one.
+
+    No edge of a row is shorter, and of those as long the one to the row of least number is the first: a row in reach whose own core distance isn't larger.  The first ``size`` rows have one for most, the others look among all rows.
+    """
+    d = len(features)
+    columns = [*features, "core", "r"]
+    chunks = blocks(rows, columns, size, "r", ranges=True)
+
+    def least(x: np.ndarray, chunks: Iterator[np.ndarray]) -> list[np.ndarray]:
+        best, step = np.full(len(x), np.inf), 64
+        for y in chunks:
+            for at in range(0, len(x), step):
+                s = slice(at, at + step)
+                near = np.maximum(distances(x[s, :d], y[:, :d]), y[None, :, d]) <= x[s, d, None]
+                near &= x[s, d + 1, None] != y[None, :, d + 1]
+                best[s] = np.minimum(best[s], np.where(near.any(axis=1), y[near.argmax(axis=1), d + 1], np.inf))
+        return [x[:, d + 1].astype(np.int64), np.where(np.isfinite(best), best, -1).astype(np.int64)]
+
+    found = staged(strips(blocks(rows, columns, size, "r"), chunks.orderBy("block").limit(1), least, d + 2, "r long, other long"), "links")
+    rest = rows.join(found.filter("other < 0").select("r"), "r", "left_semi")
+    late = staged(strips(blocks(rest, columns, max(1, size // 8), "r"), chunks, least, d + 2, "r long, other long"), "links")
+    both = found.unionAll(late).filter("other >= 0").join(rows.select("r", "core"), "r")
+    return both.select("r", F.col("core").alias("w"), F.least("r", "other").alias("a"), F.greatest("r", "other").alias("b"), "other")
+
+
 def shared_tree(rows: DataFrame, features: list[str], size: int = BLOCK) -> DataFrame:
-    """w, a, b: the edges of :func:`spanning_tree` of rows (r, features, core), by Boruvka's rounds: each component gets its shortest edge to another one, tile by tile, and what that joins becomes one."""
+    """w, a, b: the edges of :func:`spanning_tree` of rows (r, features, core), by Boruvka's rounds: each component gets its shortest edge to another one, and what that joins becomes one.
+
+    The first round is :func:`first_links`.  The others go tile by tile over pairs of rows of different components, without rows whose core distance is longer than what every component has an edge of.
+    """
     d = len(features)
     rows = staged(rows.withColumn("comp", F.col("r")), "components")
     edges: list[DataFrame] = []
@@ -136,26 +165,41 @@ def shared_tree(rows: DataFrame, features: list[str], size: int = BLOCK) -> Data
         new[1:] = out[1:, 0] != out[:-1, 0]
         return out[new]
 
+    def apart(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Parts of both sides with their mutual reachability, infinite within a component: a component against the others, where those are few."""
+        inside = np.unique(x[:, d + 1])
+        for c in inside if len(inside) <= 8 else [None]:
+            a, b = (x, y) if c is None else (x[x[:, d + 1] == c], y[y[:, d + 1] != c])
+            if not len(a) or not len(b):
+                continue
+            mutual = np.maximum(np.maximum(distances(a[:, :d], b[:, :d]), a[:, d, None]), b[None, :, d])
+            if c is None:
+                mutual[a[:, d + 1, None] == b[None, :, d + 1]] = np.inf
+            yield a, b, mutual
+
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_py()).reshape(-1, d + 3) for v in (a, b))
-                mutual = np.maximum(np.maximum(distances(x[:, :d], y[:, :d]), x[:, d, None]), y[None, :, d])
-                mutual[x[:, d + 1, None] == y[None, :, d + 1]] = np.inf
-                out = shortest(x, y, mutual)
-                if i != j:
-                    out = np.concatenate([out, shortest(y, x, mutual.T)])
+                found = [np.zeros((0, 5))]
+                for p, q, mutual in apart(x, y):
+                    found.append(shortest(p, q, mutual))
+                    if i != j:
+                        found.append(shortest(q, p, mutual.T))
+                out = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, k].astype(np.int64) if k != 1 else out[:, k].copy()) for k in range(5)], names=["comp", "w", "a", "b", "other"])
 
-    while True:
-        packed = blocks(rows, [*features, "core", "comp", "r"], size, "r")
-        found = tiles(packed).mapInArrow(nearest, "comp long, w double, a long, b long, other long")
-        best = staged(found.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("comp", "e.*"), "shortest")
-        if best.isEmpty():
-            break
+    def bound(x: np.ndarray, chunks: Iterator[np.ndarray]) -> list[np.ndarray]:
+        found = [np.zeros((0, 5))] + [shortest(p, q, mutual) for y in chunks for p, q, mutual in apart(x, y)]
+        out = np.concatenate(found)
+        return [out[:, 0].astype(np.int64), out[:, 1]]
+
+    def joined(rows: DataFrame, best: DataFrame) -> tuple[DataFrame, int]:
+        """``rows`` with the components that the edges ``best`` make, and how many those are."""
         edges.append(staged(best.select("w", "a", "b").distinct(), "edges"))
         back = best.select(F.col("comp").alias("other"), F.col("other").alias("back"))
-        up = staged(best.join(back, "other").select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("up")), "up")
+        up = best.join(back, "other", "left").select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("up"))
+        up = staged(rows.select("comp").distinct().join(up, "comp", "left").select("comp", F.coalesce("up", "comp").alias("up")), "up")
         while True:  # every component's root, in doubled steps
             above = up.select(F.col("comp").alias("up"), F.col("up").alias("next"))
             up = staged(up.join(above, "up").select("comp", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "up")
@@ -163,8 +207,18 @@ def shared_tree(rows: DataFrame, features: list[str], size: int = BLOCK) -> Data
                 break
             up = up.select("comp", "up")
         rows = staged(rows.join(up.select("comp", "up"), "comp").drop("comp").withColumnRenamed("up", "comp"), "components")
-    if not edges:
-        return rows.sparkSession.createDataFrame([], "w double, a long, b long")
+        return rows, up.filter("comp = up").count()
+
+    columns = [*features, "core", "comp", "r"]
+    rows, left = joined(rows, staged(first_links(rows.drop("comp"), features, size).withColumnRenamed("r", "comp"), "shortest"))
+    while left > 1:
+        some = blocks(rows, columns, size, "r", ranges=True).orderBy("block").limit(1)
+        bounds = strips(blocks(rows, columns, size, "r"), some, bound, d + 3, "comp long, w double").groupBy("comp").agg(F.min("w").alias("w"))
+        known = bounds.agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w")).first()
+        near = rows.filter(F.col("core") <= known["w"]) if known["n"] == left else rows
+        found = tiles(blocks(near, columns, size, "r")).mapInArrow(nearest, "comp long, w double, a long, b long, other long")
+        best = staged(found.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("comp", "e.*"), "shortest")
+        rows, left = joined(rows, best)
     out = edges[0]
     for e in edges[1:]:
         out = out.unionAll(e)

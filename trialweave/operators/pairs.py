@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +20,27 @@ MOST = 16
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean, column by column: exact zeros for equal rows, and the same number from either side."""
-    out = np.zeros((len(a), len(b)))
+    out = squares(a, b)
+    return np.sqrt(out, out=out)
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The squares of :func:`distances`."""
+    out, part = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
     for k in range(a.shape[1]):
-        out += (a[:, k, None] - b[None, :, k]) ** 2
-    return np.sqrt(out)
+        np.subtract(a[:, k, None], b[None, :, k], out=part)
+        np.multiply(part, part, out=part)
+        out += part
+    return out
 
 
-def blocks(df: DataFrame, columns: list[str], size: int = BLOCK, row: str | None = None) -> DataFrame:
-    """block, n, packed: ``columns`` as doubles, row by row, of blocks of about ``size`` rows, dealt by a hash of the rows' numbers and in their order (``row``, else numbers of their own)."""
+def blocks(df: DataFrame, columns: list[str], size: int = BLOCK, row: str | None = None, ranges: bool = False) -> DataFrame:
+    """block, n, packed: ``columns`` as doubles, row by row, of blocks of about ``size`` rows, dealt by a hash of the rows' numbers and in their order (``row``, else numbers of their own); with ``ranges`` each block has ``size`` numbers that follow."""
     number = F.col(row) if row else F.monotonically_increasing_id()
     numbered = staged(df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)], number.alias("r")), "rows")
     parts = max(1, -(-numbered.count() // size))
-    dealt = numbered.withColumn("block", F.pmod(F.xxhash64("r"), F.lit(parts)).cast("int")).repartition("block").sortWithinPartitions("block", "r")
+    place = F.floor(F.col("r") / size) if ranges else F.pmod(F.xxhash64("r"), F.lit(parts))
+    dealt = numbered.withColumn("block", place.cast("int")).repartition("block").sortWithinPartitions("block", "r")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -65,6 +75,29 @@ def tiles(packed: DataFrame) -> DataFrame:
     return pairs.join(left, "i").join(right, "j").select("i", "j", "a", "b")
 
 
+def strips(packed: DataFrame, chunks: DataFrame, of: Callable[[np.ndarray, Iterator[np.ndarray]], list[np.ndarray]], width: int, kinds: str) -> DataFrame:
+    """Columns ``kinds`` of ``of(rows, chunks)`` for the rows of each block of ``packed``; a task makes a pass over all ``chunks``, which come in any order and are neither broadcast nor held."""
+    parts = max(1, packed.count())
+    left = packed.select(F.col("block").alias("i"), F.col("packed").alias("a")).repartition(parts, "i")
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(chunks.select(F.col("packed").alias("b")).repartition(1))
+    fields = [f.split() for f in kinds.split(", ")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Scalar, pa.Scalar]]:
+        for batch in batches:
+            yield from zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, strip in groupby(rows(batches), key=lambda r: r[0]):
+            _, a, b = next(strip)
+            others = (np.frombuffer(v.as_py()).reshape(-1, width) for v in chain([b], (r[2] for r in strip)))
+            out = of(np.frombuffer(a.as_py()).reshape(-1, width), others)
+            for _ in strip:
+                pass
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64() if kind == "long" else pa.float64()) for c, (_, kind) in zip(out, fields, strict=True)], names=[n for n, _ in fields])
+
+    return pairs.mapInArrow(work, kinds)
+
+
 def tile_sums(packed: DataFrame, width: int, of: Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
     """block, n, packed, total: the sum over all blocks of ``of(rows, others, same block)``, which gives an array for the rows and, of two blocks, one for the others."""
     rows = tiles(packed)

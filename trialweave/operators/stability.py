@@ -8,6 +8,7 @@ replicate's tree, one a row, are condensed in order by one task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,85 +18,117 @@ from pyspark.sql import functions as F
 
 from trialweave.operators.density import TINY, condensed, density_clusters
 from trialweave.operators.models import dense_places
-from trialweave.operators.pairs import blocks, distances, tile_sums, tiles
+from trialweave.operators.pairs import blocks, distances, squares, strips, tiles
 from trialweave.operators.resampling import counts_of
 from trialweave.plans.staging import staged
 
-#: Parts of the range that holds a row's core distance, in a pass.
-PARTS = 64
+#: Rows that say where a row's core distance is, about.
+SAMPLE = 1 << 14
+#: Numbers that a strip of rows may hold, and distances that are taken at once.
+HELD, TILE = 1 << 24, 1 << 16
+#: Rows that a strip meets at a time.
+CHUNK = 1 << 13
 #: Rows of a block: a row carries some numbers of each replicate.
 BLOCK = 256
 
 
-def _edges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The upper ends of ``PARTS`` parts of each range [lo, hi)."""
-    width = np.maximum((hi - lo) / PARTS, np.spacing(lo))
-    out = np.minimum(lo[..., None] + np.arange(1, PARTS + 1) * width[..., None], hi[..., None])
-    out[..., -1] = hi
-    return out
-
-
-def _below(dist: np.ndarray, lo: np.ndarray, hi: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """By row, replicate and part: the weight of the others that are nearer than the part's upper end."""
-    edges, column = _edges(lo, hi), np.arange(weights.shape[1])[:, None]
-    out = np.empty(edges.shape)
-    for i, d in enumerate(dist):
-        order = d.argsort()
-        run = np.concatenate([np.zeros((1, weights.shape[1])), weights[order].cumsum(axis=0)])
-        out[i] = run[d[order].searchsorted(edges[i].ravel()).reshape(edges[i].shape), column]
-    return out
-
-
 def weighted_cores(rows: DataFrame, features: list[str], counts: list[str], least: int, size: int = BLOCK) -> DataFrame:
     """``rows`` (r, features, counts by replicate) with ``core0``, ``core1``, ...: the distance within which more than ``least`` rows of the replicate are, a row's own copies included; infinite where it has none.
 
-    The total of each replicate's counts has to be over ``least``.  The range that holds the distance is narrowed until it is one number, all replicates in a pass.
+    The total of each replicate's counts has to be over ``least``.  A strip of rows makes one pass over all rows for all replicates: the first :data:`SAMPLE` of them (any, as ``r`` has nothing to do with the features)
+    say between which two distances those that are looked for must be, the weight below that range is added up and only what is within it is held and sorted.  Rows whose range misses get another pass, which holds all distances.
     """
     d, k = len(features), len(counts)
-    spread = rows.agg(*[(F.max(c) - F.min(c)).alias(c) for c in features]).first()
-    most = float(np.sqrt(sum((spread[c] or 0.0) ** 2 for c in features))) * 1.001 + 1.0
-    width = d + 1 + 3 * k
-    ranges = [F.lit(0.0).alias(f"lo{j}") for j in range(k)] + [F.when(F.col(c) > 0, most).otherwise(0.0).alias(f"hi{j}") for j, c in enumerate(counts)]
-    columns = [*features, "r", *counts, *[f"lo{j}" for j in range(k)], *[f"hi{j}" for j in range(k)]]
-    packed = blocks(rows.select(*features, "r", *counts, *ranges), columns, size, "r")
-    at = d + 1
-    w, lo, hi = slice(at, at + k), slice(at + k, at + 2 * k), slice(at + 2 * k, at + 3 * k)
-
-    def of(x: np.ndarray, y: np.ndarray, same: bool):
-        dist = distances(x[:, :d], y[:, :d])
-        return _below(dist, x[:, lo], x[:, hi], y[:, w]), None if same else _below(dist.T, y[:, lo], y[:, hi], x[:, w])
-
-    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, n, held, total in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                x = np.frombuffer(held.as_py()).reshape(-1, width).copy()
-                enough = np.frombuffer(total.as_py()).reshape(len(x), k, PARTS) > least
-                first = enough.argmax(axis=2)[..., None]
-                ends = np.concatenate([x[:, lo, None], _edges(x[:, lo], x[:, hi])], axis=2)
-                some = enough.any(axis=2)
-                below, above = (np.take_along_axis(ends, first + j, axis=2)[..., 0] for j in (0, 1))
-                x[:, lo], x[:, hi] = np.where(some, below, x[:, lo]), np.where(some, above, x[:, hi])
-                wide = int((x[:, hi] > np.maximum(np.nextafter(x[:, lo], np.inf), TINY)).sum())
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([wide], pa.int64())], names=["block", "n", "packed", "wide"])
-
-    while True:
-        summed = tile_sums(packed, width, of).select("block", "n", "packed", "total")
-        found = staged(summed.mapInArrow(narrowed, "block int, n int, packed binary, wide long"), "cores")
-        packed = found.select("block", "n", "packed")
-        if not (found.agg(F.sum("wide")).first()[0] or 0):
-            break
-
+    columns = [*features, "r", *counts]
+    width = d + 1 + k
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"t{j}") for j, c in enumerate(counts)]).first()
+    n, share = sums["n"], [least / sums[f"t{j}"] for j in range(k)]
+    low, high = min(share), max(share)
     names = ["r", *features, *counts, *[f"core{j}" for j in range(k)]]
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for held in b.column(2):
-                x = np.frombuffer(held.as_py()).reshape(-1, width)
-                core = np.where(x[:, w] > 0, x[:, lo], np.inf)
-                out = [x[:, d].astype(np.int64), *x[:, :d].T, *x[:, w].T, *core.T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out], names=names)
-
-    return staged(packed.mapInArrow(unpack, "r long, " + ", ".join(f"`{c}` double" for c in names[1:])), "cored")
+    kinds = ", ".join(f"{c} {'long' if c == 'r' else 'double'}" for c in [*names, "missed"])
+
+    def within(x: np.ndarray, squared: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squares between which those of the rows' distances are, by all that the sample says."""
+        total = weight.sum()
+        error = 5 * np.sqrt(high * (weight**2).sum()) / total if total else 1.0
+        if k > 1:
+            error += 8 * np.sqrt(high / n)
+        lo, hi = np.full(len(x), -np.inf), np.full(len(x), np.inf)
+        for i, q in enumerate(squared):
+            order = q.argsort()
+            run = weight[order].cumsum() / total
+            if low - error > 0:
+                lo[i] = q[order[min(run.searchsorted(low - error), len(q) - 1)]]
+            if high + error < 1:
+                hi[i] = q[order[min(run.searchsorted(high + error), len(q) - 1)]]
+        return lo, hi
+
+    def cores(every: bool):
+        def of(x: np.ndarray, chunks: Iterator[np.ndarray]) -> list[np.ndarray]:
+            below, lo, hi = np.zeros((len(x), k)), np.full(len(x), -np.inf), np.full(len(x), np.inf)
+            held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in x]
+            first: list[np.ndarray] = []
+
+            def add(y: np.ndarray) -> None:
+                w, step = np.ascontiguousarray(y[:, d + 1 :], np.float32), max(1, TILE // len(y))
+                about = np.concatenate([-2 * y[:, :d], np.ones((len(y), 1)), (y[:, :d] ** 2).sum(axis=1)[:, None]], axis=1).T.astype(np.float32)
+                for at in range(0, len(x), step):
+                    s = slice(at, at + step)
+                    q = squares(x[s, :d], y[:, :d]) if every else left[s] @ about
+                    if every:
+                        inside = np.ones(q.shape, bool)
+                    else:
+                        under = q < low32[s, None]
+                        below[s] += under.astype(np.float32) @ w
+                        inside = (q <= high32[s, None]) ^ under
+                    i, c = np.divmod(np.flatnonzero(inside), len(y))
+                    exact = np.zeros(len(i))
+                    for j in range(d):
+                        exact += (x[at + i, j] - y[c, j]) ** 2
+                    cuts = np.searchsorted(i, np.arange(1, len(q)))
+                    for row, one, there in zip(held[s], np.split(exact, cuts), np.split(c, cuts), strict=True):
+                        row.append((one, w[there]))
+
+            if not every and n > SAMPLE:
+                size = 0
+                while size < SAMPLE and (y := next(chunks, None)) is not None:
+                    first.append(y)
+                    size += len(y)
+                near = np.concatenate(first)
+                weight = near[:, d + 1 :].sum(axis=1)
+                step = max(1, (1 << 20) // len(near))
+                for at in range(0, len(x), step):
+                    lo[at : at + step], hi[at : at + step] = within(x[at : at + step], squares(x[at : at + step, :d], near[:, :d]), weight)
+            norm = (x[:, :d] ** 2).sum(axis=1)
+            left = np.concatenate([x[:, :d], norm[:, None], np.ones((len(x), 1))], axis=1).astype(np.float32)
+            low32, high32 = lo.astype(np.float32), hi.astype(np.float32)
+            doubt = 1e-5 * (norm + np.where(np.isfinite(hi), hi, 0))  # what the products may be off by
+            for y in chain(first, chunks):
+                add(y)
+            core, missed = np.full((len(x), k), np.inf), np.zeros(len(x), np.int64)
+            for i, parts in enumerate(held):
+                q, w = (np.concatenate(p) for p in zip(*parts, strict=True))
+                order = q.argsort()
+                enough = below[i] + w[order].cumsum(axis=0) > least
+                missed[i] = (below[i] > least).any() or not enough[-1:].all() or not len(q)
+                if not missed[i]:
+                    found = q[order][enough.argmax(axis=0)]
+                    missed[i] = not every and bool(((found <= lo[i] + doubt[i]) | (found >= hi[i] - doubt[i])).any())
+                    core[i] = np.where(x[i, d + 1 :] > 0, np.sqrt(found), np.inf)
+            return [x[:, d].astype(np.int64), *x[:, :d].T, *x[:, d + 1 :].T, *core.T, missed]
+
+        return of
+
+    chunks = blocks(rows.select(*columns), columns, max(size, CHUNK), "r")
+    # A row holds what is within its range, some hundredths of all rows.
+    packed = blocks(rows.select(*columns), columns, max(8, min(512, HELD // max(1, min(n, n // 24 + SAMPLE) * (1 + k)))), "r")
+    kinds = kinds.replace("missed double", "missed long")
+    found = staged(strips(packed, chunks, cores(False), width, kinds), "cores")
+    again = found.filter("missed > 0")
+    if not again.isEmpty():
+        packed = blocks(again.select(*columns), columns, max(1, min(512, HELD // (n * (1 + k)))), "r")
+        found = found.filter("missed = 0").unionAll(staged(strips(packed, chunks, cores(True), width, kinds), "cores"))
+    return found.select(*names)
 
 
 def _by_tile(packed: DataFrame, width: int, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], d: int, kinds: str) -> DataFrame:
