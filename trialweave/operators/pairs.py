@@ -17,6 +17,11 @@ BLOCK = 1024
 #: Blocks of :func:`silhouettes`, if they'd have ``BLOCK`` rows or more: each row and its sums are shuffled once for each of them.
 MOST = 16
 
+#: Rows that are paired at a time; the part of a row's squared length below which a squared distance is short.
+STEP, SHORT = 32, 1e-2
+#: Rows of the same labels, on average, from which they are added up first.
+FEW = 12
+
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean, column by column: exact zeros for equal rows, and the same number from either side."""
@@ -34,6 +39,25 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def spread(b: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """:func:`distances` to ``b`` by a product of matrices; those that are short beside the rows' own lengths, where it would lose digits, are taken as there."""
+    centre = b.mean(axis=0)
+    y = b - centre
+    right = np.concatenate([-2 * y, np.ones((len(y), 1)), (y * y).sum(axis=1)[:, None]], axis=1).T.copy()
+
+    def of(a: np.ndarray) -> np.ndarray:
+        x = a - centre
+        norm = (x * x).sum(axis=1)[:, None]
+        out = np.concatenate([x, norm, np.ones((len(x), 1))], axis=1) @ right
+        short = out < SHORT * norm
+        if short.any():
+            i, j = np.nonzero(short)
+            out[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
+        return np.sqrt(out, out=out)
+
+    return of
+
+
 def blocks(df: DataFrame, columns: list[str], size: int = BLOCK, row: str | None = None, ranges: bool = False) -> DataFrame:
     """block, n, packed: ``columns`` as doubles, row by row, of blocks of about ``size`` rows, dealt by a hash of the rows' numbers and in their order (``row``, else numbers of their own); with ``ranges`` each block has ``size`` numbers that follow."""
     number = F.col(row) if row else F.monotonically_increasing_id()
@@ -142,20 +166,54 @@ def silhouettes(df: DataFrame, features: list[str], labels: list[str], size: int
     sizes = [np.array([counted[f"n{k}_{j}"] for j in range(most[k])], float) for k in range(len(labels))]
 
     def hot(rows: np.ndarray) -> np.ndarray:
-        """A column a cluster of each labelling: the copies of a row that are in it."""
-        return np.concatenate([np.equal.outer(rows[:, d + k], np.arange(most[k])) * rows[:, -1:] for k in range(len(labels))], axis=1)
+        """A column a cluster of each labelling: whether a row is in it."""
+        return np.concatenate([np.equal.outer(rows[:, d + k], np.arange(most[k])).astype(float) for k in range(len(labels))], axis=1)
+
+    def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order in which rows of the same labels stand together, each one's group there, and :func:`hot` of the groups."""
+        groups, of = np.unique(rows[:, d:-1], axis=0, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        return order, of.reshape(-1)[order], hot(np.column_stack([np.zeros((len(groups), d)), groups, np.ones(len(groups))]))
+
+    def unsorted(order: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        out = np.empty_like(rows)
+        out[order] = rows
+        return out
 
     def of(x: np.ndarray, y: np.ndarray, same: bool):
-        """Sums of distances to the clusters of each labelling."""
-        in_x, in_y = hot(x), hot(y)
+        """Sums of distances to the clusters of each labelling: those to rows of the same labels are added up once for all labellings."""
+        order_x, group_x, hot_x = grouped(x)
+        order_y, group_y, hot_y = grouped(y)
+        x, y = x[order_x], y[order_y]
         mine, theirs = np.zeros((len(x), sum(most))), np.zeros((len(y), sum(most)))
-        for lo in range(0, len(x), size):
+        if FEW * max(len(hot_x) / len(x), len(hot_y) / len(y)) > 1:  # hardly any rows have the same labels
+            in_x, in_y = hot_x[group_x] * x[:, -1:], hot_y[group_y] * y[:, -1:]
             for at in range(0, len(y), size):
-                dist = distances(x[lo : lo + size, :d], y[at : at + size, :d])
-                mine[lo : lo + size] += dist @ in_y[at : at + size]
+                t = slice(at, at + size)
+                near = spread(y[t, :d])
+                for lo in range(0, len(x), 8 * STEP):
+                    s = slice(lo, lo + 8 * STEP)
+                    dist = near(x[s, :d])
+                    mine[s] += dist @ in_y[t]
+                    if not same:
+                        theirs[t] += dist.T @ in_x[s]
+            return unsorted(order_x, mine), None if same else unsorted(order_y, theirs)
+        single_x, single_y = (x[:, -1] == 1).all(), (y[:, -1] == 1).all()
+        for at in range(0, len(y), size):
+            t = slice(at, at + size)
+            near = spread(y[t, :d])
+            starts = np.flatnonzero(np.diff(group_y[t], prepend=-1))
+            known, column = hot_y[group_y[t][starts]], np.zeros((len(hot_x), len(y[t])))
+            for lo in range(0, len(x), STEP):
+                s = slice(lo, lo + STEP)
+                dist = near(x[s, :d])
+                mine[s] += np.add.reduceat(dist if single_y else dist * y[t, -1], starts, axis=1) @ known
                 if not same:
-                    theirs[at : at + size] += dist.T @ in_x[lo : lo + size]
-        return mine, None if same else theirs
+                    first = np.flatnonzero(np.diff(group_x[s], prepend=-1))
+                    column[group_x[s][first]] += np.add.reduceat(dist if single_x else dist * x[s, -1:], first, axis=0)
+            if not same:
+                theirs[t] += column.T @ hot_x
+        return unsorted(order_x, mine), None if same else unsorted(order_y, theirs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
