@@ -1,7 +1,7 @@
 """Density clustering with noise: a hierarchy of mutual reachability, condensed, with the clusters of most excess mass.
 
-The hierarchy is of all rows.  Its core distances and its spanning tree (Boruvka's rounds) take the square of the rows, in tiles of blocks dealt to tasks: no task holds more than two blocks of rows, and none
-of them reaches the driver.  The edges of the tree, three numbers a row, are condensed in order by one task, which needs some numbers a row.
+The hierarchy is of all rows.  Its core distances take the square of the rows, in strips that pass over all others (a task is sent the numbers of all rows), its spanning tree (Boruvka's rounds) that of those near the
+borders of components, in tiles of two blocks.  No row reaches the driver.  The edges of the tree, three numbers a row, are condensed in order by one task, which needs some numbers a row.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def core_distances(rows: DataFrame, features: list[str], least: int, size: int =
 def first_links(rows: DataFrame, features: list[str], size: int = BLOCK) -> DataFrame:
     """r, w, a, b, other: the edge that the first of Boruvka's rounds gives a row of rows (r, features, core), where it is no longer than the row's core distance; most rows have one.
 
-    No edge of a row is shorter, and of those as long the one to the row of least number is the first: a row in reach whose own core distance isn't larger.  The first ``size`` rows have one for most, the others look among all rows.
+    No edge of a row is shorter, and of those as long the one to the row of least number is the first: a row in reach whose own core distance isn't larger.  Rows look among the first ``size`` rows, and those that find none there among all.
     """
     d = len(features)
     columns = [*features, "core", "r"]

@@ -1,8 +1,8 @@
 """Stability of density clusters: bootstraps of whole participants, fitted together, and the overlap of their clusters with those of all rows.
 
-A replicate draws each participant a Poisson number of times, so its rows are the given ones with a count.  All replicates share the passes over pairs of rows: a tile takes its distances once, and every
-replicate reads its core distances, the edges of its spanning tree and the nearest sampled rows from them.  No task holds more than two blocks of rows, and no row reaches the driver; the edges of a
-replicate's tree, one a row, are condensed in order by one task.
+A replicate draws each participant a Poisson number of times, so its rows are the given ones with a count.  All replicates share the passes over pairs of rows: a strip or a tile takes its distances once, and every
+replicate reads its core distances, the edges of its spanning tree and the nearest sampled rows from them.  A strip of rows passes over all others, which its task is sent as a whole; a tile has two blocks.  No row reaches
+the driver; the edges of a replicate's tree, one a row, are condensed in order by one task.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def weighted_cores(rows: DataFrame, features: list[str], counts: list[str], leas
     n, share = sums["n"], [least / sums[f"t{j}"] for j in range(k)]
     low, high = min(share), max(share)
     names = ["r", *features, *counts, *[f"core{j}" for j in range(k)]]
-    kinds = ", ".join(f"{c} {'long' if c == 'r' else 'double'}" for c in [*names, "missed"])
+    kinds = ", ".join(f"{c} {'long' if c in ('r', 'missed') else 'double'}" for c in [*names, "missed"])
 
     def within(x: np.ndarray, squared: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squares between which those of the rows' distances are, by all that the sample says."""
@@ -122,7 +122,6 @@ def weighted_cores(rows: DataFrame, features: list[str], counts: list[str], leas
     chunks = blocks(rows.select(*columns), columns, max(size, CHUNK), "r")
     # A row holds what is within its range, some hundredths of all rows.
     packed = blocks(rows.select(*columns), columns, max(8, min(512, HELD // max(1, min(n, n // 24 + SAMPLE) * (1 + k)))), "r")
-    kinds = kinds.replace("missed double", "missed long")
     found = staged(strips(packed, chunks, cores(False), width, kinds), "cores")
     again = found.filter("missed > 0")
     if not again.isEmpty():
